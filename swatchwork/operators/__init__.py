@@ -1,0 +1 @@
+"""Operators of the page and design analytics library."""

@@ -1,0 +1 @@
+"""Sources of the page and design analytics library."""

@@ -1,0 +1 @@
+"""Streaming of the page and design analytics library."""
