@@ -253,17 +253,14 @@ def _pairs(emission: np.ndarray, chain: np.ndarray, model: Model) -> np.ndarray:
 def training_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> pd.DataFrame:
     """At most about ``texts`` rows of each language, by the smallest hashes of their ids, cut to what training reads."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    counts = known.groupBy("lang").count().collect()  # a row for each language
-    picked = None
-    for r in sorted(counts, key=lambda r: r["lang"]):
-        # the bound on the hash lets through about twice as many rows as are kept, so the sort stays small at any size
-        bound = int((min(1.0, 2.0 * texts / r["count"]) - 0.5) * (2**64 - 2))
-        some = known.where((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(bound))).orderBy("h", "doc_id", F.xxhash64("text")).limit(texts)
-        picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return pd.DataFrame({"text": [], "lang": []}, dtype=object)
+    # a bound on the hash lets through about twice as many rows of each language as are kept: one pass, and no sort of them all
+    share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.count("*"))
+    bounds = known.groupBy("lang").agg(share.alias("share"))  # a row for each language
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     cut = F.substring("text", 1, SAMPLE_WORDS * 16).alias("text")
-    return picked.select(cut, "lang", "h").toPandas().sort_values(["lang", "h", "text"], ignore_index=True)[["text", "lang"]]
+    picked = known.join(F.broadcast(bounds), "lang").where(place <= F.col("share")).select("doc_id", cut, "lang", F.shiftrightunsigned("h", 1).alias("h"))
+    rows = picked.toPandas().sort_values(["lang", "h", "doc_id", "text"], ignore_index=True)
+    return rows.groupby("lang").head(texts)[["text", "lang"]].reset_index(drop=True)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, mixture map<string,double>"
