@@ -94,18 +94,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     up_to = Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows at most
     bins = bins.withColumn("before", F.sum("words").over(up_to) - F.col("words"))
     cut = common.kept_on_shared_storage(bins.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).select("source_key", "bin", "before"))
-    edge = rows.join(F.broadcast(cut), ["source_key", "bin"]).select("source_key", "before", "rest", "rank", "size")
+    edge = rows.join(cut, ["source_key", "bin"]).select("source_key", "before", "rest", "rank", "size")
     line = Window.partitionBy("source_key").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("with", F.col("before") + F.sum("size").over(line))
     fits = F.col("with") <= F.col("rest")
     stop = edge.groupBy("source_key").agg(F.max(F.when(fits, F.col("rank"))).alias("last_rank"), F.first("rest").alias("gap") - F.coalesce(F.max(F.when(fits, F.col("with"))), F.first("before")).alias("taken"))
     stop = cut.select("source_key", F.col("bin").alias("last_bin")).join(stop.toDF("source_key", "last_rank", "gap"), "source_key")
-    rows = rows.join(F.broadcast(stop), "source_key", "left")
+    rows = rows.join(stop, "source_key", "left")
     inside = F.col("last_bin").isNull() | (F.col("bin") < F.col("last_bin")) | (F.col("rank") <= F.coalesce("last_rank", F.lit(-1.0)))
     # what is then missing goes to the one document behind the cut whose size comes nearest to it, by rank if several do
     miss = F.abs(F.col("size") - F.col("gap"))
     last = rows.where(F.col("bin").isNotNull() & ~inside & (miss < F.col("gap"))).groupBy("source_key").agg(F.min(F.struct(miss.alias("miss"), "rank")).alias("last"))
-    rows = rows.join(F.broadcast(last.select("source_key", F.col("last.rank").alias("filler"))), "source_key", "left")
+    rows = rows.join(last.select("source_key", F.col("last.rank").alias("filler")), "source_key", "left")
     more = F.col("bin").isNotNull() & (inside | F.coalesce(F.col("rank") == F.col("filler"), F.lit(False)))
     n = F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"), n.cast("int").alias("copies"))
