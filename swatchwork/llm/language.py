@@ -266,6 +266,22 @@ def training_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> pd.DataFrame:
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, mixture map<string,double>"
 
 
+def _judged(piece: textbatch.Piece, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: each language's share of the mass, the best one's number (that after the last: none), its share, and the words."""
+    s, e, row = _words(piece)
+    share, best, score = np.zeros((piece.n, len(model.labels))), np.full(piece.n, len(model.labels)), np.zeros(piece.n)
+    words = np.bincount(row, minlength=piece.n)
+    if len(model.labels) and len(s):
+        _, first, back = np.unique(piece.hashes(s, e), return_index=True, return_inverse=True)
+        p = posteriors(_emissions(piece, s[first], e[first], model)[back], row, model)
+        some = words > 0
+        for k in range(len(model.labels)):
+            share[:, k] = np.bincount(row, p[:, k], piece.n)
+        share[some] /= words[some, None]
+        best[some], score[some] = share[some].argmax(1), np.minimum(share[some].max(1), 1.0)
+    return share, best, score, words
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, held_out, text): the language with most posterior mass over all words.
 
@@ -278,17 +294,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
             for piece in textbatch.pieces(batch.column("text"), lower=True):
-                s, e, row = _words(piece)
-                share, best, score = np.zeros((piece.n, len(model.labels))), np.full(piece.n, len(model.labels)), np.zeros(piece.n)
-                words = np.bincount(row, minlength=piece.n)
-                if len(model.labels) and len(s):
-                    _, first, back = np.unique(piece.hashes(s, e), return_index=True, return_inverse=True)
-                    p = posteriors(_emissions(piece, s[first], e[first], model)[back], row, model)
-                    some = words > 0
-                    for k in range(len(model.labels)):
-                        share[:, k] = np.bincount(row, p[:, k], piece.n)
-                    share[some] /= words[some, None]
-                    best[some], score[some] = share[some].argmax(1), np.minimum(share[some].max(1), 1.0)
+                share, best, score, words = _judged(piece, model)
                 part = batch.slice(piece.first, piece.n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -305,10 +311,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(label, SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_judged(piece, model) for piece in textbatch.pieces(batch.column("text"), lower=True)]
+            if found:
+                yield batch.filter(pa.array(np.concatenate([(best < len(model.labels)) & (score >= least) for _, best, score, _ in found])))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def learn(docs: DataFrame, folds: int = 5) -> Model:
+    """A model from the rows of ``docs`` (doc_id, text, lang) outside fold 0."""
+    return train(training_sample(docs.where(common.fold(F.col("doc_id"), folds) != 0)))
+
+
 def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:
     """Learns from the rows outside fold 0 that have a language, then labels every row; see ``identify`` for odd rows."""
-    split = docs.select("doc_id", "text", "lang", (common.fold(F.col("doc_id"), folds) == 0).alias("held_out"))
-    return identify(split, train(training_sample(split.where(~F.col("held_out")))))
+    split = docs.select("doc_id", "text", (common.fold(F.col("doc_id"), folds) == 0).alias("held_out"))
+    return identify(split, learn(docs, folds))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores THRESHOLD or more."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.score(features(piece)) >= THRESHOLD for piece in textbatch.pieces(batch.column("text"))]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
+    """A model from the rows of ``docs`` (doc_id, text) outside fold 0 and their ``labels`` (doc_id, quality)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(common.fold(F.col("doc_id"), folds) != 0)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(common.fold(F.col("doc_id"), folds) != 0)
+    return train(rows, marks)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text), learned from rows outside fold 0 and their ``labels``.
 
@@ -159,9 +178,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Da
     """
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     split = split.withColumn("held_out", common.fold(F.col("doc_id"), folds) == 0)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(common.fold(F.col("doc_id"), folds) != 0)
-    model = train(split.where(~F.col("held_out")), marks)
-    return score(split.select("doc_id", "held_out", "text"), model)
+    return score(split.select("doc_id", "held_out", "text"), learn(docs, labels, folds))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
