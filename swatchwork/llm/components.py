@@ -12,17 +12,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a long, b long): component is the smallest node that is reachable.
 
     Each round hands every node the smallest label among its neighbours and then the label of its label, so that the
-    distance to the smallest node about halves; it ends when no label moved. Labels are written to the checkpoint folder
-    each round. Links in either direction, repeated links and loops are fine; null ends are left out; no link, no row.
+    distance to the smallest node about halves; it ends when no label moved. Labels are written as a table to the
+    checkpoint folder each round: a plan that reads a table stays small, however many rounds there are. Links in either direction, repeated links and loops are fine; null ends are left out; no link, no row.
     """
     both = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    both = common.kept_on_shared_storage(both.union(both.select(F.col("b"), F.col("a"))).distinct())
-    labels = common.kept_on_shared_storage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    both = common.stored(both.union(both.select(F.col("b"), F.col("a"))).distinct())
+    labels = common.stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = common.kept_on_shared_storage(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        step = common.stored(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
         moved = step.where(F.col("label") != F.col("old")).limit(1).count()
         labels = step.select("node", "label")
         if not moved:

@@ -113,43 +113,50 @@ def _close(x: str, y: str) -> Column:
 
 def _links(classes: DataFrame, sets_of) -> DataFrame:
     """Links (a, b) that hold each component together."""
-    rows = common.kept_on_shared_storage(_retained(classes))
-    sets = common.kept_on_shared_storage(sets_of(rows.select("node")))
+    rows = common.stored(_retained(classes))
+    sets = common.stored(sets_of(rows.select("node")))
     entries = rows.select("node", "size", "rank", F.explode("values").alias("value"))
     hubs = entries.groupBy("value").agg(_hub().alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", (-F.col("hub.minus")).alias("b"))
     pairs = entries.join(hubs, "value").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    links = common.kept_on_shared_storage(_verified(pairs, sets))
+    links = common.stored(_verified(pairs, sets))
     for turn in range(HUB_ROUNDS + 1):
         parts = connected_components(links)
         part = F.coalesce("component", "node")
-        placed = common.kept_on_shared_storage(rows.join(parts, "node", "left").select("node", "size", "values", part.alias("part")))
-        entries = placed.select("node", "size", "part", F.explode("values").alias("value"))
-        split = entries.groupBy("value", "part").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main")).where("parts > 1")
-        entries = entries.join(split.select("value", "main"), "value")
-        if turn < HUB_ROUNDS:
-            # further hubs: members of the list's largest component, other ones each round, against all outside of it
-            slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS))
-            more = entries.where("part = main").groupBy("value", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn + 100)), "node", "size")).alias("hub"))
-            more = more.select("value", F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"))
-            pairs = entries.where("part != main").join(more, "value").where(_close("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
-        else:
-            # what is still apart: all pairs of different components, each at the first value that the two share
-            one = entries.join(placed.select("node", "values"), "node")
-            other = one.select("value", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"), F.col("values").alias("b_values"), F.col("main").alias("b_main"))
-            outside = one.where("part != main")
-            apart = (F.col("part") != F.col("b_part")) & _close("size", "b_size")
-            once = F.element_at(F.array_intersect("values", "b_values"), 1) == outside["value"]
-            twice = (F.col("b_part") == F.col("b_main")) | (F.col("node") < F.col("b"))
-            pairs = outside.join(other, (outside["value"] == other["value"]) & apart & twice & once).select(F.col("node").alias("a"), "b").distinct()
-        found = common.kept_on_shared_storage(_verified(pairs, sets))
-        fresh = found.limit(1).count()
-        if fresh:
-            links = links.union(found)
-        if turn == HUB_ROUNDS:
-            return links
+        placed = common.stored(rows.join(parts, "node", "left").select("node", "size", "values", part.alias("part")))
+        found = common.stored(_verified(_hub_pairs(placed, turn), sets)) if turn < HUB_ROUNDS else None
+        if found is None or not found.limit(1).count():
+            return links.union(_verified(_pairs_apart(placed), sets))
+        links = links.union(found)
     raise AssertionError
 
 
+def _split_lists(placed: DataFrame) -> DataFrame:
+    """The entries of lists that hold several components, with the component that most of the list is in."""
+    entries = placed.select("node", "size", "part", "values", F.explode("values").alias("value"))
+    split = entries.groupBy("value", "part").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main")).where("parts > 1")
+    return entries.join(split.select("value", "main"), "value")
+
+
+def _hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of further hubs, members of a list's largest component and other ones each round, with all outside of it."""
+    entries = _split_lists(placed)
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS))
+    more = entries.where("part = main").groupBy("value", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn + 100)), "node", "size")).alias("hub"))
+    more = more.select("value", F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"))
+    return entries.where("part != main").join(more, "value").where(_close("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _pairs_apart(placed: DataFrame) -> DataFrame:
+    """All pairs of a list's members in different components, each at the first value that the two share."""
+    one = _split_lists(placed)
+    other = one.select("value", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"), F.col("values").alias("b_values"), F.col("main").alias("b_main"))
+    outside = one.where("part != main")
+    apart = (F.col("part") != F.col("b_part")) & _close("size", "b_size")
+    once = F.element_at(F.array_intersect("values", "b_values"), 1) == outside["value"]
+    twice = (F.col("b_part") == F.col("b_main")) | (F.col("node") < F.col("b"))
+    return outside.join(other, (outside["value"] == other["value"]) & apart & twice & once).select(F.col("node").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text; others are not looked at).
 
@@ -162,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     digests = texts.mapInArrow(_digest(words, False), "doc_id long, n_shingles long, set_a long, set_b long, hashes array<long>")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = digests.where(linked).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("hashes").alias("sketch"))
-    classes = common.kept_on_shared_storage(classes)
+    classes = common.stored(classes)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = texts.join(nodes.distinct().withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
