@@ -1,14 +1,14 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-A text's sketch is its k smallest shingle hashes. Inverted lists of the retained values bring together texts whose
-sketches overlap; the sketch of a pair's union estimates the resemblance and drops pairs that are far off; the rest are
-compared on their full sets.
-
-Nothing grows with the square of a group. Texts with equal sets are one class. In an inverted list, texts are first
-compared with a hub, the member whose values are the most common; texts that are linked join one component, and only
-pairs of a list that are still in different components are compared further, in the end all of them. Lists are those of
-a prefix of the sketch in the order from rare to common, which by the pigeonhole principle meets every pair that shares
-enough values; so a passage that stands in a third of all texts brings no texts together that have little else.
+A text's sketch is its k smallest shingle hashes. Inverted lists of the retained values tell how much of a sketch other
+sketches have too, and only texts with enough of it go on. For these, lists of the values of their sets in the order from
+rare to common are cut to a prefix: two linked sets share one of its values, by the pigeonhole principle. The sketch of
+a pair's union estimates the resemblance and drops pairs that are far off; the rest are compared on their full sets.
+
+Nothing grows with the square of a group. Texts with equal sets are one class. In a list, all members are first compared
+with a hub, the member whose values are the most common, and linked ones join one component. Pairs of a list that are
+still in different components are compared too, unless their overlaps with the hub rule a link out: what two sets share
+is at most what both share with the hub, and of their other values those that any other set has.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ SKETCH = 64
 #: A linked pair of larger sets shares fewer values than this with a chance under one in a million (0.8 of 64 expected).
 SHARED = 32
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Rounds in which lists that hold several components get further hubs, and hubs a list and round, before all pairs of
-#: what is left are compared.
-HUB_ROUNDS, HUBS = 3, 4
+#: Values of a list that are carried along to name a pair once.
+NAMED = 32
 
 
 def _shingles(piece: textbatch.Piece, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,84 +76,75 @@ def _digest(words: int, whole: bool):
     return digest
 
 
-def _retained(classes: DataFrame) -> DataFrame:
-    """(value, node, size, n_lists): the values of each sketch that other sketches have too, in prefix order, where any pair is possible."""
-    needed = F.when(F.col("size") <= 51, F.ceil(F.col("size") * PERCENT / 100)).otherwise(SHARED).cast("int")
-    values = classes.select("node", "size", F.explode("sketch").alias("value"))
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(node): the texts of whose sketch other sketches have as much as a linked pair shares."""
+    needed = F.when(F.col("size") <= 51, F.ceil(F.col("size") * PERCENT / 100)).otherwise(SHARED)
+    values = classes.select("node", F.explode("sketch").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1").select("value")
+    held = values.join(often, "value").groupBy("node").agg(F.count("*").alias("held"))
+    return held.join(classes.select("node", "size"), "node").where(F.col("held") >= needed).select("node")
+
+
+def _lists(sets: DataFrame) -> DataFrame:
+    """(node, size, held, rank, prefix): how many values of each set others have, how common these are, and the prefix."""
+    values = sets.select("node", F.explode("hashes").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1")
-    rows = values.join(often, "value").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("texts", "value"))).alias("lists"))
-    rows = rows.withColumn("prefix", F.size("lists") - needed + 1).where("prefix > 0")
-    common_values = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["texts"])
-    return rows.select("node", "size", common_values.alias("rank"), F.transform(F.slice("lists", 1, F.col("prefix")), lambda x: x["value"]).alias("values"))
+    rows = values.join(often, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("texts", "value"))).alias("lists"))
+    rows = rows.join(sets.select("node", F.size("hashes").alias("size")), "node")
+    cut = F.size("lists") - F.ceil(F.col("size") * PERCENT / 100).cast("int") + 1
+    rank = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["texts"]) / F.col("size")
+    rows = rows.select("node", "size", F.size("lists").alias("held"), rank.alias("rank"), "lists", cut.alias("cut")).where("cut > 0")
+    return rows.select("node", "size", "held", "rank", F.transform(F.slice("lists", 1, F.col("cut")), lambda x: x["value"]).alias("prefix"))
 
 
-def _hub() -> Column:
-    """The member of most common values; ties by the smaller node."""
-    return F.max(F.struct("rank", (-F.col("node")).alias("minus")))
+def _linked(size_a: Column, size_b: Column, shared: Column) -> Column:
+    return 100 * shared >= PERCENT * (size_a + size_b - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked: the union sketch drops those far off, the full sets decide."""
+def _compared(pairs: DataFrame, sets: DataFrame, estimate: bool) -> DataFrame:
+    """Pairs (a, b) with what their full sets share; with ``estimate``, without those that their union sketch tells far apart."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    cut = lambda c: F.slice(c, 1, SKETCH)
-    union = cut(F.array_sort(F.array_union(cut("x"), cut("y"))))
-    shared = F.size(F.array_intersect(union, F.array_intersect(cut("x"), cut("y"))))
-    both = both.where((F.size(union) < SKETCH) | (shared >= SHARED))
-    inside = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * inside >= PERCENT * (F.size("x") + F.size("y") - inside)).select("a", "b")
-
-
-def _close(x: str, y: str) -> Column:
-    """Sizes of two sets that can be linked at all."""
-    return (F.col(x) * 100 >= F.col(y) * PERCENT) & (F.col(y) * 100 >= F.col(x) * PERCENT)
+    if estimate:
+        cut = lambda c: F.slice(c, 1, SKETCH)
+        union = cut(F.array_sort(F.array_union(cut("x"), cut("y"))))
+        shared = F.size(F.array_intersect(union, F.array_intersect(cut("x"), cut("y"))))
+        both = both.where((F.size(union) < SKETCH) | (shared >= SHARED))
+    return both.select("a", "b", F.size("x").alias("size_a"), F.size("y").alias("size_b"), F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
 def _links(classes: DataFrame, sets_of) -> DataFrame:
     """Links (a, b) that hold each component together."""
-    rows = common.stored(_retained(classes))
-    sets = common.stored(sets_of(rows.select("node")))
-    entries = rows.select("node", "size", "rank", F.explode("values").alias("value"))
-    hubs = entries.groupBy("value").agg(_hub().alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", (-F.col("hub.minus")).alias("b"))
-    pairs = entries.join(hubs, "value").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    links = common.stored(_verified(pairs, sets))
-    for turn in range(HUB_ROUNDS + 1):
-        parts = connected_components(links)
-        part = F.coalesce("component", "node")
-        placed = common.stored(rows.join(parts, "node", "left").select("node", "size", "values", part.alias("part")))
-        found = common.stored(_verified(_hub_pairs(placed, turn), sets)) if turn < HUB_ROUNDS else None
-        if found is None or not found.limit(1).count():
-            return links.union(_verified(_pairs_apart(placed), sets))
-        links = links.union(found)
-    raise AssertionError
-
-
-def _split_lists(placed: DataFrame) -> DataFrame:
-    """The entries of lists that hold several components, with the component that most of the list is in."""
-    entries = placed.select("node", "size", "part", "values", F.explode("values").alias("value"))
-    split = entries.groupBy("value", "part").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main")).where("parts > 1")
-    return entries.join(split.select("value", "main"), "value")
-
-
-def _hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of further hubs, members of a list's largest component and other ones each round, with all outside of it."""
-    entries = _split_lists(placed)
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS))
-    more = entries.where("part = main").groupBy("value", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn + 100)), "node", "size")).alias("hub"))
-    more = more.select("value", F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"))
-    return entries.where("part != main").join(more, "value").where(_close("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
-
-
-def _pairs_apart(placed: DataFrame) -> DataFrame:
-    """All pairs of a list's members in different components, each at the first value that the two share."""
-    one = _split_lists(placed)
-    other = one.select("value", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"), F.col("values").alias("b_values"), F.col("main").alias("b_main"))
-    outside = one.where("part != main")
-    apart = (F.col("part") != F.col("b_part")) & _close("size", "b_size")
-    once = F.element_at(F.array_intersect("values", "b_values"), 1) == outside["value"]
-    twice = (F.col("b_part") == F.col("b_main")) | (F.col("node") < F.col("b"))
-    return outside.join(other, (outside["value"] == other["value"]) & apart & twice & once).select(F.col("node").alias("a"), "b").distinct()
+    sets = common.stored(sets_of(_candidates(classes)))
+    rows = common.stored(_lists(sets))
+    entries = rows.select("node", "rank", F.explode("prefix").alias("value"))
+    hubs = entries.groupBy("value").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = common.stored(hubs.select("value", (-F.col("hub.minus")).alias("hub")))
+    pairs = entries.join(hubs, "value").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    star = common.stored(_compared(pairs, sets, False))
+    links = star.where(_linked(F.col("size_a"), F.col("size_b"), F.col("shared"))).select("a", "b")
+    apart = _compared(_pairs_apart(rows, hubs, star, connected_components(links)), sets, True)
+    return links.union(apart.where(_linked(F.col("size_a"), F.col("size_b"), F.col("shared"))).select("a", "b"))
+
+
+def _pairs_apart(rows: DataFrame, hubs: DataFrame, star: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list's members in different components that the hub does not rule out."""
+    named = F.slice("prefix", 1, NAMED).alias("named")
+    placed = rows.join(parts, "node", "left").select("node", "size", "held", named, F.coalesce("component", "node").alias("part"), F.explode("prefix").alias("value"))
+    # lists with more than one component
+    split = placed.groupBy("value").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("value")
+    hubs = hubs.join(split, "value", "left_semi")
+    placed = placed.join(hubs, "value").where("node != hub")
+    placed = placed.join(star.select(F.col("a").alias("node"), F.col("b").alias("hub"), "shared"), ["node", "hub"]).drop("hub")
+    one = common.stored(placed.select("value", "node", "size", "part", "named", "shared", (F.col("held") - F.col("shared")).alias("own")))
+    other = one.select(*(F.col(c).alias(f"b_{c}") for c in ("value", "node", "size", "part", "named", "shared", "own")))
+    most = F.least("shared", "b_shared") + F.least("own", "b_own")
+    first = F.get(F.array_intersect("named", "b_named"), F.lit(0))
+    once = first.isNull() | (first == F.col("value"))
+    apart = (F.col("node") < F.col("b_node")) & (F.col("part") != F.col("b_part"))
+    met = one.join(other, (F.col("value") == F.col("b_value")) & apart & _linked(F.col("size"), F.col("b_size"), most) & once)
+    return met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -173,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = texts.join(nodes.distinct().withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        return wanted.mapInArrow(_digest(words, True), "node long, hashes array<long>".replace("node", "doc_id")).withColumnRenamed("doc_id", "node")
+        return wanted.mapInArrow(_digest(words, True), "doc_id long, hashes array<long>").withColumnRenamed("doc_id", "node")
 
     links = _links(classes, sets_of)
     # an id with several texts joins their classes
