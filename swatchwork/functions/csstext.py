@@ -20,7 +20,7 @@ def milliseconds(text: Column) -> Column:
 
 def layers(text: Column) -> Column:
     """The parts of a comma-separated list; commas inside brackets do not part."""
-    return F.transform(F.split(text, r",(?![^(]*\))"), F.trim)
+    return F.transform(F.split(text, r",(?![^(]*\))"), lambda x: F.trim(x))
 
 
 def duration_band(ms: Column) -> Column:
