@@ -26,15 +26,18 @@ def interactive() -> Column:
 
 def color_usage(elements: DataFrame) -> DataFrame:
     """Per page and colour: places, contexts, background area and interactive backgrounds, first place."""
-    use = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), C.parse_color(F.col(col)).alias("c")) for c, col in (("text", "color"), ("background", "background"))))).alias("use")
-    rows = elements.select("page_id", "ord", "area", interactive().alias("acts"), use).where("use.c.a > 0")
-    back = F.col("use.context") == "background"
-    return rows.groupBy("page_id", C.to_hex(F.col("use.c")).alias("hex")).agg(
-        F.count("*").alias("uses"),
-        F.array_join(F.array_sort(F.collect_set("use.context")), ",").alias("contexts"),
+    use = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), F.col(col).alias("text")) for c, col in (("text", "color"), ("background", "background"))))).alias("use")
+    rows = elements.select("page_id", "ord", "area", interactive().alias("acts"), use)
+    # a page has few distinct texts of colours: they are counted first and read then
+    texts = rows.groupBy("page_id", "use.context", "use.text").agg(F.count("*").alias("uses"), F.sum("area").alias("area"), F.count(F.when(F.col("acts"), 1)).alias("acts"), F.min("ord").alias("first_ord"))
+    texts = texts.withColumn("c", C.parse_color(F.col("text"))).where("c.a > 0").withColumn("hex", C.to_hex(F.col("c")))
+    back = F.col("context") == "background"
+    return texts.groupBy("page_id", "hex").agg(
+        F.sum("uses").alias("uses"),
+        F.array_join(F.array_sort(F.collect_set("context")), ",").alias("contexts"),
         F.sum(F.when(back, F.col("area")).otherwise(0)).alias("background_area"),
-        F.count(F.when(back & F.col("acts"), 1)).alias("interactive"),
-        F.min("ord").alias("first_ord"),
+        F.sum(F.when(back, F.col("acts")).otherwise(0)).alias("interactive"),
+        F.min("first_ord").alias("first_ord"),
     )
 
 
@@ -46,7 +49,8 @@ def dominant_colors(elements: DataFrame, n: int = 8) -> DataFrame:
 
 
 def large_surfaces(elements: DataFrame, least: int = 50_000) -> DataFrame:
-    rows = elements.where(F.col("area") > least).groupBy("page_id", C.to_hex(C.parse_color(F.col("background"))).alias("hex")).agg(F.min("ord").alias("first_ord"))
+    rows = elements.where(F.col("area") > least).groupBy("page_id", "background").agg(F.min("ord").alias("first_ord"))
+    rows = rows.groupBy("page_id", C.to_hex(C.parse_color(F.col("background"))).alias("hex")).agg(F.min("first_ord").alias("first_ord"))
     return rows.where("hex is not null")
 
 
@@ -95,10 +99,12 @@ def button_variants(elements: DataFrame) -> DataFrame:
 
 def contrast_pairs(elements: DataFrame) -> DataFrame:
     """Text on background, by pair: places, largest size, contrast and its level; failing pairs first."""
-    rows = elements.select("page_id", C.parse_color(F.col("color")).alias("fg"), C.parse_color(F.col("background")).alias("bg"), T.number(F.col("font_size")).alias("size"), (F.col("font_weight") >= "700").alias("bold"))
-    rows = rows.where("fg.a >= 0.9 and bg.a >= 0.9").where(C.to_hex(F.col("fg")) != C.to_hex(F.col("bg")))
+    # pairs of texts are counted first and read then
+    rows = elements.groupBy("page_id", "color", "background", "font_size", "font_weight").agg(F.count("*").alias("n"))
+    rows = rows.select("page_id", C.parse_color(F.col("color")).alias("fg"), C.parse_color(F.col("background")).alias("bg"), T.number(F.col("font_size")).alias("size"), (F.col("font_weight") >= "700").alias("bold"), "n")
+    rows = rows.where("fg.a >= 0.9 and bg.a >= 0.9 and (fg.r, fg.g, fg.b) != (bg.r, bg.g, bg.b)")
     large = (F.col("size") >= 18) | ((F.col("size") >= 14) & F.col("bold"))
-    pairs = rows.groupBy("page_id", "fg", "bg").agg(F.count("*").alias("uses"), F.max("size").alias("max_size"), F.bool_or(large).alias("large"))
+    pairs = rows.groupBy("page_id", "fg", "bg").agg(F.sum("n").alias("uses"), F.max("size").alias("max_size"), F.bool_or(large).alias("large"))
     ratio = C.contrast(F.col("fg"), F.col("bg"))
     return pairs.select("page_id", C.to_hex(F.col("fg")).alias("fg"), C.to_hex(F.col("bg")).alias("bg"), "uses", "max_size", "large", F.round(ratio, 4).alias("ratio"), C.contrast_level(ratio, F.col("large")).alias("level"))
 
