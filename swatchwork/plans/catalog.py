@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swatchwork.functions import csstext as T
-from swatchwork.operators import classify, compare, history, scales, usage, vectors
+from swatchwork.operators import classify, compare, history, scales, tokens, usage, vectors
 from swatchwork.sources import elements
 from swatchwork.streaming import watch
 
@@ -336,3 +336,43 @@ query("n_running_frame", """SELECT o_custkey, o_orderkey, round(sum(o_totalprice
 query("n_semi_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS buys FROM customer")(
     lambda s, d: (lambda c, o: c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", F.lit(True).alias("buys")).union(c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", F.lit(False).alias("buys"))))(_table(s, d, "customer"), _table(s, d, "orders"))
 )
+
+
+# --- stylesheets and tokens --------------------------------------------------------------------------------------------
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").withColumn("p", F.col("p_partkey"))
+
+
+_LABEL = "CASE " + " ".join(f"WHEN best = {w} AND abs(px - {w}) <= 64 THEN '{n}'" for n, w in tokens.STANDARD.items()) + " ELSE 'custom' END"
+query("breakpoints", f"""WITH q AS (SELECT p_partkey % 10 AS page_id, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN 'max' ELSE 'min' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN p_size * 32.0 ELSE p_size * 16.0 END AS px FROM part),
+  k AS (SELECT page_id, px::DOUBLE AS px, arg_max(kind, ord) AS kind FROM q GROUP BY 1, 2), n AS (SELECT *, list_sort(list_transform({list(tokens.STANDARD.values())}, lambda w: [abs(px - w), w]))[1][2] AS best FROM k)
+  SELECT page_id, px, kind, {_LABEL} AS label FROM n""")(
+    lambda s, d: tokens.breakpoints(_parts(s, d).select((F.col("p") % 10).alias("page_id"), F.col("p").alias("ord"), F.concat(F.lit("(" ), F.when(F.col("p") % 3 == 0, "max").otherwise("min"), F.lit("-width: "), F.when(F.col("p") % 2 == 0, F.concat((F.col("p_size") * 32).cast("string"), F.lit("px"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("em"))), F.lit(")")).alias("query")))
+)
+_SHEET = "'.a' || p_size || ' p{color:red!important;margin:0} #x' || p_size || '{-webkit-box-shadow:none;margin:0' || CASE WHEN p_size % 2 = 0 THEN ';margin:0' ELSE '' END || '} div > p{top:' || p_size || 'px}'"
+query("css_health", "SELECT p_partkey AS id, 3 AS rules, 1 AS important, 1 AS vendor, 100 AS max_specificity, round((11 + 100 + 2) / 3, 4) AS mean_specificity, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS repeated FROM part")(
+    lambda s, d: tokens.css_health(_parts(s, d).select(F.col("p").alias("id"), F.expr(_SHEET).alias("text")))
+)
+_NAMES = ["--color-text", "--space-2", "--font-body", "--radius-lg", "--shadow-1", "--duration-fast", "--z-top"]
+query("variable_categories", "SELECT p_partkey AS page_id, " + f"{_NAMES}[p_partkey % 7 + 1] AS name, ['color', 'spacing', 'typography', 'radius', 'shadow', 'motion', 'other'][p_partkey % 7 + 1] AS category, CASE WHEN p_partkey % 2 = 0 THEN '--a,--b' ELSE '' END AS refers_to FROM part")(
+    lambda s, d: tokens.variable_categories(_parts(s, d).select(F.col("p").alias("page_id"), F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p") % 7 + 1).cast("int")).alias("name"), F.when(F.col("p") % 2 == 0, "calc(var(--b) + var(--a) + var(--b))").otherwise("1px").alias("value")))
+)
+query("slug_suffixes", """WITH s AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS k FROM s)
+  SELECT id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM n""")(lambda s, d: tokens.slugs(_parts(s, d).select(F.col("p").alias("id"), F.col("p_type").alias("name"))))
+on_elements("elevation_levels", """, w AS (SELECT page_id, (shadow_y * 5)::DOUBLE AS weight, count(*) AS uses FROM elements WHERE shadow_y IS NOT NULL GROUP BY 1, 2),
+  x AS (SELECT page_id, list_sort(list(weight)) AS xs FROM w GROUP BY page_id), f AS (SELECT page_id, list_reduce(list_transform(xs, lambda y: [y]), lambda acc, y: CASE WHEN y[1] <= acc[-1] * 1.25 + 1 THEN acc ELSE list_concat(acc, y) END) AS firsts FROM x),
+  l AS (SELECT w.*, len(list_filter(firsts, lambda y: y <= weight))::INT AS level FROM w JOIN f USING (page_id))
+  SELECT page_id, level, arg_max(weight, (uses, -weight)) AS weight, sum(uses)::BIGINT AS uses FROM l GROUP BY page_id, level""")(
+    lambda e: tokens.elevation(usage.shadow_usage(e).select("page_id", (F.col("blur") * 1.25).alias("weight"), "uses"))
+)
+query("head_to_head", """WITH s AS (SELECT c_mktsegment AS dimension, c_nationkey AS site, floor(avg(c_acctbal) / 100)::INT AS score FROM customer GROUP BY 1, 2),
+  d AS (SELECT x.site AS a, y.site AS b, x.score - y.score AS d FROM s x JOIN s y ON x.dimension = y.dimension AND y.site = x.site + 1),
+  w AS (SELECT a, b, count(*) FILTER (d >= 3) AS a_wins, count(*) FILTER (d <= -3) AS b_wins, count(*) AS n FROM d GROUP BY a, b)
+  SELECT a, b, a_wins, b_wins, n - a_wins - b_wins AS ties, CASE WHEN a_wins > b_wins THEN 'a' WHEN b_wins > a_wins THEN 'b' ELSE 'tie' END AS verdict FROM w""")(
+    lambda s, d: (lambda x: tokens.head_to_head(x.toDF("dimension", "a", "a_score").join(x.select(F.col("dimension"), F.col("site").alias("b"), F.col("score").alias("b_score")), "dimension").where("b = a + 1")))(
+        _table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("dimension"), F.col("c_nationkey").alias("site")).agg(F.floor(F.avg("c_acctbal") / 100).cast("int").alias("score"))
+    )
+)
+query("token_flatten", "SELECT event_id AS id, k AS path, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")(
+    lambda s, d: tokens.flat_tokens(_table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("json")))
+)
