@@ -1,12 +1,13 @@
 """Main text of web pages by differencing pages of near URLs.
 
 A page is cut into blocks of text, and blocks in parts that are marked as menus, headers, footers, forms, adverts,
-notices or comments are set aside. Pages of one host are paired by URL path: a page with the ones before and after it in
-the order of paths, among pages of the same folder where there are several. The blocks of a pair are aligned by longest
-common subsequence, and shared ones that stand outside of an article are template and go.
+notices or comments are set aside. Pages of one host are paired by URL path: a page with the nearest ones before and
+after it, in the order of folders and paths, that are not copies of it. The blocks of a pair are aligned by longest common
+subsequence, and shared ones are template and go. An article only protects the blocks in it; what stands outside stays
+unless it is shared.
 
-Large folders are dealt into parts of bounded size by a hash of the path, so that no host ends up in one task; each part
-is paired on its own.
+Large hosts are dealt into parts of bounded size by a hash of the folder or, in larger folders, of the path, so that no
+host ends up in one task; each part is paired on its own.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from swatchwork.llm import common
 
-#: Pages of a folder that are put in order together, about.
-PART = 256
+#: Pages of a host that are put in order together, about, and of a folder that is not dealt out.
+PART, TOGETHER = 256, 32
 #: Elements whose content is never main text, and elements without content.
 SKIPPED = frozenset("head title script style noscript template nav header footer aside form button select textarea option iframe svg canvas object dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -40,16 +41,25 @@ ASIDE = frozenset(
 _ENDS_P = frozenset("p div article section main ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote footer header nav aside form figure address hr details fieldset".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
-_MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
-def _set_aside(attributes: str) -> bool:
-    for m in _MARKS.finditer(attributes):
-        words = re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())
-        if not ASIDE.isdisjoint(words):
-            return True
-    return bool(re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I))
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _set_aside(attributes: dict[str, str]) -> bool:
+    """Whether a class, id or role consists of marking words only (cookie-notice, but not social-history), or nothing is shown."""
+    for name in ("class", "id", "role"):
+        for value in attributes.get(name, "").split():
+            words = [x for x in re.split(r"[^a-z0-9]+", value) if x]
+            if words and ASIDE.issuperset(words):
+                return True
+    return "hidden" in attributes or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
 
 
 def blocks(page: str) -> tuple[list[str], list[bool]]:
@@ -107,8 +117,9 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
             continue
         # a header inside an article is its headline
         skip = name in SKIPPED and not (name == "header" and article)
-        aside = aside or skip or (name not in ("html", "body") and _set_aside(m[3] or ""))
-        article = article or name in ARTICLE or bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", m[3] or "", re.I))
+        marks = _attributes(m[3] or "")
+        aside = aside or skip or (name not in ("html", "body") and _set_aside(marks))
+        article = article or name in ARTICLE or "main" in marks.get("role", "").split() or "articlebody" in marks.get("itemprop", "").split()
         stack.append((name, aside, article))
     if not aside:
         flush()
@@ -158,12 +169,9 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for lines, inside, hashes, before, after in zip(*(batch.column(c).to_pylist() for c in ("lines", "inside", "hashes", "before", "after")), strict=True):
             keep = np.ones(len(lines), bool)
-            if any(inside):
-                keep = np.array(inside)  # what stands outside of a page's article is not it
-            else:
-                for other in (before, after):
-                    if other and other != hashes:  # a copy of the page says nothing about the template
-                        keep &= ~shared(hashes, other)
+            for other in (before, after):
+                if other and not all(inside):
+                    keep &= ~shared(hashes, other) | np.array(inside)  # documents share passages, so what is in an article stays
             texts.append("\n".join(x for x, k in zip(lines, keep, strict=True) if k))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -172,7 +180,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages`` (page_id, url, html): the main text of the whole page.
 
     Blocks are joined by one line feed. Null and empty pages have an empty text. Pages with a null url, and pages that
-    are alone on their host, are judged by their own marks only; so are pages whose neighbours are copies of them.
+    are alone on their host, are judged by their own marks only; so are those of a part that has only copies of them.
     Repeated rows stay, other columns are not looked at, and an empty table gives an empty table.
     """
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
@@ -187,14 +195,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     counts = common.stored(counts.join(per_host, "host"))  # a row for each folder; its size decides how it is joined
     lines = rows.mapInArrow(_cut, "page_id long, url string, host string, folder string, path string, lines array<string>, inside array<boolean>")
     lines = lines.join(counts, ["host", "folder"])
-    alone = F.col("n") < 2
-    parts = F.ceil(F.when(alone, F.col("host_n")).otherwise(F.col("n")) / PART)
-    lines = lines.withColumn("group", F.when(alone, F.lit(None)).otherwise(F.col("folder"))).withColumn("part", F.pmod(F.xxhash64("path"), parts))
-    # copies of a path stand beside each other and would hide the template from one another
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    line = Window.partitionBy("host", "group", "part").orderBy("path", "page_id", F.xxhash64("lines"))
-    near = lines.withColumn("hashes", hashes)
-    near = near.withColumn("before", F.lag("hashes").over(line)).withColumn("after", F.lead("hashes").over(line))
+    dealt = F.xxhash64(F.when(F.col("n") > TOGETHER, F.col("path")).otherwise(F.col("folder")))
+    lines = lines.withColumn("part", F.pmod(dealt, F.ceil(F.col("host_n") / PART)))
+    # pages without a line say nothing about the template and stand in no line
+    lines = lines.withColumn("blank", F.when(F.size("lines") == 0, F.xxhash64("page_id")))
+    near = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    # copies of a page stand beside each other and would hide the template from one another: the first of a run has the page before, and the run takes it on
+    parts, order = Window.partitionBy("host", "part", "blank"), ["folder", "path", "page_id", F.xxhash64("lines")]
+    for name, line in (("before", parts.orderBy(*order)), ("after", parts.orderBy(*(F.desc(x) if isinstance(x, str) else x.desc() for x in order)))):
+        near = near.withColumn(name, F.lag("hashes").over(line))
+        near = near.withColumn(name, F.last(F.when(F.col(name) != F.col("hashes"), F.col(name)), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     known = F.col("host") != ""
     near = near.withColumn("before", F.when(known, F.col("before"))).withColumn("after", F.when(known, F.col("after")))
     return near.select("page_id", "url", "lines", "inside", "hashes", "before", "after").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")

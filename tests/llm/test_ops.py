@@ -296,6 +296,16 @@ def test_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_outside_articles(spark):
+    page = '<body><div>Home About</div><div class="social-history" style="overflow:hidden">{0}</div><article><p>Read on</p></article><p data-id="form">Born in {0}</p><p hidden>no</p><p>Made with love</p></body>'
+    html = [page.format(f"Story {k}") for k in (0, 1, 1, 1, 2)]  # the copy in the middle has copies on both sides
+    rows = [(k, f"http://h.com/a/{k}", x) for k, x in enumerate(html)]
+    # a folder of one page on a host with others, and pages without text between different ones
+    rows += [(10, "http://i.com/a/1", page.format("Story a")), (11, "http://i.com/b/1", page.format("Story b")), (12, "http://i.com/a/9", None)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {x}\nRead on\nBorn in Story {x}" for k, x in zip((0, 1, 2, 3, 4, 10, 11), "01112ab", strict=True)} | {12: ""}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
