@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +21,30 @@ def retained(snapshots: DataFrame, n: int = 50) -> DataFrame:
     return snapshots.withColumn("age", F.row_number().over(line)).where(F.col("age") <= n)
 
 
-def resolve_references(tokens: DataFrame, depth: int = 16) -> DataFrame:
-    """Follows values such as {a.b} from token to token (path, value); null where a chain leads nowhere, in a circle, or on beyond ``depth``."""
-    target = lambda c: F.regexp_extract(c, r"^\{(.+)\}$", 1)
-    rows = tokens.select("path", F.col("value").alias("at"), F.lit(0).alias("hops"))
-    done = None
-    for _ in range(depth):
-        is_ref = target(F.col("at")) != ""
-        end = rows.where(~is_ref | F.col("at").isNull()).select("path", F.col("at").alias("resolved"), "hops")
-        done = end if done is None else done.union(end)
-        rows = rows.where(is_ref).withColumn("to", target(F.col("at"))).join(tokens.select(F.col("path").alias("to"), F.col("value").alias("next")), "to").select("path", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"))
-    found = done.groupBy("path").agg(F.first("resolved").alias("resolved"), F.max("hops").alias("hops"))
-    return tokens.select("path").distinct().join(found, "path", "left")
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the checkpoint folder and read again."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def resolve_references(tokens: DataFrame) -> DataFrame:
+    """Follows values such as {a.b} from token to token (path, value), however far; null where a chain leads nowhere or in a circle.
+
+    Pointers double their length in each round. On a chain with an end, each round settles some tokens until all are, so
+    after a round that settles none only circles, and what leads into them or nowhere, are left.
+    """
+    to = F.regexp_extract("value", r"^\{(.+)\}$", 1)
+    tokens = tokens.groupBy("path").agg(F.min("value").alias("value"))
+    rows = _stored(tokens.select("path", "value", F.when(to != "", to).alias("to"), F.when(to != "", 1).otherwise(0).alias("hops")))
+    settled, open_ = rows.where(F.col("to").isNull()), rows.where(F.col("to").isNotNull())
+    while True:
+        ends = settled.union(open_).select(F.col("path").alias("at"), "value", F.col("to").alias("next"), F.col("hops").alias("more"))
+        near = open_.select("path", F.col("to").alias("at"), "hops")
+        moved = _stored(near.join(ends, "at").select("path", "value", F.col("next").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
+        done = moved.where(F.col("to").isNull())
+        if done.isEmpty():
+            break
+        settled, open_ = settled.union(done), moved.where(F.col("to").isNotNull())
+    return rows.select("path").join(settled.select("path", F.col("value").alias("resolved"), "hops"), "path", "left")

@@ -72,6 +72,14 @@ def test_references(spark):
     assert {r.path: r.resolved for r in history.resolve_references(tokens).collect()} == {"a": "1px", "b": "1px", "c": "1px", "x": None, "y": None, "z": None}
 
 
+def test_references_of_any_length(spark):
+    chain = [(f"t{k}", f"{{t{k + 1}}}") for k in range(40)] + [("t40", "1px")]
+    lost = [(f"u{k}", f"{{u{k + 1}}}") for k in range(20)] + [("x", "{x}"), ("y", "{x}")]
+    tokens = spark.createDataFrame([*chain, *lost], "path string, value string")
+    got = {r.path: (r.resolved, r.hops) for r in history.resolve_references(tokens).collect()}
+    assert got == {f"t{k}": ("1px", 40 - k) for k in range(41)} | {k: (None, None) for k, _ in lost}
+
+
 def test_consistency_of_one_page_is_unknown(spark):
     rows = spark.createDataFrame([("s", 1, "v", 3)], "site string, page long, value string, uses int")
     assert compare.consistency(compare.coverage(rows)).first()["consistency"] is None
