@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from swatchwork.functions import csstext as T
 
@@ -68,16 +73,59 @@ def head_to_head(scores: DataFrame, margin: int = 3) -> DataFrame:
     return rows.select("a", "b", "a_wins", "b_wins", (F.col("dimensions") - F.col("a_wins") - F.col("b_wins")).alias("ties"), verdict.alias("verdict"))
 
 
-def flat_tokens(documents: DataFrame, depth: int = 4) -> DataFrame:
-    """Paths and leaf texts of JSON documents (id, json): objects are opened down to ``depth``; keys with $ in front are left out."""
-    kind = "map<string,string>"
-    rows = documents.select("id", F.lit("").alias("path"), F.col("json").alias("value"))
-    leaves = None
-    for _ in range(depth):
-        inner = F.from_json("value", kind)
-        opened = rows.where(F.ltrim("value").startswith("{")).select("id", "path", F.explode(inner).alias("key", "value")).where(~F.col("key").startswith("$"))
-        opened = opened.select("id", F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key")).alias("path"), "value")
-        leaf = opened.where(F.col("value").isNull() | ~F.ltrim("value").startswith("{"))
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        rows = opened
-    return leaves
+class _Number(str):
+    """A number as it stands in the JSON text."""
+
+
+def _text(value: object) -> str | None:
+    """A string as it is, null as None, anything else as JSON."""
+    return None if value is None else str(value) if type(value) is str else _json(value)
+
+
+def _json(value: object) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def leaves(text: str | None) -> list[tuple[str, str | None]]:
+    """Paths and texts of the values of a token tree (objects with $value, in lists too) or, where it has none, of its plain leaves."""
+    try:
+        tree = json.loads(text or "", parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+    except json.JSONDecodeError:
+        return []
+    valued: list[tuple[str, str | None]] = []
+    plain: list[tuple[str, str | None]] = []
+    left = [("", tree, True)] if isinstance(tree, dict) else []
+    while left:
+        path, node, bare = left.pop()  # bare: no list is above
+        for key, value in (node.items() if isinstance(node, dict) else [(str(k), v) for k, v in enumerate(node)]):
+            if key.startswith("$"):
+                continue
+            here = f"{path}.{key}" if path else key
+            if isinstance(value, dict) and "$value" in value:
+                valued.append((here, _text(value["$value"])))
+                continue
+            if isinstance(value, dict | list):
+                left.append((here, value, bare and isinstance(value, dict)))
+            if bare and not isinstance(value, dict):
+                plain.append((here, _text(value)))
+    return valued or plain
+
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [leaves(x) for x in batch.column("json").to_pylist()]
+        ids = batch.column("id").take(pa.array([k for k, x in enumerate(found) for _ in x], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array([pair[n] and pair[n].encode("utf-8", "replace").decode() for x in found for pair in x], pa.string()) for n in (0, 1))], names=["id", "path", "value"])
+
+
+def flat_tokens(documents: DataFrame) -> DataFrame:
+    """Paths and texts of the tokens of JSON documents (id, json), however deep: an object with $value gives that value, other keys with $ in front are left out.
+
+    A document without any $value gives its plain leaves. Null and broken documents give no row.
+    """
+    rows = documents.select("id", F.col("json").cast("string").alias("json"))
+    return rows.mapInArrow(_flatten, S.StructType([rows.schema["id"], S.StructField("path", S.StringType()), S.StructField("value", S.StringType())]))

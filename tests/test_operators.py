@@ -80,6 +80,17 @@ def test_references_of_any_length(spark):
     assert got == {f"t{k}": ("1px", 40 - k) for k in range(41)} | {k: (None, None) for k, _ in lost}
 
 
+def test_flat_tokens(spark):
+    from swatchwork.operators import tokens
+
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"$value":1.50}}}}}}}'
+    rows = [(1, '{"color":{"$type":"color","red":{"$value":"#f00","$type":"x"},"link":{"$value":"{color.red}"}},"note":"n"}'), (2, deep), (3, '{"p":{"q":{"r":{"s":{"t":{"u":"v"}}}}},"w":"{p.q}","$x":1,"z":null,"l":[1,2]}')]
+    rows += [(4, '{"s":{"$value":{"x":1,"y":["é",true]}},"l":[{"$value":2}]}'), (5, None), (6, "no"), (7, "{}"), (8, '{"k":"\\ud800"}')]
+    got = tokens.flat_tokens(spark.createDataFrame(rows, "id long, json string")).collect()
+    want = {(1, "color.red", "#f00"), (1, "color.link", "{color.red}"), (2, "a.b.c.d.e.f", "1.50"), (3, "p.q.r.s.t.u", "v"), (3, "w", "{p.q}"), (3, "z", None), (3, "l", "[1,2]"), (4, "s", '{"x":1,"y":["é",true]}'), (4, "l.0", "2"), (8, "k", "?")}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_consistency_of_one_page_is_unknown(spark):
     rows = spark.createDataFrame([("s", 1, "v", 3)], "site string, page long, value string, uses int")
     assert compare.consistency(compare.coverage(rows)).first()["consistency"] is None
