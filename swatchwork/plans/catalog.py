@@ -220,7 +220,7 @@ def _route_tokens(e: DataFrame, value: str = "radius") -> DataFrame:
 _ROUTE_SQL = """rt AS (SELECT route, token, value FROM (SELECT page_id AS route, tag || '-' || font_weight AS token, radius AS value, row_number() OVER (PARTITION BY page_id, tag || '-' || font_weight ORDER BY count(*) DESC, radius) AS k FROM elements GROUP BY 1, 2, 3) WHERE k = 1)"""
 on_elements("route_reconcile", f""", {_ROUTE_SQL}, r4 AS (SELECT * FROM rt WHERE route % 24 = 0)
   SELECT token, count(DISTINCT route) AS routes, count(DISTINCT value) AS values, CASE WHEN count(DISTINCT value) = 1 AND count(DISTINCT route) = (SELECT count(DISTINCT route) FROM r4) THEN 'shared' WHEN count(DISTINCT route) = 1 THEN 'added' ELSE 'changed' END AS status
-  FROM r4 GROUP BY token""")(lambda e: compare.reconcile_routes(_route_tokens(e).where("route % 24 = 0")))
+  FROM r4 GROUP BY token""")(lambda e: compare.reconcile_routes(_route_tokens(e)))
 on_elements("profile_diff", f""", {_ROUTE_SQL}, a AS (SELECT route || '/' || token AS key, value FROM rt WHERE route % 3 <> 1), b AS (SELECT (route % 50) || '/' || token AS key, min(value) AS value FROM rt WHERE route % 3 <> 0 GROUP BY 1)
   SELECT coalesce(a.key, b.key) AS key, a.value AS a_value, b.value AS b_value, CASE WHEN b.key IS NULL THEN 'only-a' WHEN a.key IS NULL THEN 'only-b' WHEN a.value = b.value THEN 'shared' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.key = b.key""")(
     lambda e: compare.difference(

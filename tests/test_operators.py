@@ -91,6 +91,18 @@ def test_flat_tokens(spark):
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
+def test_route_reconcile_takes_all_routes(spark, duck):
+    from conftest import DATA, rows
+
+    from swatchwork.operators import compare
+    from swatchwork.plans import catalog
+
+    want = duck.sql(catalog.SQL["route_reconcile"].replace(" WHERE route % 24 = 0", "")).df()
+    assert rows(catalog.QUERIES["route_reconcile"](spark, DATA).toPandas()) == rows(want)
+    tokens = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x"), (2, "b", "y"), (1, "c", "x"), (3, "c", "z")], "route int, token string, value string")
+    assert {(r.token, r.routes, r.values, r.status) for r in compare.reconcile_routes(tokens).collect()} == {("a", 3, 1, "shared"), ("b", 1, 1, "added"), ("c", 2, 2, "changed")}
+
+
 def test_consistency_of_one_page_is_unknown(spark):
     rows = spark.createDataFrame([("s", 1, "v", 3)], "site string, page long, value string, uses int")
     assert compare.consistency(compare.coverage(rows)).first()["consistency"] is None
