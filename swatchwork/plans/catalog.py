@@ -252,7 +252,7 @@ def system_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- vectors -----------------------------------------------------------------------------------------------------------
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.transform(F.col("embedding").cast("array<double>"), lambda x: vectors.normalise(x, -1.0, 1.0))
-    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.slice(unit, 1, 30).alias("vector"))
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", unit.alias("vector"))
 
 
 _VEC = "vec AS (SELECT vec_id AS id, list_transform(embedding[1:30], lambda x: least(greatest((x::DOUBLE + 1) / 2, 0.0), 1.0)) AS vector FROM embeddings)"

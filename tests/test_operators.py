@@ -103,6 +103,18 @@ def test_route_reconcile_takes_all_routes(spark, duck):
     assert {(r.token, r.routes, r.values, r.status) for r in compare.reconcile_routes(tokens).collect()} == {("a", 3, 1, "shared"), ("b", 1, 1, "added"), ("c", 2, 2, "changed")}
 
 
+@pytest.mark.parametrize("name", ["vector_knn", "vector_outliers", "vector_percentiles"])
+def test_vectors_are_whole(spark, duck, name):
+    from conftest import DATA, rows
+
+    from swatchwork.plans import catalog
+
+    size = int(duck.sql("SELECT max(len(embedding)) AS n FROM embeddings").df()["n"][0])
+    sql = catalog.SQL[name].replace("embedding[1:30]", "embedding").replace("generate_series(1, 30)", f"generate_series(1, {size})").replace("x + y) / 30", f"x + y) / {size}")
+    assert size > 30
+    assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(sql).df())
+
+
 def test_consistency_of_one_page_is_unknown(spark):
     rows = spark.createDataFrame([("s", 1, "v", 3)], "site string, page long, value string, uses int")
     assert compare.consistency(compare.coverage(rows)).first()["consistency"] is None
