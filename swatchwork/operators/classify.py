@@ -61,11 +61,15 @@ def tag_histogram(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", tags.alias("tag")).groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count("*").alias("uses"))
 
 
+def all_links(pages: DataFrame) -> DataFrame:
+    """Distinct link targets of each page, with the place at which they first stand."""
+    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(visible(F.col("html")), F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)).alias("ord", "href"))
+    return rows.groupBy("page_id", "url", "href").agg(F.min("ord").alias("ord"))
+
+
 def page_links(pages: DataFrame, n: int = 60) -> DataFrame:
     """Distinct link targets of each page in the order in which they first stand, n at most."""
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(visible(F.col("html")), F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)).alias("ord", "href"))
-    rows = rows.groupBy("page_id", "url", "href").agg(F.min("ord").alias("ord"))
-    return top(rows, ["page_id"], n, F.asc("ord")).select("page_id", "url", "rank", "href")
+    return top(all_links(pages), ["page_id"], n, F.asc("ord")).select("page_id", "url", "rank", "href")
 
 
 def internal_links(links: DataFrame) -> DataFrame:

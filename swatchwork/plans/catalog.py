@@ -183,7 +183,7 @@ _COVER = f"""{_SITE}, n AS (SELECT site, count(DISTINCT page) AS total FROM site
 
 
 def _site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = classify.page_links(_table(spark, sf_dir, "pages"))
+    links = classify.all_links(_table(spark, sf_dir, "pages"))
     return links.select(T.host(F.col("url")).alias("site"), F.col("page_id").alias("page"), F.col("href").alias("value"), F.lit(1).alias("uses"))
 
 

@@ -115,6 +115,17 @@ def test_vectors_are_whole(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(sql).df())
 
 
+def test_sites_count_all_links(spark, tmp_path):
+    from swatchwork.plans import catalog
+
+    html = "".join(f'<a href="/{k}">x</a>' for k in range(70))
+    spark.createDataFrame([(k, f"http://h.com/{k}", html + f'<a href="/own{k}">x</a>') for k in (1, 2)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    cover = catalog.QUERIES["site_coverage"](spark, str(tmp_path)).collect()
+    assert len(cover) == 72 and {r.value for r in cover if r.scope == "site-wide"} == {f"/{k}" for k in range(70)}
+    assert catalog.QUERIES["site_consistency"](spark, str(tmp_path)).first()["consistency"] == round(140 / 142, 4)
+    assert catalog.QUERIES["page_links"](spark, str(tmp_path)).count() == 120
+
+
 def test_consistency_of_one_page_is_unknown(spark):
     rows = spark.createDataFrame([("s", 1, "v", 3)], "site string, page long, value string, uses int")
     assert compare.consistency(compare.coverage(rows)).first()["consistency"] is None
