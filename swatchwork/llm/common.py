@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: reading tables, folds, checkpoints."""
+"""What the operators of this subpackage share: reading tables, folds, checkpoints, checked broadcasts."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words as the row contracts have them: runs without space and the control characters 0x09 to 0x0D.
 SPACES = r"[ \t-\r]+"
+#: Rows of a few numbers up to which a table is sent to all executors; larger ones are joined by a shuffle.
+SMALL_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; where the cluster names none, one of this machine, as in tests."""
+    """The checkpoint folder of the session. Where none is named, a local session gets one of its own; a cluster has to name one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -36,7 +44,12 @@ def kept_on_shared_storage(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the checkpoint folder and read again."""
+    """The rows, written as Parquet to the checkpoint folder and read again. The folder goes with the session's checkpoints."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for a broadcast if it has at most ``rows`` rows; Spark joins it by a shuffle otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,14 +1,21 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-A text's sketch is its k smallest shingle hashes. Inverted lists of the retained values tell how much of a sketch other
-sketches have too, and only texts with enough of it go on. For these, lists of the values of their sets in the order from
-rare to common are cut to a prefix: two linked sets share one of its values, by the pigeonhole principle. The sketch of
-a pair's union estimates the resemblance and drops pairs that are far off; the rest are compared on their full sets.
-
-Nothing grows with the square of a group. Texts with equal sets are one class. In a list, all members are first compared
-with a hub, the member whose values are the most common, and linked ones join one component. Pairs of a list that are
-still in different components are compared too, unless their overlaps with the hub rule a link out: what two sets share
-is at most what both share with the hub, and of their other values those that any other set has.
+A text's sketch is its k smallest shingle hashes. Texts with equal sets are one class, and one text stands for each.
+Inverted lists of the retained values say how many of a sketch's values other sketches hold; texts with too few of them
+are done. The others' values, from rare to common, are cut to a prefix: two sketches that overlap enough share one of
+its values, by the pigeonhole principle. The sketch of a pair's union estimates the resemblance and drops pairs that are
+far off; what is left is compared on full sets.
+
+Nothing grows with the square of a group. All members of a list are first compared with its hub, the member whose values
+are the most common, and linked ones join one component. Only lists with several components go on: a text of which too
+little is held by the texts that are left is done; two components meet only if what their members share with the hub,
+and what else they hold, leaves room for a link; and then so do two texts.
+
+Full sets are compared in a stream: the first text of a pair is read once for a bounded share of its partners, who pass
+by one after another, so that no row has two sets and no group is held in memory.
+
+With ``sketch=None`` every value is retained, and the same steps are exact. With k values, two texts with a resemblance
+of 0.8 have a chance of under one in ten million to share fewer than half of their values.
 """
 
 from __future__ import annotations
@@ -24,17 +31,16 @@ from swatchwork.llm import common, textbatch
 from swatchwork.llm.components import connected_components
 
 SKETCH = 64
-#: A linked pair of larger sets shares fewer values than this with a chance under one in a million (0.8 of 64 expected).
-SHARED = 32
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Values of a list that are carried along to name a pair once.
-NAMED = 32
+#: Partners for whom the first text of a pair is read once.
+PARTNERS = 256
 
 
 def _shingles(piece: textbatch.Piece, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted by row and hash, and their rows."""
     s, e, row = piece.cuts()
     word = textbatch.mixed(piece.hashes(s, e) + np.uint64(1))
+    del s, e
     key, at = textbatch.ngrams(word, row, words)
     key, owner = textbatch.mixed(key), row[at]
     count = np.bincount(row, minlength=piece.n)
@@ -55,123 +61,196 @@ def _shingles(piece: textbatch.Piece, words: int) -> tuple[np.ndarray, np.ndarra
     return key[first], owner[first]
 
 
-def _digest(words: int, whole: bool):
+def _digests(key: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """Two sums that stand for the set of each row."""
+    sums = (np.concatenate([[np.uint64(0)], np.cumsum(textbatch.mixed(key.view(np.uint64) + np.uint64(salt)))]) for salt in (3, 5))
+    return [(x[edge[1:]] - x[edge[:-1]]).view(np.int64) for x in sums]
+
+
+def _digest(words: int, sketch: int | None):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in textbatch.pieces(batch.column("text"), lower=True):
                 key, owner = _shingles(piece, words)
                 size = np.bincount(owner, minlength=piece.n)
                 edge = np.concatenate([[0], np.cumsum(size)])
-                out = [batch.column("doc_id").slice(piece.first, piece.n)]
-                names = ["doc_id"]
-                if not whole:
-                    sums = [np.concatenate([[np.uint64(0)], np.cumsum(textbatch.mixed(key.view(np.uint64) + np.uint64(salt)))]) for salt in (3, 5)]
-                    out += [pa.array(size.astype(np.int64)), *(pa.array((x[edge[1:]] - x[edge[:-1]]).view(np.int64)) for x in sums)]
-                    names += ["n_shingles", "set_a", "set_b"]
-                    inside = np.arange(len(key)) - edge[owner] < SKETCH
-                    key, edge = key[inside], np.concatenate([[0], np.cumsum(np.minimum(size, SKETCH))])
-                out.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(key)))
-                yield pa.RecordBatch.from_arrays(out, names=[*names, "hashes"])
+                sets = _digests(key, edge)
+                if sketch:
+                    key = key[np.arange(len(key)) - edge[owner] < sketch]
+                    edge = np.concatenate([[0], np.cumsum(np.minimum(size, sketch))])
+                lists = pa.LargeListArray.from_arrays(pa.array(edge), pa.array(key)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(piece.first, piece.n), pa.array(size.astype(np.int64)), *map(pa.array, sets), lists], names=["doc_id", "n_shingles", "key", "check", "sketch"])
 
     return digest
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(node): the texts of whose sketch other sketches have as much as a linked pair shares."""
-    needed = F.when(F.col("size") <= 51, F.ceil(F.col("size") * PERCENT / 100)).otherwise(SHARED)
-    values = classes.select("node", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1").select("value")
-    held = values.join(often, "value").groupBy("node").agg(F.count("*").alias("held"))
-    return held.join(classes.select("node", "size"), "node").where(F.col("held") >= needed).select("node")
+def _values(words: int):
+    """(key, value): all shingles of the texts, a row each."""
 
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = batch.column("key").to_numpy()
+            for piece in textbatch.pieces(batch.column("text"), lower=True):
+                value, owner = _shingles(piece, words)
+                key = _digests(value, np.searchsorted(owner, np.arange(piece.n + 1)))[0]
+                mine = (key == want[piece.first : piece.first + piece.n])[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(key[owner[mine]]), pa.array(value[mine])], names=["key", "value"])
 
-def _lists(sets: DataFrame) -> DataFrame:
-    """(node, size, held, rank, prefix): how many values of each set others have, how common these are, and the prefix."""
-    values = sets.select("node", F.explode("hashes").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1")
-    rows = values.join(often, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("texts", "value"))).alias("lists"))
-    rows = rows.join(sets.select("node", F.size("hashes").alias("size")), "node")
-    cut = F.size("lists") - F.ceil(F.col("size") * PERCENT / 100).cast("int") + 1
-    rank = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["texts"]) / F.col("size")
-    rows = rows.select("node", "size", F.size("lists").alias("held"), rank.alias("rank"), "lists", cut.alias("cut")).where("cut > 0")
-    return rows.select("node", "size", "held", "rank", F.transform(F.slice("lists", 1, F.col("cut")), lambda x: x["value"]).alias("prefix"))
+    return values
 
 
-def _linked(size_a: Column, size_b: Column, shared: Column) -> Column:
+def _overlaps(words: int):
+    """From rows sorted by (b, part), b's own text first: what every other text shares with it."""
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, np.zeros(0, np.int64)
+        for batch in batches:
+            b, part, key, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "part", "key", "member"))
+            for piece in textbatch.pieces(batch.column("text"), lower=True):
+                value, owner = _shingles(piece, words)
+                edge = np.searchsorted(owner, np.arange(piece.n + 1))
+                own = _digests(value, edge)[0]
+                out = []
+                for k in range(piece.n):
+                    at, mine = piece.first + k, value[edge[k] : edge[k + 1]]
+                    if own[k] != key[at]:  # another text of the same id
+                        continue
+                    if not member[at]:
+                        now, hub = (b[at], part[at]), mine.copy()
+                    elif now == (b[at], part[at]):
+                        place = np.minimum(np.searchsorted(hub, mine), len(hub) - 1)
+                        out.append((key[at], b[at], len(mine), len(hub), int((hub[place] == mine).sum())))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "size_a", "size_b", "shared"])
+
+    return overlaps
+
+
+def _possible(size_a: Column, size_b: Column, shared: Column) -> Column:
+    """Whether so many shared shingles are enough for a link."""
     return 100 * shared >= PERCENT * (size_a + size_b - shared)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, estimate: bool) -> DataFrame:
-    """Pairs (a, b) with what their full sets share; with ``estimate``, without those that their union sketch tells far apart."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    if estimate:
-        cut = lambda c: F.slice(c, 1, SKETCH)
-        union = cut(F.array_sort(F.array_union(cut("x"), cut("y"))))
-        shared = F.size(F.array_intersect(union, F.array_intersect(cut("x"), cut("y"))))
-        both = both.where((F.size(union) < SKETCH) | (shared >= SHARED))
-    return both.select("a", "b", F.size("x").alias("size_a"), F.size("y").alias("size_b"), F.size(F.array_intersect("x", "y")).alias("shared"))
-
-
-def _links(classes: DataFrame, sets_of) -> DataFrame:
-    """Links (a, b) that hold each component together."""
-    sets = common.stored(sets_of(_candidates(classes)))
-    rows = common.stored(_lists(sets))
-    entries = rows.select("node", "rank", F.explode("prefix").alias("value"))
-    hubs = entries.groupBy("value").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = common.stored(hubs.select("value", (-F.col("hub.minus")).alias("hub")))
-    pairs = entries.join(hubs, "value").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    star = common.stored(_compared(pairs, sets, False))
-    links = star.where(_linked(F.col("size_a"), F.col("size_b"), F.col("shared"))).select("a", "b")
-    apart = _compared(_pairs_apart(rows, hubs, star, connected_components(links)), sets, True)
-    return links.union(apart.where(_linked(F.col("size_a"), F.col("size_b"), F.col("shared"))).select("a", "b"))
-
-
-def _pairs_apart(rows: DataFrame, hubs: DataFrame, star: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list's members in different components that the hub does not rule out."""
-    named = F.slice("prefix", 1, NAMED).alias("named")
-    placed = rows.join(parts, "node", "left").select("node", "size", "held", named, F.coalesce("component", "node").alias("part"), F.explode("prefix").alias("value"))
-    # lists with more than one component
-    split = placed.groupBy("value").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("value")
-    hubs = hubs.join(split, "value", "left_semi")
-    placed = placed.join(hubs, "value").where("node != hub")
-    placed = placed.join(star.select(F.col("a").alias("node"), F.col("b").alias("hub"), "shared"), ["node", "hub"]).drop("hub")
-    one = common.stored(placed.select("value", "node", "size", "part", "named", "shared", (F.col("held") - F.col("shared")).alias("own")))
-    other = one.select(*(F.col(c).alias(f"b_{c}") for c in ("value", "node", "size", "part", "named", "shared", "own")))
+class _Texts:
+    """The texts, and the class keys of those that stand for a class."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, words: int):
+        self.texts, self.classes, self.words = texts, classes, words
+        self.nodes = classes.select("key", "node")
+
+    def _with_text(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` (key, ...) with the text of each key; only texts that are asked for move."""
+        rows = common.small(common.stored(rows.join(self.nodes, "key")))
+        return self.texts.join(rows, F.col("doc_id") == F.col("node")).select(*columns, "text")
+
+    def values(self, keys: DataFrame) -> DataFrame:
+        return self._with_text(keys, "key").mapInArrow(_values(self.words), "key long, value long")
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, size_a, size_b, shared) of the full sets of each pair (a, b)."""
+        groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        members = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("key"), F.lit(True).alias("member"))
+        hubs = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("key"), F.lit(False).alias("member"))
+        rows = self._with_text(members.unionByName(hubs), "b", "part", "key", "member").repartition("b", "part").sortWithinPartitions("b", "part", "member")
+        return common.stored(rows.mapInArrow(_overlaps(self.words), "a long, b long, size_a long, size_b long, shared long").distinct())
+
+
+def _listed(classes: DataFrame, sketch: int | None) -> DataFrame:
+    """(key, size, rank, prefix) of the texts of whose sketch others hold as much as a linked pair shares: the rarest of these values."""
+    values = classes.select("key", "size", F.explode("sketch").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1")
+    rows = values.join(often, "value").groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("texts", "value"))).alias("held"))
+    exact = F.ceil(F.col("size") * PERCENT / 100)  # a whole set, as the other one's is
+    needed = exact if sketch is None else F.when(F.col("size") * 100 <= sketch * PERCENT, exact).otherwise(sketch // 2)
+    cut = (F.size("held") - needed + 1).cast("int")
+    rank = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x["texts"])
+    rows = rows.select("key", "size", rank.alias("rank"), "held", cut.alias("cut")).where("cut > 0")
+    return rows.select("key", "size", "rank", F.transform(F.slice("held", 1, F.col("cut")), lambda x: x["value"]).alias("prefix"))
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, sketch: int | None) -> DataFrame:
+    """The pairs (a, b) whose sizes and whose union's sketch allow for a link."""
+    side = lambda name, x, size: classes.select(F.col("key").alias(name), F.col("sketch").alias(x), F.col("size").alias(size))
+    both = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
+    union = F.array_sort(F.array_union("x", "y"))
+    if sketch is None:
+        return both.where(_possible(F.col("n"), F.col("m"), F.size(F.array_intersect("x", "y")))).select("a", "b")
+    union = F.slice(union, 1, sketch)
+    shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
+    return both.where((F.size(union) < sketch) | (shared >= sketch // 2)).select("a", "b")
+
+
+def _split(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """``entries`` (key, value, ...) of the lists that have members of more than one component, with ``part``."""
+    placed = entries.join(parts.select(F.col("node").alias("key"), F.col("component")), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+    several = placed.groupBy("value").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("value")
+    return placed.join(several, "value", "left_semi")
+
+
+def _apart(rows: DataFrame, hubs: DataFrame, known: DataFrame, parts: DataFrame, texts: _Texts) -> DataFrame:
+    """Pairs (a, b) of a list's members in different components that may be linked. ``known``: what pairs with hubs share."""
+    entries = common.stored(_split(rows.select("key", "size", "prefix", F.explode("prefix").alias("value")).join(hubs, "value"), parts))
+    left = entries.select("key").distinct()
+    # how much of each set the others that are left hold at all
+    values = common.stored(texts.values(left))
+    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1").select("value")
+    held = values.join(often, "value", "left_semi").groupBy("key").agg(F.count("*").alias("held"))
+    entries = entries.join(held, "key").where(100 * F.col("held") >= PERCENT * F.col("size"))
+    entries = common.stored(_split(entries.drop("part"), parts).where("key != hub"))
+    with_hub = entries.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    shared = known.unionByName(texts.overlaps(with_hub.join(known, ["a", "b"], "left_anti"))).select(F.col("a").alias("key"), F.col("b").alias("hub"), "shared")
+    one = common.stored(entries.join(shared, ["key", "hub"]).select("value", "key", "part", "size", "prefix", "shared", (F.col("held") - F.col("shared")).alias("own")))
+    # components of a list first, by their bounds; then their members
+    groups = one.groupBy("value", "part").agg(F.min("size").alias("size"), F.max("shared").alias("shared"), F.max("own").alias("own"))
+    other = lambda df: df.select(*(F.col(c).alias(f"b_{c}") for c in df.columns))
     most = F.least("shared", "b_shared") + F.least("own", "b_own")
-    first = F.get(F.array_intersect("named", "b_named"), F.lit(0))
-    once = first.isNull() | (first == F.col("value"))
-    apart = (F.col("node") < F.col("b_node")) & (F.col("part") != F.col("b_part"))
-    met = one.join(other, (F.col("value") == F.col("b_value")) & apart & _linked(F.col("size"), F.col("b_size"), most) & once)
-    return met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+    room = _possible(F.col("size"), F.col("b_size"), most)
+    met = groups.join(other(groups), (F.col("value") == F.col("b_value")) & (F.col("part") < F.col("b_part")) & room).select("value", "part", "b_part")
+    left_side = met.join(one, ["value", "part"])
+    first = F.get(F.array_intersect("prefix", "b_prefix"), F.lit(0)) == F.col("value")  # a pair of many lists is named once
+    pairs = left_side.join(other(one).withColumnRenamed("b_value", "value"), ["value", "b_part"]).where(room & first)
+    return pairs.select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+def _links(classes: DataFrame, texts: _Texts, sketch: int | None) -> DataFrame:
+    """Links (a, b) between class keys that hold each component together."""
+    rows = common.stored(_listed(classes, sketch))
+    entries = rows.select("key", "rank", F.explode("prefix").alias("value"))
+    hubs = entries.groupBy("value").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = common.stored(hubs.select("value", F.col("hub.key").alias("hub")))
+    star = entries.join(hubs, "value").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    linked = _possible(F.col("size_a"), F.col("size_b"), F.col("shared"))
+    near = texts.overlaps(common.stored(_estimated(star, classes, sketch)))
+    links = near.where(linked).select("a", "b")
+    pairs = _apart(rows, hubs, near, connected_components(links), texts)
+    return links.union(texts.overlaps(common.stored(_estimated(pairs, classes, sketch))).where(linked).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, sketch: int | None = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text; others are not looked at).
 
     Words are lower-cased in A-Z; a text of fewer than ``words`` words is one shingle. Null and empty texts, and texts
     without a word, have 0 shingles, are linked with nothing and kept. Whole texts of any length count. Rows with one
     doc_id count as one document; exact copies share a component. A null doc_id is linked with nothing, has a null
-    component_id and is kept. An empty table gives an empty table.
+    component_id and is kept. An empty table gives an empty table. ``sketch`` is the number of retained values, or None
+    for all of them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = texts.mapInArrow(_digest(words, False), "doc_id long, n_shingles long, set_a long, set_b long, hashes array<long>")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = digests.where(linked).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("hashes").alias("sketch"))
+    digests = common.stored(texts.mapInArrow(_digest(words, sketch), "doc_id long, n_shingles long, key long, check long, sketch array<long>"))
+    full = digests.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    classes = full.groupBy("key", "check").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     classes = common.stored(classes)
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = texts.join(nodes.distinct().withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        return wanted.mapInArrow(_digest(words, True), "doc_id long, hashes array<long>").withColumnRenamed("doc_id", "node")
-
-    links = _links(classes, sets_of)
+    links = _links(classes, _Texts(texts, classes, words), sketch)
     # an id with several texts joins their classes
-    ids = digests.where(linked).join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node")
-    parts = connected_components(links.union(ids.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
-    found = parts.select(F.col("node").alias("doc_id"), "component")
-    out = digests.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    several = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc_id", "a")
+    links = links.union(full.join(several, "doc_id").select("a", F.col("key").alias("b")))
+    parts = classes.select("key", "node", "copies").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
+    # classes of one text that nothing is linked with need no look-up
+    parts = common.stored(parts.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "key")))
+    least = parts.groupBy("component").agg(F.min("node").alias("component_id"))
+    found = parts.select("key", "component").join(least, "component").select("key", F.col("component_id").alias("found"))
+    out = digests.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
