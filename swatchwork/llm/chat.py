@@ -33,6 +33,11 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _in_line(text: Column) -> Column:
+    """Escaped, with line feeds too, as roles and types stand in a line with control strings."""
+    return F.replace(escape(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit("&#10;"))
+
+
 def _tokens(p: Column) -> Column:
     side = lambda c: F.ceil(F.greatest(F.coalesce(p[c], F.lit(0)), F.lit(0)) / IMAGE_PATCH)
     return (
@@ -52,7 +57,7 @@ def _visit(parts: Column) -> Column:
     """One string for the parts of a turn: escaped texts, and <|kind_n|> for the n-th attachment of the turn."""
     kinds = F.transform(parts, lambda p: F.when(_is_text(p), F.lit(0)).otherwise(1))
     number = lambda i: F.aggregate(F.slice(kinds, 1, i + 1), F.lit(0), lambda a, x: a + x)
-    placeholder = lambda p, i: F.concat(F.lit("<|"), F.coalesce(p["type"], F.lit("")), F.lit("_"), number(i).cast("string"), F.lit("|>"))
+    placeholder = lambda p, i: F.concat(F.lit("<|"), _in_line(p["type"]), F.lit("_"), number(i).cast("string"), F.lit("|>"))
     return F.array_join(F.transform(parts, lambda p, i: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder(p, i))), "")
 
 
@@ -60,18 +65,19 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens), a row for each conversation of ``turns``.
 
     ``turns`` has conv_id, turn, role, and content (an array of PART) or text; with both, the content goes first and a
-    text after it. Turns stand in the order of turn, then role, then text; null turns first. Null roles and texts count
+    text after it. Turns stand in the order of turn, then role, then parts; null turns first. Null roles and texts count
     as empty; repeated turns all stay. A part of another type than text, image, audio and document becomes a placeholder
-    of no tokens. ``attachments`` has (turn_index, number, type, ref, tokens) in order. Null conv_ids make one
+    of no tokens; its type is escaped as roles are. ``attachments`` has (turn_index, number, type, ref, tokens) in order. Null conv_ids make one
     conversation. No turns, no rows; other columns are not looked at.
     """
     text_part = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))).cast(PART)
     own = F.array(text_part(F.coalesce(F.col("text").cast("string"), F.lit("")))) if "text" in turns.columns else F.array().cast(f"array<{PART}>")
     given = F.coalesce(F.col("content").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")) if "content" in turns.columns else F.array().cast(f"array<{PART}>")
-    role = F.replace(escape(F.coalesce(F.col("role").cast("string"), F.lit(""))), F.lit("\n"), F.lit("&#10;"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.filter(F.concat(given, own), lambda p: p.isNotNull()).alias("parts"))
-    rows = rows.select("conv_id", "turn", "role", _visit(F.col("parts")).alias("body"), F.filter(F.col("parts"), lambda p: ~_is_text(p)).alias("other"))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "other"))).alias("turns"))
+    parts = F.filter(F.concat(given, own), lambda p: p.isNotNull())
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
+    told = lambda t: F.struct(_in_line(t["role"]).alias("role"), _visit(t["parts"]).alias("body"), F.filter(t["parts"], lambda p: ~_is_text(p)).alias("other"))
+    chats = chats.select("conv_id", F.transform("turns", told).alias("turns"))
     head = lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit("\n"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["body"], F.lit(END))), "")
     # where each body begins and ends: running lengths over the turns

@@ -8,8 +8,11 @@ put together from texts of known language. Prediction is forward-backward over t
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,14 +22,13 @@ from pyspark.sql import functions as F
 
 from swatchwork.llm import common, textbatch
 
-#: Bounds of the training sample: texts of each language, and words taken from one text.
-SAMPLE_TEXTS, SAMPLE_WORDS = 300, 150
+#: Bounds of the training sample: languages, texts of each, words taken from one text, runs in which they stand, and bytes of a word.
+LANGUAGES, SAMPLE_TEXTS, SAMPLE_WORDS, RUNS, WORD_BYTES = 500, 300, 150, 5, 64
 FEATURE_BITS, SEQUENCE, EPOCHS, BATCH, RATE, DECAY = 15, 32, 6, 48, 0.25, 1e-5
 LEXICON_LEAST = 3
 UNKNOWN = "und"
-#: Bytes that can be a part of a letter: A-Z, a-z, and everything that is not ASCII.
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _AFFIX, _GRAM = (1, 2, 3), (2, 3, 4)
 
 
@@ -41,10 +43,27 @@ class Model:
     lexicon_weight: np.ndarray  # labels x labels
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters by their Unicode class."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+
+
+def _in_letter(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are part of a letter."""
+    if not len(data) or data.max() < 128:
+        return _ASCII_LETTER[data]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begin = (data & 0xC0) != 0x80
+    if len(points) != begin.sum():  # broken UTF-8: what is not ASCII counts as letters
+        return _ASCII_LETTER[data] | (data >= 128)
+    return _letters()[points][np.cumsum(begin) - 1]
+
+
 def _words(piece: textbatch.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with a letter: first letter to last letter of every word, so that marks at the edges say nothing."""
     s, e, row = piece.cuts()
-    letter = _LETTER[piece.data]
+    letter = _in_letter(piece.data)
     at = np.flatnonzero(letter)
     if not len(at):
         return s[:0], e[:0], row[:0]
@@ -147,8 +166,6 @@ def train(texts: pd.DataFrame) -> Model:
         return none
     piece = next(textbatch.pieces(pa.array(texts["text"].tolist(), pa.string()), True, 1 << 40))
     s, e, row = _words(piece)
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < SAMPLE_WORDS
-    s, e, row = s[keep], e[keep], row[keep]
     if not len(s):
         return none
     truth = texts["lang"].map(index).to_numpy()[row]
@@ -250,51 +267,87 @@ def _pairs(emission: np.ndarray, chain: np.ndarray, model: Model) -> np.ndarray:
     return out / np.maximum(out.sum((1, 2), keepdims=True), 1e-300)
 
 
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most SAMPLE_WORDS words of each text, in RUNS runs from places all over it that a hash of the text chooses."""
+    for batch in batches:
+        out = []
+        for piece in textbatch.pieces(batch.column("text"), lower=True):
+            s, e, row = _words(piece)
+            edge = np.searchsorted(row, np.arange(piece.n + 1))
+            name = textbatch.mixed(piece.hashes(piece.starts[:-1], piece.starts[1:]))
+            size = SAMPLE_WORDS // RUNS
+            for k in range(piece.n):
+                words = edge[k + 1] - edge[k]
+                at = np.arange(words)
+                if words > SAMPLE_WORDS:
+                    part = words // RUNS
+                    shift = (textbatch.mixed(name[k] + np.arange(RUNS, dtype=np.uint64)) % np.uint64(part - size + 1)).astype(np.int64)
+                    at = (np.arange(RUNS) * part + shift)[:, None] + np.arange(size)
+                at = at.ravel() + edge[k]
+                out.append(b" ".join(piece.data[s[i] : e[i]].tobytes() for i in at if e[i] - s[i] <= WORD_BYTES).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "h")), pa.array(out, pa.string())], names=["doc_id", "lang", "h", "text"])
+
+
 def training_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> pd.DataFrame:
-    """At most about ``texts`` rows of each language, by the smallest hashes of their ids, cut to what training reads."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    # a bound on the hash lets through about twice as many rows of each language as are kept: one pass, and no sort of them all
+    """Excerpts of at most ``texts`` documents of each language, by the smallest hashes of their ids."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.withColumn("h", F.xxhash64("doc_id"))
+    # a bound on the hash lets through about twice as many documents of each language as are kept: one pass, and no sort of them all
     share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.count("*"))
-    bounds = known.groupBy("lang").agg(share.alias("share"))  # a row for each language
+    bounds = known.groupBy("lang").agg(F.count("*").alias("n"), share.alias("share")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", "share")
     place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    cut = F.substring("text", 1, SAMPLE_WORDS * 16).alias("text")
-    picked = known.join(F.broadcast(bounds), "lang").where(place <= F.col("share")).select("doc_id", cut, "lang", F.shiftrightunsigned("h", 1).alias("h"))
-    rows = picked.toPandas().sort_values(["lang", "h", "doc_id", "text"], ignore_index=True)
-    return rows.groupby("lang").head(texts)[["text", "lang"]].reset_index(drop=True)
+    picked = known.join(F.broadcast(bounds), "lang").where(place <= F.col("share")).select("doc_id", "lang", F.shiftrightunsigned("h", 1).alias("h"), "text")
+    picked = picked.mapInArrow(_excerpts, "doc_id long, lang string, h long, text string")
+    rows = picked.groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text")).toPandas()  # a repeated id counts once
+    return rows.sort_values(["lang", "h", "doc_id"], ignore_index=True).groupby("lang").head(texts)[["text", "lang"]].reset_index(drop=True)
 
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, mixture map<string,double>"
+SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, mixture map<string,double>, spans array<struct<begin:int,end:int,lang:string>>"
+_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
-def _judged(piece: textbatch.Piece, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: each language's share of the mass, the best one's number (that after the last: none), its share, and the words."""
+def _judged(piece: textbatch.Piece, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: each language's share of the mass, the best one's number (that after the last: none), its share, and the words; for each word its row and label."""
     s, e, row = _words(piece)
+    label = np.zeros(len(row), np.int64)
     share, best, score = np.zeros((piece.n, len(model.labels))), np.full(piece.n, len(model.labels)), np.zeros(piece.n)
     words = np.bincount(row, minlength=piece.n)
     if len(model.labels) and len(s):
         _, first, back = np.unique(piece.hashes(s, e), return_index=True, return_inverse=True)
         p = posteriors(_emissions(piece, s[first], e[first], model)[back], row, model)
-        some = words > 0
+        some, label = words > 0, p.argmax(1)
         for k in range(len(model.labels)):
             share[:, k] = np.bincount(row, p[:, k], piece.n)
         share[some] /= words[some, None]
         best[some], score[some] = share[some].argmax(1), np.minimum(share[some].max(1), 1.0)
-    return share, best, score, words
+    return share, best, score, words, row, label
+
+
+def _runs(row: np.ndarray, label: np.ndarray, words: np.ndarray, names: list[str]) -> pa.Array:
+    """For each text the runs of words with one label: (begin, end, lang), counting the text's words with a letter from 0."""
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (label[1:] != label[:-1])
+    first = np.flatnonzero(fresh) if names else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(row)) if len(first) else first
+    zero = (np.cumsum(words) - words)[row[first]]
+    runs = pa.StructArray.from_arrays([pa.array((first - zero).astype(np.int32)), pa.array((last - zero).astype(np.int32)), pa.array(np.array([*names, ""], object)[label[first]].tolist(), pa.string())], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(words) + 1)).astype(np.int32)), runs)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, held_out, text): the language with most posterior mass over all words.
 
-    ``score`` is its share of the mass, ``mixture`` has the shares of all languages. A null text, and one without a
-    letter, is ``und`` with score 0; so is every text if the model has learned no language. Ties go to the language
-    that comes first. Whole texts are read; repeated rows give repeated results; an empty table gives an empty table.
+    ``score`` is its share of the mass, ``mixture`` has the shares of all languages, ``spans`` the runs of words that are
+    most likely of one language. A null text, and one without a letter (by Unicode class), is ``und`` with score 0; so is
+    every text if the model has learned no language. Ties go to the language that comes first. Whole texts of any length
+    are read, other columns are not looked at; repeated rows give repeated results; an empty table gives an empty table.
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
             for piece in textbatch.pieces(batch.column("text"), lower=True):
-                share, best, score, words = _judged(piece, model)
+                share, best, score, words, row, own = _judged(piece, model)
                 part = batch.slice(piece.first, piece.n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -304,21 +357,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                         pa.array(score),
                         pa.array(words.astype(np.int64)),
                         pa.array([list(zip(model.labels, r, strict=True)) for r in share.tolist()], pa.map_(pa.string(), pa.float64())),
+                        _runs(row, own, words, model.labels),
                     ],
-                    names=["doc_id", "held_out", "lang_pred", "score", "n_words", "mixture"],
+                    names=["doc_id", "held_out", "lang_pred", "score", "n_words", "mixture", "spans"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(label, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more; odd rows as in ``identify``."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_judged(piece, model) for piece in textbatch.pieces(batch.column("text"), lower=True)]
             if found:
-                yield batch.filter(pa.array(np.concatenate([(best < len(model.labels)) & (score >= least) for _, best, score, _ in found])))
+                yield batch.filter(pa.array(np.concatenate([(best < len(model.labels)) & (score >= least) for _, best, score, *_ in found])))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -335,4 +389,4 @@ def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(common.table(spark, sf_dir, "documents"))
+    return language_id(common.table(spark, sf_dir, "documents")).drop("spans")

@@ -10,6 +10,8 @@ Templates are a small fixed table, so the join of all the corpus's word pairs ne
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -46,6 +48,55 @@ TEXTS = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
+#: Whole license texts and headers, by name and label.
+WHOLE = {
+    ("MIT", "mit"): """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+        in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ("BSD-2-Clause", "bsd"): """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+        USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ("BSD-3-Clause, third", "bsd"): """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.""",
+    ("ISC", "isc"): """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
+        this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    ("Zlib", "zlib"): """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    ("Apache-2.0 header", "apache"): """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License.""",
+    ("GPL header", "gpl"): """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy
+        of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ("MPL-2.0 header", "mpl"): """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+        obtain one at https://mozilla.org/MPL/2.0/.""",
+    ("Unlicense", "unlicense"): """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws,
+        the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law.""",
+    ("BSL-1.0", "boost"): """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+        license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+        third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above
+        license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,
+        unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+}
 #: Word pairs of two such words stand in any text and cast no vote for longer texts.
 PLAIN = set("a above all an and any are as at be by for free in is it may of on or shall that the this to under use with without you".split())
 COVERAGE, STRETCH, NEIGHBOURS = 0.6, 1.6, 4
@@ -56,11 +107,12 @@ _STOP = " "
 def templates(spark: SparkSession) -> DataFrame:
     """(kind, template, label, pairs, words, place, first, second): a row for each voting word pair of each template; bounded by the tables above."""
     rows = []
-    for kind, table in (("base", PHRASES), ("phrase", MORE_PHRASES), ("text", TEXTS)):
-        for text, label in table.items():
-            words = text.split()
-            pairs = [(k, a, b) for k, (a, b) in enumerate(zip(words, words[1:], strict=False)) if kind != "text" or not {a, b} <= PLAIN]
-            rows += [f"('{kind}', '{text}', '{label}', {len(pairs)}, {len(words)}, {k}, '{a}', '{b}')" for k, a, b in pairs]
+    given = [(kind, text, label, text) for kind, table in (("base", PHRASES), ("phrase", MORE_PHRASES), ("text", TEXTS)) for text, label in table.items()]
+    given += [("text", name, label, text) for (name, label), text in WHOLE.items()]
+    for kind, name, label, text in given:
+        words = [w for w in re.split(_WORD_BREAK, text.lower()) if w]
+        pairs = [(k, a, b) for k, (a, b) in enumerate(zip(words, words[1:], strict=False)) if kind != "text" or not {a, b} <= PLAIN]
+        rows += [f"('{kind}', '{name}', '{label}', {len(pairs)}, {len(words)}, {k}, '{a}', '{b}')" for k, a, b in pairs]
     rows.append(f"('end', '', '', 1, 0, 0, '{_STOP}', '{_STOP}')")
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(kind, template, label, pairs, words, place, first, second)")
 
@@ -75,7 +127,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     not looked at; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), _WORD_BREAK), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _WORD_BREAK), "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(words, F.array(F.lit(_STOP), F.lit(_STOP))).alias("w"))
     pairs = rows.select("doc_id", "row", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("at", "pair"))
     pairs = pairs.select("doc_id", "row", "at", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), F.xxhash64("pair.a", "pair.b").alias("h"))

@@ -2,9 +2,10 @@
 
 The scorer sees how a text is written, not what it says: shares of letters, capitals, digits and marks, of words that
 repeat the one before, of distinct words, and the shapes of its words (runs of one kind of character become one). It is
-fitted to texts that are trusted to be good and to unlabelled texts of the corpus, in which good ones are taken to have
-the share that the labels give. The risk of the negative class, which only the unlabelled texts can tell, is kept from
-falling below zero. A logistic curve over labelled texts then turns the scorer's value into a probability.
+fitted to texts that are trusted to be good and to unlabelled texts of the corpus. The risk of the negative class, which
+only the unlabelled texts can tell, is kept from falling below zero. Labels of bad texts serve for two numbers only: the
+share of good ones among all labels estimates the class prior, and a logistic curve over labelled texts turns the scorer's
+value into a probability.
 """
 
 from __future__ import annotations
@@ -124,13 +125,14 @@ def fit(good: np.ndarray, web: np.ndarray, prior: float, known: np.ndarray, qual
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): at most LABELLED and UNLABELLED texts, by the smallest hashes of their ids."""
-    first = lambda df, n: df.orderBy("h", "doc_id").limit(n)
-    h = F.xxhash64("doc_id").alias("h")
-    known = first(labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", h), LABELLED).drop("h")
-    web = first(docs.where("doc_id is not null").select("doc_id", F.lit(None).cast("int").alias("quality"), F.xxhash64(F.col("doc_id") + 1).alias("h")), UNLABELLED).drop("h")
+    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): at most LABELLED and UNLABELLED documents, by the smallest hashes of their ids."""
+    first = lambda df, n: df.orderBy("h", "doc_id").limit(n).drop("h")
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    known = first(known.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", F.xxhash64("doc_id").alias("h")), LABELLED)
+    web = first(docs.where("doc_id is not null").select("doc_id").distinct().select("doc_id", F.lit(None).cast("int").alias("quality"), F.xxhash64("doc_id", F.lit(1)).alias("h")), UNLABELLED)
     sample = known.unionByName(web)  # at most LABELLED + UNLABELLED rows of two numbers
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(_vectors, "doc_id long, quality int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(_vectors, "doc_id long, quality int, x array<float>")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])  # a repeated id counts once
     x = np.array(rows.column("x").combine_chunks().flatten().to_numpy(), np.float64).reshape(len(rows), len(DENSE) + SHAPES)
     quality = rows.column("quality").to_numpy().astype(np.float64)
     marked = ~np.isnan(quality)
@@ -173,8 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
 def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text), learned from rows outside fold 0 and their ``labels``.
 
-    Repeated ids in ``labels`` count once, good if any row says so; labels other than 0 and 1 are not used. Without
-    labels of good texts all scores are 0.5. Repeated rows get equal scores; an empty table gives an empty table.
+    Repeated ids in ``labels`` count once, good if any row says so; labels other than 0 and 1 are not used, nor are null
+    ids. An id with several texts is learned from one of them. Without labels of good texts all scores are 0.5. Null texts
+    count as empty; whole texts of any length are read; other columns are not looked at. Repeated rows get equal scores;
+    an empty table gives an empty table.
     """
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     split = split.withColumn("held_out", common.fold(F.col("doc_id"), folds) == 0)
