@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from swatchwork.llm import common, decontaminate, language, mixing, neardup, quality
 
@@ -10,30 +11,67 @@ from swatchwork.llm import common, decontaminate, language, mixing, neardup, qua
 LEAST_LANGUAGE = 0.4
 
 
+def _id() -> Column:
+    """The id of a row; one without gets a large one of its own text, so that rows without an id are judged too."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 3))
+
+
+def _ids_and_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(_id().alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (doc_id)."""
+    return docs.join(common.small(common.stored(ids.select(F.col("doc_id").alias("gone")).distinct())), _id() == F.col("gone"), "left_anti")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those in which no language stands out."""
+    """Rejects texts without a letter and those in which no language stands out.
+
+    Null and empty texts go. Learns from rows with a language outside fold 0; rows with a null language are judged only. If
+    nothing can be learned, all rows go. Repeated rows are kept or rejected together. Whole texts of any length are read.
+    An empty table gives an empty table, with all columns, whatever they are called.
+    """
     return language.keep_identified(docs, language.learn(docs), LEAST_LANGUAGE)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that the classifier takes for bad."""
+    """Rejects texts that the classifier takes for bad.
+
+    Null and empty texts are judged as empty ones; a null id is judged, but nothing is learned from it. Without labels of
+    good texts all rows stay. Repeated rows are kept or rejected together. Whole texts of any length are read. An empty
+    table gives an empty table, with all columns, whatever they are called.
+    """
     return quality.keep_good(docs, quality.learn(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts that share 80 percent of their runs of five words. Rows without an id stay."""
-    others = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each group of texts that share 80 percent of their runs of five words.
+
+    The smallest id of a group stays, and one of several rows with this id. Rows without an id take part by their text and
+    give way to those with one. Null and empty texts are in no group. Whole texts of any length are read. An empty table
+    gives an empty table, with all columns, whatever they are called.
+    """
+    ids = _ids_and_texts(docs)
+    several = common.small(common.stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("several"))))
+    kept = _without(docs, neardup.near_duplicates(ids).where("not kept"))
+    own, text = _id() == F.col("several"), F.col("text").cast("string")
+    one = kept.join(several, own, "left_semi").groupBy(_id().alias("several")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text), text)).alias("row"))
+    return kept.join(several, own, "left_anti").unionByName(one.select("row.*")).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
-    leaks = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold an item of the benchmark.
+
+    Rows with one id go together, with or without an item in each; rows without an id are judged by their text. Null and
+    empty texts stay. Whole texts of any length are read. An empty table gives an empty table, and with an empty benchmark
+    all rows stay, with all columns, whatever they are called.
+    """
+    return _without(docs, decontaminate.contaminated(_ids_and_texts(docs), common.table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; nulls, ties, repeated rows and other columns as in ``mixing.mix``."""
     return mixing.mix(docs)
 
 
