@@ -7,9 +7,9 @@ its values, by the pigeonhole principle. The sketch of a pair's union estimates
 far off; what is left is compared on full sets.
 
 Nothing grows with the square of a group. All members of a list are first compared with its hub, the member whose values
-are the most common, and linked ones join one component. Only lists with several components go on: a text of which too
-little is held by the texts that are left is done; two components meet only if what their members share with the hub,
-and what else they hold, leaves room for a link; and then so do two texts.
+are the most common, and linked ones join one component. Only lists with several components go on. Their texts are listed
+once more by the rarest values of their whole sets: a text of which the others hold too little is done, and two texts meet
+only if what both share with a hub, and what they hold besides, leaves room for a link.
 
 Full sets are compared in a stream: the first text of a pair is read once for a bounded share of its partners, who pass
 by one after another, so that no row has two sets and no group is held in memory.
@@ -187,43 +187,54 @@ def _split(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(several, "value", "left_semi")
 
 
-def _apart(rows: DataFrame, hubs: DataFrame, known: DataFrame, parts: DataFrame, texts: _Texts) -> DataFrame:
-    """Pairs (a, b) of a list's members in different components that may be linked. ``known``: what pairs with hubs share."""
-    entries = common.stored(_split(rows.select("key", "size", "prefix", F.explode("prefix").alias("value")).join(hubs, "value"), parts))
-    left = entries.select("key").distinct()
-    # how much of each set the others that are left hold at all
-    values = common.stored(texts.values(left))
-    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1").select("value")
-    held = values.join(often, "value", "left_semi").groupBy("key").agg(F.count("*").alias("held"))
-    entries = entries.join(held, "key").where(100 * F.col("held") >= PERCENT * F.col("size"))
-    entries = common.stored(_split(entries.drop("part"), parts).where("key != hub"))
-    with_hub = entries.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    shared = known.unionByName(texts.overlaps(with_hub.join(known, ["a", "b"], "left_anti"))).select(F.col("a").alias("key"), F.col("b").alias("hub"), "shared")
-    one = common.stored(entries.join(shared, ["key", "hub"]).select("value", "key", "part", "size", "prefix", "shared", (F.col("held") - F.col("shared")).alias("own")))
-    # components of a list first, by their bounds; then their members
-    groups = one.groupBy("value", "part").agg(F.min("size").alias("size"), F.max("shared").alias("shared"), F.max("own").alias("own"))
-    other = lambda df: df.select(*(F.col(c).alias(f"b_{c}") for c in df.columns))
+def _left(rows: DataFrame, parts: DataFrame, texts: _Texts) -> DataFrame:
+    """(key, size, held, rank, prefix) of the texts of lists with several components: the rarest values of their whole sets, as far as others that are left hold them."""
+    entries = common.stored(_split(rows.select("key", "size", F.explode("prefix").alias("value")), parts))
+    values = common.stored(texts.values(entries.select("key").distinct()))
+    often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1")
+    held = values.join(often, "value").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("texts", "value"))).alias("lists"))
+    left = held.join(entries.groupBy("key").agg(F.first("size").alias("size")), "key")
+    cut = (F.size("lists") - F.ceil(F.col("size") * PERCENT / 100) + 1).cast("int")
+    rank = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["texts"]) / F.col("size")
+    left = left.select("key", "size", F.size("lists").alias("held"), rank.alias("rank"), "lists", cut.alias("cut")).where("cut > 0")
+    return left.select("key", "size", "held", "rank", F.transform(F.slice("lists", 1, F.col("cut")), lambda x: x["value"]).alias("prefix"))
+
+
+def _hubs(entries: DataFrame) -> DataFrame:
+    """(value, hub): of each list of several texts the one whose values are the most common."""
+    hubs = entries.groupBy("value").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return common.stored(hubs.select("value", F.col("hub.key").alias("hub")))
+
+
+def _star(entries: DataFrame, hubs: DataFrame) -> DataFrame:
+    return entries.join(hubs, "value").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _met(left: DataFrame, hubs: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list's texts in different components that, by what both share with the hub and hold besides, have room for a link."""
+    entries = _split(left.select("key", "size", "held", F.explode("prefix").alias("value")).join(hubs, "value").where("key != hub"), parts)
+    with_hub = shared.select(F.col("a").alias("key"), F.col("b").alias("hub"), "shared")
+    one = common.stored(entries.join(with_hub, ["key", "hub"]).select("value", "key", "part", "size", "shared", (F.col("held") - F.col("shared")).alias("own")))
+    other = one.select(*(F.col(c).alias(f"b_{c}") for c in one.columns))
     most = F.least("shared", "b_shared") + F.least("own", "b_own")
-    room = _possible(F.col("size"), F.col("b_size"), most)
-    met = groups.join(other(groups), (F.col("value") == F.col("b_value")) & (F.col("part") < F.col("b_part")) & room).select("value", "part", "b_part")
-    left_side = met.join(one, ["value", "part"])
-    first = F.get(F.array_intersect("prefix", "b_prefix"), F.lit(0)) == F.col("value")  # a pair of many lists is named once
-    pairs = left_side.join(other(one).withColumnRenamed("b_value", "value"), ["value", "b_part"]).where(room & first)
-    return pairs.select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
+    apart = (F.col("value") == F.col("b_value")) & (F.col("part") < F.col("b_part"))
+    return one.join(other, apart & _possible(F.col("size"), F.col("b_size"), most)).select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
 
 
 def _links(classes: DataFrame, texts: _Texts, sketch: int | None) -> DataFrame:
     """Links (a, b) between class keys that hold each component together."""
+    links = lambda df: df.where(_possible(F.col("size_a"), F.col("size_b"), F.col("shared"))).select("a", "b")
+    # lists of sketch values: every text with the hubs of its lists
     rows = common.stored(_listed(classes, sketch))
     entries = rows.select("key", "rank", F.explode("prefix").alias("value"))
-    hubs = entries.groupBy("value").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = common.stored(hubs.select("value", F.col("hub.key").alias("hub")))
-    star = entries.join(hubs, "value").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    linked = _possible(F.col("size_a"), F.col("size_b"), F.col("shared"))
-    near = texts.overlaps(common.stored(_estimated(star, classes, sketch)))
-    links = near.where(linked).select("a", "b")
-    pairs = _apart(rows, hubs, near, connected_components(links), texts)
-    return links.union(texts.overlaps(common.stored(_estimated(pairs, classes, sketch))).where(linked).select("a", "b"))
+    near = texts.overlaps(common.stored(_estimated(_star(entries, _hubs(entries)), classes, sketch)))
+    # what is left, by the rarest values of whole sets: with the hubs of these lists, then with each other
+    left = common.stored(_left(rows, connected_components(links(near)), texts))
+    entries = left.select("key", "rank", F.explode("prefix").alias("value"))
+    hubs = _hubs(entries)
+    shared = common.stored(near.unionByName(texts.overlaps(common.stored(_star(entries, hubs).join(near, ["a", "b"], "left_anti")))))
+    met = _met(left, hubs, shared, connected_components(links(shared)))
+    return links(shared.unionByName(texts.overlaps(common.stored(_estimated(met, classes, sketch)))))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, sketch: int | None = SKETCH) -> DataFrame:
