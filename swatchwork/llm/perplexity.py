@@ -1,13 +1,19 @@
 """Language-model scores of whole texts, from counts of the whole corpus.
 
-The model is a word-pair model with Dirichlet smoothing: P(w | v) = (c(vw) + K * P(w)) / (c(v) + K), where P(w) is the
-word's own smoothed share. Its trie is cut into shards by word, each of bounded size.
-
-Texts are read in blocks. A block sends each shard its distinct words and pairs, with the counts that its training texts
-give, in one compact row. A shard sums what all blocks sent, builds its trie of Elias-Fano levels in a memory map, and
-answers every block with counts and quantised logarithms in the block's own order. A block's answers meet its texts,
-which by then are rows of numbers. Words and pairs thus move once for each block and not for each place they stand at,
-no context is too frequent for one task, and the driver sees nothing but one number.
+The model is of order three with back-off: P(w | u v) = f(uvw) + b(uv) * (f(vw) + b(v) * P(w)), where f are discounted
+shares, c(uvw) / (c(uv) + K3) and c(vw) / (c(v) + K2), b the mass that is left for the shorter context, K3 / (c(uv) + K3)
+and K2 / (c(v) + K2), and P(w) = (c(w) + 1) / (N + V + 1). Shares and back-off weights are quantised in an Elias-Fano trie
+that is cut into shards of bounded size by the hash of its roots, the last words of contexts.
+
+One aggregate counts the words of all training texts. Then texts are read in blocks. A block sends each shard its distinct
+entries (root, word before, word) with the counts that its training texts give, in one compact row; words go as places in
+a list of 64-bit hashes, so nothing is told apart by less. A shard sums what all blocks sent, builds its trie as a mapped
+file, and answers every block in the block's own order; a block's answers meet its texts, which by then are rows of
+numbers. Entries thus move once for each block and not for each place they stand at, and a block sends nothing to a shard
+that it has no entry for, so there are never more messages than entries.
+
+A word that is so frequent that its entries would outgrow a shard is cut into several roots: its contexts by the word
+before, what follows it by the word after. The list of these words is at most N / HOT long.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from pyspark.sql import functions as F
 from swatchwork.llm import common, textbatch
 from swatchwork.llm.trie import Trie, decoded, packed, unpacked
 
-#: Words of a block, and bytes of text for each shard.
-BLOCK_WORDS, SHARD_BYTES = 4_000_000, 24 << 20
-STRENGTH = 2000.0
-_BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: Words of a block, bytes of text for each shard, and places from which on a word has several roots.
+BLOCK_WORDS, SHARD_BYTES, HOT = 3_000_000, 48 << 20, 4_000_000
+#: K2 and K3: how many places of a context weigh as much as what the shorter context says.
+STRENGTH = (256.0, 16.0)
+_START, _BEGIN, _END, _NONE = (np.uint64(x) for x in (0x13198A2E03707344, 0x243F6A8885A308D3, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
 
 
-def _small(data: bytes) -> bytes:
+def _small(*arrays: np.ndarray) -> bytes:
+    data = packed(*arrays)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
@@ -36,49 +44,96 @@ def _large(data: bytes) -> list[np.ndarray]:
     return unpacked(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
 
-class _Block:
-    """Some texts: their tokens (words, then an end), and the distinct pairs of a token and the one before."""
+class _Hot:
+    """Frequent words and their counts, and how many roots each has."""
 
-    def __init__(self, ids: np.ndarray, null: np.ndarray, held: np.ndarray, words: np.ndarray, sizes: np.ndarray):
-        n, end = len(sizes), np.cumsum(sizes + 1)
-        self.ids, self.null, self.held, self.sizes = ids, null, held, sizes
-        token = np.empty(len(words) + n, np.uint64)
-        inner = np.ones(len(token), bool)
-        inner[end - 1] = False
-        token[inner], token[~inner] = words, _END
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[end - sizes - 1] = _BEGIN
-        self.words, self.word = np.unique(token, return_inverse=True)
-        key = (self.word.astype(np.uint64) << np.uint64(32)) | (textbatch.mixed(before) >> np.uint64(32))
-        self.pairs, self.pair = np.unique(key, return_inverse=True)
-        self.learned = np.repeat(~held, sizes + 1)
-        name = textbatch.mixed(np.cumsum(textbatch.mixed(ids.view(np.uint64) + np.uint64(9)) + sizes.astype(np.uint64)))[-1] ^ (words.sum(dtype=np.uint64) if len(words) else np.uint64(0))
-        self.name = int(np.array([name], np.uint64).view(np.int64)[0])
-
-    def questions(self, shards: int) -> Iterator[bytes]:
-        learned = self.learned
-        counts = np.bincount(self.word[learned], minlength=len(self.words))
-        pair_counts = np.bincount(self.pair[learned], minlength=len(self.pairs))
-        owner = (self.pairs >> np.uint64(32)).astype(np.int64)
-        before = (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        many = np.bincount(owner, minlength=len(self.words))
-        shard = (((self.words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-        edge = np.searchsorted(shard, np.arange(shards + 1))
-        pair_edge = np.searchsorted(owner, edge)
-        for k in range(shards):
-            w, p = slice(edge[k], edge[k + 1]), slice(pair_edge[k], pair_edge[k + 1])
-            yield _small(packed(self.words[w], counts[w].astype(np.uint32), many[w].astype(np.uint32), before[p], pair_counts[p].astype(np.uint32)))
+    def __init__(self, words: np.ndarray, counts: np.ndarray, hot: int):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.slots = (1 + self.counts // hot).astype(np.uint64)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
 
-    def texts(self) -> bytes:
-        many = np.bincount((self.pairs >> np.uint64(32)).astype(np.int64), minlength=len(self.words))
-        end = np.searchsorted(self.words, _END)
-        return _small(packed(self.ids, self.null, self.held, self.sizes.astype(np.int64), many.astype(np.uint32), np.array([end], np.int64), self.pair.astype(np.uint32)))
+    def root(self, hot: np.ndarray, other: np.ndarray, side: int) -> np.ndarray:
+        """The root of a frequent word (a place in the list) for a word before it (side 1) or after it (side 2)."""
+        slot = textbatch.mixed(other + np.uint64(side)) % self.slots[hot]
+        return textbatch.mixed(self.words[hot] + (slot * np.uint64(4) + np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15))
 
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Roots of what follows a frequent word, sorted, and the word's count: such a root sees only a part of it."""
+        own = np.repeat(np.arange(len(self.words)), self.slots.astype(np.int64))
+        slot = (np.arange(len(own)) - np.repeat(np.cumsum(self.slots.astype(np.int64)) - self.slots.astype(np.int64), self.slots.astype(np.int64))).astype(np.uint64)
+        roots = textbatch.mixed(self.words[own] + (slot * np.uint64(4) + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(roots)
+        return roots[order], self.counts[own][order]
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[_Block]:
-    def ready() -> _Block:
-        return _Block(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+class _Block:
+    """Some texts: their tokens (words, then an end) as places in a sorted list of words, and their distinct entries."""
+
+    def __init__(self, words: np.ndarray, token: np.ndarray, held: np.ndarray, sizes: np.ndarray, hot: _Hot):
+        """``words`` are sorted hashes that hold the marks of a text's start, begin and end."""
+        self.words, self.token, many = words, token.astype(np.int64), len(words)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        start, begin, none = (np.searchsorted(words, x) for x in (_START, _BEGIN, _NONE))
+        before, last = np.empty_like(self.token), np.empty_like(self.token)
+        last[1:], before[2:] = self.token[:-1], self.token[:-2]
+        last[first] = begin
+        second = first[sizes > 0] + 1
+        before[first], before[second] = start, begin
+        learned = np.repeat(~held, sizes + 1)
+        context, self.context = np.unique(last * many + before, return_inverse=True)
+        entry, self.entry = np.unique(self.context * many + self.token, return_inverse=True)
+        self.counts = np.bincount(self.entry[learned], minlength=len(entry))
+        self.word, own = entry % many, context[entry // many]
+        self.last, self.before = own // many, own % many
+        self.root = words[self.last]
+        self.pair = np.zeros(0, np.int64)  # for each entry of a frequent word the entry of the pair alone
+        frequent = hot.find(words)[self.last]
+        some = np.flatnonzero(frequent >= 0)
+        self.frequent = frequent
+        if len(some):
+            self.root = self.root.copy()
+            self.root[some] = hot.root(frequent[some], words[self.before[some]], 1)
+            key, back = np.unique(self.last[some] * many + self.word[some], return_inverse=True)
+            pair_root = hot.root(hot.find(words[key // many]), words[key % many], 2)
+            self.pair = np.full(len(entry), -1)
+            self.pair[some] = len(entry) + back
+            self.root = np.concatenate([self.root, pair_root])
+            self.before = np.concatenate([self.before, np.full(len(key), none)])
+            self.word = np.concatenate([self.word, key % many])
+            self.counts = np.concatenate([self.counts, np.bincount(back, self.counts[some], len(key)).astype(np.int64)])
+        self.order = np.lexsort((self.word, self.before, self.root)) if len(some) else np.arange(len(entry))
+
+    def questions(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        root, before, word, counts = (x[self.order] for x in (self.root, self.before, self.word, self.counts))
+        shard = (((root >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        edge = np.searchsorted(shard, np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            own = slice(edge[k], edge[k + 1])
+            used, at = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
+            n = edge[k + 1] - edge[k]
+            fresh = np.ones(n, bool)
+            fresh[1:] = root[own][1:] != root[own][:-1]
+            begin = np.flatnonzero(fresh)
+            yield int(k), _small(root[own][begin], np.diff(np.append(begin, n)).astype(np.uint32), self.words[used], at[:n].astype(np.uint32), at[n:].astype(np.uint32), counts[own].astype(np.uint32))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple]:
+    """(ids, null, held, sizes, words, token) of some texts at a time."""
+
+    def ready(parts: list[tuple]) -> tuple:
+        ids, null, held, hashes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        words, at = np.unique(np.concatenate([hashes, [_START, _BEGIN, _END, _NONE]]), return_inverse=True)
+        token = np.empty(len(hashes) + len(sizes), np.uint32)
+        inner = np.ones(len(token), bool)
+        inner[np.cumsum(sizes + 1) - 1] = False
+        token[inner], token[~inner] = at[:-4], at[-2]
+        return ids, null, held, sizes.astype(np.int64), words, token
 
     parts: list[tuple] = []
     for batch in batches:
@@ -90,93 +145,137 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[_Bl
             here = slice(piece.first, piece.first + piece.n)
             parts.append((number[here], null[here], held[here], textbatch.mixed(piece.hashes(s, e) + np.uint64(1)), np.bincount(row, minlength=piece.n)))
             if sum(len(x[3]) + len(x[4]) for x in parts) >= block_words:
-                yield ready()
+                yield ready(parts)
                 parts = []
     if parts:
-        yield ready()
+        yield ready(parts)
 
 
-def _ask(shards: int, block_words: int):
+def _name(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, token: np.ndarray) -> int:
+    """A block's name, from what is in it."""
+    name = textbatch.mixed(np.cumsum(textbatch.mixed(ids.view(np.uint64) + np.uint64(9)) + sizes.astype(np.uint64)))[-1]
+    place = textbatch.mixed(words)[token] * (np.arange(len(token), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    return int(np.array([name ^ place.sum(dtype=np.uint64)], np.uint64).view(np.int64)[0])
+
+
+def _counted(block_words: int):
+    """(word, n): places of each word, and of the end, in the training texts of a block."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, held, sizes, words, token in _blocks(batches, block_words):
+            n = np.bincount(token[np.repeat(~held, sizes + 1)], minlength=len(words))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(n[some])], names=["word", "n"])
+
+    return counted
+
+
+def _ask(shards: int, block_words: int, hot: _Hot):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, block_words):
-            for k, question in enumerate(b.questions(shards)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.name], pa.int64()), pa.array([question], pa.binary())], names=["shard", "block", "data"])
+        for ids, _, held, sizes, words, token in _blocks(batches, block_words):
+            name = _name(ids, sizes, words, token)
+            for k, question in _Block(words, token, held, sizes, hot).questions(shards):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name], pa.int64()), pa.array([question], pa.binary())], names=["shard", "block", "data"])
 
     return ask
 
 
 def _tell(block_words: int):
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, block_words):
-            yield pa.RecordBatch.from_arrays([pa.array([b.name], pa.int64()), pa.array([-1], pa.int32()), pa.array([b.texts()], pa.binary())], names=["block", "shard", "data"])
+        for ids, null, held, sizes, words, token in _blocks(batches, block_words):
+            data = _small(ids, null, held, sizes, words, token)
+            yield pa.RecordBatch.from_arrays([pa.array([_name(ids, sizes, words, token)], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=["block", "shard", "data"])
 
     return tell
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Sums what the blocks sent to one shard, builds its trie and answers each block."""
-    asked = [_large(x.as_buffer()) for x in table.column("data")]
-    words = np.unique(np.concatenate([x[0] for x in asked]))
-    counts = np.zeros(len(words), np.int64)
-    keys = []
-    for word, count, many, before, _ in asked:
-        at = np.searchsorted(words, word)
-        counts[at] += count
-        keys.append((np.repeat(at, many).astype(np.uint64) << np.uint64(32)) | before)
-    pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
-    pair_counts = np.bincount(back, np.concatenate([x[4] for x in asked]), len(pairs))
-    del keys, back
-    seen = counts > 0
-    rank = np.cumsum(seen) - 1
-    kept = pair_counts > 0
-    pairs, pair_counts = pairs[kept], pair_counts[kept]
-    trie = Trie.open(Trie.build(words[seen], counts[seen], rank[(pairs >> np.uint64(32)).astype(np.int64)], pairs & np.uint64(0xFFFFFFFF), pair_counts))
-    totals = np.array([counts.sum(), seen.sum()], np.int64)
-    out = []
-    for word, _, many, before, _ in asked:
-        node, count = trie.word_counts(word)
-        out.append(_small(packed(totals, count.astype(np.uint32), trie.pair_codes(np.repeat(node, many), before))))
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(out, pa.binary())})
-
-
-def _score(shards: int):
+def _answer(hot: _Hot):
+    hot_roots, hot_totals = hot.totals()
+
+    def answer(table: pa.Table) -> pa.Table:
+        """Sums what the blocks sent to one shard, builds its trie and answers each block: roots' totals, and three codes for each entry."""
+        data = [x.as_buffer() for x in table.column("data")]
+        names = [_large(x)[0:3:2] for x in data]
+        roots = np.unique(np.concatenate([x[0] for x in names]))
+        words = np.unique(np.concatenate([x[1] for x in names]))
+        del names
+        keys, sums = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        for one in data:
+            root, many, used, before, word, counts = _large(one)
+            at, seen = np.searchsorted(words, used), np.flatnonzero(counts)
+            r = np.repeat(np.searchsorted(roots, root), many)
+            new = np.stack([r * len(words) + at[before], at[word]], 1)[seen]
+            keys, sums = np.concatenate([keys, new]), np.concatenate([sums, counts[seen].astype(np.int64)])
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            keys, sums = keys[order], sums[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = (keys[1:] != keys[:-1]).any(1)
+            at = np.flatnonzero(first)
+            keys, sums = keys[at], np.add.reduceat(sums, at) if len(at) else sums
+        entries = np.stack([keys[:, 0] // len(words), keys[:, 0] % len(words), keys[:, 1]], 1)
+        totals = np.bincount(entries[:, 0], sums, len(roots)).astype(np.int64)
+        if len(hot_roots):
+            at = np.minimum(np.searchsorted(hot_roots, roots), len(hot_roots) - 1)
+            totals = np.where(hot_roots[at] == roots, hot_totals[at], totals)
+        trie = Trie.open(Trie.build(roots, words, entries, sums, totals, STRENGTH))
+        del keys, sums, entries
+        out = []
+        for one in data:
+            root, many, used, before, word, _ = _large(one)
+            out.append(_small(trie.total(root), many, *trie.probabilities(np.repeat(root, many), used[before], used[word])))
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(out, pa.binary())})
+
+    return answer
+
+
+def _score(train: int, distinct: int, ends: int, hot: _Hot):
     def score(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("shard").to_pylist(), table.column("data"), strict=True), key=lambda r: r[0])
         told, answers = [r[1] for r in rows if r[0] < 0], [_large(r[1].as_buffer()) for r in rows if r[0] >= 0]
-        if not told or len(answers) != shards * len(told) or len(told) > 1 and len({x.as_buffer().to_pybytes() for x in told}) > 1:
+        if not told or len(told) > 1 and len({x.as_buffer().to_pybytes() for x in told}) > 1:
+            raise ValueError("the documents were not the same rows when they were read again; write them to a table first")
+        answers = answers[:: len(told)]
+        ids, null, held, sizes, words, token = _large(told[0].as_buffer())
+        block = _Block(words, token, held, sizes, hot)
+        codes = [np.empty(len(block.order), np.uint16) for _ in range(3)]
+        roots = np.empty(len(block.order), np.int64)
+        many = np.concatenate([x[1] for x in answers])
+        if many.sum() != len(block.order):
             raise ValueError("the documents were not the same rows when they were read again; write them to a table first")
-        totals = np.sum([x[0] for x in answers[:: len(told)]], axis=0)
-        train, distinct = int(totals[0]), int(totals[1])
-        count = np.concatenate([x[1] for x in answers[:: len(told)]]).astype(np.float64)
-        codes = np.concatenate([x[2] for x in answers[:: len(told)]])
-        parts = []
-        for one in told:
-            ids, null, held, sizes, many, end, pair = _large(one.as_buffer())
-            own = np.repeat(np.arange(len(many)), many)  # the word of each pair
-            share = (count + 1) / (train + distinct + 1)
-            word = own[pair]
-            first = np.cumsum(sizes + 1) - sizes - 1
-            before = np.empty_like(word)
-            before[1:] = word[:-1]
-            before[first] = end[0]  # a text's start was seen as often as its end
-            logp = np.log10((decoded(codes)[pair] + STRENGTH * share[word]) / (count[before] + STRENGTH))
-            base = np.log10(share)[word]
-            row = np.repeat(np.arange(len(sizes)), sizes + 1)
-            total = lambda x: np.bincount(row, x, len(sizes))  # noqa: E731, B023
-            parts.append(
-                pa.table(
-                    {
-                        "doc_id": pa.array(ids, mask=null),
-                        "held_out": pa.array(held),
-                        "n_tokens": pa.array((sizes + 1).astype(np.int64)),
-                        "n_known": pa.array(total(count[word] > 0).astype(np.int64)),
-                        "train_tokens": pa.array(np.full(len(sizes), train, np.int64)),
-                        "base_score": pa.array(total(base)),
-                        "score": pa.array(total(logp)),
-                    }
-                )
-            )
-        return pa.concat_tables(parts)
+        for k in range(3):
+            codes[k][block.order] = np.concatenate([x[2 + k] for x in answers])
+        roots[block.order] = np.repeat(np.concatenate([x[0] for x in answers]), many)
+        # how often each word stands in training texts: as often as it is followed, but for the end
+        n = len(block.last)
+        count = np.zeros(len(words), np.int64)
+        count[block.last] = roots[:n]
+        frequent = np.flatnonzero(block.frequent >= 0)
+        count[block.last[frequent]] = hot.counts[block.frequent[frequent]]
+        count[np.searchsorted(words, _END)] = ends
+        triple, follow, weight = (x[:n] for x in codes)
+        if len(frequent):
+            follow = follow.copy()
+            follow[frequent] = codes[1][block.pair[frequent]]
+        share = (count + 1) / (train + distinct + 1)
+        word, last = block.word[:n], block.last
+        context = count[last].astype(np.float64)
+        context[last == np.searchsorted(words, _BEGIN)] = ends
+        chance = decoded(triple) + decoded(weight) * (decoded(follow) + STRENGTH[0] / (context + STRENGTH[0]) * share[word])
+        row = np.repeat(np.arange(len(sizes)), sizes + 1)
+        total = lambda x: np.bincount(row, x, len(sizes))
+        known = total(count[token] > 0).astype(np.int64)
+        out = pa.table(
+            {
+                "doc_id": pa.array(ids, mask=null.astype(bool)),
+                "held_out": pa.array(held.astype(bool)),
+                "n_tokens": pa.array(sizes + 1),
+                "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(len(sizes), train, np.int64)),
+                "base_score": pa.array(total(np.log10(share)[token])),
+                "score": pa.array(total(np.log10(chance)[block.entry])),
+            }
+        )
+        return pa.concat_tables([out] * len(told))
 
     return score
 
@@ -184,21 +283,26 @@ def _score(shards: int):
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, held_out, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS, hot: int = HOT) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text), learned from those where ``held_out`` is false.
 
     Words are lower-cased in A-Z; each text has one end token more, so null and empty texts have one token. Scores are
-    log10. Without training texts every token has the same share. Repeated rows get equal scores; an empty table gives an
-    empty table; other columns are not looked at. ``docs`` is read twice and must give the same rows in the same
-    partitions, as a stored table does; otherwise the job fails.
+    log10. Without training texts every token has the same share. Repeated rows get equal scores; whole texts of any length
+    are read; an empty table gives an empty table; other columns are not looked at. ``docs`` is read several times and must
+    give the same rows in the same partitions, as a stored table does; otherwise the job fails.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    words = common.stored(rows.mapInArrow(_counted(block_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    end = int(_END.view(np.int64))
+    r = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("n")))).first()
+    often = words.where((F.col("n") >= hot) & (F.col("word") != end)).toArrow()  # N / hot rows at most
+    known = _Hot(often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy(), hot)
     shards = max(4, -(-size // shard_bytes))
-    questions = rows.mapInArrow(_ask(shards, block_words), "shard int, block long, data binary")
-    answers = questions.groupBy("shard").applyInArrow(_answer, "block long, shard int, data binary")
+    questions = rows.mapInArrow(_ask(shards, block_words, known), "shard int, block long, data binary")
+    answers = questions.groupBy("shard").applyInArrow(_answer(known), "block long, shard int, data binary")
     told = rows.mapInArrow(_tell(block_words), "block long, shard int, data binary")
-    return told.unionByName(answers).groupBy("block").applyInArrow(_score(shards), SCHEMA)
+    return told.unionByName(answers).groupBy("block").applyInArrow(_score(r[0] or 0, r[1], r[2] or 0, known), SCHEMA)
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

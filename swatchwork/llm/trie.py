@@ -1,126 +1,227 @@
-"""A two-level n-gram trie in Elias-Fano levels: words, and for each word the words that stood before it.
+"""An n-gram trie in Elias-Fano levels: words, what follows each, what stood before it, and what follows both.
 
-A level is one byte string: sorted keys as Elias-Fano sequences (upper parts in unary, lower parts at fixed width),
-pointers to the next level likewise, counts of words, and one byte for the quantised logarithm of each pair's count.
-It is opened in a memory map and queried for many keys at once; a successor is sought only within its word's own range.
+A level is a monotone sequence: upper parts in unary with a directory of counts, lower parts at their exact width, both
+packed into 64-bit words. Pointers into the next level are monotone sequences too. Entries of the last level are not
+words but places among all that follow their shorter context, which takes fewer bits. Probabilities and back-off weights
+are quantised logarithms of two bytes. A trie is one file, mapped into memory, and its packed form is what is searched.
 """
 
 from __future__ import annotations
 
 import mmap
 import struct
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Steps of a quantised binary logarithm.
-STEPS = 8
+#: Steps of a quantised binary logarithm; a code of two bytes reaches down to 2**-63.
+STEPS = 1024
+_BLOCK = 8  # words of the directory's blocks
+_AT_ONCE = 1 << 16
+_BITS = np.array([[i for i in range(8) if b >> i & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)], np.int64)
+_COUNT = np.array([bin(b).count("1") for b in range(256)], np.int64)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    head = struct.pack("<q", len(arrays)) + b"".join(struct.pack("<4sq", x.dtype.str.encode().ljust(4), x.nbytes) for x in arrays)
-    return head + b"".join(x.tobytes() for x in arrays)
+    """Arrays as one byte string, each at a multiple of 8 bytes."""
+    out, at, head = [], 8 + 12 * len(arrays) + -(8 + 12 * len(arrays)) % 8, []
+    for x in arrays:
+        head.append(struct.pack("<4sq", x.dtype.str.encode().ljust(4), x.nbytes))
+        out.append(x.tobytes() + bytes(-x.nbytes % 8))
+    return (struct.pack("<q", len(arrays)) + b"".join(head)).ljust(at, b"\0") + b"".join(out)
 
 
 def unpacked(data) -> list[np.ndarray]:
     (n,) = struct.unpack_from("<q", data)
-    at, out = 8 + 12 * n, []
+    at, out = 8 + 12 * n + -(8 + 12 * n) % 8, []
     for k in range(n):
         kind, size = struct.unpack_from("<4sq", data, 8 + 12 * k)
-        out.append(np.frombuffer(data, np.dtype(kind.decode().strip()), size // np.dtype(kind.decode().strip()).itemsize, at))
-        at += size
+        kind = np.dtype(kind.decode().strip())
+        out.append(np.frombuffer(data, kind, size // kind.itemsize, at))
+        at += size + -size % 8
     return out
 
 
+def codes(p: np.ndarray) -> np.ndarray:
+    """Quantised logarithms of numbers from 0 to 1; 0 has a code of its own."""
+    out = np.zeros(len(p), np.uint16)
+    some = p > 0
+    out[some] = np.clip(np.round(-np.log2(p[some]) * STEPS), 0, 65534) + 1
+    return out
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, 2.0 ** ((1.0 - code) / STEPS), 0.0)
+
+
 class EliasFano:
-    """A sorted sequence of whole numbers below 2**64."""
+    """A sorted sequence of whole numbers below 2**64, as it stands in the file."""
 
-    def __init__(self, low: np.ndarray, upper: np.ndarray, width: int):
-        self.low, self.width = low, np.uint64(width)
-        bits = np.unpackbits(upper)
-        ones = np.flatnonzero(bits)
-        self.high = (ones - np.arange(len(ones))).astype(np.uint64)
-        zeros = np.flatnonzero(bits == 0)
-        #: Where the entries of each upper part begin.
-        self.begin = np.concatenate([[0], zeros - np.arange(len(zeros))])
+    def __init__(self, head: np.ndarray, low: np.ndarray, upper: np.ndarray, ones: np.ndarray):
+        self.n, self.width, self.most = (int(x) for x in head)
+        self.low, self.upper, self.ones = low, upper, ones
 
     @staticmethod
     def encode(values: np.ndarray) -> list[np.ndarray]:
-        values = values.astype(np.uint64)
-        n, most = max(1, len(values)), int(values[-1]) if len(values) else 0
-        width = max(0, (most // n).bit_length() - 1)
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= width)
+        values = np.asarray(values, np.uint64)
+        n, most = len(values), int(values[-1]) if len(values) else 0
+        width = max(0, (most // max(1, n)).bit_length() - 1)
+        low = np.zeros(n * width // 64 + 2, np.uint64)
+        if width:
+            bits, at = values & np.uint64((1 << width) - 1), np.arange(n, dtype=np.int64) * width
+            shift = (at & 63).astype(np.uint64)
+            np.bitwise_or.at(low, at >> 6, bits << shift)
+            np.bitwise_or.at(low, (at >> 6) + 1, np.where(shift > 0, bits >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))
         high = (values >> np.uint64(width)).astype(np.int64)
-        bits = np.zeros((int(high[-1]) if len(high) else 0) + len(high) + 1, np.uint8)
-        bits[high + np.arange(len(high))] = 1
-        return [(values & np.uint64((1 << width) - 1)).astype(kind), np.packbits(bits), np.array([width], np.int64)]
+        size = (int(high[-1]) if n else 0) + n + 1
+        at = high + np.arange(n)
+        upper = np.zeros(-(-size // (64 * _BLOCK)) * _BLOCK, np.uint64)
+        np.bitwise_or.at(upper, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(upper).reshape(-1, _BLOCK).sum(1, dtype=np.int64))])
+        return [np.array([n, width, most], np.uint64), low, upper, ones]
+
+    def _select(self, k: np.ndarray, bit: bool) -> np.ndarray:
+        """Place of the k-th set (or unset) bit, counting from 0, of the upper parts."""
+        blocks = np.arange(len(self.ones)) * (64 * _BLOCK)
+        before = self.ones if bit else blocks - self.ones
+        out = np.empty(len(k), np.int64)
+        for a in range(0, len(k), _AT_ONCE):
+            own = k[a : a + _AT_ONCE]
+            b = np.searchsorted(before, own, "right") - 1
+            left = own - before[b]
+            word = self.upper.reshape(-1, _BLOCK)[b]
+            data = (word if bit else ~word).view(np.uint8)
+            held = np.cumsum(_COUNT[data], axis=1)
+            byte = (held <= left[:, None]).sum(1)
+            line = np.arange(len(own))
+            left = left - np.where(byte > 0, held[line, byte - 1], 0)
+            out[a : a + _AT_ONCE] = b * (64 * _BLOCK) + byte * 8 + _BITS[data[line, byte], left]
+        return out
 
-    @staticmethod
-    def of(low: np.ndarray, upper: np.ndarray, width: np.ndarray) -> EliasFano:
-        return EliasFano(low, upper, int(width[0]))
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.width
+        shift = (bit & 63).astype(np.uint64)
+        more = np.where(shift > 0, self.low[(bit >> 6) + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return ((self.low[bit >> 6] >> shift) | more) & np.uint64((1 << self.width) - 1)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return (self.high[at] << self.width) | self.low[at].astype(np.uint64)
+        return ((self._select(at, True) - at).astype(np.uint64) << np.uint64(self.width)) | self._low(at)
 
     def find(self, keys: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """The place of each key, or -1. ``lo`` and ``hi`` bound the places of each."""
-        if not len(self.low) or not len(keys):
-            return np.full(len(keys), -1)
-        high = np.minimum(keys >> self.width, np.uint64(len(self.begin) - 2)).astype(np.int64)
-        a, b = self.begin[high], np.minimum(self.begin[high + 1], len(self.low))
+        """The place of each key, or -1; ``lo`` and ``hi`` bound the places of each."""
+        out = np.full(len(keys), -1)
+        ask = np.flatnonzero(keys <= np.uint64(self.most)) if self.n else np.zeros(0, np.int64)
+        if not len(ask):
+            return out
+        key = keys[ask]
+        high = (key >> np.uint64(self.width)).astype(np.int64)
+        # entries with one upper part stand between two unset bits
+        a = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
+        b = self._select(high, False) - high
         if lo is not None:
-            a, b = np.maximum(a, lo), np.minimum(b, hi)
-        end = b
-        while (a < b).any():  # the first entry that is not smaller
-            mid = (a + b) >> 1
-            less = self[np.minimum(mid, len(self.low) - 1)] < keys
-            a, b = np.where((a < b) & less, mid + 1, a), np.where((a < b) & ~less, mid, b)
-        at = np.minimum(a, len(self.low) - 1)
-        return np.where((a < end) & (self[at] == keys), at, -1)
+            a, b = np.maximum(a, lo[ask]), np.minimum(b, hi[ask])
+        low, end = key & np.uint64((1 << self.width) - 1), b.copy()
+        while (open_ := np.flatnonzero(a < b)).size:  # the first entry that is not smaller
+            mid = (a[open_] + b[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            a[open_], b[open_] = np.where(less, mid + 1, a[open_]), np.where(less, b[open_], mid)
+        inside = a < end
+        hit = np.flatnonzero(inside)
+        hit = hit[self._low(a[hit]) == low[hit]]
+        out[ask[hit]] = a[hit]
+        return out
 
 
 @dataclass
 class Trie:
+    """Roots (last words of contexts), what follows a root, contexts (root and the word before), what follows a context."""
+
+    roots: EliasFano
+    totals: EliasFano
     words: EliasFano
-    counts: np.ndarray
-    pointers: EliasFano
-    pairs: EliasFano
-    codes: np.ndarray
+    follows: EliasFano
+    follow: EliasFano
+    contexts: EliasFano
+    context: EliasFano
+    bases: EliasFano
+    triples: EliasFano
+    triple: EliasFano
+    follow_codes: np.ndarray
+    back_codes: np.ndarray
+    triple_codes: np.ndarray
 
     @staticmethod
-    def build(words: np.ndarray, counts: np.ndarray, node: np.ndarray, before: np.ndarray, pair_counts: np.ndarray) -> bytes:
-        """``words`` sorted; pairs sorted by node (a place in words) and before (32 bits)."""
-        pointers = np.searchsorted(node, np.arange(len(words) + 1))
-        keys = (node.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64)
-        codes = np.clip(np.round(np.log2(np.maximum(pair_counts, 1)) * STEPS) + 1, 1, 255).astype(np.uint8)
-        return packed(*EliasFano.encode(words), counts.astype(np.int64), *EliasFano.encode(pointers), *EliasFano.encode(keys), codes)
+    def build(roots: np.ndarray, words: np.ndarray, entries: np.ndarray, counts: np.ndarray, totals: np.ndarray, strength: tuple[float, float]) -> bytes:
+        """``roots`` and ``words`` are sorted hashes; ``entries`` rows (root, before, word) of places in them, sorted, with ``counts``.
+
+        ``totals`` has how often each root was followed; an entry's discounted probability after two words is
+        c / (c(context) + strength[1]), that after one is c / (total + strength[0]).
+        """
+        many = len(words) + 1
+        pair, back = np.unique(entries[:, 0] * many + entries[:, 2], return_inverse=True)
+        pair_count = np.bincount(back, counts, len(pair)).astype(np.int64)
+        context, own = np.unique(entries[:, 0] * many + entries[:, 1], return_inverse=True)
+        context_count = np.bincount(own, counts, len(context)).astype(np.int64)
+        edge = lambda of: np.searchsorted(of // many, np.arange(len(roots) + 1))
+        pairs_at, contexts_at = edge(pair), edge(context)
+        # the place of a word among all that follow the root stands for it
+        size = np.diff(pairs_at)
+        bases = np.concatenate([[0], np.cumsum(size * np.diff(contexts_at))])
+        root = context // many
+        offset = bases[root] + (np.arange(len(context)) - contexts_at[root]) * size[root]
+        place = offset[own] + back - pairs_at[entries[:, 0]]
+        order = np.argsort(place, kind="stable")
+        levels = [roots, np.cumsum(totals), words, pairs_at, pair, contexts_at, context, bases, np.searchsorted(own[order], np.arange(len(context) + 1)), place[order]]
+        follow = codes(pair_count / (totals[pair // many] + strength[0]))
+        weight = codes(strength[1] / (context_count + strength[1]))
+        triple = codes((counts / (context_count[own] + strength[1]))[order])
+        return packed(*(x for level in levels for x in EliasFano.encode(level)), follow, weight, triple)
 
     @staticmethod
     def open(data: bytes) -> Trie:
-        place = mmap.mmap(-1, len(data))
-        place[:] = data
-        x = unpacked(place)
-        return Trie(EliasFano.of(*x[0:3]), x[3], EliasFano.of(*x[4:7]), EliasFano.of(*x[7:10]), x[10])
-
-    def word_counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word, or -1, and its count."""
-        at = self.words.find(words)
-        return at, np.where(at >= 0, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0)
-
-    def pair_codes(self, node: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 if it never stood there."""
-        known = np.flatnonzero(node >= 0)
-        out = np.zeros(len(node), np.uint8)
-        at = node[known]
-        keys = (at.astype(np.uint64) << np.uint64(32)) | before[known].astype(np.uint64)
-        lo, hi = self.pointers[at].astype(np.int64), self.pointers[at + 1].astype(np.int64)
-        place = self.pairs.find(keys, lo, hi)
-        seen = place >= 0
-        out[known[seen]] = self.codes[place[seen]]
+        """The trie in a file of its own, which goes with the last use of it."""
+        with tempfile.TemporaryFile() as file:
+            file.write(data)
+            file.flush()
+            x = unpacked(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+        return Trie(*(EliasFano(*x[4 * k : 4 * k + 4]) for k in range(10)), *x[40:])
+
+    def total(self, root: np.ndarray) -> np.ndarray:
+        """How often each root (hash) was followed; 0 if it is not known."""
+        at = self.roots.find(root)
+        seen = np.flatnonzero(at >= 0)
+        out = np.zeros(len(root), np.int64)
+        upto = self.totals[at[seen]].astype(np.int64)
+        first = at[seen] > 0
+        upto[first] -= self.totals[at[seen][first] - 1].astype(np.int64)
+        out[seen] = upto
         return out
 
-
-def decoded(codes: np.ndarray) -> np.ndarray:
-    """Counts from codes."""
-    table = np.concatenate([[0.0], 2.0 ** (np.arange(255) / STEPS)])
-    return table[codes]
+    def probabilities(self, root: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of each (root, before, word): after both words, after the root alone, and the context's back-off weight; 0, 0 and 1 where nothing is known."""
+        triple, follow, weight = np.zeros(len(root), np.uint16), np.zeros(len(root), np.uint16), np.full(len(root), codes(np.ones(1))[0])
+        many = np.uint64(self.words.n + 1)
+        found = lambda of, x: (lambda u, back: of.find(u)[back])(*np.unique(x, return_inverse=True))
+        r, w, u = found(self.roots, root), found(self.words, word), found(self.words, before)
+        at = np.flatnonzero(r >= 0)
+        ends = lambda of, k: (of[k].astype(np.int64), of[k + 1].astype(np.int64))
+        # a known root's own range of each level
+        own = r[at]
+        lo, hi = ends(self.follows, own)
+        pair = np.where(w[at] >= 0, self.follow.find(own.astype(np.uint64) * many + np.maximum(w[at], 0).astype(np.uint64), lo, hi), -1)
+        first, last = ends(self.contexts, own)
+        context = np.where(u[at] >= 0, self.context.find(own.astype(np.uint64) * many + np.maximum(u[at], 0).astype(np.uint64), first, last), -1)
+        hit = pair >= 0
+        follow[at[hit]] = self.follow_codes[pair[hit]]
+        hit = context >= 0
+        weight[at[hit]] = self.back_codes[context[hit]]
+        both = np.flatnonzero((pair >= 0) & (context >= 0))
+        offset = self.bases[own[both]].astype(np.int64) + (context[both] - first[both]) * (hi - lo)[both]
+        a, b = ends(self.triples, context[both])
+        place = self.triple.find((offset + pair[both] - lo[both]).astype(np.uint64), a, b)
+        hit = place >= 0
+        triple[at[both[hit]]] = self.triple_codes[place[hit]]
+        return triple, follow, weight

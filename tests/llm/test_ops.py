@@ -249,27 +249,39 @@ def test_licenses(spark, docs, none):
     assert licenses.license_scan(none).count() == 0
 
 
-def test_lm_scores(spark, none):
+@pytest.mark.parametrize("hot", [perplexity.HOT, 40])
+def test_lm_scores(spark, none, hot):
     from pyspark.sql import functions as F
 
     from swatchwork.llm import common
 
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(8, TEXTS[8]), (None, BASE)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = perplexity.lm_scores(docs, common.fold(F.col("doc_id"), 7) == 2, shard_bytes=20_000, block_words=5_000).collect()
+    got = perplexity.lm_scores(docs, common.fold(F.col("doc_id"), 7) == 2, shard_bytes=20_000, block_words=5_000, hot=hot).collect()
     assert len(got) == len(rows)
     tokens = {k: [*words(t), "\n"] for k, t in rows}
     train = [tokens[k] for k, _ in rows if fold(k, 7) != 2]
     count = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip(["\r", *t], t, strict=False))
+    after, before, pairs, triples = (collections.Counter() for _ in range(4))
+    for t in train:
+        for u, v, w in zip(["\r\r", "\r", *t], ["\r", *t], t, strict=False):
+            after[v] += 1
+            before[u, v] += 1
+            pairs[v, w] += 1
+            triples[u, v, w] += 1
     n, v = sum(count.values()), len(count)
+    k2, k3 = perplexity.STRENGTH
     for r in got:
         t = tokens[r.doc_id]
         share = [(count[w] + 1) / (n + v + 1) for w in t]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(map(math.log10, share)))
-        exact = sum(math.log10((pairs[p] + perplexity.STRENGTH * s) / (count["\n" if p[0] == "\r" else p[0]] + perplexity.STRENGTH)) for p, s in zip(zip(["\r", *t], t, strict=False), share, strict=True))
-        assert abs(r.score - exact) <= 0.02 * len(t)  # what quantising costs: half a step of 1/8 in the binary logarithm, a token
+        exact = 0
+        for u, v_, w, s in zip(["\r\r", "\r", *t], ["\r", *t], t, share, strict=False):
+            two = (pairs[v_, w] + k2 * s) / (after[v_] + k2)
+            exact += math.log10((triples[u, v_, w] + k3 * two) / (before[u, v_] + k3))
+        # half a step of a quantised logarithm for each of at most two factors
+        assert abs(r.score - exact) <= len(t) * math.log10(2) / trie.STEPS
     assert perplexity.lm_scores(none, F.lit(False)).count() == 0
 
 
@@ -277,12 +289,19 @@ def test_elias_fano():
     import numpy as np
 
     g = np.random.default_rng(2)
-    for n in (0, 1, 5, 3000):
-        values = np.unique(g.integers(0, 1 << 40, n, dtype=np.uint64))
-        ef = trie.EliasFano.of(*trie.EliasFano.encode(values))
-        keys = np.concatenate([values, g.integers(0, 1 << 41, 50, dtype=np.uint64)])
-        want = [int(np.searchsorted(values, k)) if k in values else -1 for k in keys]
-        assert ef.find(keys).tolist() == want
+    for n in (0, 1, 5, 3000, 200_000):
+        for top in (60, 40, 12, 64):
+            values = np.unique(g.integers(0, (1 << top) - 1, n, dtype=np.uint64))
+            ef = trie.EliasFano(*trie.EliasFano.encode(values))
+            keys = np.concatenate([values[:2000], g.integers(0, (1 << top) - 1, 50, dtype=np.uint64)])
+            at = np.searchsorted(values, keys)
+            want = [int(i) if i < len(values) and values[i] == k else -1 for i, k in zip(at, keys, strict=True)]
+            assert ef.find(keys).tolist() == want
+            assert (ef[np.arange(len(values))] == values).all()
+            assert not n or len(values) < 1000 or ef.low.nbytes + ef.upper.nbytes <= len(values) * (2.6 + max(0, math.log2(values[-1] / len(values)))) / 8 + 200
+    counts = np.array([0, 1 << 40, 3 << 50])
+    built = trie.Trie.open(trie.Trie.build(np.array([3, 5, 9], np.uint64), np.array([1, 2], np.uint64), np.array([[1, 0, 1], [2, 1, 0]]), counts[1:], counts, (1.0, 1.0)))
+    assert built.total(np.array([3, 5, 9, 11], np.uint64)).tolist() == [0, 1 << 40, 3 << 50, 0]
 
 
 def test_pages(spark):
