@@ -6,8 +6,8 @@ after it, in the order of folders and paths, that are not copies of it. The bloc
 subsequence, and shared ones are template and go. An article only protects the blocks in it; what stands outside stays
 unless it is shared.
 
-Large hosts are dealt into parts of bounded size by a hash of the folder or, in larger folders, of the path, so that no
-host ends up in one task; each part is paired on its own.
+Pages are put in order by a range partitioning, so a host of any size is spread over as many tasks as its pages need, and
+pass by one after another. A page at the edge of a partition is compared with its one neighbour there.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swatchwork.llm import common
 
-#: Pages of a host that are put in order together, about, and of a folder that is not dealt out.
-PART, TOGETHER = 256, 32
+#: Entries of an alignment's table; longer pages are aligned in halves.
+TABLE = 1 << 22
 #: Elements whose content is never main text, and elements without content.
 SKIPPED = frozenset("head title script style noscript template nav header footer aside form button select textarea option iframe svg canvas object dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -126,28 +126,26 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
     return out, inside
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [blocks(x or "") for x in batch.column("html").to_pylist()]
-        columns = [batch.column(c) for c in ("page_id", "url", "host", "folder", "path")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([x for _, x in found], pa.list_(pa.bool_()))], names=["page_id", "url", "host", "folder", "path", "lines", "inside"])
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x and every front of y."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(np.where(y == v, row[:-1] + 1, 0), row[1:]))
+    return row
 
 
-def shared(a: list, b: list) -> np.ndarray:
-    """Which entries of a are in a longest common subsequence of a and b; those at both ends count off first."""
-    out = np.zeros(len(a), bool)
-    lo, hi_a, hi_b = 0, len(a), len(b)
-    while lo < min(hi_a, hi_b) and a[lo] == b[lo]:
-        out[lo] = True
-        lo += 1
-    while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
-        hi_a, hi_b = hi_a - 1, hi_b - 1
-        out[hi_a] = True
-    both = set(a[lo:hi_a]) & set(b[lo:hi_b])
-    if not both:
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which entries of x are in one longest common subsequence of x and y; memory is bounded by TABLE and both lengths."""
+    out = np.zeros(len(x), bool)
+    if not len(x) or not len(y):
         return out
-    at = [k for k in range(lo, hi_a) if a[k] in both]
-    x, y = np.array([hash(a[k]) for k in at]), np.array([hash(v) for v in b[lo:hi_b] if v in both])
+    if len(x) == 1:
+        out[0] = bool((y == x[0]).any())
+        return out
+    if (len(x) + 1) * (len(y) + 1) > TABLE:  # halves of x with the fronts and ends of y that suit them best
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return np.concatenate([_common(x[:half], y[:cut]), _common(x[half:], y[cut:])])
     table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     for i in range(len(x) - 1, -1, -1):
         match = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
@@ -155,7 +153,7 @@ def shared(a: list, b: list) -> np.ndarray:
     i = j = 0
     while i < len(x) and j < len(y):
         if x[i] == y[j] and table[i, j] == table[i + 1, j + 1] + 1:
-            out[at[i]] = True
+            out[i] = True
             i, j = i + 1, j + 1
         elif table[i + 1, j] >= table[i, j + 1]:
             i += 1
@@ -164,50 +162,91 @@ def shared(a: list, b: list) -> np.ndarray:
     return out
 
 
+def shared(a: list, b: list) -> np.ndarray:
+    """Which entries of a are in a longest common subsequence of a and b; those at both ends count off first."""
+    out = np.zeros(len(a), bool)
+    lo, hi_a, hi_b = 0, len(a), len(b)
+    while lo < min(hi_a, hi_b) and a[lo] == b[lo]:
+        out[lo] = True
+        lo += 1
+    while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
+        hi_a, hi_b = hi_a - 1, hi_b - 1
+        out[hi_a] = True
+    number = {v: k for k, v in enumerate(set(a[lo:hi_a]) & set(b[lo:hi_b]))}
+    at = [k for k in range(lo, hi_a) if a[k] in number]
+    out[at] = _common(np.array([number[a[k]] for k in at], np.int64), np.array([number[v] for v in b[lo:hi_b] if v in number], np.int64))
+    return out
+
+
+def _main(lines: list[str], inside: list[bool], neighbours: list[list[str]]) -> str:
+    """The lines that no neighbour shares, and those in an article: documents share passages, so these stay."""
+    keep = np.ones(len(lines), bool)
+    if not all(inside):
+        for other in neighbours:
+            keep &= ~shared(lines, other) | np.array(inside)
+    return "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pages in the order of their URLs to their main texts."""
+    out: list[tuple] = []
+    host, before, lines = None, None, None  # the last page that differs from the present run of copies, and the run's lines
+    run: list[tuple] = []
+
+    def close(after: list[str] | None) -> None:
+        texts: dict[tuple, str] = {}
+        for page_id, url, inside in run:
+            key = tuple(inside)
+            if key not in texts:
+                texts[key] = _main(lines, inside, [x for x in (before, after) if x is not None])
+            out.append((page_id, url, texts[key]))
+        run.clear()
+
+    def ready() -> pa.RecordBatch:
+        ids, urls, texts = zip(*out, strict=True)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
     for batch in batches:
-        texts = []
-        for lines, inside, hashes, before, after in zip(*(batch.column(c).to_pylist() for c in ("lines", "inside", "hashes", "before", "after")), strict=True):
-            keep = np.ones(len(lines), bool)
-            for other in (before, after):
-                if other and not all(inside):
-                    keep &= ~shared(hashes, other) | np.array(inside)  # documents share passages, so what is in an article stays
-            texts.append("\n".join(x for x, k in zip(lines, keep, strict=True) if k))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for page_id, url, own, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "html")), strict=True):
+            page_id, url, own = page_id.as_py(), url.as_py(), own.as_py()
+            found, inside = blocks(page.as_py() or "")
+            if not found:  # says nothing about the template
+                out.append((page_id, url, ""))
+                continue
+            if not own:
+                out.append((page_id, url, _main(found, inside, [])))
+                continue
+            if own != host:
+                close(None)
+                host, before, lines = own, None, found
+            elif found != lines:
+                close(found)
+                before, lines = lines, found
+            run.append((page_id, url, inside))
+        if out:
+            yield ready()
+    close(None)
+    if out:
+        yield ready()
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages`` (page_id, url, html): the main text of the whole page.
 
-    Blocks are joined by one line feed. Null and empty pages have an empty text. Pages with a null url, and pages that
-    are alone on their host, are judged by their own marks only; so are those of a part that has only copies of them.
-    Repeated rows stay, other columns are not looked at, and an empty table gives an empty table.
+    Blocks are joined by one line feed. Null and empty pages have an empty text. Pages with a null url or without a host,
+    and pages that are alone on their host but for copies, are judged by their own marks only. Pages of one path are in the
+    order of the rest of their URLs, then of their ids; repeated rows stay and have one text. Pages of any length are read
+    and aligned whole. Other columns are not looked at, and an empty table gives an empty table.
     """
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     place = F.regexp_replace(rest, r"[?#].*$", "")
-    host = F.lower(F.substring_index(place, "/", 1))
     path = F.regexp_replace(F.expr("substring(place, length(substring_index(place, '/', 1)) + 1)"), "/+$", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("place", place).withColumn("host", host).withColumn("path", path).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    rows = rows.select("page_id", "url", "host", "folder", "path", "html")
-    counts = rows.groupBy("host", "folder").agg(F.count("*").alias("n"))
-    per_host = counts.groupBy("host").agg(F.sum("n").alias("host_n"))
-    counts = common.stored(counts.join(per_host, "host"))  # a row for each folder; its size decides how it is joined
-    lines = rows.mapInArrow(_cut, "page_id long, url string, host string, folder string, path string, lines array<string>, inside array<boolean>")
-    lines = lines.join(counts, ["host", "folder"])
-    dealt = F.xxhash64(F.when(F.col("n") > TOGETHER, F.col("path")).otherwise(F.col("folder")))
-    lines = lines.withColumn("part", F.pmod(dealt, F.ceil(F.col("host_n") / PART)))
-    # pages without a line say nothing about the template and stand in no line
-    lines = lines.withColumn("blank", F.when(F.size("lines") == 0, F.xxhash64("page_id")))
-    near = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    # copies of a page stand beside each other and would hide the template from one another: the first of a run has the page before, and the run takes it on
-    parts, order = Window.partitionBy("host", "part", "blank"), ["folder", "path", "page_id", F.xxhash64("lines")]
-    for name, line in (("before", parts.orderBy(*order)), ("after", parts.orderBy(*(F.desc(x) if isinstance(x, str) else x.desc() for x in order)))):
-        near = near.withColumn(name, F.lag("hashes").over(line))
-        near = near.withColumn(name, F.last(F.when(F.col(name) != F.col("hashes"), F.col(name)), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    known = F.col("host") != ""
-    near = near.withColumn("before", F.when(known, F.col("before"))).withColumn("after", F.when(known, F.col("after")))
-    return near.select("page_id", "url", "lines", "inside", "hashes", "before", "after").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    rows = rows.withColumn("place", place).withColumn("host", F.lower(F.substring_index("place", "/", 1))).withColumn("path", path).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    order = ["host", "folder", "path", F.coalesce("url", F.lit("")), F.xxhash64("page_id"), "page_id"]
+    rows = rows.select("page_id", "url", "host", "folder", "path", "html").repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.select("page_id", "url", "host", "html").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
