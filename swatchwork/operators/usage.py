@@ -24,13 +24,20 @@ def interactive() -> Column:
     return F.col("tag").isin("a", "button") | F.lower("class_list").rlike("btn|button|link|cta")
 
 
+def parsed(rows: DataFrame, *columns: str) -> DataFrame:
+    """(text, hex, r, g, b, a, luminance) of the distinct colour texts in these columns: each is read once, however many elements have it."""
+    texts = rows.select(F.explode(F.array(*columns)).alias("text")).distinct()
+    read = texts.select("text", C.parse_color(F.col("text")).alias("c")).where("c is not null").select("text", "c.*").distinct()  # the second distinct keeps the reading out of what follows
+    return read.select("text", C.to_hex(F.struct("r", "g", "b")).alias("hex"), "r", "g", "b", "a", C.luminance(F.struct("r", "g", "b")).alias("luminance"))
+
+
 def color_usage(elements: DataFrame) -> DataFrame:
     """Per page and colour: places, contexts, background area and interactive backgrounds, first place."""
     use = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), F.col(col).alias("text")) for c, col in (("text", "color"), ("background", "background"))))).alias("use")
     rows = elements.select("page_id", "ord", "area", interactive().alias("acts"), use)
     # a page has few distinct texts of colours: they are counted first and read then
     texts = rows.groupBy("page_id", "use.context", "use.text").agg(F.count("*").alias("uses"), F.sum("area").alias("area"), F.count(F.when(F.col("acts"), 1)).alias("acts"), F.min("ord").alias("first_ord"))
-    texts = texts.withColumn("c", C.parse_color(F.col("text"))).where("c.a > 0").withColumn("hex", C.to_hex(F.col("c")))
+    texts = texts.join(parsed(elements, "color", "background").where("a > 0").select("text", "hex"), "text")
     back = F.col("context") == "background"
     return texts.groupBy("page_id", "hex").agg(
         F.sum("uses").alias("uses"),
@@ -101,12 +108,13 @@ def contrast_pairs(elements: DataFrame) -> DataFrame:
     """Text on background, by pair: places, largest size, contrast and its level; failing pairs first."""
     # pairs of texts are counted first and read then
     rows = elements.groupBy("page_id", "color", "background", "font_size", "font_weight").agg(F.count("*").alias("n"))
-    rows = rows.select("page_id", C.parse_color(F.col("color")).alias("fg"), C.parse_color(F.col("background")).alias("bg"), T.number(F.col("font_size")).alias("size"), (F.col("font_weight") >= "700").alias("bold"), "n")
-    rows = rows.where("fg.a >= 0.9 and bg.a >= 0.9 and (fg.r, fg.g, fg.b) != (bg.r, bg.g, bg.b)")
-    large = (F.col("size") >= 18) | ((F.col("size") >= 14) & F.col("bold"))
-    pairs = rows.groupBy("page_id", "fg", "bg").agg(F.sum("n").alias("uses"), F.max("size").alias("max_size"), F.bool_or(large).alias("large"))
-    ratio = C.contrast(F.col("fg"), F.col("bg"))
-    return pairs.select("page_id", C.to_hex(F.col("fg")).alias("fg"), C.to_hex(F.col("bg")).alias("bg"), "uses", "max_size", "large", F.round(ratio, 4).alias("ratio"), C.contrast_level(ratio, F.col("large")).alias("level"))
+    read = parsed(elements, "color", "background").where("a >= 0.9").select("text", "hex", "luminance")
+    rows = rows.join(read.toDF("color", "fg", "fg_light"), "color").join(read.toDF("background", "bg", "bg_light"), "background").where("fg != bg")
+    rows = rows.withColumn("size", T.number(F.col("font_size")))
+    large = (F.col("size") >= 18) | ((F.col("size") >= 14) & (F.col("font_weight") >= "700"))
+    pairs = rows.groupBy("page_id", "fg", "bg", "fg_light", "bg_light").agg(F.sum("n").alias("uses"), F.max("size").alias("max_size"), F.bool_or(large).alias("large"))
+    ratio = (F.greatest("fg_light", "bg_light") + 0.05) / (F.least("fg_light", "bg_light") + 0.05)
+    return pairs.select("page_id", "fg", "bg", "uses", "max_size", "large", F.round(ratio, 4).alias("ratio"), C.contrast_level(ratio, F.col("large")).alias("level"))
 
 
 def contrast_score(elements: DataFrame) -> DataFrame:
@@ -124,8 +132,10 @@ def contrast_remediation(elements: DataFrame, palette: DataFrame) -> DataFrame:
         raise ValueError("a palette has at most 1000 colours")
     failing = contrast_pairs(elements).where("level = 'FAIL'").select("page_id", "fg", "bg", "large")
     backs = failing.select("bg", "large").distinct()
-    ratio = C.contrast(C.parse_color(F.col("hex")), C.parse_color(F.col("bg")))
-    choices = backs.join(F.broadcast(palette)).withColumn("r", F.round(ratio, 6)).where(F.col("r") >= F.when(F.col("large"), 3.0).otherwise(4.5))
+    choice = parsed(palette, "hex").select(F.col("text").alias("hex"), F.col("luminance").alias("light")).join(palette, "hex")
+    light = parsed(backs, "bg").select(F.col("text").alias("bg"), F.col("luminance").alias("bg_light"))
+    ratio = (F.greatest("light", "bg_light") + 0.05) / (F.least("light", "bg_light") + 0.05)
+    choices = backs.join(light, "bg").join(F.broadcast(choice)).withColumn("r", F.round(ratio, 6)).where(F.col("r") >= F.when(F.col("large"), 3.0).otherwise(4.5))
     best = choices.groupBy("bg", "large").agg(F.max(F.struct("r", (-F.col("rank")).alias("minus"), "hex")).alias("best"))
     return failing.join(best, ["bg", "large"], "left").select("page_id", "fg", "bg", "large", F.col("best.hex").alias("suggestion"), F.round("best.r", 4).alias("new_ratio"))
 
@@ -135,8 +145,9 @@ def nearest_palette(elements: DataFrame, palette: DataFrame, tolerance: float =
     if palette.limit(1001).count() > 1000:
         raise ValueError("a palette has at most 1000 colours")
     used = color_usage(elements).select("page_id", "hex")
-    d = C.rgb_distance(C.parse_color(F.col("hex")), C.parse_color(F.col("token")))
-    pairs = used.select("hex").distinct().join(F.broadcast(palette.select(F.col("hex").alias("token"), "rank"))).withColumn("d", F.round(d, 4))
+    own = parsed(used, "hex").select(F.col("text").alias("hex"), F.struct("r", "g", "b").alias("c"))
+    tokens = parsed(palette, "hex").select(F.col("text").alias("token"), F.struct("r", "g", "b").alias("t")).join(palette.withColumnRenamed("hex", "token"), "token")
+    pairs = own.join(F.broadcast(tokens)).select("hex", "token", "rank", F.round(C.rgb_distance(F.col("c"), F.col("t")), 4).alias("d"))
     near = pairs.groupBy("hex").agg(F.min(F.struct("d", "rank", "token")).alias("near"))
     return used.join(near, "hex").select("page_id", "hex", F.col("near.token").alias("token"), F.col("near.d").alias("distance"), (F.col("near.d") <= tolerance).alias("known"))
 
@@ -164,10 +175,14 @@ def shadow_usage(elements: DataFrame) -> DataFrame:
 
 
 def motion_profile(elements: DataFrame) -> DataFrame:
-    """Per page, duration band and easing family: transitions and their mean duration."""
-    m = lambda k: F.regexp_extract("transition", r"^\S+ (\S+) (.+)$", k)
+    """Per page, duration band and easing family: transitions and their mean duration. Each layer of a transition counts."""
+    texts = elements.groupBy("page_id", "transition").agg(F.count("*").alias("n"))
+    read = texts.select("transition").distinct().select("transition", F.explode(T.layers(F.col("transition"))).alias("layer")).distinct()
+    m = lambda k: F.regexp_extract("layer", r"^\S+ (\S+) (.+)$", k)
     ms = T.milliseconds(m(1))
-    return elements.groupBy("page_id", T.duration_band(ms).alias("band"), T.easing_family(m(2)).alias("easing")).agg(F.count("*").alias("uses"), F.round(F.avg(ms), 4).alias("mean_ms"))
+    many = read.groupBy("transition", T.duration_band(ms).alias("band"), T.easing_family(m(2)).alias("easing")).agg(F.count("*").alias("layers"), F.sum(ms).alias("ms"))
+    rows = texts.join(many, "transition").groupBy("page_id", "band", "easing").agg(F.sum(F.col("n") * F.col("layers")).alias("uses"), F.sum(F.col("n") * F.col("ms")).alias("ms"))
+    return rows.select("page_id", "band", "easing", "uses", F.round(F.col("ms") / F.col("uses"), 4).alias("mean_ms"))
 
 
 def radius_histogram(elements: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ query("voice_tone", "SELECT doc_id AS id, " + ", ".join(f"{_MANY(w)} > 0 AS {n}"
 )
 
 # --- sites -------------------------------------------------------------------------------------------------------------
-_SITE = f"site AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, page_id AS page, href AS value, 1 AS uses FROM (WITH {_LINKS} SELECT * FROM k WHERE rank <= 60))"
+_SITE = f"site AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, page_id AS page, href AS value, 1 AS uses FROM (WITH {_LINKS} SELECT * FROM k))"
 _COVER = f"""{_SITE}, n AS (SELECT site, count(DISTINCT page) AS total FROM site GROUP BY site), c AS (SELECT site, value, count(DISTINCT page) AS pages, any_value(total) AS total, sum(uses)::BIGINT AS uses FROM site JOIN n USING (site) GROUP BY site, value),
   cover AS (SELECT *, round(pages / total, 2) AS coverage, CASE WHEN pages / total >= 0.8 THEN 'site-wide' WHEN pages / total >= 0.4 THEN 'recurring' ELSE 'local' END AS scope FROM c)"""
 
@@ -218,7 +218,7 @@ def _route_tokens(e: DataFrame, value: str = "radius") -> DataFrame:
 
 
 _ROUTE_SQL = """rt AS (SELECT route, token, value FROM (SELECT page_id AS route, tag || '-' || font_weight AS token, radius AS value, row_number() OVER (PARTITION BY page_id, tag || '-' || font_weight ORDER BY count(*) DESC, radius) AS k FROM elements GROUP BY 1, 2, 3) WHERE k = 1)"""
-on_elements("route_reconcile", f""", {_ROUTE_SQL}, r4 AS (SELECT * FROM rt WHERE route % 24 = 0)
+on_elements("route_reconcile", f""", {_ROUTE_SQL}, r4 AS (SELECT * FROM rt)
   SELECT token, count(DISTINCT route) AS routes, count(DISTINCT value) AS values, CASE WHEN count(DISTINCT value) = 1 AND count(DISTINCT route) = (SELECT count(DISTINCT route) FROM r4) THEN 'shared' WHEN count(DISTINCT route) = 1 THEN 'added' ELSE 'changed' END AS status
   FROM r4 GROUP BY token""")(lambda e: compare.reconcile_routes(_route_tokens(e)))
 on_elements("profile_diff", f""", {_ROUTE_SQL}, a AS (SELECT route || '/' || token AS key, value FROM rt WHERE route % 3 <> 1), b AS (SELECT (route % 50) || '/' || token AS key, min(value) AS value FROM rt WHERE route % 3 <> 0 GROUP BY 1)
@@ -255,8 +255,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", unit.alias("vector"))
 
 
-_VEC = "vec AS (SELECT vec_id AS id, list_transform(embedding[1:30], lambda x: least(greatest((x::DOUBLE + 1) / 2, 0.0), 1.0)) AS vector FROM embeddings)"
-query("vector_knn", f"""WITH {_VEC}, p AS (SELECT a.id AS query_id, b.id, round(list_reduce(list_transform(generate_series(1, 30), lambda i: abs(a.vector[i] - b.vector[i])), lambda x, y: x + y) / 30, 6) AS distance FROM vec a, vec b WHERE a.id <> b.id AND a.id % 100 = 0)
+_VEC = "vec AS (SELECT vec_id AS id, list_transform(embedding, lambda x: least(greatest((x::DOUBLE + 1) / 2, 0.0), 1.0)) AS vector FROM embeddings)"
+query("vector_knn", f"""WITH {_VEC}, p AS (SELECT a.id AS query_id, b.id, round(list_reduce(list_transform(generate_series(1, len(a.vector)), lambda i: abs(a.vector[i] - b.vector[i])), lambda x, y: x + y) / len(a.vector), 6) AS distance FROM vec a, vec b WHERE a.id <> b.id AND a.id % 100 = 0)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 5""")(
     lambda s, d: vectors.nearest(_vectors(s, d).where("id % 100 = 0").select("id", "vector"), _vectors(s, d).select("id", "vector"))
 )
@@ -313,7 +313,7 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("token_resolve", """WITH RECURSIVE t AS (SELECT 't' || event_id AS path, CASE WHEN event_id % 4 = 0 THEN 'v' || event_id ELSE '{t' || (event_id // 2) || '}' END AS value FROM events),
-  c AS (SELECT path, value, 0 AS hops FROM t UNION ALL SELECT c.path, t.value, hops + 1 FROM c JOIN t ON c.value = '{' || t.path || '}' WHERE hops < 15),
+  c AS (SELECT path, value, 0 AS hops FROM t UNION ALL SELECT c.path, t.value, hops + 1 FROM c JOIN t ON c.value = '{' || t.path || '}'),
   e AS (SELECT path, value AS resolved, hops FROM c WHERE value NOT LIKE '{%') SELECT t.path, e.resolved, e.hops FROM t LEFT JOIN e ON t.path = e.path""")
 def token_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
