@@ -6,10 +6,12 @@ and K2 / (c(v) + K2), and P(w) = (c(w) + 1) / (N + V + 1). Shares and back-off w
 that is cut into shards of bounded size by the hash of its roots, the last words of contexts.
 
 One aggregate counts the words of all training texts. Then texts are read in blocks. A block sends each shard its distinct
-entries (root, word before, word) with the counts that its training texts give, in one compact row; words go as places in
-a list of 64-bit hashes, so nothing is told apart by less. A shard sums what all blocks sent, builds its trie as a mapped
+entries (root, word before, word) with the counts that its training texts give, in one compact row. Roots go as 64-bit hashes and
+the other two as 32 bits beside their root: of n words at one root n * n / 2**33 pairs are expected to fall together, less
+than one below 90,000 words and some hundred of the million that a root has at most. A shard sums what all blocks sent, builds its trie as a mapped
 file, and answers every block in the block's own order; a block's answers meet its texts, which by then are rows of
-numbers. Entries thus move once for each block and not for each place they stand at, and a block sends nothing to a shard
+numbers. An answer has two quantised numbers for each entry, the share of orders three and two and what is left for the
+word alone. Entries thus move once for each block and not for each place they stand at, and a block sends nothing to a shard
 that it has no entry for, so there are never more messages than entries.
 
 A word that is so frequent that its entries would outgrow a shard is cut into several roots: its contexts by the word
@@ -26,22 +28,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swatchwork.llm import common, textbatch
-from swatchwork.llm.trie import Trie, decoded, packed, unpacked
+from swatchwork.llm.trie import BITS, Trie, codes, decoded, packed, unpacked
 
 #: Words of a block, bytes of text for each shard, and places from which on a word has several roots.
-BLOCK_WORDS, SHARD_BYTES, HOT = 3_000_000, 48 << 20, 4_000_000
+BLOCK_WORDS, SHARD_BYTES, HOT = 2_000_000, 12 << 20, 1_000_000
 #: K2 and K3: how many places of a context weigh as much as what the shorter context says.
 STRENGTH = (256.0, 16.0)
 _START, _BEGIN, _END, _NONE = (np.uint64(x) for x in (0x13198A2E03707344, 0x243F6A8885A308D3, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
 
 
 def _small(*arrays: np.ndarray) -> bytes:
-    data = packed(*arrays)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    """Arrays in little space: bytes of one weight of an array's numbers stand together."""
+    data = packed(*(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).ravel() if x.itemsize > 1 else x for x in arrays), np.array([ord(x.dtype.kind) * 256 + x.itemsize for x in arrays], np.int64))
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def _large(data: bytes) -> list[np.ndarray]:
-    return unpacked(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+    *arrays, kinds = unpacked(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+    kinds = [np.dtype(f"{chr(k // 256)}{k % 256}") for k in kinds]
+    return [np.ascontiguousarray(x.reshape(k.itemsize, -1).T).view(k).ravel() if k.itemsize > 1 else x.view(k) for x, k in zip(arrays, kinds, strict=True)]
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 class _Hot:
@@ -63,11 +73,19 @@ class _Hot:
         slot = textbatch.mixed(other + np.uint64(side)) % self.slots[hot]
         return textbatch.mixed(self.words[hot] + (slot * np.uint64(4) + np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15))
 
+    def _all(self, side: int) -> tuple[np.ndarray, np.ndarray]:
+        slots = self.slots.astype(np.int64)
+        own = np.repeat(np.arange(len(self.words)), slots)
+        slot = (np.arange(len(own)) - np.repeat(np.cumsum(slots) - slots, slots)).astype(np.uint64)
+        return textbatch.mixed(self.words[own] + (slot * np.uint64(4) + np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15)), own
+
+    def contexts(self) -> np.ndarray:
+        """Roots of the contexts of frequent words."""
+        return self._all(1)[0]
+
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Roots of what follows a frequent word, sorted, and the word's count: such a root sees only a part of it."""
-        own = np.repeat(np.arange(len(self.words)), self.slots.astype(np.int64))
-        slot = (np.arange(len(own)) - np.repeat(np.cumsum(self.slots.astype(np.int64)) - self.slots.astype(np.int64), self.slots.astype(np.int64))).astype(np.uint64)
-        roots = textbatch.mixed(self.words[own] + (slot * np.uint64(4) + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15))
+        roots, own = self._all(2)
         order = np.argsort(roots)
         return roots[order], self.counts[own][order]
 
@@ -85,10 +103,12 @@ class _Block:
         last[first] = begin
         second = first[sizes > 0] + 1
         before[first], before[second] = start, begin
-        learned = np.repeat(~held, sizes + 1)
+        del first, second
         context, self.context = np.unique(last * many + before, return_inverse=True)
+        del before, last
         entry, self.entry = np.unique(self.context * many + self.token, return_inverse=True)
-        self.counts = np.bincount(self.entry[learned], minlength=len(entry))
+        del self.context, self.token
+        self.counts = np.bincount(self.entry[np.repeat(~held, sizes + 1)], minlength=len(entry))
         self.word, own = entry % many, context[entry // many]
         self.last, self.before = own // many, own % many
         self.root = words[self.last]
@@ -115,12 +135,21 @@ class _Block:
         edge = np.searchsorted(shard, np.arange(shards + 1))
         for k in np.flatnonzero(np.diff(edge)):
             own = slice(edge[k], edge[k + 1])
-            used, at = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
             n = edge[k + 1] - edge[k]
             fresh = np.ones(n, bool)
             fresh[1:] = root[own][1:] != root[own][:-1]
             begin = np.flatnonzero(fresh)
-            yield int(k), _small(root[own][begin], np.diff(np.append(begin, n)).astype(np.uint32), self.words[used], at[:n].astype(np.uint32), at[n:].astype(np.uint32), counts[own].astype(np.uint32))
+            part = (self.words >> np.uint64(64 - BITS)).astype(np.uint32)
+            context = np.ones(n, bool)
+            context[1:] = fresh[1:] | (before[own][1:] != before[own][:-1])
+            at = np.flatnonzero(context)
+            yield int(k), _small(_steps(root[own][begin]), np.diff(np.append(begin, n)).astype(np.uint32), part[before[own][at]], np.diff(np.append(at, n)).astype(np.uint32), part[word[own]], counts[own].astype(np.uint32))
+
+
+def _entries(data: bytes) -> tuple[np.ndarray, ...]:
+    """(roots, entries of each, before, word, count) of a question."""
+    root, many, before, uses, word, counts = _large(data)
+    return np.cumsum(root, dtype=np.uint64), many, np.repeat(before.astype(np.uint64), uses), word.astype(np.uint64), counts
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple]:
@@ -183,7 +212,11 @@ def _ask(shards: int, block_words: int, hot: _Hot):
 def _tell(block_words: int):
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, null, held, sizes, words, token in _blocks(batches, block_words):
-            data = _small(ids, null, held, sizes, words, token)
+            # frequent words get small numbers
+            often = np.bincount(token, minlength=len(words)).astype(np.uint32)
+            place = np.empty(len(words), np.uint32)
+            place[np.argsort(-often.astype(np.int64), kind="stable")] = np.arange(len(words))
+            data = _small(ids, null, held, sizes, _steps(words), often, place[token])
             yield pa.RecordBatch.from_arrays([pa.array([_name(ids, sizes, words, token)], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=["block", "shard", "data"])
 
     return tell
@@ -193,36 +226,47 @@ def _answer(hot: _Hot):
     hot_roots, hot_totals = hot.totals()
 
     def answer(table: pa.Table) -> pa.Table:
-        """Sums what the blocks sent to one shard, builds its trie and answers each block: roots' totals, and three codes for each entry."""
+        """Sums what the blocks sent to one shard, builds its trie and answers each block: roots' totals, and two codes for each entry."""
         data = [x.as_buffer() for x in table.column("data")]
-        names = [_large(x)[0:3:2] for x in data]
-        roots = np.unique(np.concatenate([x[0] for x in names]))
-        words = np.unique(np.concatenate([x[1] for x in names]))
-        del names
-        keys, sums = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-        for one in data:
-            root, many, used, before, word, counts = _large(one)
-            at, seen = np.searchsorted(words, used), np.flatnonzero(counts)
-            r = np.repeat(np.searchsorted(roots, root), many)
-            new = np.stack([r * len(words) + at[before], at[word]], 1)[seen]
-            keys, sums = np.concatenate([keys, new]), np.concatenate([sums, counts[seen].astype(np.int64)])
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            keys, sums = keys[order], sums[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = (keys[1:] != keys[:-1]).any(1)
+        roots = np.unique(np.concatenate([np.cumsum(_large(x)[0], dtype=np.uint64) for x in data]))
+        parts: list[tuple] = []
+
+        def summed() -> tuple:
+            context, word, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((word, context))
+            context, word, sums = context[order], word[order], sums[order]
+            first = np.ones(len(word), bool)
+            first[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
             at = np.flatnonzero(first)
-            keys, sums = keys[at], np.add.reduceat(sums, at) if len(at) else sums
-        entries = np.stack([keys[:, 0] // len(words), keys[:, 0] % len(words), keys[:, 1]], 1)
-        totals = np.bincount(entries[:, 0], sums, len(roots)).astype(np.int64)
+            return context[at], word[at], np.add.reduceat(sums, at) if len(at) else sums
+
+        for one in data:
+            root, many, before, word, counts = _entries(one)
+            seen = np.flatnonzero(counts)
+            own = np.repeat(np.searchsorted(roots, root), many)[seen].astype(np.uint64)
+            parts.append(((own << np.uint64(BITS)) | before[seen], word[seen], counts[seen].astype(np.int64)))
+            if sum(len(x[1]) for x in parts[1:]) > 2 * len(parts[0][1]) + 1_000_000:  # sums now and then keep memory near what they need
+                parts = [summed()]
+        context, word, sums = summed()
+        del parts
+        root, before = (context >> np.uint64(BITS)).astype(np.int64), context & np.uint64((1 << BITS) - 1)
+        totals = np.bincount(root, sums, len(roots)).astype(np.int64)
+        cut = np.zeros(len(roots), bool)
         if len(hot_roots):
             at = np.minimum(np.searchsorted(hot_roots, roots), len(hot_roots) - 1)
-            totals = np.where(hot_roots[at] == roots, hot_totals[at], totals)
-        trie = Trie.open(Trie.build(roots, words, entries, sums, totals, STRENGTH))
-        del keys, sums, entries
+            cut = hot_roots[at] == roots
+            totals = np.where(cut, hot_totals[at], totals)
+        trie = Trie.open(Trie.build(roots, root, before, word, sums, totals, STRENGTH))
+        del context, root, before, word, sums
+        parts_of = np.union1d(hot_roots, hot.contexts())  # roots of frequent words: what follows the word alone is told apart
         out = []
         for one in data:
-            root, many, used, before, word, _ = _large(one)
-            out.append(_small(trie.total(root), many, *trie.probabilities(np.repeat(root, many), used[before], used[word])))
+            root, many, before, word, _ = _entries(one)
+            triple, follow, weight = trie.probabilities(np.repeat(root, many), before, word)
+            alone = np.repeat(np.isin(root, hot_roots), many)
+            whole = np.repeat(~np.isin(root, parts_of), many)
+            share = np.where(alone, follow, triple + np.where(whole, weight * follow, 0.0))
+            out.append(_small(trie.total(root), many, codes(share), codes(weight)))
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(out, pa.binary())})
 
     return answer
@@ -235,15 +279,16 @@ def _score(train: int, distinct: int, ends: int, hot: _Hot):
         if not told or len(told) > 1 and len({x.as_buffer().to_pybytes() for x in told}) > 1:
             raise ValueError("the documents were not the same rows when they were read again; write them to a table first")
         answers = answers[:: len(told)]
-        ids, null, held, sizes, words, token = _large(told[0].as_buffer())
+        ids, null, held, sizes, words, often, token = _large(told[0].as_buffer())
+        words, token, null, held = np.cumsum(words, dtype=np.uint64), np.argsort(-often.astype(np.int64), kind="stable")[token], null.astype(bool), held.astype(bool)
         block = _Block(words, token, held, sizes, hot)
-        codes = [np.empty(len(block.order), np.uint16) for _ in range(3)]
+        told_codes = [np.empty(len(block.order), np.uint16) for _ in range(2)]
         roots = np.empty(len(block.order), np.int64)
         many = np.concatenate([x[1] for x in answers])
         if many.sum() != len(block.order):
             raise ValueError("the documents were not the same rows when they were read again; write them to a table first")
-        for k in range(3):
-            codes[k][block.order] = np.concatenate([x[2 + k] for x in answers])
+        for k in range(2):
+            told_codes[k][block.order] = np.concatenate([x[2 + k] for x in answers])
         roots[block.order] = np.repeat(np.concatenate([x[0] for x in answers]), many)
         # how often each word stands in training texts: as often as it is followed, but for the end
         n = len(block.last)
@@ -252,22 +297,22 @@ def _score(train: int, distinct: int, ends: int, hot: _Hot):
         frequent = np.flatnonzero(block.frequent >= 0)
         count[block.last[frequent]] = hot.counts[block.frequent[frequent]]
         count[np.searchsorted(words, _END)] = ends
-        triple, follow, weight = (x[:n] for x in codes)
+        shares, weight = (decoded(x) for x in told_codes)
+        chance, weight = shares[:n].copy(), weight[:n]
         if len(frequent):
-            follow = follow.copy()
-            follow[frequent] = codes[1][block.pair[frequent]]
+            chance[frequent] += weight[frequent] * shares[block.pair[frequent]]
         share = (count + 1) / (train + distinct + 1)
-        word, last = block.word[:n], block.last
+        last = block.last
         context = count[last].astype(np.float64)
         context[last == np.searchsorted(words, _BEGIN)] = ends
-        chance = decoded(triple) + decoded(weight) * (decoded(follow) + STRENGTH[0] / (context + STRENGTH[0]) * share[word])
+        chance += weight * STRENGTH[0] / (context + STRENGTH[0]) * share[block.word[:n]]
         row = np.repeat(np.arange(len(sizes)), sizes + 1)
         total = lambda x: np.bincount(row, x, len(sizes))
         known = total(count[token] > 0).astype(np.int64)
         out = pa.table(
             {
-                "doc_id": pa.array(ids, mask=null.astype(bool)),
-                "held_out": pa.array(held.astype(bool)),
+                "doc_id": pa.array(ids, mask=null),
+                "held_out": pa.array(held),
                 "n_tokens": pa.array(sizes + 1),
                 "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(len(sizes), train, np.int64)),
@@ -293,11 +338,11 @@ def lm_scores(docs: DataFrame, held_out, shard_bytes: int = SHARD_BYTES, block_w
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = common.stored(rows.mapInArrow(_counted(block_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = rows.mapInArrow(_counted(block_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     end = int(_END.view(np.int64))
-    r = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("n")))).first()
-    often = words.where((F.col("n") >= hot) & (F.col("word") != end)).toArrow()  # N / hot rows at most
-    known = _Hot(often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy(), hot)
+    often = F.collect_list(F.when((F.col("n") >= hot) & (F.col("word") != end), F.struct("word", "n")))  # N / hot rows at most
+    r = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("n"))), often).first()
+    known = _Hot(np.array([x[0] for x in r[3]], np.int64).view(np.uint64), np.array([x[1] for x in r[3]], np.int64), hot)
     shards = max(4, -(-size // shard_bytes))
     questions = rows.mapInArrow(_ask(shards, block_words, known), "shard int, block long, data binary")
     answers = questions.groupBy("shard").applyInArrow(_answer(known), "block long, shard int, data binary")

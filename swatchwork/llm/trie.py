@@ -1,4 +1,4 @@
-"""An n-gram trie in Elias-Fano levels: words, what follows each, what stood before it, and what follows both.
+"""An n-gram trie in Elias-Fano levels: roots, what follows each, what stood before it, and what follows both.
 
 A level is a monotone sequence: upper parts in unary with a directory of counts, lower parts at their exact width, both
 packed into 64-bit words. Pointers into the next level are monotone sequences too. Entries of the last level are not
@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Steps of a quantised binary logarithm; a code of two bytes reaches down to 2**-63.
-STEPS = 1024
-_BLOCK = 8  # words of the directory's blocks
-_AT_ONCE = 1 << 16
+#: Steps of a quantised binary logarithm; a code of two bytes reaches down to 2**-255.
+STEPS = 256
+#: Bits of a word's hash inside its root.
+BITS = 32
+_AT_ONCE = 1 << 17
 _BITS = np.array([[i for i in range(8) if b >> i & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)], np.int64)
-_COUNT = np.array([bin(b).count("1") for b in range(256)], np.int64)
+_M1, _M2, _M4, _EACH = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01))
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -76,29 +77,47 @@ class EliasFano:
         high = (values >> np.uint64(width)).astype(np.int64)
         size = (int(high[-1]) if n else 0) + n + 1
         at = high + np.arange(n)
-        upper = np.zeros(-(-size // (64 * _BLOCK)) * _BLOCK, np.uint64)
+        upper = np.zeros(-(-size // 64), np.uint64)
         np.bitwise_or.at(upper, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(upper).reshape(-1, _BLOCK).sum(1, dtype=np.int64))])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)])
         return [np.array([n, width, most], np.uint64), low, upper, ones]
 
     def _select(self, k: np.ndarray, bit: bool) -> np.ndarray:
         """Place of the k-th set (or unset) bit, counting from 0, of the upper parts."""
-        blocks = np.arange(len(self.ones)) * (64 * _BLOCK)
-        before = self.ones if bit else blocks - self.ones
+        before = self.ones if bit else np.arange(len(self.ones)) * 64 - self.ones
         out = np.empty(len(k), np.int64)
         for a in range(0, len(k), _AT_ONCE):
             own = k[a : a + _AT_ONCE]
-            b = np.searchsorted(before, own, "right") - 1
-            left = own - before[b]
-            word = self.upper.reshape(-1, _BLOCK)[b]
-            data = (word if bit else ~word).view(np.uint8)
-            held = np.cumsum(_COUNT[data], axis=1)
-            byte = (held <= left[:, None]).sum(1)
-            line = np.arange(len(own))
-            left = left - np.where(byte > 0, held[line, byte - 1], 0)
-            out[a : a + _AT_ONCE] = b * (64 * _BLOCK) + byte * 8 + _BITS[data[line, byte], left]
+            at = np.searchsorted(before, own, "right") - 1
+            left = (own - before[at]).astype(np.uint8)
+            word = self.upper[at] if bit else ~self.upper[at]
+            # set bits of each byte, then of it and all bytes below
+            held = word - ((word >> np.uint64(1)) & _M1)
+            held = (held & _M2) + ((held >> np.uint64(2)) & _M2)
+            held = ((held + (held >> np.uint64(4))) & _M4) * _EACH
+            byte = (held.view(np.uint8).reshape(-1, 8) <= left[:, None]).sum(1, dtype=np.uint64)
+            shift = byte << np.uint64(3)
+            left = left - (((held << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.uint8)
+            out[a : a + _AT_ONCE] = at * 64 + shift.astype(np.int64) + _BITS[((word >> shift) & np.uint64(255)).astype(np.uint8), left]
         return out
 
+    def _next(self, place: np.ndarray, k: np.ndarray, bit: bool) -> np.ndarray:
+        """Place of the next such bit after the k-th, which is at ``place``: mostly in the same word."""
+        word = self.upper[place >> 6]
+        shift = (place & 63).astype(np.uint64)
+        word = ((word if bit else ~word) >> shift) >> np.uint64(1)
+        out = place + 1 + np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(word == 0)
+        out[far] = self._select(k[far] + 1, bit)
+        return out
+
+    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries at each place and at the one after it."""
+        place = self._select(at, True)
+        values = ((p - k).astype(np.uint64) << np.uint64(self.width) | self._low(k) for p, k in ((place, at), (self._next(place, at, True), at + 1)))
+        first, second = (x.astype(np.int64) for x in values)
+        return first, second
+
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.uint64)
@@ -119,8 +138,10 @@ class EliasFano:
         key = keys[ask]
         high = (key >> np.uint64(self.width)).astype(np.int64)
         # entries with one upper part stand between two unset bits
-        a = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        b = self._select(high, False) - high
+        before = np.maximum(high - 1, 0)
+        place = self._select(before, False)
+        a = np.where(high > 0, place - high + 1, 0)
+        b = np.where(high > 0, self._next(place, before, False), place) - high
         if lo is not None:
             a, b = np.maximum(a, lo[ask]), np.minimum(b, hi[ask])
         low, end = key & np.uint64((1 << self.width) - 1), b.copy()
@@ -137,11 +158,13 @@ class EliasFano:
 
 @dataclass
 class Trie:
-    """Roots (last words of contexts), what follows a root, contexts (root and the word before), what follows a context."""
+    """Roots (last words of contexts), what follows a root, contexts (root and the word before), what follows a context.
+
+    Words are BITS-bit hashes inside the range of their root.
+    """
 
     roots: EliasFano
     totals: EliasFano
-    words: EliasFano
     follows: EliasFano
     follow: EliasFano
     contexts: EliasFano
@@ -154,28 +177,29 @@ class Trie:
     triple_codes: np.ndarray
 
     @staticmethod
-    def build(roots: np.ndarray, words: np.ndarray, entries: np.ndarray, counts: np.ndarray, totals: np.ndarray, strength: tuple[float, float]) -> bytes:
-        """``roots`` and ``words`` are sorted hashes; ``entries`` rows (root, before, word) of places in them, sorted, with ``counts``.
+    def build(roots: np.ndarray, root: np.ndarray, before: np.ndarray, word: np.ndarray, counts: np.ndarray, totals: np.ndarray, strength: tuple[float, float]) -> bytes:
+        """``roots`` are sorted hashes; entries (root: a place in them, before, word) are distinct and sorted, with ``counts``.
 
         ``totals`` has how often each root was followed; an entry's discounted probability after two words is
         c / (c(context) + strength[1]), that after one is c / (total + strength[0]).
         """
-        many = len(words) + 1
-        pair, back = np.unique(entries[:, 0] * many + entries[:, 2], return_inverse=True)
+        key = lambda x: (root.astype(np.uint64) << np.uint64(BITS)) | x
+        pair, back = np.unique(key(word), return_inverse=True)
         pair_count = np.bincount(back, counts, len(pair)).astype(np.int64)
-        context, own = np.unique(entries[:, 0] * many + entries[:, 1], return_inverse=True)
+        context, own = np.unique(key(before), return_inverse=True)
         context_count = np.bincount(own, counts, len(context)).astype(np.int64)
-        edge = lambda of: np.searchsorted(of // many, np.arange(len(roots) + 1))
+        place_of = lambda of: (of >> np.uint64(BITS)).astype(np.int64)
+        edge = lambda of: np.searchsorted(place_of(of), np.arange(len(roots) + 1))
         pairs_at, contexts_at = edge(pair), edge(context)
         # the place of a word among all that follow the root stands for it
         size = np.diff(pairs_at)
         bases = np.concatenate([[0], np.cumsum(size * np.diff(contexts_at))])
-        root = context // many
-        offset = bases[root] + (np.arange(len(context)) - contexts_at[root]) * size[root]
-        place = offset[own] + back - pairs_at[entries[:, 0]]
+        at = place_of(context)
+        offset = bases[at] + (np.arange(len(context)) - contexts_at[at]) * size[at]
+        place = offset[own] + back - pairs_at[root]
         order = np.argsort(place, kind="stable")
-        levels = [roots, np.cumsum(totals), words, pairs_at, pair, contexts_at, context, bases, np.searchsorted(own[order], np.arange(len(context) + 1)), place[order]]
-        follow = codes(pair_count / (totals[pair // many] + strength[0]))
+        levels = [roots, np.cumsum(totals), pairs_at, pair, contexts_at, context, bases, np.searchsorted(own[order], np.arange(len(context) + 1)), place[order]]
+        follow = codes(pair_count / (totals[place_of(pair)] + strength[0]))
         weight = codes(strength[1] / (context_count + strength[1]))
         triple = codes((counts / (context_count[own] + strength[1]))[order])
         return packed(*(x for level in levels for x in EliasFano.encode(level)), follow, weight, triple)
@@ -187,7 +211,7 @@ class Trie:
             file.write(data)
             file.flush()
             x = unpacked(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-        return Trie(*(EliasFano(*x[4 * k : 4 * k + 4]) for k in range(10)), *x[40:])
+        return Trie(*(EliasFano(*x[4 * k : 4 * k + 4]) for k in range(9)), *x[36:])
 
     def total(self, root: np.ndarray) -> np.ndarray:
         """How often each root (hash) was followed; 0 if it is not known."""
@@ -201,27 +225,28 @@ class Trie:
         return out
 
     def probabilities(self, root: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of each (root, before, word): after both words, after the root alone, and the context's back-off weight; 0, 0 and 1 where nothing is known."""
-        triple, follow, weight = np.zeros(len(root), np.uint16), np.zeros(len(root), np.uint16), np.full(len(root), codes(np.ones(1))[0])
-        many = np.uint64(self.words.n + 1)
-        found = lambda of, x: (lambda u, back: of.find(u)[back])(*np.unique(x, return_inverse=True))
-        r, w, u = found(self.roots, root), found(self.words, word), found(self.words, before)
+        """Probabilities of each (root, before, word), decoded: after both words, after the root alone, and the context's back-off weight; 0, 0 and 1 where nothing is known."""
+        triple, follow, weight = np.zeros(len(root)), np.zeros(len(root)), np.ones(len(root))
+        fresh = np.ones(len(root), bool)
+        fresh[1:] = root[1:] != root[:-1]
+        first = np.flatnonzero(fresh)
+        r = np.repeat(self.roots.find(root[first]), np.diff(np.append(first, len(root))))
         at = np.flatnonzero(r >= 0)
-        ends = lambda of, k: (of[k].astype(np.int64), of[k + 1].astype(np.int64))
-        # a known root's own range of each level
         own = r[at]
-        lo, hi = ends(self.follows, own)
-        pair = np.where(w[at] >= 0, self.follow.find(own.astype(np.uint64) * many + np.maximum(w[at], 0).astype(np.uint64), lo, hi), -1)
-        first, last = ends(self.contexts, own)
-        context = np.where(u[at] >= 0, self.context.find(own.astype(np.uint64) * many + np.maximum(u[at], 0).astype(np.uint64), first, last), -1)
+        key = lambda x: (own.astype(np.uint64) << np.uint64(BITS)) | x[at]
+        # a known root's own range of each level
+        used, back = np.unique(own, return_inverse=True)
+        lo, hi, low, high = (x[back] for of in (self.follows, self.contexts) for x in of.pair(used))
+        pair = self.follow.find(key(word), lo, hi)
         hit = pair >= 0
-        follow[at[hit]] = self.follow_codes[pair[hit]]
+        follow[at[hit]] = decoded(self.follow_codes[pair[hit]])
+        context = self.context.find(key(before), low, high)
         hit = context >= 0
-        weight[at[hit]] = self.back_codes[context[hit]]
+        weight[at[hit]] = decoded(self.back_codes[context[hit]])
         both = np.flatnonzero((pair >= 0) & (context >= 0))
-        offset = self.bases[own[both]].astype(np.int64) + (context[both] - first[both]) * (hi - lo)[both]
-        a, b = ends(self.triples, context[both])
+        offset = self.bases[own[both]].astype(np.int64) + (context[both] - low[both]) * (hi - lo)[both]
+        a, b = self.triples.pair(context[both])
         place = self.triple.find((offset + pair[both] - lo[both]).astype(np.uint64), a, b)
         hit = place >= 0
-        triple[at[both[hit]]] = self.triple_codes[place[hit]]
+        triple[at[both[hit]]] = decoded(self.triple_codes[place[hit]])
         return triple, follow, weight

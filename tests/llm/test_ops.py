@@ -280,8 +280,8 @@ def test_lm_scores(spark, none, hot):
         for u, v_, w, s in zip(["\r\r", "\r", *t], ["\r", *t], t, share, strict=False):
             two = (pairs[v_, w] + k2 * s) / (after[v_] + k2)
             exact += math.log10((triples[u, v_, w] + k3 * two) / (before[u, v_] + k3))
-        # half a step of a quantised logarithm for each of at most two factors
-        assert abs(r.score - exact) <= len(t) * math.log10(2) / trie.STEPS
+        # half a step of a quantised logarithm for each of two numbers in the trie, and again in the answer
+        assert abs(r.score - exact) <= 2 * len(t) * math.log10(2) / trie.STEPS
     assert perplexity.lm_scores(none, F.lit(False)).count() == 0
 
 
@@ -300,7 +300,7 @@ def test_elias_fano():
             assert (ef[np.arange(len(values))] == values).all()
             assert not n or len(values) < 1000 or ef.low.nbytes + ef.upper.nbytes <= len(values) * (2.6 + max(0, math.log2(values[-1] / len(values)))) / 8 + 200
     counts = np.array([0, 1 << 40, 3 << 50])
-    built = trie.Trie.open(trie.Trie.build(np.array([3, 5, 9], np.uint64), np.array([1, 2], np.uint64), np.array([[1, 0, 1], [2, 1, 0]]), counts[1:], counts, (1.0, 1.0)))
+    built = trie.Trie.open(trie.Trie.build(np.array([3, 5, 9], np.uint64), np.array([1, 2]), np.array([7, 8], np.uint64), np.array([1, 0], np.uint64), counts[1:], counts, (1.0, 1.0)))
     assert built.total(np.array([3, 5, 9, 11], np.uint64)).tolist() == [0, 1 << 40, 3 << 50, 0]
 
 
