@@ -46,7 +46,7 @@ class Model:
 @cache
 def _letters() -> np.ndarray:
     """Which code points are letters by their Unicode class."""
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def _in_letter(data: np.ndarray) -> np.ndarray:

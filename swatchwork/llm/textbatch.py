@@ -122,3 +122,4 @@ def pieces(column: pa.Array, lower: bool = False, size: int = PIECE_BYTES) -> It
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield Piece(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, lower)
         first = last
+    pa.default_memory_pool().release_unused()  # workers live on between stages
