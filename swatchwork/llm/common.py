@@ -50,6 +50,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Whole rows go to Python workers and back in batches of so many rows and bytes at most, for the rest of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A stored table of narrow rows, marked for a broadcast if it has at most ``rows`` rows; Spark joins it by a shuffle otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

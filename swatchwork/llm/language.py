@@ -370,9 +370,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_judged(piece, model) for piece in textbatch.pieces(batch.column("text"), lower=True)]
-            if found:
-                yield batch.filter(pa.array(np.concatenate([(best < len(model.labels)) & (score >= least) for _, best, score, *_ in found])))
+            for piece in textbatch.pieces(batch.column("text"), lower=True):
+                _, best, score, *_ = _judged(piece, model)
+                yield batch.slice(piece.first, piece.n).filter(pa.array((best < len(model.labels)) & (score >= least)))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -158,9 +158,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(features(piece)) >= THRESHOLD for piece in textbatch.pieces(batch.column("text"))]
-            if found:
-                yield batch.filter(pa.array(np.concatenate(found)))
+            for piece in textbatch.pieces(batch.column("text")):
+                yield batch.slice(piece.first, piece.n).filter(pa.array(model.score(features(piece)) >= THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)
 
