@@ -32,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     nothing can be learned, all rows go. Repeated rows are kept or rejected together. Whole texts of any length are read.
     An empty table gives an empty table, with all columns, whatever they are called.
     """
+    common.bounded_batches(spark)
     return language.keep_identified(docs, language.learn(docs), LEAST_LANGUAGE)
 
 
@@ -42,6 +43,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     good texts all rows stay. Repeated rows are kept or rejected together. Whole texts of any length are read. An empty
     table gives an empty table, with all columns, whatever they are called.
     """
+    common.bounded_batches(spark)
     return quality.keep_good(docs, quality.learn(docs, common.table(spark, sf_dir, "labels")))
 
 
@@ -52,6 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     give way to those with one. Null and empty texts are in no group. Whole texts of any length are read. An empty table
     gives an empty table, with all columns, whatever they are called.
     """
+    common.bounded_batches(spark)
     ids = _ids_and_texts(docs)
     several = common.small(common.stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("several"))))
     kept = _without(docs, neardup.near_duplicates(ids).where("not kept"))
@@ -67,6 +70,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     empty texts stay. Whole texts of any length are read. An empty table gives an empty table, and with an empty benchmark
     all rows stay, with all columns, whatever they are called.
     """
+    common.bounded_batches(spark)
     return _without(docs, decontaminate.contaminated(_ids_and_texts(docs), common.table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
