@@ -28,6 +28,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TILT = 0.125
 #: Ranks are whole numbers of RANK_BITS bits, looked at BIN_BITS at a time; documents that fill a source's last gap.
 RANK_BITS, BIN_BITS, FILLERS = 33, 11, 8
+#: Share of its target by which a source may miss it before its cut goes back.
+NEAR = 0.002
 SEED = 17
 
 
@@ -99,6 +101,26 @@ def _fillers(units: DataFrame, cuts: DataFrame) -> DataFrame:
     return now
 
 
+def _ends(units: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source_key, cut, gap, fillers) of the sources that do not take all drawn documents.
+
+    Where what is left behind the cut is too long for the gap, the cut goes back by as much as the shortest of it is long,
+    and the larger gap is filled; of the two ends, the nearer to the target counts.
+    """
+    first = _fillers(units, _cuts(units, plan))
+    far = first.join(plan.select("source_key", "rest", "target").distinct(), "source_key").where(F.abs("gap") > NEAR * F.col("target")).select("source_key", "cut", "gap", "fillers", "rest")
+    far = common.small(common.stored(far))
+    left = units.join(far, "source_key").where((F.col("rank") >= F.col("cut")) & ~F.array_contains("fillers", F.col("rank")))
+    lower = common.stored(left.groupBy("source_key", "rest").agg(F.min("words").alias("need")).where("need <= rest"))
+    if lower.isEmpty():
+        return first
+    lower = common.small(lower)
+    cuts = _cuts(units, lower.select("source_key", (F.col("rest") - F.col("need")).alias("rest"))).join(lower, "source_key")
+    again = _fillers(units, cuts.select("source_key", "cut", (F.col("gap") + F.col("need")).alias("gap")))
+    nearer = F.min_by(F.struct("cut", "gap", "fillers"), F.abs("gap")).alias("end")
+    return first.unionByName(again).groupBy("source_key").agg(nearer).select("source_key", "end.*")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, certain, chance), a row for each row of ``docs`` (doc_id, text, source).
 
@@ -128,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     rank = F.when(drawn, F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("long"))
     rows = rows.join(common.small(plan), ["source_key", "size_class"]).withColumn("rank", rank)
     units = common.stored(rows.where("rank is not null").groupBy("source_key", "rank").agg(F.sum("size").alias("words")))
-    ends = _fillers(units, _cuts(units, plan))
+    ends = common.stored(_ends(units, plan))
     rows = rows.join(common.small(ends.select("source_key", "cut", "fillers")), "source_key", "left")
     more = F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("rank") < F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("rank")), F.lit(False)))
     n = F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0)
