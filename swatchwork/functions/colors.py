@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from swatchwork.functions.csstext import bound
+
 #: Named colours.
 NAMED = {"black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "gray": "#808080", "grey": "#808080", "yellow": "#ffff00", "orange": "#ffa500", "purple": "#800080"}
 _RGB = r"^rgba?\(\s*(\d+)[\s,]+(\d+)[\s,]+(\d+)(?:\s*[,/]\s*([\d.]+))?\s*\)$"
@@ -14,17 +16,20 @@ _HEX3 = r"^#([0-9a-f])([0-9a-f])([0-9a-f])([0-9a-f])?$"
 
 def parse_color(text: Column) -> Column:
     """A struct of r, g, b (int) and a (double) from rgb(), rgba(), hex and some names; null for anything else."""
-    t = F.lower(F.trim(text))
     named = F.create_map(*(F.lit(x) for pair in {**NAMED, "transparent": "rgba(0, 0, 0, 0)"}.items() for x in pair))
-    t = F.coalesce(F.try_element_at(named, t), t)
-    number = lambda s: F.conv(s, 16, 10).cast("int")
-    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
-    alpha = F.when(part(_RGB, 4) == "", 1.0).otherwise(part(_RGB, 4).try_cast("double"))
-    rgb = F.struct(*(part(_RGB, k).try_cast("int").alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))), alpha.alias("a"))
-    six = F.struct(*(number(part(_HEX6, k)).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))), F.when(part(_HEX6, 4) == "", 1.0).otherwise(number(part(_HEX6, 4)) / 255.0).alias("a"))
-    twice = lambda k: F.concat(part(_HEX3, k), part(_HEX3, k))
-    three = F.struct(*(number(twice(k)).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))), F.when(part(_HEX3, 4) == "", 1.0).otherwise(number(twice(4)) / 255.0).alias("a"))
-    return F.when(t.rlike(_RGB), rgb).when(t.rlike(_HEX6), six).when(t.rlike(_HEX3), three)
+
+    def read(t: Column) -> Column:
+        number = lambda s: F.conv(s, 16, 10).cast("int")
+        part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+        alpha = F.when(part(_RGB, 4) == "", 1.0).otherwise(part(_RGB, 4).try_cast("double"))
+        rgb = F.struct(*(part(_RGB, k).try_cast("int").alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))), alpha.alias("a"))
+        six = F.struct(*(number(part(_HEX6, k)).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))), F.when(part(_HEX6, 4) == "", 1.0).otherwise(number(part(_HEX6, 4)) / 255.0).alias("a"))
+        twice = lambda k: F.concat(part(_HEX3, k), part(_HEX3, k))
+        three = F.struct(*(number(twice(k)).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))), F.when(part(_HEX3, 4) == "", 1.0).otherwise(number(twice(4)) / 255.0).alias("a"))
+        return F.when(t.rlike(_RGB), rgb).when(t.rlike(_HEX6), six).when(t.rlike(_HEX3), three)
+
+    plain = lambda t: F.coalesce(F.try_element_at(named, t), t)
+    return bound(bound(F.lower(F.trim(text)), plain), read)
 
 
 def to_hex(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,22 +33,46 @@ def duration_band(ms: Column) -> Column:
     return F.when(ms.isNotNull(), out.otherwise("xxl"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def arguments(text: Column, function: str) -> Column:
+    """The numbers between the brackets of a CSS function; null where there is none or one is no number."""
+    found = F.transform(F.split(F.nullif(F.regexp_extract(text, rf"{function}\(([^()]*)\)", 1), F.lit("")), ","), lambda x: F.trim(x).try_cast("double"))
+    return F.when(~F.exists(found, lambda x: x.isNull()), found)
+
+
+#: Families of easing words.
+EASING_WORDS = {"": "linear", "linear": "linear", "ease": "ease-in-out", "ease-in-out": "ease-in-out", "ease-in": "ease-in", "ease-out": "ease-out"}
+
+
 def easing_family(text: Column) -> Column:
-    """linear, ease, ease-in, ease-out, ease-in-out, spring (a control point beyond the unit range), steps or custom."""
-    t = F.lower(F.trim(text))
-    point = lambda k: F.regexp_extract(t, r"^cubic-bezier\(\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*\)$", k).try_cast("double")
-    x1, y1, x2, y2 = (point(k) for k in (1, 2, 3, 4))
-    return (
-        F.when(t.isin("linear", "ease", "ease-in", "ease-out", "ease-in-out"), t)
-        .when(t.startswith("steps"), "steps")
-        .when(y1.isNull(), "custom")
-        .when((y1 < 0) | (y1 > 1) | (y2 < 0) | (y2 > 1), "spring")
-        .when((x1 == y1) & (x2 == y2), "linear")
-        .when((x1 >= 0.3) & (x2 <= 0.7), "ease-in-out")
-        .when(x1 >= 0.3, "ease-in")
-        .when(x2 <= 0.7, "ease-out")
-        .otherwise("custom")
-    )
+    """linear, ease-in, ease-out, ease-in-out, spring, steps or custom; no text is linear.
+
+    A curve with a control point above 1 or below 0 is a spring. One that starts within a fifth and ends within a fifth of
+    the line's ends is ease-in-out; otherwise a flat start is ease-out, a steep end ease-in, and what is left goes by the
+    side of the diagonal on which both control points lie.
+    """
+    word = F.create_map(*(F.lit(x) for pair in EASING_WORDS.items() for x in pair))
+
+    def curve(p: Column) -> Column:
+        x1, y1, x2, y2 = (F.get(p, F.lit(k)) for k in range(4))
+        return (
+            F.when(F.coalesce(F.size(p), F.lit(0)) != 4, None)
+            .when(~(y1.between(0, 1) & y2.between(0, 1)), "spring")
+            .when((x1 < 0.2) & (x2 > 0.8), "ease-in-out")
+            .when(((x1 < 0.2) & (y1 < 0.2)), "ease-out")
+            .when(((x2 > 0.8) & (y2 > 0.8)) | ((y1 < x1) & (y2 < x2)), "ease-in")
+            .when((y1 > x1) & (y2 > x2), "ease-out")
+        )
+
+    def family(t: Column) -> Column:
+        steps = F.when(t.contains("steps") & ~t.contains("cubic-bezier"), "steps")
+        return F.coalesce(F.try_element_at(word, t), bound(arguments(t, "cubic-bezier"), curve), steps, F.lit("custom"))
+
+    return bound(F.coalesce(F.lower(F.trim(text)), F.lit("")), family)
 
 
 def class_tokens(text: Column) -> Column:

@@ -79,15 +79,44 @@ def brand_matrix(rows: DataFrame, brands: list[str]) -> DataFrame:
     return rows.groupBy("property").pivot("brand", brands).agg(F.round(F.sum("value"), 2))
 
 
+#: Weights of the sub-scores.
+WEIGHTS = {"color": 18, "typography": 18, "spacing": 18, "shadow": 9, "radius": 9, "accessibility": 15, "tokens": 5, "css": 8}
+
+
+def _steps(name: str, last: int, *steps: tuple[int, int]) -> Column:
+    """The score of the first step (most, score) that the count does not pass, ``last`` beyond all."""
+    return F.coalesce(*(F.when(F.col(name) <= most, score) for most, score in steps), F.when(F.col(name).isNotNull(), last))
+
+
 def system_score(usage: DataFrame) -> DataFrame:
-    """A weighted score from sub-scores by steps; sub-scores that are missing leave the weights. ``usage``: page_id, colors, sizes, spacings, radii, contrast."""
-    steps = lambda c, *cuts: F.when(F.col(c).isNotNull(), F.when(F.col(c) <= cuts[0], 100).when(F.col(c) <= cuts[1], 80).when(F.col(c) <= cuts[2], 60).otherwise(40))
-    parts = [("colors", steps("colors", 8, 15, 25), 18), ("sizes", steps("sizes", 5, 8, 12), 18), ("spacings", steps("spacings", 8, 12, 20), 18), ("radii", steps("radii", 3, 5, 8), 9), ("contrast", F.col("contrast"), 15)]
-    rows = usage.select("page_id", *(score.alias(name) for name, score, _ in parts))
-    total = sum((F.coalesce(F.col(name) * w, F.lit(0)) for name, _, w in parts), F.lit(0))
-    weights = sum((F.when(F.col(name).isNotNull(), w).otherwise(0) for name, _, w in parts), F.lit(0))
-    score = T.half_up(total / F.nullif(weights, F.lit(0))).cast("int")
-    grade = F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").when(score.isNotNull(), "F")
+    """Eight sub-scores, their weighted mean with halves up, and its grade. A sub-score that is null, as css without a stylesheet, leaves the weights.
+
+    ``usage``: page_id; counts colors, families, weights, sizes, spacings, on_base (spacings that the base unit divides),
+    shadows, radii, variables; whether there is a primary colour (has_primary) and a base unit (has_base); contrast, the
+    score of pairs; unused (percent), important, duplicates of the stylesheet, null if there is none.
+    """
+    off = lambda name, *steps: F.coalesce(*(F.when(F.col(name) >= least, points) for least, points in steps), F.lit(0))
+    color = _steps("colors", 35, (12, 100), (25, 92), (40, 80), (60, 65), (100, 50)) - F.when(F.col("has_primary"), 0).otherwise(15)
+    kinds = F.least(_steps("families", 50, (2, 100), (3, 80)), _steps("weights", 100, (3, 100), (5, 90), (7, 80)))
+    kinds = F.least(kinds - F.when(F.col("weights") > 7, 15).otherwise(0), _steps("sizes", 100, (8, 100), (14, 92), (20, 82)))
+    share = F.col("on_base") / F.nullif("spacings", F.lit(0))
+    based = F.when(F.col("has_base"), F.when(share >= 0.8, 100).when(share >= 0.6, 85).otherwise(75)).otherwise(F.when(F.col("variables") >= 20, 70).otherwise(55))
+    css = 100 - off("unused", (70, 30), (50, 20), (30, 10)) - off("important", (20, 20), (5, 10), (1, 5)) - off("duplicates", (20, 15), (5, 8), (1, 3))
+    parts = {
+        "color": color,
+        "typography": kinds - F.when(F.col("sizes") > 20, 10).otherwise(0),
+        "spacing": based - off("spacings", (51, 15), (36, 5)),
+        "shadow": _steps("shadows", 50, (0, 85), (5, 100), (10, 90), (18, 78), (28, 62)),
+        "radius": _steps("radii", 45, (4, 100), (7, 90), (10, 80), (15, 65)),
+        "accessibility": F.coalesce("contrast", F.lit(0)),
+        "tokens": 20 + off("variables", (20, 80), (10, 55), (1, 30)),
+        "css": F.when(F.coalesce("unused", "important", "duplicates").isNotNull(), F.greatest(css, F.lit(0))),
+    }
+    rows = usage.select("page_id", *(part.cast("int").alias(name) for name, part in parts.items()))
+    total = sum((F.coalesce(F.greatest(F.col(name), F.lit(0)) * w, F.lit(0)) for name, w in WEIGHTS.items()), F.lit(0))
+    weights = sum((F.when(F.col(name).isNotNull(), w).otherwise(0) for name, w in WEIGHTS.items()), F.lit(0))
+    score = F.coalesce(T.half_up(total / F.nullif(weights, F.lit(0))), F.lit(0)).cast("int")
+    grade = F.coalesce(*(F.when(score >= least, letter) for letter, least in (("A", 90), ("B", 80), ("C", 70), ("D", 60))), F.lit("F"))
     return rows.select("*", score.alias("score"), grade.alias("grade"))
 
 

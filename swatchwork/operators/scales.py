@@ -5,7 +5,6 @@ Folds run over the few distinct values of a page, not over its elements.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from swatchwork.functions import csstext as T
 
 #: Base units that are tried, and type ratios by name.
 UNITS = (2, 4, 5, 6, 7, 8, 10, 12, 16)
-RATIOS = {"minor-second": 1.067, "major-second": 1.125, "minor-third": 1.2, "major-third": 1.25, "perfect-fourth": 1.333, "augmented-fourth": 1.414, "perfect-fifth": 1.5, "golden": 1.618}
+RATIOS = {"minor second": 1.067, "major second": 1.125, "minor third": 1.2, "major third": 1.25, "perfect fourth": 1.333, "augmented fourth": 1.414, "perfect fifth": 1.5, "golden": 1.618}
 
 
 def spacing_values(elements: DataFrame, least: float = 0, most: float = 500) -> DataFrame:
@@ -71,17 +70,34 @@ def scale_ratios(values: DataFrame) -> DataFrame:
 
 
 def type_ratio(values: DataFrame) -> DataFrame:
-    """The named ratio whose whole powers come nearest to the steps of a page's sizes, with its mean error and fit."""
-    step = F.col("value") / F.lag("value").over(Window.partitionBy("page_id").orderBy("value"))
-    rows = values.withColumn("step", step).where("step > 1.01")
+    """The named ratio whose whole powers come nearest to the steps of a page's sizes (page_id, value).
+
+    (page_id, steps, ratio_name, ratio, fit, coverage, anchor): steps counts the distinct sizes. The error of a step is
+    relative to the power expected; a power above 3 costs 0.5 more and the mean power 0.03 for each beyond the first. Below
+    a fit of one half the name is ``irregular``; with under three sizes, or under two steps between 1.01 and 3, it is
+    ``none``. Coverage is the share of sizes within 5 percent of the ladder that grows from the best of them, the anchor.
+    """
+    line = Window.partitionBy("page_id").orderBy("value")
+    sizes = values.where("value > 0").select("page_id", F.col("value").cast("double").alias("value")).distinct()
+    rows = sizes.withColumn("step", F.col("value") / F.lag("value").over(line))
+    pages = values.select("page_id").distinct().join(sizes.groupBy("page_id").agg(F.array_sort(F.collect_list("value")).alias("sizes")), "page_id", "left")
+    steps = rows.where("step > 1.01 and step < 3")
     named = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.lit(r).alias("ratio")) for i, (n, r) in enumerate(RATIOS.items())))).alias("t")
-    rows = rows.select("page_id", "step", named).select("page_id", "step", "t.*")
-    power = F.greatest(F.lit(1.0), F.floor(F.log(F.col("step")) / F.log(F.col("ratio")) + 0.5))
-    rows = rows.withColumn("power", power).withColumn("error", F.abs(F.col("step") - F.pow("ratio", "power")) / F.col("step") + F.when(F.col("power") > 3, 0.5).otherwise(0.0))
-    fits = rows.groupBy("page_id", "rank", "name").agg(F.round(F.avg("error") + 0.03 * (F.avg("power") - 1), 6).alias("error"))
-    best = fits.groupBy("page_id").agg(F.min(F.struct("error", "rank", "name")).alias("best"))
-    fit = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("best.error") / 0.15)), 4)
-    return best.select("page_id", F.when(fit >= 0.5, F.col("best.name")).otherwise("custom").alias("ratio_name"), F.col("best.error").alias("error"), fit.alias("fit"))
+    fits = steps.select("page_id", "step", named).select("page_id", "step", "t.*")
+    fits = fits.withColumn("power", F.greatest(F.lit(1.0), T.half_up(F.log("step") / F.log("ratio"))))
+    off = F.abs(F.col("step") / F.pow("ratio", "power") - 1) + F.when(F.col("power") > 3, 0.5).otherwise(0.0)
+    fits = fits.groupBy("page_id", "rank", "name", "ratio").agg(F.count("*").alias("n"), F.round(F.avg(off) + 0.03 * (F.avg("power") - 1), 9).alias("error"))
+    best = fits.where("n > 1").groupBy("page_id").agg(F.min(F.struct("error", "rank", "name", "ratio")).alias("best"))
+    rows = pages.join(best, "page_id", "left").select("page_id", F.coalesce(F.size("sizes"), F.lit(0)).alias("steps"), "sizes", F.when(F.size("sizes") >= 3, F.col("best")).alias("best"))
+    fit = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("best.error") / 0.15)), F.lit(0.0))
+    rows = rows.withColumn("fit", fit).withColumn("ratio", F.when(F.col("fit") >= 0.5, F.col("best.ratio")))
+    rung = lambda a, s: a * F.pow("ratio", T.half_up(F.log(s / a) / F.log("ratio")))
+    hits = lambda a: F.size(F.filter("sizes", lambda s: F.abs(s / rung(a, s) - 1) <= 0.05))
+    ladder = F.array_max(F.transform("sizes", lambda a: F.struct(hits(a).alias("hits"), (-a).alias("minus"))))
+    rows = rows.withColumn("ladder", F.when(F.col("ratio").isNotNull(), ladder))
+    name = F.when(F.col("best").isNull(), "none").when(F.col("ratio").isNull(), "irregular").otherwise(F.col("best.name"))
+    two = lambda x: T.half_up(x * 100) / 100
+    return rows.select("page_id", "steps", name.alias("ratio_name"), "ratio", two(F.col("fit")).alias("fit"), F.coalesce(two(F.col("ladder.hits") / F.col("steps")), F.lit(0.0)).alias("coverage"), (-F.col("ladder.minus")).alias("anchor"))
 
 
 def near_duplicate_colors(colors: DataFrame, limit: float = 8.0) -> DataFrame:
@@ -97,24 +113,22 @@ def near_duplicate_colors(colors: DataFrame, limit: float = 8.0) -> DataFrame:
 
 
 def color_clusters(usage: DataFrame, threshold: float = 15.0) -> DataFrame:
-    """Greedy clusters of a page's colours (page_id, hex, uses, first_ord), most used first: each joins the first seed nearer than the threshold.
+    """Clusters of a page's colours (page_id, hex, uses, first_place): each joins the first seed nearer than the threshold, or becomes a seed, in order of first places.
 
-    The order of a page's colours decides, so a page is one group; its rows are its distinct colours.
+    (page_id, hex, uses, members, rank): the most used member, the first of equals, stands for its cluster. The fold keeps
+    the seeds of a page's distinct colours only; members then look up their seed.
     """
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[list] = []
-        for r in page.sort_values(["uses", "first_ord"], ascending=[False, True]).itertuples(index=False):
-            rgb = tuple(int(r.hex[k : k + 2], 16) for k in (1, 3, 5))
-            near = next((s for s in seeds if sum((a - b) ** 2 for a, b in zip(s[0], rgb, strict=True)) ** 0.5 < threshold), None)
-            if near is None:
-                seeds.append([rgb, r.hex, int(r.uses), 1])
-            else:
-                near[2] += int(r.uses)
-                near[3] += 1
-        return pd.DataFrame([(page.page_id.iloc[0], h, n, m) for _, h, n, m in seeds], columns=["page_id", "hex", "uses", "members"])
-
-    return usage.select("page_id", "hex", "uses", "first_ord").groupBy("page_id").applyInPandas(fold, "page_id long, hex string, uses long, members long")
+    rgb = F.struct(*(F.conv(F.substring("hex", k, 2), 16, 10).cast("int").alias(c) for k, c in ((2, "r"), (4, "g"), (6, "b"))))
+    rows = usage.select("page_id", "hex", "uses", "first_place", rgb.alias("c"))
+    near = lambda c: lambda s: C.rgb_distance(s, c) < threshold
+    fold = lambda seeds, x: F.when(F.exists(seeds, near(x["c"])), seeds).otherwise(F.array_append(seeds, x["c"]))
+    line = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("first_place", "hex", "c"))).alias("line"))
+    seeds = line.select("page_id", F.aggregate("line", F.array().cast("array<struct<r:int,g:int,b:int>>"), fold).alias("seeds"))
+    rows = rows.join(seeds, "page_id").withColumn("seed", F.get(F.filter("seeds", near(F.col("c"))), F.lit(0)))
+    best = F.max(F.struct("uses", (-F.col("first_place")).alias("minus"), "hex"))["hex"]
+    clusters = rows.groupBy("page_id", "seed").agg(best.alias("hex"), F.sum("uses").alias("uses"), F.count("*").alias("members"), F.min("first_place").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("uses"), F.asc("first"), F.asc("hex")))
+    return clusters.select("page_id", "hex", "uses", "members", rank.alias("rank"))
 
 
 def lightness_band(c: Column) -> Column:

@@ -12,19 +12,34 @@ from pyspark.sql import types as S
 
 from swatchwork.functions import csstext as T
 
-#: Standard breakpoints in pixels, and words of each category of variables in order.
-STANDARD = {"sm": 640, "md": 768, "lg": 1024, "xl": 1280, "2xl": 1536}
-CATEGORIES = [("color", "color|bg|background|text|border-color|fill"), ("spacing", "space|spacing|gap|margin|padding"), ("typography", "font|line|letter"), ("radius", "radius|rounded"), ("shadow", "shadow|elevation"), ("motion", "duration|ease|transition")]
+#: Labels of standard widths in pixels; words of categories and of states of variables, the first that fits counts.
+STANDARD = {320: "xs", 480: "sm", 640: "sm", 768: "md", 1024: "lg", 1280: "xl", 1536: "2xl"}
+CATEGORIES = {
+    "colors": "color|bg|foreground|primary|secondary|accent|muted|border|ring|destructive|card|popover|chart",
+    "spacing": "spacing|gap|padding|margin|space|size",
+    "typography": "font|text|line-height|letter|tracking|leading",
+    "shadows": "shadow",
+    "radii": "radius|rounded",
+}
+STATES = {
+    "success": "success|green|valid|positive",
+    "warning": "warning|warn|yellow|caution|amber",
+    "error": "error|danger|destructive|red|invalid|negative",
+    "info": "info|informati|blue|notice",
+}
 
 
 def breakpoints(queries: DataFrame) -> DataFrame:
-    """Widths of media queries (page_id, ord, query) in pixels; em and rem are 16; the last type of a width wins; the nearest standard label within 64."""
-    m = lambda k: F.regexp_extract("query", r"(min|max)-width:\s*([\d.]+)(px|em|rem)", k)
-    px = m(2).try_cast("double") * F.when(m(3) == "px", 1.0).otherwise(16.0)
-    rows = queries.select("page_id", "ord", m(1).alias("kind"), px.alias("px")).where("px is not null")
-    rows = rows.groupBy("page_id", "px").agg(F.max_by("kind", "ord").alias("kind"))
-    near = F.array_min(F.array(*(F.struct(F.abs(F.col("px") - w).alias("off"), F.lit(i).alias("rank"), F.lit(n).alias("label")) for i, (n, w) in enumerate(STANDARD.items()))))
-    return rows.select("page_id", "px", "kind", F.when(near["off"] <= 64, near["label"]).otherwise("custom").alias("label"))
+    """Widths of media queries (page_id, ord, query), whole pixels, em and rem as 16: the last bound of a width counts, a query's upper one after its lower one.
+
+    A width is labelled as the nearest standard one within 64 pixels, the smaller of two, or else by its own pixels.
+    """
+    bounds = [F.struct(F.lit(k).alias("turn"), F.lit(f"{side}-width").alias("kind"), F.regexp_extract("query", rf"{side}-width:\s*([\d.]+(?:px|em|rem))", 1).alias("width")) for k, side in enumerate(("min", "max"))]
+    rows = queries.select("page_id", "ord", F.explode(F.array(*bounds)).alias("b")).select("page_id", "ord", "b.*")
+    px = T.half_up(T.number(F.col("width")) * F.when(F.col("width").endswith("px"), 1.0).otherwise(16.0))
+    rows = rows.withColumn("px", px).where("px is not null").groupBy("page_id", "px").agg(F.max_by("kind", F.struct("ord", "turn")).alias("kind"))
+    near = F.array_min(F.array(*(F.struct(F.abs(F.col("px") - w).alias("off"), F.lit(w).alias("width"), F.lit(n).alias("label")) for w, n in STANDARD.items())))
+    return rows.select("page_id", "px", "kind", F.when(near["off"] <= 64, near["label"]).otherwise(F.concat(F.col("px").cast("string"), F.lit("px"))).alias("label"))
 
 
 def css_health(sheets: DataFrame) -> DataFrame:
@@ -39,13 +54,15 @@ def css_health(sheets: DataFrame) -> DataFrame:
     return own.join(again, "id", "left").select("id", "rules", "important", "vendor", "max_specificity", "mean_specificity", F.coalesce("repeated", F.lit(0)).alias("repeated"))
 
 
+def _first_that_fits(name, words: dict[str, str], otherwise: str | None):
+    return F.coalesce(*(F.when(name.rlike(pattern), label) for label, pattern in words.items()), F.lit(otherwise))
+
+
 def variable_categories(variables: DataFrame) -> DataFrame:
-    """Custom properties (page_id, name, value) by the first category whose word the name has, with the variables they refer to."""
-    label = F.lit(None).cast("string")
-    for name, words in reversed(CATEGORIES):
-        label = F.when(F.col("name").rlike(words), name).otherwise(label)
-    refs = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("value", F.lit(r"var\((--[\w-]+)"), 1))), ",")
-    return variables.select("page_id", "name", F.coalesce(label, F.lit("other")).alias("category"), refs.alias("refers_to"))
+    """Custom properties (page_id, name, value) by the words in their names: category, state if they have one, and the variables they refer to, in order."""
+    name = F.lower("name")
+    refs = F.array_join(F.regexp_extract_all("value", F.lit(r"var\((--[\w-]+)"), 1), ",")
+    return variables.select("page_id", "name", _first_that_fits(name, CATEGORIES, "other").alias("category"), _first_that_fits(name, STATES, None).alias("state"), refs.alias("refers_to"))
 
 
 def slugs(names: DataFrame) -> DataFrame:
@@ -65,12 +82,13 @@ def elevation(shadows: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "level").agg((-best["minus"]).alias("weight"), F.sum("uses").alias("uses"))
 
 
-def head_to_head(scores: DataFrame, margin: int = 3) -> DataFrame:
-    """Pairs (a, b) of (dimension, a, b, a_score, b_score): dimensions won by more than or as much as the margin, ties and the verdict."""
-    d = F.col("a_score") - F.col("b_score")
-    rows = scores.groupBy("a", "b").agg(F.count(F.when(d >= margin, 1)).alias("a_wins"), F.count(F.when(d <= -margin, 1)).alias("b_wins"), F.count("*").alias("dimensions"))
-    verdict = F.when(F.col("a_wins") > F.col("b_wins"), "a").when(F.col("b_wins") > F.col("a_wins"), "b").otherwise("tie")
-    return rows.select("a", "b", "a_wins", "b_wins", (F.col("dimensions") - F.col("a_wins") - F.col("b_wins")).alias("ties"), verdict.alias("verdict"))
+def head_to_head(scores: DataFrame, overall: DataFrame, margin: int = 3) -> DataFrame:
+    """Pairs (a, b) of (dimension, a, b, a_score, b_score): dimensions won by the margin or more, ties, and the verdict by ``overall`` (a, b, a_score, b_score), a tie without it."""
+    d = T.half_up(F.col("a_score") - F.col("b_score"))
+    rows = scores.where(d.isNotNull()).groupBy("a", "b").agg(F.count(F.when(d >= margin, 1)).alias("a_wins"), F.count(F.when(d <= -margin, 1)).alias("b_wins"), F.count("*").alias("dimensions"))
+    whole = F.col("a_score") - F.col("b_score")
+    verdict = overall.select("a", "b", F.when(whole >= margin, "a").when(whole <= -margin, "b").otherwise("tie").alias("v"))
+    return rows.join(verdict, ["a", "b"], "left").select("a", "b", "a_wins", "b_wins", (F.col("dimensions") - F.col("a_wins") - F.col("b_wins")).alias("ties"), F.coalesce("v", F.lit("tie")).alias("verdict"))
 
 
 class _Number(str):

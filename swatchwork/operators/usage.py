@@ -32,7 +32,7 @@ def parsed(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def color_usage(elements: DataFrame) -> DataFrame:
-    """Per page and colour: places, contexts, background area and interactive backgrounds, first place."""
+    """Per page and colour: places, contexts, background area and interactive backgrounds, first element and first place (an element's text comes before its background)."""
     use = F.explode(F.array(*(F.struct(F.lit(c).alias("context"), F.col(col).alias("text")) for c, col in (("text", "color"), ("background", "background"))))).alias("use")
     rows = elements.select("page_id", "ord", "area", interactive().alias("acts"), use)
     # a page has few distinct texts of colours: they are counted first and read then
@@ -45,6 +45,7 @@ def color_usage(elements: DataFrame) -> DataFrame:
         F.sum(F.when(back, F.col("area")).otherwise(0)).alias("background_area"),
         F.sum(F.when(back, F.col("acts")).otherwise(0)).alias("interactive"),
         F.min("first_ord").alias("first_ord"),
+        F.min(F.col("first_ord") * 2 + back.cast("int")).alias("first_place"),
     )
 
 
@@ -104,23 +105,39 @@ def button_variants(elements: DataFrame) -> DataFrame:
     return rows.select("page_id", "hex", "uses", "rank", name.alias("variant"))
 
 
-def contrast_pairs(elements: DataFrame) -> DataFrame:
-    """Text on background, by pair: places, largest size, contrast and its level; failing pairs first."""
+#: Tags that hold text of their own, for which contrast counts.
+TEXT_TAGS = """p a button label li h1 h2 h3 h4 h5 h6 td th code pre em strong small b i u time summary figcaption blockquote q mark cite abbr
+dt dd kbd samp var sub sup del ins caption legend span""".split()
+
+
+def all_contrast_pairs(elements: DataFrame) -> DataFrame:
+    """Text on background, by pair of opaque, unequal colours of elements that hold text: places, largest size, ratio and its level, first element.
+
+    A pair is large from 18 pixels on, or from 14 if one of its elements is a ``b``; its largest element counts.
+    """
     # pairs of texts are counted first and read then
-    rows = elements.groupBy("page_id", "color", "background", "font_size", "font_weight").agg(F.count("*").alias("n"))
+    rows = elements.where(F.lower("tag").isin(TEXT_TAGS)).groupBy("page_id", "color", "background", "font_size").agg(F.count("*").alias("n"), F.bool_or(F.lower("tag") == "b").alias("bold"), F.min("ord").alias("ord"))
     read = parsed(elements, "color", "background").where("a >= 0.9").select("text", "hex", "luminance")
     rows = rows.join(read.toDF("color", "fg", "fg_light"), "color").join(read.toDF("background", "bg", "bg_light"), "background").where("fg != bg")
     rows = rows.withColumn("size", T.number(F.col("font_size")))
-    large = (F.col("size") >= 18) | ((F.col("size") >= 14) & (F.col("font_weight") >= "700"))
-    pairs = rows.groupBy("page_id", "fg", "bg", "fg_light", "bg_light").agg(F.sum("n").alias("uses"), F.max("size").alias("max_size"), F.bool_or(large).alias("large"))
+    pairs = rows.groupBy("page_id", "fg", "bg", "fg_light", "bg_light").agg(F.sum("n").alias("uses"), F.max("size").alias("max_size"), F.bool_or("bold").alias("bold"), F.min("ord").alias("first_ord"))
     ratio = (F.greatest("fg_light", "bg_light") + 0.05) / (F.least("fg_light", "bg_light") + 0.05)
-    return pairs.select("page_id", "fg", "bg", "uses", "max_size", "large", F.round(ratio, 4).alias("ratio"), C.contrast_level(ratio, F.col("large")).alias("level"))
+    large = F.coalesce((F.col("max_size") >= 18) | ((F.col("max_size") >= 14) & F.col("bold")), F.lit(False))
+    return pairs.withColumn("large", large).select("page_id", "fg", "bg", "uses", "max_size", "large", ratio.alias("ratio"), C.contrast_level(ratio, F.col("large")).alias("level"), "first_ord")
+
+
+def contrast_pairs(elements: DataFrame, n: int = 50) -> DataFrame:
+    """The first n pairs of each page, with their rank: failing ones first, then by places, then as they first stand."""
+    pairs = all_contrast_pairs(elements).withColumn("ratio", F.round("ratio", 4))
+    return top(pairs, ["page_id"], n, F.desc(F.col("level") == "FAIL"), F.desc("uses"), F.asc("first_ord"), F.asc("fg"), F.asc("bg")).drop("first_ord")
 
 
 def contrast_score(elements: DataFrame) -> DataFrame:
-    """Share of pairs that pass, in percent with halves up; 100 for a page without pairs."""
-    passing = F.count(F.when(F.col("level") != "FAIL", 1))
-    return contrast_pairs(elements).groupBy("page_id").agg(F.count("*").alias("pairs"), passing.alias("passing"), T.half_up(100.0 * passing / F.count("*")).cast("int").alias("score"))
+    """Share of places whose pair passes, in percent with halves up; 100 for a page without pairs."""
+    counts = all_contrast_pairs(elements).groupBy("page_id").agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("level") != "FAIL", F.col("uses")).otherwise(0)).alias("passing"), F.sum("uses").alias("uses"))
+    rows = elements.select("page_id").distinct().join(counts, "page_id", "left").fillna(0, ["pairs", "passing", "uses"])
+    score = F.when(F.col("uses") == 0, 100).otherwise(T.half_up(100.0 * F.col("passing") / F.nullif("uses", F.lit(0)))).cast("int")
+    return rows.select("page_id", "pairs", "passing", (F.col("uses") - F.col("passing")).alias("failing"), score.alias("score"))
 
 
 def contrast_remediation(elements: DataFrame, palette: DataFrame) -> DataFrame:
@@ -130,7 +147,7 @@ def contrast_remediation(elements: DataFrame, palette: DataFrame) -> DataFrame:
     """
     if palette.limit(1001).count() > 1000:
         raise ValueError("a palette has at most 1000 colours")
-    failing = contrast_pairs(elements).where("level = 'FAIL'").select("page_id", "fg", "bg", "large")
+    failing = all_contrast_pairs(elements).where("level = 'FAIL'").select("page_id", "fg", "bg", "large")
     backs = failing.select("bg", "large").distinct()
     choice = parsed(palette, "hex").select(F.col("text").alias("hex"), F.col("luminance").alias("light")).join(palette, "hex")
     light = parsed(backs, "bg").select(F.col("text").alias("bg"), F.col("luminance").alias("bg_light"))

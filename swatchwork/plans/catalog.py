@@ -57,7 +57,7 @@ _USES = f"""uses AS (SELECT page_id, ord, area, {FG} AS hex, 'text' AS context,
 _ACTS = "(tag IN ('a', 'button') OR regexp_matches(lower(class_list), 'btn|button|link|cta'))"
 on_elements("color_usage", f""", {_USES} SELECT page_id, hex, count(*) AS uses, string_agg(DISTINCT context, ',' ORDER BY context) AS contexts,
   sum(CASE WHEN context = 'background' THEN area ELSE 0 END)::BIGINT AS background_area,
-  count(*) FILTER (context = 'background' AND {_ACTS}) AS interactive, min(ord) AS first_ord FROM uses GROUP BY ALL""")(usage.color_usage)
+  count(*) FILTER (context = 'background' AND {_ACTS}) AS interactive, min(ord) AS first_ord, min(ord * 2 + (context = 'background')::INT) AS first_place FROM uses GROUP BY ALL""")(usage.color_usage)
 on_elements("dominant_colors", f""", {_USES}, a AS (SELECT page_id, hex, sum(area) FILTER (context = 'background') AS background_area, min(ord) AS first_ord FROM uses GROUP BY ALL),
   b AS (SELECT *, round(background_area / sum(background_area) OVER (PARTITION BY page_id), 3) AS share,
     row_number() OVER (PARTITION BY page_id ORDER BY background_area DESC, first_ord, hex) AS rank FROM a WHERE background_area > 0)
@@ -80,12 +80,14 @@ on_elements("button_variants", f""", c AS (SELECT page_id, {BG} AS hex, count(*)
   d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY uses DESC, f) AS rank FROM c)
   SELECT page_id, hex, uses, rank, CASE WHEN hex = '#ffffff' THEN 'ghost' WHEN rank = 1 THEN 'primary' WHEN rank = 2 THEN 'secondary' ELSE 'variant-' || rank END AS variant FROM d""")(usage.button_variants)
 _PAIRS = f"""pairs AS (SELECT *, CASE WHEN ratio >= CASE WHEN large THEN 4.5 ELSE 7 END THEN 'AAA' WHEN ratio >= CASE WHEN large THEN 3 ELSE 4.5 END THEN 'AA' ELSE 'FAIL' END AS level FROM (
-  SELECT page_id, {FG} AS fg, {BG} AS back, any_value(br) AS br, any_value(bg) AS bg, any_value(bb) AS bb, count(*) AS uses, max({PX.format("font_size")}) AS max_size,
-  bool_or({PX.format("font_size")} >= 18 OR ({PX.format("font_size")} >= 14 AND font_weight >= '700')) AS large,
-  any_value({_CONTRAST(_LUM("r", "g", "b"), _LUM("br", "bg", "bb"))}) AS ratio FROM elements WHERE {FG} <> {BG} GROUP BY page_id, {FG}, {BG}))"""
-on_elements("contrast_pairs", f", {_PAIRS} SELECT page_id, fg, back AS bg, uses, max_size, large, round(ratio, 4) AS ratio, level FROM pairs")(usage.contrast_pairs)
-on_elements("contrast_score", f""", {_PAIRS} SELECT page_id, count(*) AS pairs, count(*) FILTER (level <> 'FAIL') AS passing,
-  floor(100.0::DOUBLE * count(*) FILTER (level <> 'FAIL') / count(*) + 0.5)::INT AS score FROM pairs GROUP BY page_id""")(usage.contrast_score)
+  SELECT page_id, {FG} AS fg, {BG} AS back, any_value(br) AS br, any_value(bg) AS bg, any_value(bb) AS bb, count(*) AS uses, max({PX.format("font_size")}) AS max_size, min(ord) AS first_ord,
+  max({PX.format("font_size")}) >= 18 OR (max({PX.format("font_size")}) >= 14 AND bool_or(tag = 'b')) AS large,
+  any_value({_CONTRAST(_LUM("r", "g", "b"), _LUM("br", "bg", "bb"))}) AS ratio FROM elements WHERE {FG} <> {BG} AND tag <> 'div' GROUP BY page_id, {FG}, {BG}))"""
+_CONTRAST_SCORE = """score AS (SELECT page_id, count(level) AS pairs, coalesce(sum(uses) FILTER (level <> 'FAIL'), 0)::BIGINT AS passing, coalesce(sum(uses) FILTER (level = 'FAIL'), 0)::BIGINT AS failing,
+  coalesce(floor(100.0::DOUBLE * coalesce(sum(uses) FILTER (level <> 'FAIL'), 0) / sum(uses) + 0.5), 100)::INT AS score FROM (SELECT DISTINCT page_id FROM elements) LEFT JOIN pairs USING (page_id) GROUP BY page_id)"""
+on_elements("contrast_pairs", f""", {_PAIRS} SELECT page_id, fg, back AS bg, uses, max_size, large, round(ratio, 4) AS ratio, level, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY level = 'FAIL' DESC, uses DESC, first_ord, fg, back) AS rank FROM pairs) WHERE rank <= 50""")(usage.contrast_pairs)
+on_elements("contrast_score", f", {_PAIRS}, {_CONTRAST_SCORE} SELECT * FROM score")(usage.contrast_score)
 on_elements("drift_verdict", f""", {PALETTE_SQL}, {_USES}, h AS (SELECT DISTINCT page_id, hex FROM uses), d AS (SELECT page_id, hex, min(round(sqrt(pow(('0x' || hex[2:3])::INT - r, 2) + pow(('0x' || hex[4:5])::INT - g, 2) + pow(('0x' || hex[6:7])::INT - b, 2)), 4)) AS d
   FROM h, (SELECT r, g, b FROM palette) GROUP BY ALL), v AS (SELECT page_id, count(*) AS colors, count(*) FILTER (d > 8) AS unknown FROM d GROUP BY ALL)
   SELECT *, round(unknown / colors, 4) AS drift_ratio, CASE WHEN unknown = 0 THEN 'in-sync' WHEN unknown / colors < 0.15 THEN 'minor-drift' WHEN unknown / colors < 0.4 THEN 'notable-drift' ELSE 'major-drift' END AS verdict FROM v""")(
@@ -107,7 +109,7 @@ on_elements("zindex_layers", """SELECT page_id, CASE WHEN z_index >= 1000 THEN '
 on_elements("shadow_usage", """SELECT page_id, '0px ' || shadow_y || 'px ' || shadow_y * 4 || 'px rgba(0, 0, 0, 0.2)' AS shadow, count(*) AS uses, (shadow_y * 4)::DOUBLE AS blur,
   CASE WHEN shadow_y = 0 THEN 'flat' WHEN shadow_y * 4 <= 4 THEN 'low' WHEN shadow_y * 4 <= 12 THEN 'mid' ELSE 'high' END AS depth FROM elements WHERE shadow_y IS NOT NULL GROUP BY page_id, shadow_y""")(usage.shadow_usage)
 on_elements("motion_profile", """SELECT page_id, CASE WHEN duration <= 80 THEN 'instant' WHEN duration <= 150 THEN 'xs' WHEN duration <= 250 THEN 'sm' WHEN duration <= 400 THEN 'md' WHEN duration <= 700 THEN 'lg' WHEN duration <= 1200 THEN 'xl' ELSE 'xxl' END AS band,
-  CASE WHEN contains(easing, '1.5') THEN 'spring' WHEN starts_with(easing, 'cubic') THEN 'ease-in-out' ELSE easing END AS easing, count(*) AS uses, round(avg(duration), 4) AS mean_ms FROM elements GROUP BY 1, 2, 3""")(usage.motion_profile)
+  CASE easing WHEN 'linear' THEN 'linear' WHEN 'cubic-bezier(0.3, 1.5, 0.6, 1)' THEN 'spring' WHEN 'cubic-bezier(0.4, 0, 0.2, 1)' THEN 'custom' ELSE 'ease-in-out' END AS easing, count(*) AS uses, round(avg(duration), 4) AS mean_ms FROM elements GROUP BY 1, 2, 3""")(usage.motion_profile)
 on_elements("radius_histogram", f"SELECT page_id, {PX.format('radius')} AS radius, count(*) AS uses, max(area) AS max_area FROM elements WHERE radius <> '0px' GROUP BY 1, 2")(usage.radius_histogram)
 
 # --- scales ------------------------------------------------------------------------------------------------------------
@@ -136,14 +138,26 @@ on_elements("type_scale_ratios", f", {_SIZES_SQL} SELECT page_id, count(*) AS st
     lambda e: scales.scale_ratios(usage.type_scale(e).select("page_id", F.col("size").alias("value")))
 )
 _RATIOS = "n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {r}::DOUBLE)" for i, (k, r) in enumerate(scales.RATIOS.items())) + ") t(rank, name, ratio))"
-on_elements("type_ratio", f""", {_SIZES_SQL}, {_RATIOS}, p AS (SELECT page_id, rank, name, ratio, step, greatest(1, floor(ln(step) / ln(ratio) + 0.5)) AS power FROM t, n WHERE step > 1.01),
-  f AS (SELECT page_id, rank, name, round(avg(abs(step - pow(ratio, power)) / step + CASE WHEN power > 3 THEN 0.5 ELSE 0 END) + 0.03 * (avg(power) - 1), 6) AS error FROM p GROUP BY ALL),
-  b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY error, rank) AS k, round(greatest(0, least(1, 1 - error / 0.15)), 4) AS fit FROM f)
-  SELECT page_id, CASE WHEN fit >= 0.5 THEN name ELSE 'custom' END AS ratio_name, error, fit FROM b WHERE k = 1""")(lambda e: scales.type_ratio(usage.type_scale(e).select("page_id", F.col("size").alias("value"))))
+on_elements("type_ratio", f""", {_SIZES_SQL}, {_RATIOS}, p AS (SELECT page_id, rank, name, ratio, step, greatest(1, floor(ln(step) / ln(ratio) + 0.5)) AS power FROM t, n WHERE step > 1.01 AND step < 3),
+  f AS (SELECT page_id, rank, name, ratio, count(*) AS n, round(avg(abs(step - pow(ratio, power)) / pow(ratio, power) + CASE WHEN power > 3 THEN 0.5 ELSE 0 END) + 0.03 * (avg(power) - 1), 9) AS error FROM p GROUP BY ALL),
+  b AS (SELECT page_id, name, ratio, greatest(0, least(1, 1 - error / 0.15::DOUBLE)) AS fit FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY error, rank) AS k FROM f WHERE n > 1) WHERE k = 1),
+  z AS (SELECT page_id, count(*) AS steps FROM v GROUP BY page_id),
+  r AS (SELECT z.page_id, steps, CASE WHEN steps < 3 OR name IS NULL THEN 'none' WHEN fit >= 0.5 THEN name ELSE 'irregular' END AS ratio_name, CASE WHEN steps >= 3 AND fit >= 0.5 THEN ratio END AS ratio, CASE WHEN steps >= 3 THEN coalesce(fit, 0) ELSE 0 END AS fit FROM z LEFT JOIN b USING (page_id)),
+  h AS (SELECT x.page_id, x.value AS anchor, count(*) FILTER (abs(y.value - x.value * pow(ratio, floor(ln(y.value / x.value) / ln(ratio) + 0.5))) / (x.value * pow(ratio, floor(ln(y.value / x.value) / ln(ratio) + 0.5))) <= 0.05) AS hits
+    FROM r JOIN v x USING (page_id) JOIN v y USING (page_id) WHERE ratio IS NOT NULL GROUP BY 1, 2),
+  a AS (SELECT page_id, arg_max(anchor, (hits, -anchor)) AS anchor, max(hits) AS hits FROM h GROUP BY page_id)
+  SELECT page_id, steps, ratio_name, ratio, floor(fit * 100 + 0.5) / 100 AS fit, coalesce(floor(hits / steps * 100 + 0.5) / 100, 0) AS coverage, anchor FROM r LEFT JOIN a USING (page_id)""")(
+    lambda e: scales.type_ratio(usage.type_scale(e).select("page_id", F.col("size").alias("value")))
+)
 on_elements("lint_near_duplicates", f""", {_USES}, h AS (SELECT DISTINCT page_id, hex, ('0x' || hex[2:3])::INT AS r, ('0x' || hex[4:5])::INT AS g, ('0x' || hex[6:7])::INT AS b FROM uses)
   SELECT x.page_id, x.hex AS first, y.hex AS second, round(sqrt(pow(x.r - y.r, 2) + pow(x.g - y.g, 2) + pow(x.b - y.b, 2)), 4) AS distance FROM h x JOIN h y ON x.page_id = y.page_id AND x.hex < y.hex
   WHERE sqrt(pow(x.r - y.r, 2) + pow(x.g - y.g, 2) + pow(x.b - y.b, 2)) < 30""")(lambda e: scales.near_duplicate_colors(usage.color_usage(e).select("page_id", "hex"), 30.0))
-on_elements("color_clusters_rgb")(lambda e: scales.color_clusters(usage.color_usage(e), 60.0))
+on_elements("color_clusters_rgb", f""", {_USES}, h AS (SELECT page_id, hex, count(*) AS uses, min(ord * 2 + (context = 'background')::INT) AS place, ('0x' || hex[2:3])::INT AS r, ('0x' || hex[4:5])::INT AS g, ('0x' || hex[6:7])::INT AS b FROM uses GROUP BY page_id, hex),
+  l AS (SELECT page_id, list({{'r': r, 'g': g, 'b': b}} ORDER BY place) AS xs FROM h GROUP BY page_id),
+  s AS (SELECT page_id, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: pow(y.r - x[1].r, 2) + pow(y.g - x[1].g, 2) + pow(y.b - x[1].b, 2) < 225)) > 0 THEN acc ELSE list_concat(acc, x) END) AS seeds FROM l),
+  m AS (SELECT h.*, list_filter(seeds, lambda y: pow(y.r - h.r, 2) + pow(y.g - h.g, 2) + pow(y.b - h.b, 2) < 225)[1] AS seed FROM h JOIN s USING (page_id)),
+  c AS (SELECT page_id, seed, arg_max(hex, (uses, -place)) AS hex, sum(uses)::BIGINT AS uses, count(*) AS members, min(place) AS first FROM m GROUP BY page_id, seed)
+  SELECT page_id, hex, uses, members, row_number() OVER (PARTITION BY page_id ORDER BY uses DESC, first) AS rank FROM c""")(lambda e: scales.color_clusters(usage.color_usage(e)))
 
 # --- labels ------------------------------------------------------------------------------------------------------------
 _OWNER = "CASE WHEN tag = 'button' OR class_list LIKE 'btn%' THEN 'button' WHEN class_list = 'badge' THEN 'badge' WHEN class_list = 'nav-item' THEN 'navigation' WHEN class_list = 'card' THEN 'card' WHEN tag = 'div' THEN 'unknown' ELSE 'text' END"
@@ -234,19 +248,30 @@ query("brand_matrix", "SELECT n_name AS property, " + ", ".join(f"round(sum(CASE
 )
 
 
-@query("system_score", f"""WITH {E_}, {_USES}, {_SPACING}, {_PAIRS}, c AS (SELECT page_id, count(DISTINCT hex) AS colors FROM uses GROUP BY 1), z AS (SELECT page_id, count(DISTINCT font_size) AS sizes, count(DISTINCT CASE WHEN radius <> '0px' THEN radius END) AS radii FROM elements GROUP BY 1),
-  s AS (SELECT page_id, count(*) AS spacings FROM v GROUP BY 1), k AS (SELECT page_id, floor(100.0::DOUBLE * count(*) FILTER (level <> 'FAIL') / count(*) + 0.5)::INT AS contrast FROM pairs GROUP BY 1),
-  p AS (SELECT page_id, CASE WHEN colors <= 8 THEN 100 WHEN colors <= 15 THEN 80 WHEN colors <= 25 THEN 60 ELSE 40 END AS colors, CASE WHEN sizes <= 5 THEN 100 WHEN sizes <= 8 THEN 80 WHEN sizes <= 12 THEN 60 ELSE 40 END AS sizes,
-    CASE WHEN spacings <= 8 THEN 100 WHEN spacings <= 12 THEN 80 WHEN spacings <= 20 THEN 60 ELSE 40 END AS spacings, CASE WHEN radii <= 3 THEN 100 WHEN radii <= 5 THEN 80 WHEN radii <= 8 THEN 60 ELSE 40 END AS radii, contrast
-    FROM c JOIN z USING (page_id) JOIN s USING (page_id) JOIN k USING (page_id)),
-  q AS (SELECT *, floor((colors * 18 + sizes * 18 + spacings * 18 + radii * 9 + contrast * 15) / 78 + 0.5)::INT AS score FROM p)
+@query("system_score", f"""WITH {E_}, {_USES}, {_SPACING}, {_UNITS}, {_PAIRS}, {_CONTRAST_SCORE}, c AS (SELECT page_id, count(DISTINCT hex) AS colors, bool_or(context = 'background' AND {_ACTS}) AS main FROM uses GROUP BY 1),
+  z AS (SELECT page_id, count(DISTINCT font_size) AS sizes, count(DISTINCT font_weight) AS weights, count(DISTINCT trim(split_part(font_family, ',', 1))) FILTER (font_family <> 'system-ui') AS families,
+    count(DISTINCT CASE WHEN radius <> '0px' THEN radius END) AS radii, count(DISTINCT shadow_y) AS shadows FROM elements GROUP BY 1),
+  x AS (SELECT page_id, unit, rank, count(*) AS n, count(*) FILTER (value % unit = 0) AS hit, round(avg(CASE WHEN value % unit = 0 THEN 1.0 ELSE 0.0 END) + CASE WHEN unit IN (4, 8) THEN 0.04::DOUBLE ELSE 0 END, 6) AS fit FROM v, u GROUP BY page_id, unit, rank),
+  s AS (SELECT page_id, n AS spacings, n >= 3 AND fit >= 0.6 AS has_base, hit / n AS share FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY fit DESC, rank) AS k FROM x) WHERE k = 1),
+  p AS (SELECT page_id, CASE WHEN colors <= 12 THEN 100 WHEN colors <= 25 THEN 92 WHEN colors <= 40 THEN 80 WHEN colors <= 60 THEN 65 WHEN colors <= 100 THEN 50 ELSE 35 END - CASE WHEN main THEN 0 ELSE 15 END AS color,
+    least(CASE WHEN families <= 2 THEN 100 WHEN families <= 3 THEN 80 ELSE 50 END, CASE WHEN weights <= 3 THEN 100 WHEN weights <= 5 THEN 90 ELSE 80 END, CASE WHEN sizes <= 8 THEN 100 ELSE 92 END) AS typography,
+    CASE WHEN NOT has_base THEN 55 WHEN share >= 0.8 THEN 100 WHEN share >= 0.6 THEN 85 ELSE 75 END - CASE WHEN spacings > 50 THEN 15 WHEN spacings > 35 THEN 5 ELSE 0 END AS spacing,
+    CASE WHEN shadows = 0 THEN 85 WHEN shadows <= 5 THEN 100 WHEN shadows <= 10 THEN 90 ELSE 78 END AS shadow, CASE WHEN radii <= 4 THEN 100 WHEN radii <= 7 THEN 90 ELSE 80 END AS radius, score.score AS accessibility, 20 AS tokens
+    FROM c JOIN z USING (page_id) JOIN s USING (page_id) JOIN score USING (page_id)),
+  q AS (SELECT *, NULL::INT AS css, floor((color * 18 + typography * 18 + spacing * 18 + shadow * 9 + radius * 9 + accessibility * 15 + tokens * 5) / 92 + 0.5)::INT AS score FROM p)
   SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM q""")
 def system_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element rows have no stylesheet and no variables; an interactive element's background stands for a primary colour."""
     e = elements.from_lineitem(spark, sf_dir)
-    count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
-    rows = count(usage.color_usage(e), "colors").join(count(usage.type_scale(e), "sizes"), "page_id").join(count(scales.spacing_values(e), "spacings"), "page_id")
-    rows = rows.join(count(usage.radius_histogram(e), "radii"), "page_id").join(usage.contrast_score(e).select("page_id", F.col("score").alias("contrast")), "page_id")
-    return compare.system_score(rows)
+    family = F.when(F.col("font_family") != "system-ui", F.trim(F.substring_index("font_family", ",", 1)))
+    kinds = {"families": family, "weights": F.col("font_weight"), "sizes": F.col("font_size"), "radii": F.when(F.col("radius") != "0px", F.col("radius")), "shadows": F.when(F.col("shadow") != "none", F.col("shadow"))}
+    rows = e.groupBy("page_id").agg(*(F.size(F.collect_set(kind)).cast("long").alias(name) for name, kind in kinds.items()))
+    colors = usage.color_usage(e).groupBy("page_id").agg(F.count("*").alias("colors"), F.bool_or(F.col("interactive") > 0).alias("has_primary"))
+    values = scales.spacing_values(e)
+    on_base = F.count(F.when(F.col("value") % F.col("base_unit") == 0, 1))
+    spacings = values.join(scales.base_unit(values), "page_id").groupBy("page_id").agg(F.count("*").alias("spacings"), on_base.alias("on_base"), F.bool_or(F.col("base_unit").isNotNull()).alias("has_base"))
+    rows = rows.join(colors, "page_id").join(spacings, "page_id").join(usage.contrast_score(e).select("page_id", F.col("score").alias("contrast")), "page_id")
+    return compare.system_score(rows.withColumn("variables", F.lit(0)).withColumns({name: F.lit(None).cast("int") for name in ("unused", "important", "duplicates")}))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------
@@ -343,19 +368,26 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").withColumn("p", F.col("p_partkey"))
 
 
-_LABEL = "CASE " + " ".join(f"WHEN best = {w} AND abs(px - {w}) <= 64 THEN '{n}'" for n, w in tokens.STANDARD.items()) + " ELSE 'custom' END"
-query("breakpoints", f"""WITH q AS (SELECT p_partkey % 10 AS page_id, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN 'max' ELSE 'min' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN p_size * 32.0 ELSE p_size * 16.0 END AS px FROM part),
-  k AS (SELECT page_id, px::DOUBLE AS px, arg_max(kind, ord) AS kind FROM q GROUP BY 1, 2), n AS (SELECT *, list_sort(list_transform({list(tokens.STANDARD.values())}, lambda w: [abs(px - w), w]))[1][2] AS best FROM k)
-  SELECT page_id, px, kind, {_LABEL} AS label FROM n""")(
-    lambda s, d: tokens.breakpoints(_parts(s, d).select((F.col("p") % 10).alias("page_id"), F.col("p").alias("ord"), F.concat(F.lit("(" ), F.when(F.col("p") % 3 == 0, "max").otherwise("min"), F.lit("-width: "), F.when(F.col("p") % 2 == 0, F.concat((F.col("p_size") * 32).cast("string"), F.lit("px"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("em"))), F.lit(")")).alias("query")))
+_WIDTHS = f"[{', '.join(f"{{'w': {w}, 'n': '{n}'}}" for w, n in tokens.STANDARD.items())}]"
+query("breakpoints", f"""WITH q AS (SELECT p_partkey % 10 AS page_id, p_partkey AS ord, p_partkey % 3 = 0 AS upper, p_partkey % 4 = 1 AS both_, CASE WHEN p_partkey % 2 = 0 THEN p_size * 32.5::DOUBLE ELSE p_size * 16.0::DOUBLE END AS px FROM part),
+  k AS (SELECT page_id, ord, CASE WHEN upper THEN 1 ELSE 0 END AS turn, px FROM q UNION ALL SELECT page_id, ord, 1, px + 100.0 FROM q WHERE both_ AND NOT upper),
+  l AS (SELECT page_id, floor(px + 0.5)::BIGINT AS px, CASE arg_max(turn, (ord, turn)) WHEN 1 THEN 'max-width' ELSE 'min-width' END AS kind FROM k GROUP BY 1, 2),
+  n AS (SELECT *, list_sort(list_transform(list_filter({_WIDTHS}, lambda x: abs(px - x.w) <= 64), lambda x: {{'off': abs(px - x.w), 'w': x.w, 'n': x.n}}))[1].n AS near FROM l)
+  SELECT page_id, px, kind, coalesce(near, px || 'px') AS label FROM n""")(
+    lambda s, d: tokens.breakpoints(_parts(s, d).selectExpr("p % 10 AS page_id", "p AS ord", """concat('screen and (', if(p % 3 = 0, 'max', 'min'), '-width: ', if(p % 2 = 0, concat(p_size * 32.5, 'px'), concat(p_size, 'em')), ')',
+        if(p % 4 = 1 AND p % 3 != 0, concat(' and (max-width: ', p_size * 16 + 100, 'px)'), '')) AS query"""))
 )
 _SHEET = "'.a' || p_size || ' p{color:red!important;margin:0} #x' || p_size || '{-webkit-box-shadow:none;margin:0' || CASE WHEN p_size % 2 = 0 THEN ';margin:0' ELSE '' END || '} div > p{top:' || p_size || 'px}'"
 query("css_health", "SELECT p_partkey AS id, 3 AS rules, 1 AS important, 1 AS vendor, 100 AS max_specificity, round((11 + 100 + 2) / 3, 4) AS mean_specificity, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS repeated FROM part")(
     lambda s, d: tokens.css_health(_parts(s, d).select(F.col("p").alias("id"), F.expr(_SHEET).alias("text")))
 )
-_NAMES = ["--color-text", "--space-2", "--font-body", "--radius-lg", "--shadow-1", "--duration-fast", "--z-top"]
-query("variable_categories", "SELECT p_partkey AS page_id, " + f"{_NAMES}[p_partkey % 7 + 1] AS name, ['color', 'spacing', 'typography', 'radius', 'shadow', 'motion', 'other'][p_partkey % 7 + 1] AS category, CASE WHEN p_partkey % 2 = 0 THEN '--a,--b' ELSE '' END AS refers_to FROM part")(
-    lambda s, d: tokens.variable_categories(_parts(s, d).select(F.col("p").alias("page_id"), F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p") % 7 + 1).cast("int")).alias("name"), F.when(F.col("p") % 2 == 0, "calc(var(--b) + var(--a) + var(--b))").otherwise("1px").alias("value")))
+_NAMES = ["--Color-Primary", "--space-2", "--font-body", "--radius-lg", "--shadow-1", "--duration-fast", "--z-top", "--bg-Success", "--text-danger", "--line-height-info", "--border-radius"]
+_FITS = lambda words: "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{w}') THEN '{n}'" for n, w in words.items())
+query("variable_categories", f"""WITH v AS (SELECT p_partkey AS page_id, {_NAMES}[p_partkey % {len(_NAMES)} + 1] || '-' || lower(split_part(p_name, ' ', 1)) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'calc(var(--b) + var(--a) + var(--b))' ELSE '1px' END AS value FROM part)
+  SELECT page_id, name, {_FITS(tokens.CATEGORIES)} ELSE 'other' END AS category, {_FITS(tokens.STATES)} END AS state, array_to_string(regexp_extract_all(value, 'var\\((--[a-zA-Z0-9_-]+)', 1), ',') AS refers_to FROM v""")(
+    lambda s, d: tokens.variable_categories(
+        _parts(s, d).select(F.col("p").alias("page_id"), F.concat_ws("-", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p") % len(_NAMES) + 1).cast("int")), F.lower(F.substring_index("p_name", " ", 1))).alias("name"), F.when(F.col("p") % 2 == 0, "calc(var(--b) + var(--a) + var(--b))").otherwise("1px").alias("value"))
+    )
 )
 query("slug_suffixes", """WITH s AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS k FROM s)
   SELECT id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM n""")(lambda s, d: tokens.slugs(_parts(s, d).select(F.col("p").alias("id"), F.col("p_type").alias("name"))))
@@ -365,13 +397,18 @@ on_elements("elevation_levels", """, w AS (SELECT page_id, (shadow_y * 5)::DOUBL
   SELECT page_id, level, arg_max(weight, (uses, -weight)) AS weight, sum(uses)::BIGINT AS uses FROM l GROUP BY page_id, level""")(
     lambda e: tokens.elevation(usage.shadow_usage(e).select("page_id", (F.col("blur") * 1.25).alias("weight"), "uses"))
 )
-query("head_to_head", """WITH s AS (SELECT c_mktsegment AS dimension, c_nationkey AS site, floor(avg(c_acctbal) / 100)::INT AS score FROM customer GROUP BY 1, 2),
-  d AS (SELECT x.site AS a, y.site AS b, x.score - y.score AS d FROM s x JOIN s y ON x.dimension = y.dimension AND y.site = x.site + 1),
+def _scores(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Pairs of neighbouring nations with a score for each value of ``by``."""
+    x = _table(spark, sf_dir, "customer").groupBy(*by, F.col("c_nationkey").alias("a")).agg((F.round(F.avg("c_acctbal") / 100, 4)).alias("a_score"))
+    y = x.select(*by, (F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("a_score").alias("b_score"))
+    return x.join(y, [*by, "a"]).select(*(F.col(c).alias("dimension") for c in by), "a", "b", "a_score", "b_score")
+
+
+query("head_to_head", """WITH s AS (SELECT c_mktsegment AS dimension, c_nationkey AS site, round(avg(c_acctbal) / 100, 4) AS score FROM customer GROUP BY 1, 2), o AS (SELECT c_nationkey AS site, round(avg(c_acctbal) / 100, 4) AS score FROM customer GROUP BY 1),
+  d AS (SELECT x.site AS a, y.site AS b, floor(x.score - y.score + 0.5) AS d FROM s x JOIN s y ON x.dimension = y.dimension AND y.site = x.site + 1),
   w AS (SELECT a, b, count(*) FILTER (d >= 3) AS a_wins, count(*) FILTER (d <= -3) AS b_wins, count(*) AS n FROM d GROUP BY a, b)
-  SELECT a, b, a_wins, b_wins, n - a_wins - b_wins AS ties, CASE WHEN a_wins > b_wins THEN 'a' WHEN b_wins > a_wins THEN 'b' ELSE 'tie' END AS verdict FROM w""")(
-    lambda s, d: (lambda x: tokens.head_to_head(x.toDF("dimension", "a", "a_score").join(x.select(F.col("dimension"), F.col("site").alias("b"), F.col("score").alias("b_score")), "dimension").where("b = a + 1")))(
-        _table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("dimension"), F.col("c_nationkey").alias("site")).agg(F.floor(F.avg("c_acctbal") / 100).cast("int").alias("score"))
-    )
+  SELECT a, b, a_wins, b_wins, n - a_wins - b_wins AS ties, CASE WHEN x.score - y.score >= 3 THEN 'a' WHEN x.score - y.score <= -3 THEN 'b' ELSE 'tie' END AS verdict FROM w JOIN o x ON x.site = a JOIN o y ON y.site = b""")(
+    lambda s, d: tokens.head_to_head(_scores(s, d, "c_mktsegment"), _scores(s, d))
 )
 query("token_flatten", "SELECT event_id AS id, k AS path, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")(
     lambda s, d: tokens.flat_tokens(_table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("json")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.functions import colors as C
 from swatchwork.functions import csstext as T
-from swatchwork.operators import classify, compare, history, scales, vectors
+from swatchwork.operators import classify, compare, history, scales, tokens, usage, vectors
 from swatchwork.streaming import watch
 
 
@@ -42,6 +42,8 @@ def test_css_text(spark):
     assert value(spark, T.layers(F.lit("a, rgb(1, 2, 3), b"))) == ["a", "rgb(1, 2, 3)", "b"]
     assert value(spark, T.milliseconds(F.lit("0.2s"))) == 200
     assert [value(spark, T.easing_family(F.lit(x))) for x in ("ease-in", "cubic-bezier(0.3, 1.5, 0.6, 1)", "steps(2)", "x")] == ["ease-in", "spring", "steps", "custom"]
+    curves = {"": "linear", "ease": "ease-in-out", "cubic-bezier(0.4, 0, 0.2, 1)": "custom", "cubic-bezier(.1,0.5,.9,0.5)": "ease-in-out", "cubic-bezier(0.1, 0.1, 0.5, 1)": "ease-out", "cubic-bezier(0.5, 0.4, 0.9, 0.9)": "ease-in", "cubic-bezier(0.3, 0.1, 0.5, 0.2)": "ease-in", "cubic-bezier(0.2, 0.6, 0.4, 1)": "ease-out", "cubic-bezier(0, 0, x, 1)": "custom", "cubic-bezier(0, 0)": "custom"}
+    assert {x: value(spark, T.easing_family(F.lit(x))) for x in curves} == curves
     assert value(spark, T.class_tokens(F.lit("btn primaryCta"))) == ["btn", "primary", "cta"]
     assert value(spark, T.normalized_url(F.lit("HTTPS://A.com/x/?q=1#f"))) == "https://a.com/x?q=1"
     assert value(spark, T.half_up(F.lit(-2.5))) == -2
@@ -53,9 +55,35 @@ def test_anchored_clusters(spark):
     assert sorted((r.anchor, r.members) for r in scales.anchored_clusters(values, 2).collect()) == [(1, 3), (4, 1), (9, 2), (12, 1)]
 
 
+def test_contrast_score_counts_places(spark):
+    def e(ord_, fg, bg, tag="p", size="16px"):
+        return (1, ord_, tag, fg, bg, size)
+
+    shown = [e(k, "#000000", "#ffffff") for k in range(9)] + [e(10, "#aaaaaa", "#ffffff"), e(11, "#aaaaaa", "#bbbbbb", "div"), e(12, "#000000", "rgba(0, 0, 0, 0.5)"), e(13, "#767676", "#767676")]
+    frame = spark.createDataFrame([*shown, (2, 1, "div", "#aaaaaa", "#ffffff", "16px")], "page_id long, ord long, tag string, color string, background string, font_size string")
+    assert sorted((r.page_id, r.pairs, r.passing, r.failing, r.score) for r in usage.contrast_score(frame).collect()) == [(1, 2, 9, 1, 90), (2, 0, 0, 0, 100)]
+    assert [(r.fg, r.level, r.uses) for r in usage.contrast_pairs(frame).orderBy("rank").collect()] == [("#aaaaaa", "FAIL", 1), ("#000000", "AAA", 9)]
+    bold = spark.createDataFrame([e(1, "#888888", "#ffffff", "b", "14px"), e(2, "#888888", "#ffffff", "p", "12px")], frame.schema)
+    assert usage.contrast_pairs(bold).first().level == "AA"
+
+
+def test_type_ratio_facts(spark):
+    pages = {1: [16, 20, 25, 31.25], 2: [12, 12.1, 12.2], 3: [16, 20], 4: [10, 14, 15, 27, 28, 80]}
+    values = spark.createDataFrame([(k, float(x)) for k, xs in pages.items() for x in xs], "page_id long, value double")
+    got = {r.page_id: r for r in scales.type_ratio(values).collect()}
+    assert (got[1].ratio_name, got[1].ratio, got[1].fit, got[1].coverage, got[1].anchor) == ("major third", 1.25, 1.0, 1.0, 16.0)
+    assert [got[k].ratio_name for k in (2, 3)] == ["none", "none"] and got[3].steps == 2
+
+
+def test_breakpoint_labels(spark):
+    rows = [(1, 1, "(min-width: 47.99em) and (max-width: 900px)"), (1, 2, "(max-width: 320px)"), (1, 3, "(min-width: 560px)"), (1, 4, "(max-width: 768px)"), (1, 5, "print")]
+    got = {r.px: (r.kind, r.label) for r in tokens.breakpoints(spark.createDataFrame(rows, "page_id long, ord long, query string")).collect()}
+    assert got == {768: ("max-width", "md"), 900: ("max-width", "900px"), 320: ("max-width", "xs"), 560: ("min-width", "560px")}
+
+
 def test_color_clusters(spark):
-    usage = spark.createDataFrame([(1, "#000000", 5, 1), (1, "#050505", 3, 2), (1, "#ffffff", 4, 3)], "page_id long, hex string, uses long, first_ord long")
-    assert sorted((r.hex, r.uses, r.members) for r in scales.color_clusters(usage).collect()) == [("#000000", 8, 2), ("#ffffff", 4, 1)]
+    colors = spark.createDataFrame([(1, "#000000", 5, 1), (1, "#050505", 3, 2), (1, "#ffffff", 4, 3)], "page_id long, hex string, uses long, first_place long")
+    assert sorted((r.hex, r.uses, r.members) for r in scales.color_clusters(colors).collect()) == [("#000000", 8, 2), ("#ffffff", 4, 1)]
 
 
 def test_vectors(spark):
