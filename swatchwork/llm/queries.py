@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swatchwork.llm import chat, decontaminate, language, licenses, mixing, neardup, pages, perplexity, quality, repetition
+from swatchwork.llm import chat, decontaminate, filteraudit, language, licenses, mixing, neardup, pages, perplexity, quality, repetition, runs, secretscan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_rules": repetition.op1_repetition_rules,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": perplexity.op8_lm_scores,
     "op9_main_text": pages.op9_main_text,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op11_secret_scan": secretscan.op11_secret_scan,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_filter_audit": filteraudit.op13_filter_audit,
 }
 #: The others cannot be told in SQL; tests hold them against brute force or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL, "op13_filter_audit": filteraudit.OP13_SQL}
