@@ -74,6 +74,7 @@ def to_hsl(c: Column) -> Column:
 
 
 def to_oklab(c: Column) -> Column:
+    """The published matrices of OKLab."""
     r, g, b = (_linear(c[k], 0.04045) for k in "rgb")
     l_ = F.cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b)
     m_ = F.cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b)
@@ -85,14 +86,59 @@ def to_oklab(c: Column) -> Column:
     )
 
 
-def to_lab(c: Column) -> Column:
+#: sRGB to XYZ with four decimals, and with seven.
+XYZ = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
+FINE_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+
+
+def to_lab(c: Column, matrix: tuple = XYZ) -> Column:
     r, g, b = (_linear(c[k], 0.04045) for k in "rgb")
-    x, y, z = 0.4124 * r + 0.3576 * g + 0.1805 * b, 0.2126 * r + 0.7152 * g + 0.0722 * b, 0.0193 * r + 0.1192 * g + 0.9505 * b
+    x, y, z = (p * r + q * g + s * b for p, q, s in matrix)
     f = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
     fx, fy, fz = f(x / 0.95047), f(y), f(z / 1.08883)
     return F.struct((116 * fy - 16).alias("l"), (500 * (fx - fy)).alias("a"), (200 * (fy - fz)).alias("b"))
 
 
+def to_fine_lab(c: Column) -> Column:
+    """CIELAB with the finer matrix; null for a null colour."""
+    return F.when(c.isNotNull(), to_lab(c, FINE_XYZ))
+
+
+def to_oklch(c: Column) -> Column:
+    """A struct of lightness l, chroma c and hue h in degrees from 0."""
+
+    def turned(x: Column) -> Column:
+        h = F.degrees(F.atan2(x["b"], x["a"]))
+        return F.struct(x["l"].alias("l"), F.sqrt(x["a"] * x["a"] + x["b"] * x["b"]).alias("c"), F.when(h < 0, h + 360).otherwise(h).alias("h"))
+
+    return bound(to_oklab(c), turned)
+
+
+def from_oklch(c: Column) -> Column:
+    """A struct of r, g, b of a struct of l, c, h; channels outside sRGB are cut to it, halves round up."""
+
+    def encoded(x: Column) -> Column:
+        x = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+        v = F.when(x <= 0.0031308, 12.92 * x).otherwise(1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055)
+        return F.floor(v * 255 + 0.5).cast("int")
+
+    def rgb(x: Column) -> Column:
+        l_, m_, s_ = (F.pow(x[k], F.lit(3.0)) for k in "lms")
+        return F.struct(
+            encoded(4.0767416621 * l_ - 3.3077115913 * m_ + 0.2309699292 * s_).alias("r"),
+            encoded(-1.2684380046 * l_ + 2.6097574011 * m_ - 0.3413193965 * s_).alias("g"),
+            encoded(-0.0041960863 * l_ - 0.7034186147 * m_ + 1.7076147010 * s_).alias("b"),
+        )
+
+    light, a, b = c["l"], c["c"] * F.cos(F.radians(c["h"])), c["c"] * F.sin(F.radians(c["h"]))
+    cones = F.struct(
+        (light + 0.3963377774 * a + 0.2158037573 * b).alias("l"),
+        (light - 0.1055613458 * a - 0.0638541728 * b).alias("m"),
+        (light - 0.0894841775 * a - 1.2914855480 * b).alias("s"),
+    )
+    return bound(cones, rgb)
+
+
 def space_distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two structs of l, a, b: the OKLab distance, or delta E (CIE76)."""
     square = lambda k: (a[k] - b[k]) * (a[k] - b[k])

@@ -31,11 +31,11 @@ def off_system(covered: DataFrame, n: int = 25) -> DataFrame:
 
 
 def pair_overlap(sets: DataFrame) -> DataFrame:
-    """Jaccard of each two pages' values (page, value) that share any, by an inverted index: pages without a shared value make no row."""
-    rows = sets.select("page", "value").distinct()
+    """Jaccard of each two pages of a site (site, page, value) that share any value, by an inverted index: pages without a shared value make no row."""
+    rows = sets.select("site", "page", "value").distinct()
     sizes = rows.groupBy("page").agg(F.count("*").alias("n"))
-    a, b = rows.toDF("a", "value"), rows.toDF("b", "value")
-    both = a.join(b, "value").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    a, b = rows.toDF("site", "a", "value"), rows.toDF("site", "b", "value")
+    both = a.join(b, ["site", "value"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
     both = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     union = F.col("na") + F.col("nb") - F.col("overlap")
     return both.select("a", "b", "overlap", union.alias("union_size"), F.round(F.col("overlap") / union, 6).alias("ratio"))

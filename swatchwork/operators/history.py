@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swatchwork.sources.storage import stored
+
 
 def changes(snapshots: DataFrame) -> DataFrame:
     """Snapshots (key, ts, seq, value) whose value differs from that before, with both."""
@@ -21,14 +20,6 @@ def retained(snapshots: DataFrame, n: int = 50) -> DataFrame:
     return snapshots.withColumn("age", F.row_number().over(line)).where(F.col("age") <= n)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the checkpoint folder and read again."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def resolve_references(tokens: DataFrame) -> DataFrame:
     """Follows values such as {a.b} from token to token (path, value), however far; null where a chain leads nowhere or in a circle.
 
@@ -37,12 +28,12 @@ def resolve_references(tokens: DataFrame) -> DataFrame:
     """
     to = F.regexp_extract("value", r"^\{(.+)\}$", 1)
     tokens = tokens.groupBy("path").agg(F.min("value").alias("value"))
-    rows = _stored(tokens.select("path", "value", F.when(to != "", to).alias("to"), F.when(to != "", 1).otherwise(0).alias("hops")))
+    rows = stored(tokens.select("path", "value", F.when(to != "", to).alias("to"), F.when(to != "", 1).otherwise(0).alias("hops")))
     settled, open_ = rows.where(F.col("to").isNull()), rows.where(F.col("to").isNotNull())
     while True:
         ends = settled.union(open_).select(F.col("path").alias("at"), "value", F.col("to").alias("next"), F.col("hops").alias("more"))
         near = open_.select("path", F.col("to").alias("at"), "hops")
-        moved = _stored(near.join(ends, "at").select("path", "value", F.col("next").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
+        moved = stored(near.join(ends, "at").select("path", "value", F.col("next").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
         done = moved.where(F.col("to").isNull())
         if done.isEmpty():
             break

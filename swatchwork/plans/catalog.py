@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.functions import csstext as T
 from swatchwork.operators import classify, compare, history, scales, tokens, usage, vectors
-from swatchwork.sources import elements
+from swatchwork.sources import elements, storage
 from swatchwork.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,7 +151,7 @@ on_elements("type_ratio", f""", {_SIZES_SQL}, {_RATIOS}, p AS (SELECT page_id, r
 )
 on_elements("lint_near_duplicates", f""", {_USES}, h AS (SELECT DISTINCT page_id, hex, ('0x' || hex[2:3])::INT AS r, ('0x' || hex[4:5])::INT AS g, ('0x' || hex[6:7])::INT AS b FROM uses)
   SELECT x.page_id, x.hex AS first, y.hex AS second, round(sqrt(pow(x.r - y.r, 2) + pow(x.g - y.g, 2) + pow(x.b - y.b, 2)), 4) AS distance FROM h x JOIN h y ON x.page_id = y.page_id AND x.hex < y.hex
-  WHERE sqrt(pow(x.r - y.r, 2) + pow(x.g - y.g, 2) + pow(x.b - y.b, 2)) < 30""")(lambda e: scales.near_duplicate_colors(usage.color_usage(e).select("page_id", "hex"), 30.0))
+  WHERE sqrt(pow(x.r - y.r, 2) + pow(x.g - y.g, 2) + pow(x.b - y.b, 2)) < 8""")(lambda e: scales.near_duplicate_colors(usage.color_usage(e).select("page_id", "hex")))
 on_elements("color_clusters_rgb", f""", {_USES}, h AS (SELECT page_id, hex, count(*) AS uses, min(ord * 2 + (context = 'background')::INT) AS place, ('0x' || hex[2:3])::INT AS r, ('0x' || hex[4:5])::INT AS g, ('0x' || hex[6:7])::INT AS b FROM uses GROUP BY page_id, hex),
   l AS (SELECT page_id, list({{'r': r, 'g': g, 'b': b}} ORDER BY place) AS xs FROM h GROUP BY page_id),
   s AS (SELECT page_id, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: pow(y.r - x[1].r, 2) + pow(y.g - x[1].g, 2) + pow(y.b - x[1].b, 2) < 225)) > 0 THEN acc ELSE list_concat(acc, x) END) AS seeds FROM l),
@@ -208,22 +208,23 @@ query("site_consistency", f"WITH {_COVER} SELECT site, max(total) AS pages, CASE
 
 
 def _page_colors(e: DataFrame) -> DataFrame:
-    return usage.color_usage(e).where("uses >= 3").select(F.col("page_id").alias("page"), F.col("hex").alias("value"), "uses")
+    site = F.floor(F.col("page_id") / elements.SITE)
+    return usage.color_usage(e).select(site.alias("site"), F.col("page_id").alias("page"), F.col("hex").alias("value"), "uses")
 
 
-_PAGE_COLORS = f"{_USES}, pc AS (SELECT page_id AS page, hex AS value, count(*) AS uses FROM uses GROUP BY ALL HAVING count(*) >= 3)"
-on_elements("site_outliers", f""", {_PAGE_COLORS}, n AS (SELECT page % 5 AS site, count(DISTINCT page) AS total FROM pc GROUP BY 1), c AS (SELECT page % 5 AS site, value, count(DISTINCT page) AS pages, sum(uses)::BIGINT AS uses FROM pc GROUP BY 1, 2)
+_PAGE_COLORS = f"{_USES}, pc AS (SELECT page_id // {elements.SITE} AS site, page_id AS page, hex AS value, count(*) AS uses FROM uses GROUP BY ALL)"
+on_elements("site_outliers", f""", {_PAGE_COLORS}, n AS (SELECT site, count(DISTINCT page) AS total FROM pc GROUP BY 1), c AS (SELECT site, value, count(DISTINCT page) AS pages, sum(uses)::BIGINT AS uses FROM pc GROUP BY 1, 2)
   SELECT site, value, uses, rank FROM (SELECT site, value, uses, row_number() OVER (PARTITION BY site ORDER BY uses DESC, value) AS rank FROM c JOIN n USING (site) WHERE pages = 1 AND uses >= 2 AND pages / total < 0.8) WHERE rank <= 25""")(
-    lambda e: compare.off_system(compare.coverage(_page_colors(e).withColumn("site", F.col("page") % 5)))
+    lambda e: compare.off_system(compare.coverage(_page_colors(e)))
 )
 on_elements("page_pair_jaccard", f""", {_PAGE_COLORS}, z AS (SELECT page, count(*) AS n FROM pc GROUP BY page)
   SELECT x.page AS a, y.page AS b, count(*) AS overlap, any_value(p.n) + any_value(q.n) - count(*) AS union_size, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS ratio
-  FROM pc x JOIN pc y ON x.value = y.value AND x.page < y.page JOIN z p ON p.page = x.page JOIN z q ON q.page = y.page GROUP BY 1, 2""")(lambda e: compare.pair_overlap(_page_colors(e)))
+  FROM pc x JOIN pc y ON x.value = y.value AND x.site = y.site AND x.page < y.page JOIN z p ON p.page = x.page JOIN z q ON q.page = y.page GROUP BY 1, 2""")(lambda e: compare.pair_overlap(_page_colors(e)))
 on_elements("shared_tokens", f", {_PAGE_COLORS} SELECT value, count(DISTINCT page) AS pages FROM pc GROUP BY value HAVING count(DISTINCT page) = (SELECT count(DISTINCT page) FROM pc)")(lambda e: compare.shared_values(_page_colors(e)))
 on_elements("unique_tokens", f""", {_PAGE_COLORS}, o AS (SELECT value, min(page) AS page FROM pc GROUP BY value HAVING count(DISTINCT page) = 1)
   SELECT page, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY value) AS rank FROM o) WHERE rank <= 20""")(lambda e: compare.unique_values(_page_colors(e)))
-on_elements("multiset_jaccard", f""", {_PAGE_COLORS}, s AS (SELECT page % 5 AS key, value, coalesce(sum(uses) FILTER (page % 2 = 0), 0) AS x, coalesce(sum(uses) FILTER (page % 2 = 1), 0) AS y FROM pc GROUP BY 1, 2)
-  SELECT key, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS jaccard FROM s GROUP BY key""")(lambda e: compare.multiset_overlap(_page_colors(e).withColumn("key", F.col("page") % 5), F.col("page") % 2 == 0, F.col("page") % 2 == 1))
+on_elements("multiset_jaccard", f""", {_PAGE_COLORS}, s AS (SELECT site AS key, value, coalesce(sum(uses) FILTER (page % 2 = 0), 0) AS x, coalesce(sum(uses) FILTER (page % 2 = 1), 0) AS y FROM pc GROUP BY 1, 2)
+  SELECT key, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS jaccard FROM s GROUP BY key""")(lambda e: compare.multiset_overlap(_page_colors(e).withColumnRenamed("site", "key"), F.col("page") % 2 == 0, F.col("page") % 2 == 1))
 
 
 def _route_tokens(e: DataFrame, value: str = "radius") -> DataFrame:
@@ -235,11 +236,10 @@ _ROUTE_SQL = """rt AS (SELECT route, token, value FROM (SELECT page_id AS route,
 on_elements("route_reconcile", f""", {_ROUTE_SQL}, r4 AS (SELECT * FROM rt)
   SELECT token, count(DISTINCT route) AS routes, count(DISTINCT value) AS values, CASE WHEN count(DISTINCT value) = 1 AND count(DISTINCT route) = (SELECT count(DISTINCT route) FROM r4) THEN 'shared' WHEN count(DISTINCT route) = 1 THEN 'added' ELSE 'changed' END AS status
   FROM r4 GROUP BY token""")(lambda e: compare.reconcile_routes(_route_tokens(e)))
-on_elements("profile_diff", f""", {_ROUTE_SQL}, a AS (SELECT route || '/' || token AS key, value FROM rt WHERE route % 3 <> 1), b AS (SELECT (route % 50) || '/' || token AS key, min(value) AS value FROM rt WHERE route % 3 <> 0 GROUP BY 1)
+on_elements("profile_diff", f""", {_ROUTE_SQL}, a AS (SELECT (route // 2) || '/' || token AS key, value FROM rt WHERE route % 2 = 0), b AS (SELECT (route // 2) || '/' || token AS key, value FROM rt WHERE route % 2 = 1)
   SELECT coalesce(a.key, b.key) AS key, a.value AS a_value, b.value AS b_value, CASE WHEN b.key IS NULL THEN 'only-a' WHEN a.key IS NULL THEN 'only-b' WHEN a.value = b.value THEN 'shared' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.key = b.key""")(
     lambda e: compare.difference(
-        _route_tokens(e).where("route % 3 != 1").select(F.concat_ws("/", F.col("route").cast("string"), "token").alias("key"), "value"),
-        _route_tokens(e).where("route % 3 != 0").groupBy(F.concat_ws("/", (F.col("route") % 50).cast("string"), "token").alias("key")).agg(F.min("value").alias("value")),
+        *(_route_tokens(e).where(F.col("route") % 2 == side).select(F.concat_ws("/", F.floor(F.col("route") / 2).cast("string"), "token").alias("key"), "value") for side in (0, 1)),
     )
 )
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -319,10 +319,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and state, shared where the cluster names a shared one."""
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's output and state."""
+    return f"{storage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_watch", "SELECT key, seq, before, value FROM (SELECT user_id AS key, event_id AS seq, event_type AS value, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before <> value")

@@ -62,3 +62,17 @@ def drained(stream: DataFrame, name: str, folder: str, mode: str = "append") ->
     query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
+
+
+def told(stream: DataFrame, name: str, folder: str) -> DataFrame:
+    """Runs a stream in update mode over all that is there now and gives every row that it told, of this run and of those before in this folder.
+
+    Each batch is written to a folder of its own number, so that one that runs again after a failure takes its own place.
+    """
+    out = f"{folder}/{name}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/{name}-checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out).select(*stream.columns)
