@@ -22,7 +22,17 @@ def _ids_and_texts(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is not in ``ids`` (doc_id)."""
-    return docs.join(common.small(common.stored(ids.select(F.col("doc_id").alias("gone")).distinct())), _id() == F.col("gone"), "left_anti")
+    own, gone = _free(docs, "own"), _free(docs, "gone")
+    left = docs.withColumn(own, _id()).join(common.small(common.stored(ids.select(F.col("doc_id").alias(gone)).distinct())), F.col(own) == F.col(gone), "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +66,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     common.bounded_batches(spark)
     ids = _ids_and_texts(docs)
-    several = common.small(common.stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("several"))))
-    kept = _without(docs, neardup.near_duplicates(ids).where("not kept"))
-    own, text = _id() == F.col("several"), F.col("text").cast("string")
-    one = kept.join(several, own, "left_semi").groupBy(_id().alias("several")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text), text)).alias("row"))
-    return kept.join(several, own, "left_anti").unionByName(one.select("row.*")).select(*docs.columns)
+    name, mine = _free(docs, "several"), _free(docs, "mine")
+    several = common.small(common.stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(name))))
+    kept = _without(docs, neardup.near_duplicates(ids).where("not kept")).withColumn(mine, _id())
+    own, text = F.col(mine) == F.col(name), F.col("text").cast("string")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(several, own, "left_semi").groupBy(mine).agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64(text), text)).alias("row"))
+    return kept.join(several, own, "left_anti").select(*columns).union(one.select("row.*"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +83,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     all rows stay, with all columns, whatever they are called.
     """
     common.bounded_batches(spark)
-    return _without(docs, decontaminate.contaminated(_ids_and_texts(docs), common.table(spark, sf_dir, "benchmark"))).select(*docs.columns)
+    return _without(docs, decontaminate.contaminated(_ids_and_texts(docs), common.table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

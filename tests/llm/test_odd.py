@@ -164,3 +164,18 @@ def test_pipeline_groups(spark, tmp_path):
     empty = docs.where("false")
     assert all(f(spark, empty, str(tmp_path)).count() == 0 for f in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.decontaminate_benchmark, corpus_pipeline.mix_sources))
     assert len(DOCS) > 0
+
+
+def test_pipeline_columns_may_have_any_name(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, TEXTS[12])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(DOCS[:40], SCHEMA)
+    plain = {f: sorted(map(tuple, f(spark, docs, str(tmp_path)).select("doc_id", "text").collect()), key=str) for f in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.decontaminate_benchmark)}
+    names = "gone several own mine h row key node value text_ own_ Gone_ a.b".split()
+    odd = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for stage, want in plain.items():
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns
+        assert sorted(((x[0], x[1]) for x in got.collect()), key=str) == want and want
