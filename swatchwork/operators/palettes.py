@@ -55,7 +55,7 @@ def _compress(k: int):
                 points = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in ("l", "a", "b")], 1)
                 weight = rows.field("uses").to_numpy().astype(np.float64)
                 own, centres = _settled(points, weight, k) if len(points) > k else (np.arange(len(points)), points)
-                off = ((points - centres[own]) ** 2).sum(1)
+                off = np.round(((points - centres[own]) ** 2).sum(1), 9)  # two of equal weight are equally far but for rounding
                 found = []
                 for cluster in np.unique(own):
                     members = np.flatnonzero(own == cluster)

@@ -46,7 +46,7 @@ PALETTE_SQL = f"""WITH RECURSIVE {E_}, {_USES}, h AS (SELECT page_id, hex, count
         SELECT page_id, pts, cs, it, moved, list_transform(pts, lambda y: {{'hex': y.hex, 'u': y.u, 'l': y.l, 'a': y.a, 'b': y.b,
           'j': list_position(list_transform(cs, lambda c: {_D2("y", "c")}), list_min(list_transform(cs, lambda c: {_D2("y", "c")})))}}) AS own FROM k WHERE it < {palettes.ROUNDS} AND moved >= {palettes.STILL}))),
   l AS (SELECT page_id, cs, own FROM k QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY it DESC) = 1),
-  m AS (SELECT page_id, q.hex AS hex, q.u AS u, q.j AS j, place, {_D2("q", "cs[q.j]")} AS off FROM (SELECT page_id, cs, unnest(own) AS q, generate_subscripts(own, 1) AS place FROM l)),
+  m AS (SELECT page_id, q.hex AS hex, q.u AS u, q.j AS j, place, round({_D2("q", "cs[q.j]")}, 9) AS off FROM (SELECT page_id, cs, unnest(own) AS q, generate_subscripts(own, 1) AS place FROM l)),
   c AS (SELECT page_id, j, arg_min(hex, (off, place)) AS hex, sum(u)::BIGINT AS uses, count(*)::INT AS members, string_agg(hex, ',' ORDER BY place) AS hexes FROM m GROUP BY page_id, j)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY uses DESC, j)::INT AS rank, hex, uses, members, hexes FROM c
 UNION ALL SELECT page_id, place::INT, y.hex, y.u::BIGINT, 1, y.hex FROM (SELECT page_id, unnest(pts) AS y, generate_subscripts(pts, 1) AS place FROM p WHERE len(pts) <= {_K})"""

@@ -94,6 +94,10 @@ def declarations(read: DataFrame) -> DataFrame:
     return rows.select("id", "ord", "place", one.alias("selector"), "media", "d.property", "d.value", "d.important")
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
@@ -109,12 +113,12 @@ def sheet_facts(sheets: DataFrame) -> DataFrame:
     texts = sheets.select(F.col("id").cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"(?s)/\*.*?\*/", " ").alias("text"))
     fact = lambda name, found, key, value: texts.select("id", F.lit(name).alias("fact"), F.posexplode(found).alias("ord", "x")).select("id", "fact", "ord", key(F.col("x")).alias("name"), value(F.col("x")).alias("value"))
     none = lambda x: F.lit("")
-    same = lambda x: F.trim(x)
+    same = lambda x: _strip(x)
     fluid = rf"(?i)(?<![\w-])((?:{FLUID})\s*:\s*[^;}}]*?(?:clamp\(|[\d.]+v(?:w|h|min|max)\b)[^;}}]*)"
     kind = lambda x: F.coalesce(F.nullif(F.lower(F.regexp_extract(x, rf"(?i)^({MODERN})", 1)), F.lit("")), F.lower(F.regexp_extract(x, r"(?i)(display-p3|rec2020)", 1)))
     modern = rf"(?i)((?:{MODERN})\((?:[^()]|\([^()]*\))*\)|color\(\s*(?:display-p3|rec2020)[^)]+\))"
     rows = (
-        fact("fluid", _all(F.col("text"), fluid), lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))), lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", "")))
+        fact("fluid", _all(F.col("text"), fluid), lambda x: F.lower(_strip(F.substring_index(x, ":", 1))), lambda x: _strip(F.regexp_replace(x, r"^[^:]*:", "")))
         .union(fact("env", F.array_distinct(F.transform(_all(F.col("text"), r"(?i)env\(\s*(safe-area-inset-[a-z]+|viewport-[a-z-]+)"), lambda x: F.lower(x))), same, none))
         .union(fact("modern", _all(F.col("text"), modern), kind, same))
     )
@@ -180,5 +184,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
     sql = files.sparkSession.sql
     groups = sql("SELECT id, g.key AS grp, g.value AS v FROM {pairs}, LATERAL variant_explode(v) g WHERE schema_of_variant(g.value) LIKE 'OBJECT%'", pairs=pairs)
     plain = sql("SELECT id, concat(grp, '.', e.key) AS path, CAST(e.value AS STRING) AS value, regexp_replace(grp, 's$', '') AS type FROM {groups}, LATERAL variant_explode(v) e", groups=groups)
-    css = texts.where("kind = 'css'").select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(--[\w-]+:\s*[^;]+);"), 1)).alias("x")).select("id", F.regexp_extract("x", r"^--([\w-]+)", 1), F.trim(F.regexp_replace("x", r"^[^:]*:", "")), F.lit("unknown"))
+    css = texts.where("kind = 'css'").select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(--[\w-]+:\s*[^;]+);"), 1)).alias("x")).select("id", F.regexp_extract("x", r"^--([\w-]+)", 1), _strip(F.regexp_replace("x", r"^[^:]*:", "")), F.lit("unknown"))
     return typed.union(plain).union(css)

@@ -67,7 +67,8 @@ def drained(stream: DataFrame, name: str, folder: str, mode: str = "append") ->
 def told(stream: DataFrame, name: str, folder: str) -> DataFrame:
     """Runs a stream in update mode over all that is there now and gives every row that it told, of this run and of those before in this folder.
 
-    Each batch is written to a folder of its own number, so that one that runs again after a failure takes its own place.
+    Each batch is written to a folder of its own number, so that one that runs again after a failure takes its own place. Not
+    for streams whose state has a time to live: these go on as long as the clock does.
     """
     out = f"{folder}/{name}"
 
