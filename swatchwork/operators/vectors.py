@@ -12,7 +12,8 @@ from swatchwork.operators.usage import top
 
 def normalise(value: Column, low: float, high: float) -> Column:
     """Into 0 to 1 between two bounds, clamped; null stays null."""
-    return F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    # greatest and least pass over nulls
+    return F.when(value.isNotNull(), F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0)))
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swatchwork.operators import palettes, synthesis, usage
+from swatchwork.functions import csstext as T
+from swatchwork.operators import features, palettes, synthesis, usage, vectors
 from swatchwork.plans.catalog import _ACTS, _SPACING, _USES, BG, E_, FG, PX, query
 from swatchwork.sources import elements
+from swatchwork.sources.storage import stored
 
 _LIN = "(CASE WHEN ({0}) / 255.0::DOUBLE <= 0.04045 THEN ({0}) / 255.0::DOUBLE / 12.92 ELSE pow((({0}) / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
 _BYTE = "('0x' || {0}[{1}:{2}])::INT"
@@ -132,3 +134,93 @@ query("site_grade", f"""{CANONICAL_SQL}, {_ODD}, w AS (SELECT site, {", ".join(f
   z AS (SELECT site, total AS pages, {", ".join(f"floor(round({c} * 100, 9) + 0.5)::INT AS {c}" for c in synthesis.WEIGHTS)}, CASE WHEN total >= 2 THEN floor(round(({" + ".join(f"{c} * {w}::DOUBLE" for c, w in synthesis.WEIGHTS.items())}) / {sum(synthesis.WEIGHTS.values())}::DOUBLE * 100, 9) + 0.5)::INT END AS grade,
     (SELECT count(*) FROM od WHERE od.site = w.site AND k <= {synthesis.OUTLIERS}) AS outliers FROM w JOIN tot USING (site))
   SELECT *, CASE WHEN grade >= 90 THEN 'A' WHEN grade >= 80 THEN 'B' WHEN grade >= 70 THEN 'C' WHEN grade >= 60 THEN 'D' WHEN grade IS NOT NULL THEN 'F' END AS letter FROM z""")(lambda s, d: synthesis.grades(*_canonical(s, d)))
+
+
+# --- design vectors ----------------------------------------------------------------------------------------------------
+def page_profiles(e: DataFrame) -> DataFrame:
+    """Profiles (``features.PROFILE``) of pages out of element rows, in one pass over them and one over their transitions."""
+    some = lambda value: F.array_sort(F.collect_set(value))
+    size = T.number(F.col("font_size"))
+    height = F.when(size % 4 == 0, F.concat((size * 1.5).cast("string"), F.lit("px"))).otherwise("1.4")
+    family = F.trim(F.substring_index("font_family", ",", 1))
+    px = lambda c: T.number(F.col(c))
+    blur = F.regexp_extract("shadow", r"^\S+ \S+ ([\d.]+)px", 1).try_cast("double")
+    depth = F.when(blur == 0, "flat").when(blur <= 4, "low").when(blur <= 12, "mid").otherwise("high")
+    shadow = F.struct(F.lit(0.0).alias("x"), (blur / 4).alias("y"), blur.alias("blur"), F.lit(None).cast("double").alias("weight"), depth.alias("label"), F.lit(False).alias("inset"))
+    rows = e.groupBy("page_id").agg(
+        F.array_union(some("color"), some("background")).alias("colors"), F.min_by("background", F.when(usage.interactive(), F.col("ord"))).alias("primary"), some(F.when(F.col("area") > synthesis.LARGE, F.col("background"))).alias("backgrounds"),
+        some(F.struct(size.alias("size"), height.alias("line_height"))).alias("scale"), some("font_weight").alias("weights"), some(F.when(family != "system-ui", family)).alias("families"),
+        F.array_union(some(px("padding")), some(px("margin"))).alias("spacing"), some(px("radius")).alias("radii"), some(F.when(F.col("shadow") != "none", shadow)).alias("shadows"),
+    )
+    moves = e.groupBy("page_id", "transition").agg(F.count("*").alias("n"))
+    part = lambda k: F.regexp_extract("transition", r"^\S+ (\S+) (.+)$", k)
+    moves = moves.select("page_id", "n", T.milliseconds(part(1)).alias("ms"), part(2).alias("easing"), T.easing_family(part(2)).alias("family"))
+    families = moves.groupBy("page_id", "family").agg(F.sum("n").alias("count")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("family", "count"))).alias("easings"))
+    moves = moves.groupBy("page_id").agg(some("ms").alias("durations"), some(F.when(F.col("family") == "spring", F.col("easing"))).alias("springs"))
+    p = F.col("page_id")
+    none = F.lit(None)
+    return rows.join(moves, "page_id").join(families, "page_id").select(
+        "page_id", "colors", "primary", none.cast("string").alias("secondary"), none.cast("string").alias("accent"), "backgrounds", F.filter("colors", lambda x: x.rlike(r"^rgb\((\d+), \1, \1\)$")).alias("neutrals"), "scale",
+        none.cast("struct<size:double,line_height:string>").alias("body"), "weights", "families", "spacing", F.when(p % 3 == 1, 4.0).when(p % 3 == 2, 8.0).alias("base"), "radii",
+        F.when(p % 2 == 1, F.array(F.lit(1.0), (p % 4).cast("double"))).alias("widths"), "shadows", "durations", "easings", "springs", F.when(p % 2 == 1, p % 4 == 1).alias("scroll_linked"),
+    )
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(features.raw_features(stored(page_profiles(elements.from_lineitem(spark, sf_dir)))))
+
+
+_DIST = lambda c: f"list(DISTINCT {c}) FILTER ({c} IS NOT NULL)"
+_MEDIAN = lambda x: f"list_aggregate({x}, 'median')"
+_SOFT = "CASE WHEN shadow_y * 4 > 0 THEN shadow_y * 4 / (sqrt(pow(shadow_y, 2)) + shadow_y * 4) ELSE 0.0 END"
+_FAMILY = "CASE easing WHEN 'linear' THEN 'linear' WHEN 'cubic-bezier(0.3, 1.5, 0.6, 1)' THEN 'spring' WHEN 'cubic-bezier(0.4, 0, 0.2, 1)' THEN 'custom' ELSE 'ease-in-out' END"
+VECTORS_SQL = f"""WITH {E_}, xc AS (SELECT page_id, r, g, b, false AS large FROM elements UNION ALL SELECT page_id, br, bg, bb, area > {synthesis.LARGE} FROM elements), dc AS (SELECT page_id, r, g, b, bool_or(large) AS large FROM xc GROUP BY ALL),
+  m AS (SELECT *, greatest(r, g, b) / 255.0::DOUBLE AS mx, least(r, g, b) / 255.0::DOUBLE AS mn FROM dc), hs AS (SELECT *, (mx + mn) / 2 AS l, CASE WHEN mx = mn THEN 0.0::DOUBLE WHEN (mx + mn) / 2 > 0.5 THEN (mx - mn) / (2 - mx - mn) ELSE (mx - mn) / (mx + mn) END AS s,
+    60 * CASE WHEN mx = mn THEN 0.0::DOUBLE WHEN greatest(r, g, b) = r THEN (g - b) / 255.0::DOUBLE / (mx - mn) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN greatest(r, g, b) = g THEN (b - r) / 255.0::DOUBLE / (mx - mn) + 2 ELSE (r - g) / 255.0::DOUBLE / (mx - mn) + 4 END AS h FROM m),
+  co AS (SELECT page_id, coalesce(avg(s) FILTER (s > {features.CHROMATIC}), 0) AS chroma_mean, max(s) AS chroma_max, count(DISTINCT floor(h / 30)::INT % 12) FILTER (s > {features.CHROMATIC}) AS hue_count,
+    CASE count(*) FILTER (s > {features.CHROMATIC}) WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 - sqrt(pow(avg(cos(radians(h))) FILTER (s > {features.CHROMATIC}), 2) + pow(avg(sin(radians(h))) FILTER (s > {features.CHROMATIC}), 2)) END AS hue_spread,
+    avg(s) FILTER (r = g AND g = b) AS neutral_temp, count(DISTINCT floor(l * 20 + 0.5)) FILTER (large) AS surface_levels, avg(l) FILTER (large) AS surface_lightness FROM hs GROUP BY page_id),
+  pr AS (SELECT page_id, arg_min(greatest(br, bg, bb) + least(br, bg, bb), ord) / 510.0::DOUBLE AS pl FROM elements WHERE {_ACTS} GROUP BY page_id),
+  li AS (SELECT page_id, list_sort({_DIST(PX.format("font_size"))}) AS sizes, max(font_weight::INT) - min(font_weight::INT) AS weight_range, count(DISTINCT trim(split_part(font_family, ',', 1))) FILTER (font_family <> 'system-ui') AS family_count,
+    list_distinct(list_concat({_DIST(f"nullif({PX.format('padding')}, 0)")}, {_DIST(f"nullif({PX.format('margin')}, 0)")})) AS spacing, {_DIST(PX.format("radius"))} AS radii, list(DISTINCT {_SOFT}) AS softs, list(DISTINCT shadow_y) FILTER (shadow_y IS NOT NULL) AS shadows,
+    {_DIST("duration::DOUBLE")} AS durations, count(*) FILTER ({_FAMILY} = 'linear') / count(*) AS linear_share, count(DISTINCT easing) FILTER ({_FAMILY} = 'spring') AS springs,
+    CASE page_id % 3 WHEN 1 THEN 4.0::DOUBLE WHEN 2 THEN 8.0::DOUBLE END AS base FROM elements GROUP BY page_id),
+  st AS (SELECT *, list_transform(range(2, len(sizes) + 1), lambda k: sizes[k] / sizes[k - 1]) AS steps, list_transform(sizes, lambda z: CASE WHEN z % 4 = 0 THEN z * 1.5 / z ELSE 1.4::DOUBLE END) AS heights, list_filter(radii, lambda v: v < {features.PILL}) AS corners FROM li),
+  w AS (SELECT page_id, chroma_mean, chroma_max, hue_count, hue_spread, neutral_temp, nullif(surface_levels, 0) AS surface_levels, surface_lightness, abs(pl - surface_lightness) AS accent_delta, CASE WHEN len(sizes) >= 3 THEN {_MEDIAN("steps")} END AS scale_ratio,
+    CASE WHEN len(sizes) >= 3 THEN 1 - least(1, list_avg(list_transform(steps, lambda z: abs(z - {_MEDIAN("steps")}) / {_MEDIAN("steps")}))) END AS scale_regularity, list_max(sizes) / {_MEDIAN("sizes")} AS display_contrast, {_MEDIAN("heights")} AS body_line_height, weight_range, nullif(family_count, 0) AS family_count,
+    base AS base_unit, CASE WHEN len(spacing) > 0 THEN len(list_filter(spacing, lambda v: abs(v / base - floor(v / base + 0.5)) < 0.01)) / len(spacing) + 0 * base END AS ramp_regularity, nullif(len(spacing), 0) AS scale_depth, list_max(spacing) / base AS scale_spread,
+    CASE WHEN len(corners) > 0 THEN {_MEDIAN("corners")} WHEN len(radii) > 0 THEN 0 END AS radius_median, CASE WHEN len(corners) > 0 THEN list_aggregate(corners, 'stddev_pop') WHEN len(radii) > 0 THEN 0 END AS radius_variance, len(list_filter(radii, lambda v: v >= {features.PILL})) / nullif(len(radii), 0) AS pill_rate,
+    CASE WHEN page_id % 2 = 1 THEN (1 + page_id % 4) / 2 END AS border_weight, list_avg(list_transform(shadows, lambda y: CASE WHEN y > 0 THEN y * 4 / (y + y * 4) ELSE 0 END)) AS shadow_softness,
+    len(list_distinct(list_transform(shadows, lambda y: CASE WHEN y = 0 THEN 'flat' WHEN y * 4 <= 4 THEN 'low' WHEN y * 4 <= 12 THEN 'mid' ELSE 'high' END))) AS elevation_levels, {_MEDIAN("durations")} AS duration_median, list_max(durations) - list_min(durations) AS duration_spread,
+    least(1, springs / {features.SPRINGS}) AS springiness, 0 AS ease_out_share, linear_share, CASE page_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 0 END AS scroll_linked FROM st JOIN co USING (page_id) LEFT JOIN pr USING (page_id)),
+  fv AS (SELECT page_id, unnest([{", ".join(f"{{'i': {k}, 'axis': '{axis}', 'feature': '{name}', 'raw': {name}::DOUBLE, 'value': least(greatest(({name}::DOUBLE - {low}) / ({high} - {low}::DOUBLE), 0), 1)}}" for k, (axis, name, low, high) in enumerate(features.SPEC))}]) AS f FROM w),
+  ve AS (SELECT page_id, f.i AS i, f.axis AS axis, f.feature AS feature, f.raw AS raw, f.value AS value FROM fv WHERE f.raw IS NOT NULL)"""
+
+
+@query("design_features", f"{VECTORS_SQL} SELECT page_id, axis, feature, round(raw, 6) AS raw, round(value, 6) AS value FROM ve")
+def design_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw(spark, sf_dir)
+    both = raw.join(features.design_vectors(raw), "page_id")
+    one = F.explode(F.array(*(F.struct(F.lit(axis).alias("axis"), F.lit(name).alias("feature"), F.round(name, 6).alias("raw"), F.round(F.get("vector", F.lit(k)), 6).alias("value")) for k, (axis, name, *_) in enumerate(features.SPEC))))
+    return both.select("page_id", one.alias("f")).select("page_id", "f.*").where("raw is not null")
+
+
+_GAP = lambda axis: f"round(avg(abs(x.value - y.value)){f' FILTER (x.axis = {axis!r})' if axis else ''}, 6)"
+
+
+@query("design_distances", f"""{VECTORS_SQL}, pg AS (SELECT DISTINCT page_id FROM elements), pp AS (SELECT x.page_id AS page, y.page_id AS other FROM pg x JOIN pg y ON x.page_id // {_SITE} = y.page_id // {_SITE} AND x.page_id < y.page_id)
+  SELECT page, other, {_GAP(None)} AS distance, count(*) AS compared, {", ".join(f"{_GAP(axis)} AS {axis}, count(*) FILTER (x.axis = '{axis}') AS {axis}_compared" for axis in features.AXES)}
+  FROM pp JOIN ve x ON x.page_id = page JOIN ve y ON y.page_id = other AND x.i = y.i GROUP BY page, other""")
+def design_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one site with each other; a site has SITE pages at most."""
+    v = stored(features.design_vectors(_raw(spark, sf_dir))).select("page_id", "vector", F.floor(F.col("page_id") / elements.SITE).alias("site"))
+    pairs = v.select("site", F.col("page_id").alias("page"), F.col("vector").alias("a")).join(v.select("site", F.col("page_id").alias("other"), F.col("vector").alias("b")), "site").where("page < other").drop("site")
+    out = features.design_distances(pairs)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in out.dtypes))
+
+
+@query("axis_percentiles", f"""{VECTORS_SQL}, rk AS (SELECT page_id, axis, round((rank() OVER (PARTITION BY i ORDER BY round(value, 9)) - 1 + count(*) OVER (PARTITION BY i, round(value, 9)) / 2) / count(*) OVER (PARTITION BY i), 6) AS percentile FROM ve)
+  SELECT page_id AS id, axis, round(avg(percentile), 6) AS percentile, count(*) AS features FROM rk GROUP BY 1, 2""")
+def axis_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = features.design_vectors(_raw(spark, sf_dir)).select(F.col("page_id").alias("id"), F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
+    return features.axis_percentiles(vectors.percentiles(stored(v))).select("id", "axis", F.round("percentile", 6).alias("percentile"), "features")
