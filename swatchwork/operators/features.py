@@ -56,7 +56,7 @@ PROFILE = """page_id long, colors array<string>, primary string, secondary strin
 
 
 def _some(values: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of an array that holds something, or else null."""
+    """``use`` of an array that holds something, or else null, as least and greatest pass over nulls."""
     return F.when(F.size(values) > 0, use(values))
 
 
@@ -140,7 +140,7 @@ def raw_features(profiles: DataFrame) -> DataFrame:
         "surface_lightness": surface,
         "accent_delta": F.abs(first["l"] - surface),
         "scale_ratio": F.col("ratio"),
-        "scale_regularity": 1 - F.least(F.lit(1.0), _mean(F.transform("steps", lambda s: F.abs(s - F.col("ratio")) / F.col("ratio")))),
+        "scale_regularity": _some(F.col("steps"), lambda v: 1 - F.least(F.lit(1.0), _mean(F.transform(v, lambda s: F.abs(s - F.col("ratio")) / F.col("ratio"))))),
         "display_contrast": _some(F.col("sizes"), lambda _: F.when(body > 0, F.array_max("sizes") / body)),
         "body_line_height": F.coalesce(_ratio(F.col("body.line_height"), F.col("body.size")), _some(F.col("heights"), _median)),
         "weight_range": _some(F.col("weights"), lambda w: F.array_max(w) - F.array_min(w)),
@@ -157,7 +157,7 @@ def raw_features(profiles: DataFrame) -> DataFrame:
         "elevation_levels": _some(F.col("shadows"), lambda s: F.size(F.array_distinct(F.transform(s, level)))),
         "duration_median": _some(F.col("durations"), _median),
         "duration_spread": _some(F.col("durations"), lambda d: F.array_max(d) - F.array_min(d)),
-        "springiness": F.least(F.lit(1.0), F.size("springs") / SPRINGS),
+        "springiness": F.when(F.col("springs").isNotNull(), F.least(F.lit(1.0), F.size("springs") / SPRINGS)),
         "ease_out_share": share("ease-out"),
         "linear_share": share("linear"),
         "scroll_linked": F.col("scroll_linked").cast("int"),

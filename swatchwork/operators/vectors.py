@@ -1,9 +1,7 @@
-"""Vectors with missing parts: normalising, nearest neighbours, percentiles, outliers, variant clusters."""
+"""Vectors with missing parts: normalising, nearest neighbours, percentiles, outliers."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,30 +56,3 @@ def outliers(ranks: DataFrame, n: int = 5) -> DataFrame:
     rows = ranks.withColumn("off", F.round(F.abs(F.col("percentile") - 0.5), 6))
     band = F.when(F.col("percentile") >= 0.9, "very high").when(F.col("percentile") >= 0.7, "high").when(F.col("percentile") >= 0.3, "typical").when(F.col("percentile") >= 0.1, "low").otherwise("very low")
     return top(rows.withColumn("band", band), ["id"], n, F.desc("off"), F.asc("feature"))
-
-
-def variants(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Greedy clusters by cosine within each kind of (kind, id, vector), in order of id: (kind, variant, example_id, members).
-
-    Order decides, so a kind is one group; its rows are the candidates of one page and kind.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        x = np.array(group["vector"].tolist(), float)
-        size = np.linalg.norm(x, axis=1)
-        unit = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
-        examples: list[int] = []
-        members: list[int] = []
-        for k in range(len(x)):
-            cosine = unit[examples] @ unit[k] if examples else np.zeros(0)
-            cosine = np.where((size[examples] == 0) & (size[k] == 0), 1.0, cosine) if examples else cosine
-            hit = np.flatnonzero(cosine >= threshold)
-            if len(hit):
-                members[hit[0]] += 1
-            else:
-                examples.append(k)
-                members.append(1)
-        return pd.DataFrame({"kind": group["kind"].iloc[0], "variant": range(len(examples)), "example_id": group["id"].to_numpy()[examples], "members": members})
-
-    return rows.groupBy("kind").applyInPandas(fold, "kind int, variant int, example_id long, members long")

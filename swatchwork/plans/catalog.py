@@ -290,7 +290,6 @@ _RANKS = f"""{_VEC}, f AS (SELECT id, unnest(vector) AS value, generate_subscrip
 query("vector_percentiles", f"WITH {_RANKS} SELECT * FROM r")(lambda s, d: vectors.percentiles(_vectors(s, d).select("id", "vector")))
 query("vector_outliers", f"""WITH {_RANKS}, o AS (SELECT *, round(abs(percentile - 0.5), 6) AS off, CASE WHEN percentile >= 0.9 THEN 'very high' WHEN percentile >= 0.7 THEN 'high' WHEN percentile >= 0.3 THEN 'typical' WHEN percentile >= 0.1 THEN 'low' ELSE 'very low' END AS band FROM r)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY off DESC, feature) AS rank FROM o) WHERE rank <= 5""")(lambda s, d: vectors.outliers(vectors.percentiles(_vectors(s, d).select("id", "vector"))))
-query("component_variants")(lambda s, d: vectors.variants(_table(s, d, "embeddings").select(F.col("label").alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), 0.5))
 
 # --- history and streams -----------------------------------------------------------------------------------------------
 _MS = lambda: F.unix_millis(F.col("ts").cast("timestamp"))

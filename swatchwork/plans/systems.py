@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swatchwork.functions import csstext as T
-from swatchwork.operators import features, palettes, synthesis, usage, vectors
+from swatchwork.operators import components, features, palettes, synthesis, tokendoc, usage, vectors
+from swatchwork.plans.readers import _expressions
 from swatchwork.plans.catalog import _ACTS, _SPACING, _USES, BG, E_, FG, PX, query
-from swatchwork.sources import elements
+from swatchwork.sources import elements, stylesheets
 from swatchwork.sources.storage import stored
 
 _LIN = "(CASE WHEN ({0}) / 255.0::DOUBLE <= 0.04045 THEN ({0}) / 255.0::DOUBLE / 12.92 ELSE pow((({0}) / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
@@ -224,3 +225,79 @@ def design_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def axis_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = features.design_vectors(_raw(spark, sf_dir)).select(F.col("page_id").alias("id"), F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
     return features.axis_percentiles(vectors.percentiles(stored(v))).select("id", "axis", F.round("percentile", 6).alias("percentile"), "features")
+
+
+# --- components --------------------------------------------------------------------------------------------------------
+#: Candidates out of element rows, the same words for both engines.
+_KIND = "CASE WHEN class_list = 'card' THEN 'card' WHEN tag = 'button' OR class_list LIKE 'btn%' THEN 'button' WHEN class_list = 'badge' THEN 'badge' WHEN tag = 'li' THEN 'input' WHEN tag = 'h1' THEN NULL ELSE 'text' END"
+_HINTS = """CASE WHEN font_weight = '700' THEN 'primary' WHEN height % 48 = 0 THEN 'ghost' WHEN height = 32 THEN 'default' END AS variant_hint, CASE height WHEN 16 THEN 'sm' WHEN 96 THEN 'lg' END AS size_hint,
+  CASE WHEN width % 3 = 0 THEN '' WHEN width % 7 = 0 THEN NULL ELSE concat(tag, width) END AS text"""
+
+
+def candidates(e: DataFrame) -> DataFrame:
+    px = lambda c: T.number(F.col(c))
+    part = lambda c, k: F.regexp_extract(c, r"(\d+), (\d+), (\d+)", k).cast("double")
+    style = F.array(px("padding"), px("margin"), px("radius"), px("font_size"), F.col("font_weight").cast("double") / 100, *(part(c, k) / 255 * 20 for c in ("color", "background") for k in (1, 2, 3)))
+    slots = F.when(F.col("width") % 2 == 0, F.array(F.lit("icon"), F.lit("text"))).when(F.col("width") % 5 == 0, F.array(*map(F.lit, ("heading", "text", "icon", "badge")))).when(F.col("width") % 11 != 0, F.array(F.lit("text")))
+    rows = e.withColumns({"kind": F.expr(_KIND), "structural_hash": F.concat_ws("/", "tag", "class_list"), "style_vector": style, "slots": slots, "disabled": F.when(F.col("z_index") != "auto", True), "css": F.col("color")})
+    return rows.selectExpr("page_id", "ord", "kind", "structural_hash", "style_vector", *_expressions(_HINTS), "disabled", "css", "slots")
+
+
+_CANDIDATES = f"""{E_}, cd AS (SELECT page_id, ord, {_KIND} AS kind, tag || '/' || class_list AS structural_hash, {_HINTS}, z_index IS NOT NULL AS disabled, color AS css,
+  CASE WHEN width % 2 = 0 THEN ['icon', 'text'] WHEN width % 5 = 0 THEN ['heading', 'text', 'icon', 'badge'] WHEN width % 11 <> 0 THEN ['text'] ELSE [] END AS slots,
+  [{", ".join(PX.format(c) for c in ("padding", "margin", "radius", "font_size"))}, font_weight::DOUBLE / 100, {", ".join(f"{c} / 255.0::DOUBLE * 20" for c in ("r", "g", "b", "br", "bg", "bb"))}] AS v FROM elements)"""
+_COS = "round(list_dot_product(x.v, r.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(r.v, r.v))), 9)"
+query("component_variants", f"""WITH RECURSIVE {_CANDIDATES}, r AS (SELECT page_id, kind, structural_hash AS sh, ord, v, row_number() OVER (PARTITION BY page_id, kind, structural_hash ORDER BY ord) AS i FROM cd),
+  g AS (SELECT page_id, kind, sh, i, [{{'ord': ord, 'v': v, 'n': 1}}] AS xs FROM r WHERE i = 1
+    UNION ALL SELECT page_id, kind, sh, i, CASE WHEN hit IS NULL THEN list_concat(xs, [{{'ord': ord, 'v': v, 'n': 1}}]) ELSE list_concat(list_concat(xs[:hit - 1], [{{'ord': xs[hit].ord, 'v': xs[hit].v, 'n': xs[hit].n + 1}}]), xs[hit + 1:]) END FROM (
+      SELECT r.*, g.xs, list_position(list_transform(g.xs, lambda x: {_COS} >= {components.ALIKE}), true) AS hit FROM g JOIN r ON r.page_id = g.page_id AND r.kind IS NOT DISTINCT FROM g.kind AND r.sh = g.sh AND r.i = g.i + 1)),
+  l AS (SELECT page_id, kind, sh, xs FROM g QUALIFY row_number() OVER (PARTITION BY page_id, kind, sh ORDER BY i DESC) = 1)
+  SELECT page_id, coalesce(kind, '') AS kind, sh AS structural_hash, (generate_subscripts(xs, 1) - 1)::INT AS variant, unnest(xs).ord AS example_ord, unnest(xs).n::BIGINT AS members FROM l""")(
+    lambda s, d: components.variants(candidates(elements.from_lineitem(s, d))).fillna("", ["kind"])
+)
+query("component_anatomy", f"""WITH {_CANDIDATES}, c AS (SELECT *, coalesce(kind, 'other') AS k, coalesce(variant_hint, 'default') AS va, coalesce(size_hint, 'default') AS sz, array_to_string(slots, '>') AS shape FROM cd),
+  w AS (SELECT page_id, k, count(*) AS instances, bool_or(disabled) AS any_disabled, arg_min(slots, ord) AS own FROM c GROUP BY 1, 2 HAVING count(*) >= 2),
+  sh AS (SELECT page_id, k, arg_max(shape, (n, -f)) AS slot_shape FROM (SELECT page_id, k, shape, count(*) AS n, min(ord) AS f FROM c GROUP BY ALL) GROUP BY 1, 2),
+  zs AS (SELECT page_id, k, va, string_agg(sz || ':' || n || ':' || css, ',' ORDER BY f) AS sizes FROM (SELECT page_id, k, va, sz, count(*) AS n, min(ord) AS f, arg_min(css, ord) AS css FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+  vs AS (SELECT page_id, k, va, count(*) AS n, min(ord) AS f, count(*) FILTER (disabled) AS disabled, coalesce(arg_min(css, ord) FILTER (NOT disabled), '') AS default_css, coalesce(arg_min(css, ord) FILTER (disabled), '') AS disabled_css FROM c GROUP BY 1, 2, 3),
+  tx AS (SELECT page_id, k, va, string_agg(text, ',' ORDER BY ord) FILTER (text <> '') AS samples FROM (SELECT *, row_number() OVER (PARTITION BY page_id, k, va ORDER BY ord) AS i FROM c) WHERE i <= 5 GROUP BY 1, 2, 3),
+  ph AS (SELECT page_id, k, string_agg(variant_hint, ',' ORDER BY f) AS hints FROM (SELECT page_id, k, variant_hint, min(ord) AS f FROM c WHERE variant_hint <> 'default' GROUP BY ALL) GROUP BY 1, 2)
+  SELECT page_id, k AS kind, instances, slot_shape, va AS variant, row_number() OVER (PARTITION BY page_id, k ORDER BY n DESC, f)::INT AS rank, n AS count, n - disabled AS default_count, default_css, disabled AS disabled_count, disabled_css, sizes, coalesce(samples, '') AS samples, coalesce(hints, '') AS hints, any_disabled,
+    CASE k WHEN 'button' THEN list_contains(own, 'icon') WHEN 'card' THEN list_contains(own, 'icon') WHEN 'input' THEN list_contains(own, 'icon') ELSE false END AS has_icon
+  FROM vs JOIN w USING (page_id, k) JOIN sh USING (page_id, k) JOIN zs USING (page_id, k, va) JOIN tx USING (page_id, k, va) LEFT JOIN ph USING (page_id, k)""")(lambda s, d: _flat_anatomies(components.anatomies(candidates(elements.from_lineitem(s, d)))))
+
+
+def _flat_anatomies(rows: DataFrame) -> DataFrame:
+    """A row for each variant of ``components.anatomies``."""
+    joined = lambda c: F.array_join(c, ",")
+    icon = F.coalesce(F.try_element_at("slots", F.lit("icon")), F.try_element_at("slots", F.lit("media")), F.try_element_at("slots", F.lit("leading")), F.lit(False))
+    rows = rows.select("page_id", "kind", "instances", "slot_shape", F.posexplode("variants").alias("at", "v"), joined("props.variant").alias("hints"), F.col("props.disabled").alias("any_disabled"), icon.alias("has_icon"))
+    state = lambda name: (F.col(f"v.states.{name}.count").alias(f"{name}_count"), F.coalesce(f"v.states.{name}.css", F.lit("")).alias(f"{name}_css"))
+    sizes = joined(F.transform("v.sizes", lambda x: F.concat_ws(":", x["name"], x["count"].cast("string"), x["css"])))
+    return rows.select("page_id", "kind", "instances", "slot_shape", F.col("v.name").alias("variant"), (F.col("at") + 1).alias("rank"), "v.count", *state("default"), *state("disabled"), sizes.alias("sizes"), joined("v.sample_text").alias("samples"), "hints", "any_disabled", "has_icon")
+
+
+# --- token documents ---------------------------------------------------------------------------------------------------
+_RAMP = RAMP_SQL[len(f"WITH {E_}, {_USES}, "):].replace("h AS (SELECT DISTINCT hex AS base FROM uses)", "h AS (SELECT DISTINCT key AS base FROM br)")
+_RAMP_PARTS, _RAMP_SELECT = _RAMP.rsplit("SELECT base, anchor", 1)
+_SEMANTIC = {"color.action.primary": ("color", "color.brand.primary"), "color.surface.default": ("color", "color.background.bg0"), "color.text.body": ("color", "color.text.text0"), "radius.control": ("dimension", "radius.r0")}
+DOCUMENT_SQL = f"""{CANONICAL_SQL}, br AS (SELECT site, coalesce(max(key) FILTER (category = 'primary' AND rank = 1), max(key) FILTER (category = 'colors' AND rank = 1), '{tokendoc.NO_COLOR}') AS key FROM cr GROUP BY site),
+  {_RAMP_PARTS.rstrip()}, rp AS (SELECT base, anchor{_RAMP_SELECT}),
+  nu AS (SELECT site, category, key, value, row_number() OVER (PARTITION BY site, category ORDER BY key::DOUBLE) - 1 AS i, row_number() OVER (PARTITION BY site, category ORDER BY key::DOUBLE DESC) - 1 AS j FROM cr WHERE category IN ('spacing', 'borders', 'typeScale')),
+  tk AS (SELECT site, 'primitive.color.brand.primary' AS path, 'color' AS type, key AS value FROM br
+    UNION ALL SELECT br.site, 'primitive.color.ramp.primary.' || step, 'color', hex FROM br JOIN rp ON rp.base = br.key
+    UNION ALL SELECT site, CASE category WHEN 'backgrounds' THEN 'primitive.color.background.bg' ELSE 'primitive.color.text.text' END || (rank - 1), 'color', key FROM cr WHERE (category = 'backgrounds' AND rank <= {synthesis.LISTED["backgrounds"]}) OR (category = 'text' AND rank <= {synthesis.LISTED["text"]})
+    UNION ALL SELECT site, CASE category WHEN 'spacing' THEN 'primitive.spacing.s' ELSE 'primitive.radius.r' END || i, 'dimension', key || 'px' FROM nu WHERE category <> 'typeScale'
+    UNION ALL SELECT site, 'primitive.shadow.sh' || (rank - 1), 'shadow', key FROM cr WHERE category = 'shadows' UNION ALL SELECT site, 'primitive.fontFamily.f' || (rank - 1), 'fontFamily', value FROM cr WHERE category = 'typography'
+    UNION ALL SELECT site, path, type, value FROM br, (VALUES {", ".join(f"('semantic.{path}', '{kind}', '{{primitive.{to}}}')" for path, (kind, to) in _SEMANTIC.items())}) t(path, type, value)
+    UNION ALL SELECT site, 'semantic.shadow.elevated', 'shadow', '{{primitive.shadow.sh' || count(*) FILTER (category = 'shadows') // 2 || '}}' FROM cr GROUP BY site
+    UNION ALL SELECT br.site, 'semantic.typography.body', 'typography', '{{"fontFamily":"' || coalesce(f.value, '{tokendoc.NO_FAMILY}') || '","fontSize":"' || coalesce(z.key || 'px', '{tokendoc.NO_SIZE}') || '","fontWeight":"' || coalesce(z.value, '{tokendoc.NO_WEIGHT}') || '","lineHeight":"{tokendoc.LINE_HEIGHT}"}}'
+      FROM br LEFT JOIN cr f ON f.site = br.site AND f.category = 'typography' AND f.rank = 1 LEFT JOIN nu z ON z.site = br.site AND z.category = 'typeScale' AND z.j = 0)"""
+
+
+@query("token_document", f"""{DOCUMENT_SQL} SELECT t.site, t.path, t.type, t.value, CASE WHEN starts_with(t.value, '{{primitive') THEN e.value ELSE t.value END AS resolved FROM tk t LEFT JOIN tk e ON e.site = t.site AND t.value = '{{' || e.path || '}}'""")
+def token_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of all sites, read back from their text, with references followed."""
+    rows = tokendoc.token_rows(synthesis.elected(_canonical(spark, sf_dir)[0]))
+    files = tokendoc.token_documents(rows).select(F.col("site").alias("id"), F.lit("tokens.json").alias("name"), F.col("document").alias("text"))
+    return tokendoc.resolved(stored(stylesheets.read_tokens(stored(files)).withColumnRenamed("id", "site")))

@@ -89,8 +89,6 @@ def test_color_clusters(spark):
 def test_vectors(spark):
     d = lambda a, b: value(spark, vectors.distance(F.lit(a).cast("array<double>"), F.lit(b).cast("array<double>")))
     assert d([0.0, 1.0], [1.0, 1.0]) == 0.5
-    rows = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [2.0, 0.0]), (1, 3, [0.0, 1.0]), (1, 4, [0.0, 0.0]), (1, 5, [0.0, 0.0])], "kind int, id long, vector array<double>")
-    assert sorted((r.example_id, r.members) for r in vectors.variants(rows).collect()) == [(1, 2), (3, 1), (4, 2)]
     part = spark.createDataFrame([(1, [0.5, None]), (2, [None, 0.2])], "id long, vector array<double>")
     assert vectors.nearest(part, part).count() == 0  # no feature that both have
 
