@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -37,12 +38,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def kept_on_shared_storage(df: DataFrame) -> DataFrame:
-    """The rows, written once to the checkpoint folder that all executors share; lost executors cost no earlier work."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the checkpoint folder and read again. The folder goes with the session's checkpoints."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
@@ -56,6 +51,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Hands the memory that a Python worker no longer uses back to the system, as workers live on between stages; where the C library can."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A stored table of narrow rows, marked for a broadcast if it has at most ``rows`` rows; Spark joins it by a shuffle otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -370,9 +370,10 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in textbatch.pieces(batch.column("text"), lower=True):
+            for piece in textbatch.pieces(batch.column("text"), lower=True, size=textbatch.PIECE_BYTES // 4):
                 _, best, score, *_ = _judged(piece, model)
                 yield batch.slice(piece.first, piece.n).filter(pa.array((best < len(model.labels)) & (score >= least)))
+            common.give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

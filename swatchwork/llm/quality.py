@@ -158,8 +158,9 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in textbatch.pieces(batch.column("text")):
+            for piece in textbatch.pieces(batch.column("text"), size=textbatch.PIECE_BYTES // 4):
                 yield batch.slice(piece.first, piece.n).filter(pa.array(model.score(features(piece)) >= THRESHOLD))
+            common.give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 
