@@ -108,6 +108,7 @@ def _counts(known: np.ndarray):
                 hit, place = lookup(gram)
                 own = np.unique(row[at[hit]] * len(known) + place)
                 total += np.bincount(own % len(known), minlength=len(known))
+            common.give_back()
         some = np.flatnonzero(total)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(total[some])], names=["gram", "texts"])
@@ -157,6 +158,7 @@ def _passages(seeds: _Seeds):
                     [pa.array(ids[piece.first + text], pa.int64()), pa.array(item[first].astype(np.int64)), pa.array(lo - begin), pa.array([word[a:b].view(np.int64) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int64()))],
                     names=["doc_id", "item", "start", "passage"],
                 )
+            common.give_back()
 
     return passages
 

@@ -80,6 +80,7 @@ def _digest(words: int, sketch: int | None):
                     edge = np.concatenate([[0], np.cumsum(np.minimum(size, sketch))])
                 lists = pa.LargeListArray.from_arrays(pa.array(edge), pa.array(key)).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(piece.first, piece.n), pa.array(size.astype(np.int64)), *map(pa.array, sets), lists], names=["doc_id", "n_shingles", "key", "check", "sketch"])
+            common.give_back()
 
     return digest
 
@@ -95,6 +96,7 @@ def _values(words: int):
                 key = _digests(value, np.searchsorted(owner, np.arange(piece.n + 1)))[0]
                 mine = (key == want[piece.first : piece.first + piece.n])[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(key[owner[mine]]), pa.array(value[mine])], names=["key", "value"])
+            common.give_back()
 
     return values
 
@@ -122,6 +124,7 @@ def _overlaps(words: int):
                         out.append((key[at], b[at], len(mine), len(hub), int((hub[place] == mine).sum())))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "size_a", "size_b", "shared"])
+            common.give_back()
 
     return overlaps
 
