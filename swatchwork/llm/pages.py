@@ -7,13 +7,18 @@ subsequence, and shared ones are template and go. An article only protects the b
 unless it is shared.
 
 Pages are put in order by a range partitioning, so a host of any size is spread over as many tasks as its pages need, and
-pass by one after another. A page at the edge of a partition is compared with its one neighbour there.
+pass by one after another. First only their URLs and digests are put in order. That gives each block of the order its
+bounds and, across blocks of nothing but copies, the pages beside it that its first and last pages are compared with. Then
+the lines move once to their block, and those few pages to the blocks beside as well. So no result depends on where blocks
+end. Bounds and pages beside are five URLs for each of ``spark.sql.shuffle.partitions`` blocks; only they pass the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,66 +192,171 @@ def _main(lines: list[str], inside: list[bool], neighbours: list[list[str]]) ->
     return "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
 
 
+#: The order of pages: by URL path within the host, then what tells pages of one URL apart.
+ORDER = ["host", "folder", "path", "address", "mark", "twin"]
+_KEY = "host string, folder string, path string, address string, mark long, twin long"
+#: Bytes of lines that a worker gathers before it hands them on.
+BATCH_BYTES = 1 << 22
+Key = tuple[str, str, str, str, int, int]
+
+
+def _keys(batch: pa.RecordBatch) -> Iterator[Key]:
+    return zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True)
+
+
+def _digest(lines: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place in the order and a digest of the lines of each page that has a host and a line."""
+    for batch in batches:
+        out = []
+        for key, page in zip(_keys(batch), batch.column("html"), strict=True):
+            if key[0] and (lines := blocks(page.as_py() or "")[0]):
+                out.append((*key, _digest(lines)))
+        if out:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*out, strict=True))], names=[*ORDER, "digest"])
+
+
+def _beside(edges: list) -> tuple[list[Key], dict[Key, list[int]]]:
+    """The first place of each block, and the pages that are needed in other blocks: for each block the page before it, the last before that with other lines, and the same behind it.
+
+    ``edges`` has for each block its first and last page, and the first and last that differ from these, each None or (place, digest).
+    """
+    wanted: dict[Key, list[int]] = {}
+
+    def walk(numbers, near: str, far: str, far_other: str) -> None:
+        one = two = None
+        for k in numbers:
+            edge = edges[k]
+            for page in (one, two):
+                if page and page[0][0] == edge[near][0][0]:
+                    wanted.setdefault(page[0], []).append(k)
+            if edge[far_other]:
+                one, two = edge[far], edge[far_other]
+            else:  # nothing but copies
+                one, two = edge[far], one if one and one[1] != edge[far][1] else two
+
+    walk(range(len(edges)), "first", "last", "other_last")
+    walk(range(len(edges) - 1, -1, -1), "last", "first", "other_first")
+    return [x["first"][0] for x in edges], wanted
+
+
+def _placed(bounds: list[Key], wanted: dict[Key, list[int]], count: int):
+    """The lines of each page with its block, and once more for each other block that needs them."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose = size = 0
+        out: list[tuple] = []
+
+        def ready() -> pa.RecordBatch:
+            columns = [*zip(*out, strict=True)]
+            out.clear()
+            types = [pa.int32(), pa.bool_(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["block", "own", *ORDER, "page_id", "url", "lines", "inside"])
+
+        for batch in batches:
+            for key, page_id, url, page in zip(_keys(batch), batch.column("page_id"), batch.column("url"), batch.column("html"), strict=True):
+                lines, inside = blocks(page.as_py() or "")
+                row = (*key, page_id.as_py(), url.as_py(), lines, inside)
+                if key[0] and lines:
+                    out.append((bisect_right(bounds, key) - 1, True, *row))
+                    out.extend((k, False, *row) for k in wanted.get(key, ()))
+                else:  # compared with nothing: dealt in turn
+                    out.append((loose % count, True, "", *row[1:]))
+                    loose += 1
+                size += sum(map(len, lines))
+                if size > BATCH_BYTES:
+                    yield ready()
+                    size = 0
+        if out:
+            yield ready()
+
+    return placed
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pages in the order of their URLs to their main texts."""
+    """From pages sorted by block and order to the main texts of the blocks' own pages."""
     out: list[tuple] = []
-    host, before, lines = None, None, None  # the last page that differs from the present run of copies, and the run's lines
-    run: list[tuple] = []
-
-    def close(after: list[str] | None) -> None:
+    size = 0
+    at, before, lines = None, None, None  # block and host, the last page that differs from the present run of copies, and the run's lines
+    run: dict[tuple, int] = {}  # pages of the run and how often each is there
+
+    def put(page_id: int | None, url: str | None, text: str, times: int = 1) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        for _ in range(times):
+            out.append((page_id, url, text))
+            size += len(text)
+            if size > BATCH_BYTES:
+                yield ready()
+
+    def close(after: list[str] | None) -> Iterator[pa.RecordBatch]:
         texts: dict[tuple, str] = {}
-        for page_id, url, inside in run:
-            key = tuple(inside)
-            if key not in texts:
-                texts[key] = _main(lines, inside, [x for x in (before, after) if x is not None])
-            out.append((page_id, url, texts[key]))
+        for (page_id, url, inside), times in run.items():
+            if inside not in texts:
+                texts[inside] = _main(lines, list(inside), [x for x in (before, after) if x is not None])
+            yield from put(page_id, url, texts[inside], times)
         run.clear()
 
     def ready() -> pa.RecordBatch:
+        nonlocal size
         ids, urls, texts = zip(*out, strict=True)
         out.clear()
+        size = 0
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     for batch in batches:
-        for page_id, url, own, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "html")), strict=True):
-            page_id, url, own = page_id.as_py(), url.as_py(), own.as_py()
-            found, inside = blocks(page.as_py() or "")
-            if not found:  # says nothing about the template
-                out.append((page_id, url, ""))
+        for block, own, host, page_id, url, found, inside in zip(*(batch.column(c) for c in ("block", "own", "host", "page_id", "url", "lines", "inside")), strict=True):
+            block, own, host, found, inside = block.as_py(), own.as_py(), host.as_py(), found.as_py(), inside.as_py()
+            if not host:
+                yield from put(page_id.as_py(), url.as_py(), _main(found, inside, []))
                 continue
-            if not own:
-                out.append((page_id, url, _main(found, inside, [])))
-                continue
-            if own != host:
-                close(None)
-                host, before, lines = own, None, found
+            if (block, host) != at:
+                yield from close(None)
+                at, before, lines = (block, host), None, found
             elif found != lines:
-                close(found)
+                yield from close(found)
                 before, lines = lines, found
-            run.append((page_id, url, inside))
-        if out:
-            yield ready()
-    close(None)
+            if own:
+                page = (page_id.as_py(), url.as_py(), tuple(inside))
+                run[page] = run.get(page, 0) + 1
+    yield from close(None)
     if out:
         yield ready()
 
 
+def _edges(outline: DataFrame) -> list[dict]:
+    """For each block of the outline, in order, the pages that ``_beside`` looks at."""
+    page = F.struct(F.struct(*ORDER).alias("place"), "digest")
+    ends = common.stored(outline.groupBy("block").agg(F.min(page).alias("first"), F.max(page).alias("last")))
+    rows = outline.join(F.broadcast(ends), "block")  # a row a block
+    differs = lambda end: F.when(F.col("digest") != F.col(f"{end}.digest"), page)
+    rows = rows.groupBy("block").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.min(differs("first")).alias("other_first"), F.max(differs("last")).alias("other_last"))
+    plain = lambda x: x and (tuple(x["place"]), bytes(x["digest"]))
+    return [{c: plain(x[c]) for c in ("first", "last", "other_first", "other_last")} for x in sorted(rows.collect(), key=lambda x: x["block"])]
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages`` (page_id, url, html): the main text of the whole page.
 
     Blocks are joined by one line feed. Null and empty pages have an empty text. Pages with a null url or without a host,
     and pages that are alone on their host but for copies, are judged by their own marks only. Pages of one path are in the
-    order of the rest of their URLs, then of their ids; repeated rows stay and have one text. Pages of any length are read
-    and aligned whole. Other columns are not looked at, and an empty table gives an empty table.
+    order of the rest of their URLs, then of digests of their ids and contents; repeated rows stay and have one text. Pages
+    of any length are read and aligned whole. Other columns are not looked at, and an empty table gives an empty table.
     """
+    count = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     place = F.regexp_replace(rest, r"[?#].*$", "")
     path = F.regexp_replace(F.expr("substring(place, length(substring_index(place, '/', 1)) + 1)"), "/+$", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("place", place).withColumn("host", F.lower(F.substring_index("place", "/", 1))).withColumn("path", path).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    order = ["host", "folder", "path", F.coalesce("url", F.lit("")), F.xxhash64("page_id"), "page_id"]
-    rows = rows.select("page_id", "url", "host", "folder", "path", "html").repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.select("page_id", "url", "host", "html").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    rows = rows.select("page_id", "url", "html", "host", "folder", "path", F.coalesce("url", F.lit("")).alias("address"), F.xxhash64("page_id").alias("mark"), F.xxhash64("html").alias("twin"))
+    outline = rows.select(*ORDER, "html").mapInArrow(_outline, f"{_KEY}, digest binary").repartitionByRange(count, *ORDER)
+    bounds, wanted = _beside(_edges(common.stored(outline.withColumn("block", F.spark_partition_id()))))
+    moved = rows.mapInArrow(_placed(bounds, wanted, count), f"block int, own boolean, {_KEY}, page_id long, url string, lines array<string>, inside array<boolean>")
+    moved = moved.repartitionById(count, F.col("block")).sortWithinPartitions("block", *ORDER)
+    return moved.select("block", "own", "host", "page_id", "url", "lines", "inside").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,39 @@ def test_marks(spark):
     assert sorted((x.page_id, x.text) for x in got) == sorted((k, f"Story {k}\nField {k}") for k in (0, 1, 2, 3, 9, 9))
 
 
-def test_neighbours(spark):
-    """Thousands of pages of one folder: each shares its template lines with the pages beside it, wherever partitions end."""
-    rows = [(k, f"http://big.org/a/p{k:05d}", f"<body><div>Menu {k // 500}</div><p>Text {k}</p><div>Foot</div></body>") for k in range(3000)]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {x.page_id: x.text for x in pages.main_text(frame).collect()}
-    wrong = [k for k, t in got.items() if t != f"Text {k}"]
-    assert len(got) == 3000 and len(wrong) <= 8 and all(k % 500 in (0, 499) for k in wrong)
+def _plain(rows: list) -> list:
+    """Main texts of (page_id, url, html) by the plain way: each page with the nearest different ones of its host, in one list."""
+    read = [(*x, *pages.blocks(x[2] or "")) for x in rows]
+    host = lambda u: (u or "").split("://", 1)[-1].split("/", 1)[0].lower()
+    path = lambda u: "/" + "/".join(u.split("://", 1)[-1].split("/")[1:])
+    order = sorted((x for x in read if host(x[1]) and x[3]), key=lambda x: (host(x[1]), path(x[1]).rpartition("/")[0], path(x[1])))
+    out = [(x[0], "\n".join(x[3])) for x in read if not (host(x[1]) and x[3])]
+    for k, (page_id, url, _, lines, inside) in enumerate(order):
+        keep = [True] * len(lines)
+        for others in (order[k - 1 :: -1] if k else [], order[k + 1 :]):
+            other = next((x for x in others if host(x[1]) != host(url) or x[3] != lines), None)
+            if other and host(other[1]) == host(url) and not all(inside):
+                keep = [a and (b or not c) for a, b, c in zip(keep, inside, pages.shared(lines, other[3]), strict=True)]
+        out.append((page_id, "\n".join(x for x, a in zip(lines, keep, strict=True) if a)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", ["1", "7", "40"])
+def test_neighbours(spark, parts):
+    """Pages of a large host and of small ones, with long runs of copies: results are those of one list, wherever blocks end."""
+    r = random.Random(3)
+    rows = []
+    for k in range(400):
+        host = r.choice(["big.org", "big.org", "big.org", f"h{k % 9}.org"])
+        lines = [f"Menu {r.randint(0, 2)}", f"Text {k if not 100 <= k < 260 else 'same'}", r.choice(["Foot", "Base"])]
+        rows.append((k, f"http://{host}/{'abc'[k // 150]}/p{k:05d}", "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "<article><p>Foot</p></article></body>"))
+    rows += [(500 + k, f"http://big.org/b/p{k:05d}", "<p>Copy</p><p>of one</p>") for k in range(2000, 2150)]
+    rows += [(700, None, "<p>no url</p>"), (701, "http://big.org/a/p00000x", None), (702, "/no/host", "<p>x</p>")] + [(703, "http://big.org/b/p02149x", "<p>Copy</p><p>other</p>")] * 3
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((x.page_id, x.text) for x in got) == _plain(rows)
+    assert all(x.n_chars == len(x.text) for x in got)
