@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA, rows
 
-from swatchwork.plans import catalog, layouts, readers, systems  # noqa: F401  they add to the catalogue
+from swatchwork.plans import catalog, layouts, readers, systems, themes  # noqa: F401  they add to the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
