@@ -352,7 +352,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("place", place).withColumn("host", F.lower(F.substring_index("place", "/", 1))).withColumn("path", path).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
     rows = rows.select("page_id", "url", "html", "host", "folder", "path", F.coalesce("url", F.lit("")).alias("address"), F.xxhash64("page_id").alias("mark"), F.xxhash64("html").alias("twin"))
-    outline = rows.select(*ORDER, "html").mapInArrow(_outline, f"{_KEY}, digest binary").repartitionByRange(count, *ORDER)
+    # stored first, as a range partitioning reads its input twice
+    outline = common.stored(rows.select(*ORDER, "html").mapInArrow(_outline, f"{_KEY}, digest binary")).repartitionByRange(count, *ORDER)
     bounds, wanted = _beside(_edges(common.stored(outline.withColumn("block", F.spark_partition_id()))))
     moved = rows.mapInArrow(_placed(bounds, wanted, count), f"block int, own boolean, {_KEY}, page_id long, url string, lines array<string>, inside array<boolean>")
     moved = moved.repartitionById(count, F.col("block")).sortWithinPartitions("block", *ORDER)
