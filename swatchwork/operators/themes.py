@@ -28,15 +28,20 @@ def hue_between(a: Column, b: Column) -> Column:
     return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
 
 
-def turned(hex_: Column, shift: Column) -> Column:
-    """A colour (#rrggbb) with its hue turned by ``shift`` degrees, lightness and chroma kept; a neutral one as it is."""
+def _lch(hex_: Column) -> Column:
+    return T.bound(C.parse_color(hex_), C.to_oklch)
+
 
-    def turn(x: Column) -> Column:
-        h = x["h"] + shift
-        h = F.when(h < 0, h + 360).when(h >= 360, h - 360).otherwise(h)
-        return F.when(x["c"] < NEUTRAL, hex_).otherwise(C.to_hex(C.from_oklch(F.struct(x["l"].alias("l"), x["c"].alias("c"), h.alias("h")))))
+def _turned(hex_: Column, lch: Column, shift: Column) -> Column:
+    h = lch["h"] + shift
+    h = F.when(h < 0, h + 360).when(h >= 360, h - 360).otherwise(h)
+    new = T.bound(F.struct(lch["l"].alias("l"), lch["c"].alias("c"), h.alias("h")), lambda x: T.bound(C.from_oklch(x), C.to_hex))
+    return F.when(lch["c"] < NEUTRAL, hex_).when(lch["c"] >= NEUTRAL, new)
 
-    return F.when(hex_.isNotNull(), T.bound(C.to_oklch(C.parse_color(hex_)), turn))
+
+def turned(hex_: Column, shift: Column) -> Column:
+    """A colour (#rrggbb) with its hue turned by ``shift`` degrees, lightness and chroma kept; a neutral one as it is."""
+    return F.when(hex_.isNotNull(), T.bound(_lch(hex_), lambda x: _turned(hex_, x, shift)))
 
 
 def turned_text(text: Column, shift: Column) -> Column:
@@ -56,23 +61,23 @@ def recoloured(palette: DataFrame, target: str, named: DataFrame | None = None)
     primary; a page without a colour has no source and no shift. Rows of a null page_id are one page. An empty palette
     gives an empty table.
     """
-    to = palette.sparkSession.range(1).select(whole_hex(F.lit(target)).alias("hex")).select("hex", C.to_oklch(C.parse_color(F.col("hex")))["h"].alias("h")).first()
+    to = palette.sparkSession.range(1).select(whole_hex(F.lit(target)).alias("hex")).select("hex", _lch(F.col("hex"))["h"].alias("h")).first()
     if to["hex"] is None:
         raise ValueError(f"no colour in hex digits: {target!r}")
     rows = palette.select("page_id", "hex", "uses", "place", whole_hex(F.col("hex")).alias("own"))
-    lch = rows.select("own").where("own is not null").distinct().select("own", C.to_oklch(C.parse_color(F.col("own"))).alias("lch"))
+    lch = rows.select("own").where("own is not null").distinct().select("own", _lch(F.col("own")).alias("lch"))
     rows = rows.join(lch, "own", "left")
     coloured = F.col("lch.c") >= NEUTRAL
-    best = F.min(F.when(F.col("own").isNotNull(), F.struct((~coloured).alias("n"), F.when(coloured, -F.coalesce("uses", F.lit(0))).otherwise(0).alias("u"), "place", "own")))
-    source = rows.groupBy("page_id").agg(best["own"].alias("source"))
+    best = F.min(F.when(F.col("own").isNotNull(), F.struct((~coloured).alias("n"), F.when(coloured, -F.coalesce("uses", F.lit(0))).otherwise(0).alias("u"), "place", "own", F.col("lch.h").alias("h"))))
+    source = rows.groupBy("page_id").agg(best.alias("b")).select(F.col("page_id").alias("page"), F.col("b.own").alias("source"), F.col("b.h").alias("h"))
     if named is not None:
-        names = named.groupBy("page_id").agg(F.min(whole_hex(F.col("hex"))).alias("named"))
-        source = source.join(names, "page_id", "left").select("page_id", F.coalesce("named", "source").alias("source"))
-    shift = hue_between(C.to_oklch(C.parse_color(F.col("source")))["h"], F.lit(to["h"]))
-    source = source.select(F.col("page_id").alias("page"), "source", shift.alias("shift"))
-    both = rows.select("page_id", "hex", "own").join(source, F.col("page_id").eqNullSafe(F.col("page"))).drop("page")
+        names = named.groupBy(F.col("page_id").alias("page")).agg(F.min(whole_hex(F.col("hex"))).alias("named")).where("named is not null")
+        names = names.select("page", "named", _lch(F.col("named"))["h"].alias("named_h"))
+        source = source.join(names, "page", "left").select("page", F.coalesce("named", "source").alias("source"), F.coalesce("named_h", "h").alias("h"))
+    source = source.select("page", "source", hue_between(F.col("h"), F.lit(to["h"])).alias("shift"))
+    both = rows.select("page_id", "hex", "own", "lch").join(source, F.col("page_id").eqNullSafe(F.col("page"))).drop("page")
     pinned = F.col("own").eqNullSafe(F.col("source")) & F.col("own").isNotNull()
-    new = F.when(pinned, to["hex"]).otherwise(F.coalesce(turned(F.col("own"), F.col("shift")), "own", "hex"))
+    new = F.when(pinned, to["hex"]).otherwise(F.coalesce(_turned(F.col("own"), F.col("lch"), F.col("shift")), "own", "hex"))
     return both.select("page_id", "hex", new.alias("new_hex"), pinned.alias("pinned"), "source", F.round("shift", 2).alias("hue_shift"))
 
 
