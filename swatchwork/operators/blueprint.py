@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swatchwork.sources.storage import stored
+from swatchwork.sources.storage import by_shuffle, stored
 
 #: Pixels of a stretch.
 STRETCH = 1024
@@ -84,15 +84,15 @@ def kept_bands(bands: DataFrame, viewport: float = 800) -> DataFrame:
     """
     valid = bands.where("y is not null and h is not null")
     pages = valid.groupBy("page_id").agg(F.greatest(F.lit(0.0), F.max(F.col("y") + F.col("h"))).alias("page_height"))
-    valid = stored(valid.join(pages, "page_id").withColumn("nav", _nav()))
+    valid = stored(valid.join(by_shuffle(pages), "page_id").withColumn("nav", _nav()))
     large = valid.where((F.col("page_height") > 0) & (F.col("h") > F.col("page_height") * OVERSIZED))
     tall = F.col("h") > viewport * WRAPPER
     flow = valid.where(~F.coalesce(F.col("position").isin("fixed", "absolute", "sticky"), F.lit(False)) & ~F.col("nav")).select("page_id", F.col("ord").alias("in_ord"), F.col("y").alias("in_y"), (F.col("y") + F.col("h")).alias("in_end"), F.floor(F.col("y") / STRETCH).alias("stretch"))
     outer = large.where(~tall).select("page_id", "ord", "y", (F.col("y") + F.col("h")).alias("end"), _stretches(F.col("y"), F.col("y") + F.col("h")).alias("stretch"))
-    holds = outer.join(flow, ["page_id", "stretch"]).where("in_ord != ord and in_y >= y and in_end <= end").select("page_id", "ord")
+    holds = outer.join(by_shuffle(flow), ["page_id", "stretch"]).where("in_ord != ord and in_y >= y and in_end <= end").select("page_id", "ord")
     wrappers = stored(large.where(tall).select("page_id", "ord").union(holds).distinct())
     dropped = wrappers.groupBy("page_id").agg(F.count("*").alias("dropped"))
-    kept = valid.join(wrappers, ["page_id", "ord"], "left_anti").join(dropped, "page_id", "left").fillna(0, ["dropped"])
+    kept = valid.join(by_shuffle(wrappers), ["page_id", "ord"], "left_anti").join(by_shuffle(dropped), "page_id", "left").fillna(0, ["dropped"])
     index = F.row_number().over(Window.partitionBy("page_id").orderBy("y", "ord")) - 1
     kept = kept.withColumn("index", index)
     empty = (F.col("position") == "fixed") & (F.col("y") == 0) & (F.coalesce("media_kind", F.lit("none")) == "none") & F.col("heading").isNull() & F.col("heading_size").isNull()
@@ -111,7 +111,7 @@ def overlays(kept: DataFrame) -> DataFrame:
     outer = kept.select("page_id", F.col("index").alias("o_index"), *box("o_"), _stretches(F.col("y") - OVERLAY, F.col("y") + F.col("h") + OVERLAY).alias("stretch"))
     inside = (F.col("x") >= F.col("o_x") - OVERLAY) & (F.col("y") >= F.col("o_y") - OVERLAY) & (F.col("right") <= F.col("o_right") + OVERLAY) & (F.col("end") <= F.col("o_end") + OVERLAY)
     same = (inner["page_id"] == outer["page_id"]) & (inner["stretch"] == outer["stretch"])
-    return pinned.union(inner.join(outer, same & (F.col("o_index") < F.col("index")) & inside, "left_semi").select("page_id", "ord"))
+    return pinned.union(inner.join(by_shuffle(outer), same & (F.col("o_index") < F.col("index")) & inside, "left_semi").select("page_id", "ord"))
 
 
 def reveals(kept: DataFrame, observations: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def reveals(kept: DataFrame, observations: DataFrame) -> DataFrame:
     seen = observations.where("trigger = 'scroll' and top is not null").withColumn("properties", props)
     seen = seen.select("page_id", F.col("ord").alias("turn"), "top", kind.alias("reveal"), F.coalesce("duration", F.lit(0.0)).alias("duration"), F.coalesce("easing", F.lit("linear")).alias("easing"), F.floor(F.col("top") / STRETCH).alias("stretch")).where("reveal is not null")
     spans = kept.select("page_id", "ord", "y", (F.col("y") + F.col("h")).alias("end"), _stretches(F.col("y"), F.col("y") + F.col("h")).alias("stretch"))
-    met = spans.join(seen, ["page_id", "stretch"]).where("top >= y and top < end")
+    met = spans.join(by_shuffle(seen), ["page_id", "stretch"]).where("top >= y and top < end")
     return met.groupBy("page_id", "ord").agg(F.min(F.struct("turn", "reveal", "duration", "easing")).alias("f")).select("page_id", "ord", "f.reveal", "f.duration", "f.easing")
 
 
@@ -134,7 +134,7 @@ def blueprint(bands: DataFrame, observations: DataFrame, viewport: float = 800)
     """
     kept = stored(kept_bands(bands, viewport))
     over = overlays(kept).distinct().withColumn("overlay", F.lit(True))
-    rows = kept.join(over, ["page_id", "ord"], "left").join(reveals(kept, observations), ["page_id", "ord"], "left")
+    rows = kept.join(by_shuffle(over), ["page_id", "ord"], "left").join(by_shuffle(reveals(kept, observations)), ["page_id", "ord"], "left")
     rows = rows.withColumn("said", section_role(F.coalesce("page_type", F.lit(""))))
     return rows.select("page_id", F.col("index").cast("int").alias("index"), "ord", "said.role", "said.confidence", "hero", F.coalesce("overlay", F.lit(False)).alias("overlay"), "reveal", "duration", "easing", F.col("dropped").cast("long").alias("dropped"))
 

@@ -106,3 +106,12 @@ def test_long_bands(spark, size):
     rows = [band(1, 0, h=size), band(1, 1, y=1.0, h=5.0), band(1, 2, y=size, h=5.0)]
     got = {x.ord: x.overlay for x in B.blueprint(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SEEN)).collect()}
     assert got == ({0: False, 1: True, 2: True} if size == 10.0 else {1: False, 2: False})
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    # files of regular bands are small, their rows are not
+    bands = spark.createDataFrame([band(p, k, y=100.0 * k) for p in range(20) for k in range(12)], SCHEMA)
+    seen = spark.createDataFrame([(p, 0, "scroll", 50.0, "x", 1.0, "ease", ["opacity"]) for p in range(20)], SEEN)
+    found = B.blueprint(bands, seen)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("reveal = 'reveal'").count() == 20
