@@ -34,12 +34,15 @@ LARGE, TEXTS, GENERIC = 50_000, 10, ("serif", "sans-serif", "monospace", "system
 
 
 def page_counts(elements: DataFrame) -> DataFrame:
-    """What each page's elements say, counted by source and text in one pass: (page_id, source, text, n, acts, first, first_large, weight)."""
+    """What each page's elements say, counted by source and text in one pass: (page_id, source, text, weight, n, acts, first, first_large); sizes of fonts are counted by weight too.
+
+    Only numbers are aggregated: a text in an aggregate would have all element rows sorted.
+    """
     sources = ("color", "background", "font_family", "font_size", "padding", "margin", "radius", "shadow")
-    said = F.explode(F.array(*(F.struct(F.lit(c).alias("source"), F.col(c).alias("text")) for c in sources))).alias("s")
-    rows = elements.select("page_id", "ord", "area", "font_weight", interactive().alias("acting"), said)
-    return rows.where("s.text is not null").groupBy("page_id", "s.source", "s.text").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("acting"), 1)).alias("acts"), F.min("ord").alias("first"), F.min(F.when(F.col("area") > LARGE, F.col("ord"))).alias("first_large"), F.min_by("font_weight", "ord").alias("weight")
+    said = F.explode(F.array(*(F.struct(F.lit(c).alias("source"), F.col(c).alias("text"), (F.col("font_weight") if c == "font_size" else F.lit(None).cast("string")).alias("weight")) for c in sources))).alias("s")
+    rows = elements.select("page_id", "ord", "area", interactive().alias("acting"), said)
+    return rows.where("s.text is not null").groupBy("page_id", "s.source", "s.text", "s.weight").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("acting"), 1)).alias("acts"), F.min("ord").alias("first"), F.min(F.when(F.col("area") > LARGE, F.col("ord"))).alias("first_large")
     )
 
 
@@ -169,7 +172,7 @@ def canonical(uses: DataFrame, pages: DataFrame, near: float = NEAR) -> DataFram
     name, so that the total is the sum of n and a name counts once. Colours are merged first; the most used colour of a
     cluster stands for it, and its pages are those of all its members. Ranked by coverage (two decimals), uses, and place.
     """
-    rows = uses.where("key is not null").withColumn("uses", F.coalesce(F.col("uses").cast("long"), F.lit(1)))
+    rows = stored(uses.where("key is not null").withColumn("uses", F.coalesce(F.col("uses").cast("long"), F.lit(1))))
     totals = pages.groupBy("site").agg(F.sum("n").alias("total"))
     tallied = stored(tally(rows).join(totals, "site"))
     colored = F.col("category").isin(*COLORS)
@@ -208,7 +211,7 @@ def grades(found: DataFrame, pages: DataFrame) -> DataFrame:
     A category's score is the share of its uses that are of site-wide tokens, in percent, 100 without any use. The grade is
     the weighted mean; a site of one page has none.
     """
-    totals = pages.groupBy("site").agg(F.sum("n").alias("total"))
+    totals, found = pages.groupBy("site").agg(F.sum("n").alias("total")), stored(found)
     wide = F.when(F.col("scope") == "site-wide", F.col("uses")).otherwise(0)
     part = lambda c, x: F.sum(F.when(F.col("category") == c, x))
     share = found.groupBy("site").agg(*(F.coalesce(part(c, wide) / F.nullif(part(c, F.col("uses")), F.lit(0)), F.lit(1.0)).alias(c) for c in WEIGHTS))
