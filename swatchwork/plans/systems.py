@@ -139,28 +139,33 @@ query("site_grade", f"""{CANONICAL_SQL}, {_ODD}, w AS (SELECT site, {", ".join(f
 
 # --- design vectors ----------------------------------------------------------------------------------------------------
 def page_profiles(e: DataFrame) -> DataFrame:
-    """Profiles (``features.PROFILE``) of pages out of element rows, in one pass over them and one over their transitions."""
-    some = lambda value: F.array_sort(F.collect_set(value))
-    size = T.number(F.col("font_size"))
+    """Profiles (``features.PROFILE``) of pages out of element rows, in one pass over them: texts are counted first, and a page's distinct ones collected."""
+    sources = ("color", "background", "font_size", "font_weight", "font_family", "padding", "margin", "radius", "shadow", "transition")
+    said = F.explode(F.array(*(F.struct(F.lit(c).alias("source"), F.col(c).alias("text")) for c in sources))).alias("s")
+    texts = e.select("page_id", "ord", "area", usage.interactive().alias("acts"), said).groupBy("page_id", "s.source", "s.text")
+    texts = texts.agg(F.count("*").alias("n"), F.min(F.when(F.col("acts"), F.col("ord"))).alias("first_act"), F.max("area").alias("area"))
+    of = lambda source, value: F.when(F.col("source") == source, value)
+    some = lambda source, value: F.array_sort(F.collect_set(of(source, value)))
+    text = F.col("text")
+    size = T.number(text)
     height = F.when(size % 4 == 0, F.concat((size * 1.5).cast("string"), F.lit("px"))).otherwise("1.4")
-    family = F.trim(F.substring_index("font_family", ",", 1))
-    px = lambda c: T.number(F.col(c))
-    blur = F.regexp_extract("shadow", r"^\S+ \S+ ([\d.]+)px", 1).try_cast("double")
+    family = F.trim(F.substring_index("text", ",", 1))
+    blur = F.regexp_extract("text", r"^\S+ \S+ ([\d.]+)px", 1).try_cast("double")
     depth = F.when(blur == 0, "flat").when(blur <= 4, "low").when(blur <= 12, "mid").otherwise("high")
     shadow = F.struct(F.lit(0.0).alias("x"), (blur / 4).alias("y"), blur.alias("blur"), F.lit(None).cast("double").alias("weight"), depth.alias("label"), F.lit(False).alias("inset"))
-    rows = e.groupBy("page_id").agg(
-        F.array_union(some("color"), some("background")).alias("colors"), F.min_by("background", F.when(usage.interactive(), F.col("ord"))).alias("primary"), some(F.when(F.col("area") > synthesis.LARGE, F.col("background"))).alias("backgrounds"),
-        some(F.struct(size.alias("size"), height.alias("line_height"))).alias("scale"), some("font_weight").alias("weights"), some(F.when(family != "system-ui", family)).alias("families"),
-        F.array_union(some(px("padding")), some(px("margin"))).alias("spacing"), some(px("radius")).alias("radii"), some(F.when(F.col("shadow") != "none", shadow)).alias("shadows"),
+    part = lambda k: F.regexp_extract("text", r"^\S+ (\S+) (.+)$", k)
+    move = F.struct(T.easing_family(part(2)).alias("family"), F.col("n").alias("count"))
+    rows = texts.groupBy("page_id").agg(
+        F.array_union(some("color", text), some("background", text)).alias("colors"), F.min_by("text", of("background", F.col("first_act"))).alias("primary"), some("background", F.when(F.col("area") > synthesis.LARGE, text)).alias("backgrounds"),
+        some("font_size", F.struct(size.alias("size"), height.alias("line_height"))).alias("scale"), some("font_weight", text).alias("weights"), some("font_family", F.when(family != "system-ui", family)).alias("families"),
+        F.array_union(some("padding", size), some("margin", size)).alias("spacing"), some("radius", size).alias("radii"), some("shadow", F.when(text != "none", shadow)).alias("shadows"),
+        some("transition", T.milliseconds(part(1))).alias("durations"), some("transition", F.when(move["family"] == "spring", part(2))).alias("springs"), F.collect_list(of("transition", move)).alias("moves"),
     )
-    moves = e.groupBy("page_id", "transition").agg(F.count("*").alias("n"))
-    part = lambda k: F.regexp_extract("transition", r"^\S+ (\S+) (.+)$", k)
-    moves = moves.select("page_id", "n", T.milliseconds(part(1)).alias("ms"), part(2).alias("easing"), T.easing_family(part(2)).alias("family"))
-    families = moves.groupBy("page_id", "family").agg(F.sum("n").alias("count")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("family", "count"))).alias("easings"))
-    moves = moves.groupBy("page_id").agg(some("ms").alias("durations"), some(F.when(F.col("family") == "spring", F.col("easing"))).alias("springs"))
+    total = lambda f: F.aggregate(F.filter("moves", lambda x: x["family"].eqNullSafe(f)), F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    rows = rows.withColumn("easings", F.array_sort(F.transform(F.array_distinct(F.transform("moves", lambda x: x["family"])), lambda f: F.struct(f.alias("family"), total(f).alias("count")))))
     p = F.col("page_id")
     none = F.lit(None)
-    return rows.join(moves, "page_id").join(families, "page_id").select(
+    return rows.select(
         "page_id", "colors", "primary", none.cast("string").alias("secondary"), none.cast("string").alias("accent"), "backgrounds", F.filter("colors", lambda x: x.rlike(r"^rgb\((\d+), \1, \1\)$")).alias("neutrals"), "scale",
         none.cast("struct<size:double,line_height:string>").alias("body"), "weights", "families", "spacing", F.when(p % 3 == 1, 4.0).when(p % 3 == 2, 8.0).alias("base"), "radii",
         F.when(p % 2 == 1, F.array(F.lit(1.0), (p % 4).cast("double"))).alias("widths"), "shadows", "durations", "easings", "springs", F.when(p % 2 == 1, p % 4 == 1).alias("scroll_linked"),

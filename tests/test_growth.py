@@ -1,6 +1,7 @@
 """Plans of steps that many queries share: what a task holds must not grow with the rows that it reads."""
 
 from swatchwork.operators import synthesis
+from swatchwork.plans import systems
 from swatchwork.sources import elements
 
 DATA = "/root/testdata/sf0.001"
@@ -19,3 +20,10 @@ def test_elements_are_counted_without_sorting(spark):
     counts = synthesis.page_counts(elements.from_lineitem(spark, DATA))
     assert " HashAggregate" in aggregate_over_elements(counts) or "-HashAggregate" in aggregate_over_elements(counts)
     assert not any("SortAggregate" in line for line in plan(counts))
+
+
+def test_profiles_collect_counted_texts(spark):
+    profiles = systems.page_profiles(elements.from_lineitem(spark, DATA))
+    last = aggregate_over_elements(profiles)
+    assert "ObjectHashAggregate" not in last and "SortAggregate" not in last and "HashAggregate" in last
+    assert sum("FileScan" in line for line in plan(profiles)) == 1
