@@ -90,6 +90,8 @@ def body_size(elements: DataFrame) -> DataFrame:
 
 def common_style(elements: DataFrame, props: tuple[str, ...] = ("color", "font_size", "padding", "radius", "shadow")) -> DataFrame:
     """Per page, tag and property: the most frequent value other than none, auto, normal and transparent."""
+    # few elements of a page share tag and value, so that counts before the shuffle would only fill memory: elements move once
+    elements = elements.select("page_id", "tag", "ord", *props).repartition("page_id")
     rows = elements.select("page_id", "tag", "ord", F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col(p).alias("value")) for p in props))).alias("s")).select("page_id", "tag", "ord", "s.*")
     rows = rows.where(F.col("value").isNotNull() & ~F.col("value").isin("none", "auto", "normal", "transparent", ""))
     counts = rows.groupBy("page_id", "tag", "property", "value").agg(F.count("*").alias("uses"), F.min("ord").alias("first_ord"))

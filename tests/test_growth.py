@@ -1,6 +1,6 @@
 """Plans of steps that many queries share: what a task holds must not grow with the rows that it reads."""
 
-from swatchwork.operators import synthesis
+from swatchwork.operators import synthesis, usage
 from swatchwork.plans import systems
 from swatchwork.sources import elements
 
@@ -27,3 +27,9 @@ def test_profiles_collect_counted_texts(spark):
     last = aggregate_over_elements(profiles)
     assert "ObjectHashAggregate" not in last and "SortAggregate" not in last and "HashAggregate" in last
     assert sum("FileScan" in line for line in plan(profiles)) == 1
+
+
+def test_styles_move_elements_once_and_hold_none_before(spark):
+    lines = plan(usage.common_style(elements.from_lineitem(spark, DATA)))
+    exchanges = [k for k, line in enumerate(lines) if "Exchange" in line]
+    assert len(exchanges) == 1 and not any("Aggregate" in line for line in lines[exchanges[0] :])
