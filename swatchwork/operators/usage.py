@@ -118,7 +118,9 @@ def all_contrast_pairs(elements: DataFrame) -> DataFrame:
     A pair is large from 18 pixels on, or from 14 if one of its elements is a ``b``; its largest element counts.
     """
     # pairs of texts are counted first and read then
-    rows = elements.where(F.lower("tag").isin(TEXT_TAGS)).groupBy("page_id", "color", "background", "font_size").agg(F.count("*").alias("n"), F.bool_or(F.lower("tag") == "b").alias("bold"), F.min("ord").alias("ord"))
+    texts = elements.where(F.lower("tag").isin(TEXT_TAGS)).select("page_id", "ord", "tag", "color", "background", "font_size")
+    # hardly two elements of a page share all three, so that counts before the shuffle would only fill memory: elements move once
+    rows = texts.repartition("page_id").groupBy("page_id", "color", "background", "font_size").agg(F.count("*").alias("n"), F.bool_or(F.lower("tag") == "b").alias("bold"), F.min("ord").alias("ord"))
     read = parsed(elements, "color", "background").where("a >= 0.9").select("text", "hex", "luminance")
     rows = rows.join(read.toDF("color", "fg", "fg_light"), "color").join(read.toDF("background", "bg", "bg_light"), "background").where("fg != bg")
     rows = rows.withColumn("size", T.number(F.col("font_size")))

@@ -33,3 +33,10 @@ def test_styles_move_elements_once_and_hold_none_before(spark):
     lines = plan(usage.common_style(elements.from_lineitem(spark, DATA)))
     exchanges = [k for k, line in enumerate(lines) if "Exchange" in line]
     assert len(exchanges) == 1 and not any("Aggregate" in line for line in lines[exchanges[0] :])
+
+
+def test_pairs_hold_no_elements_before_they_move(spark):
+    lines = plan(usage.all_contrast_pairs(elements.from_lineitem(spark, DATA)))
+    moved = next(k for k, line in enumerate(lines) if "Exchange hashpartitioning(page_id" in line and "REPARTITION_BY_COL" in line)
+    below = lines[moved : moved + 1 + next(n for n, line in enumerate(lines[moved:]) if "FileScan" in line)]
+    assert not any("Aggregate" in line for line in below)
