@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +25,98 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(d), F.lit(0))
 
 
+#: Queries and rows that are compared at once, so that their differences stay in a core's cache.
+_QUERIES, _ROWS = 64, 1024
+_MILLION = 1e6
+#: Places of what is infinite and of what is no number, behind all others.
+_INFINITE, _NO_NUMBER = 1e300, 1e301
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows of ``width`` (0 where nothing is), and where something is."""
+    ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
+    flat = column.flatten()
+    there, values = np.asarray(flat.is_valid()), flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), np.diff(ends))
+    place = np.arange(len(flat)) - ends[row]
+    keep = place < width
+    out, has = np.zeros((len(column), width)), np.zeros((len(column), width), bool)
+    out[row[keep], place[keep]], has[row[keep], place[keep]] = values[keep], there[keep]
+    return out, has
+
+
+def _apart(q: np.ndarray, q_has: np.ndarray, x: np.ndarray, x_has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``distance`` of every q to every x, summed in the same order, and whether both have a feature."""
+    total, step = np.zeros((len(q), len(x))), np.empty((len(q), len(x)))
+    whole = q_has.all() and x_has.all()
+    for j in range(q.shape[1]):
+        np.subtract(q[:, j, None], x[None, :, j], out=step)
+        np.abs(step, out=step)
+        total += step if whole else np.where(q_has[:, j, None] & x_has[None, :, j], step, 0.0)
+    n = np.full(total.shape, float(q.shape[1])) if whole else q_has.astype(float) @ x_has.T.astype(float)
+    return np.divide(total, n, out=np.zeros_like(total), where=n > 0), n > 0
+
+
+def _millionths(d: np.ndarray) -> np.ndarray:
+    """Distances in whole millionths, halves up by their decimal digits, as ``round`` does."""
+    x = d * _MILLION
+    out = np.floor(x + 0.5)
+    for k in np.flatnonzero(np.isfinite(x) & (np.abs(x - np.floor(x) - 0.5) < 1e-4)):
+        out[k] = float(Decimal(repr(float(d[k]))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.where(np.isnan(d), _NO_NUMBER, np.where(np.isinf(d), _INFINITE, out))
+
+
+def _best(ids: np.ndarray, q: np.ndarray, q_has: np.ndarray, k: int):
+    """The k nearest rows of a partition for each query, by millionths, then by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, near = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            batch = batch.filter(batch.column("id").is_valid())
+            own = batch.column("id").to_numpy(zero_copy_only=False)
+            x, x_has = _matrix(batch.column("vector"), q.shape[1])
+            for lo in range(0, len(own), _ROWS):
+                for at in range(0, len(ids), _QUERIES):
+                    rows, these = slice(lo, lo + _ROWS), slice(at, at + _QUERIES)
+                    d, met = _apart(q[these], q_has[these], x[rows], x_has[rows])
+                    last = far[these, -1:]
+                    # within a millionth of the last one, or no number while a place is free
+                    m, n = np.nonzero(met & ((d * _MILLION <= last + 1) | (~np.isfinite(d) & (last >= _INFINITE))))
+                    r, who, query = _millionths(d[m, n]), own[lo + n], at + m
+                    better = (who != ids[query]) & ((r < far[query, -1]) | ((r == far[query, -1]) & (who < near[query, -1])))
+                    if better.any():
+                        r, who, query = r[better], who[better], query[better]
+                        hit = np.unique(query)
+                        query, r, who = np.concatenate([query, np.repeat(hit, k)]), np.concatenate([r, far[hit].ravel()]), np.concatenate([who, near[hit].ravel()])
+                        order = np.lexsort((who, r, query))
+                        query, r, who = query[order], r[order], who[order]
+                        rank = np.arange(len(query)) - np.searchsorted(query, query)
+                        first = rank < k
+                        far[query[first], rank[first]], near[query[first], rank[first]] = r[first], who[first]
+        m, n = np.nonzero(far < np.inf)
+        r = far[m, n]
+        value = np.where(r == _NO_NUMBER, np.nan, np.where(r == _INFINITE, np.inf, r / _MILLION))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[m], pa.int64()), pa.array(near[m, n], pa.int64()), pa.array(value, pa.float64())], names=["query_id", "id", "distance"])
+
+    return run
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 20_000) -> DataFrame:
-    """The k nearest rows of ``corpus`` (id, vector) for each of a stated set of ``queries`` (id, vector), itself left out.
+    """The k nearest rows of ``corpus`` (id long, vector) for each of a stated set of ``queries`` (id, vector), itself left out.
 
-    The corpus stays where it is; queries go to it in blocks of bounded size, and each partition's best meet in a top-k.
+    The corpus stays where it is; queries go to it in blocks of bounded size, are compared by matrices, and each
+    partition's best meet in a top-k. All pairs are compared, so that work grows with the product of both.
     """
     n = queries.count()
     blocks = max(1, -(-n // block))
     found = None
+    corpus = corpus.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-        pairs = corpus.join(F.broadcast(part)).where("id != query_id").select("query_id", "id", F.round(distance(F.col("q"), F.col("vector")), 6).alias("distance")).where("distance is not null")
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).where("id is not null and vector is not null")
+        part = part.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+        lists = pa.concat_arrays(part.column("vector").chunks) if part.num_rows else pa.array([], pa.list_(pa.float64()))
+        q, q_has = _matrix(lists, max(np.asarray(lists.value_lengths()), default=0))
+        pairs = corpus.mapInArrow(_best(part.column("id").to_numpy(), q, q_has, k), "query_id long, id long, distance double")
         found = pairs if found is None else found.union(pairs)
     return top(found, ["query_id"], k, F.asc("distance"), F.asc("id"))
 

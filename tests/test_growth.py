@@ -1,6 +1,10 @@
 """Plans of steps that many queries share: what a task holds must not grow with the rows that it reads."""
 
-from swatchwork.operators import synthesis, usage
+import random
+
+from pyspark.sql import functions as F
+
+from swatchwork.operators import synthesis, usage, vectors
 from swatchwork.plans import systems
 from swatchwork.sources import elements
 
@@ -40,3 +44,17 @@ def test_pairs_hold_no_elements_before_they_move(spark):
     moved = next(k for k, line in enumerate(lines) if "Exchange hashpartitioning(page_id" in line and "REPARTITION_BY_COL" in line)
     below = lines[moved : moved + 1 + next(n for n, line in enumerate(lines[moved:]) if "FileScan" in line)]
     assert not any("Aggregate" in line for line in below)
+
+
+def test_nearest_compares_by_matrices(spark):
+    r = random.Random(5)
+    some = [(k, [r.choice([None, 0.1, 0.25, 0.3000005, 0.5]) for _ in range(r.choice([2, 3, 4]))]) for k in range(300)]
+    rows = [*some, (300, None), (None, [0.1]), (301, []), *((k, [0.5, 0.5, 0.5]) for k in range(400, 460))]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = corpus.where("id % 20 = 0")
+    pairs = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).crossJoin(corpus).where("id != query_id")
+    pairs = pairs.select("query_id", "id", F.round(vectors.distance(F.col("q"), F.col("vector")), 6).alias("distance")).where("distance is not null")
+    want = usage.top(pairs, ["query_id"], 5, F.asc("distance"), F.asc("id"))
+    got = vectors.nearest(asked, corpus, block=7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not any("NestedLoop" in line or "Cartesian" in line for line in plan(got))
