@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -15,34 +16,70 @@ ALIKE = 0.95
 CANDIDATE = "page_id long, ord long, kind string, structural_hash string, style_vector array<double>, variant_hint string, size_hint string, disabled boolean, css string, text string, slots array<string>"
 
 
+KEYS = ["page_id", "kind", "structural_hash"]
+
+
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether each row's keys differ from those of the row before; the first row's do."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in KEYS:
+        one, next_ = batch.column(name)[:-1], batch.column(name)[1:]
+        new[1:] |= pc.if_else(pc.or_(pc.is_null(one), pc.is_null(next_)), pc.xor(pc.is_null(one), pc.is_null(next_)), pc.fill_null(pc.not_equal(one, next_), False)).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _styles(lists: pa.ListArray) -> np.ndarray:
+    """A row of numbers for each list; a part that is missing counts as 0, as it adds nothing to a product."""
+    long = lists.value_lengths().to_numpy()
+    edge = np.cumsum(long) - long
+    styles = np.zeros((len(lists), int(long.max(initial=0))))
+    at = np.repeat(np.arange(len(lists)), long)
+    styles[at, np.arange(len(at)) - edge[at]] = pc.fill_null(lists.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    return styles
+
+
+def _clusters(batch: pa.RecordBatch, alike: float) -> pa.RecordBatch:
+    """The variants of whole groups, whose rows stand together and in order: all groups take their next example in one round."""
+    group = np.cumsum(_starts(batch))
+    styles = _styles(batch.column("v"))
+    size = np.sqrt((styles**2).sum(1))
+    unit = np.divide(styles, size[:, None], out=np.zeros_like(styles), where=size[:, None] > 0)
+    number, members = np.zeros(len(group), np.int32), np.zeros(len(group), np.int64)
+    free, turn = np.arange(len(group)), 0
+    while len(free):  # what no earlier example has taken; the first of a group is its next example
+        leads = np.ones(len(free), bool)
+        leads[1:] = group[free[1:]] != group[free[:-1]]
+        own = free[leads][np.cumsum(leads) - 1]
+        like = np.where((size[own] == 0) & (size[free] == 0), 1.0, np.einsum("ij,ij->i", unit[own], unit[free]))
+        hit = leads | (np.round(like, 9) >= alike)
+        number[free[leads]] = turn
+        members += np.bincount(own[hit], minlength=len(group))
+        free, turn = free[~hit], turn + 1
+    first = np.flatnonzero(members)
+    rows = batch.take(pa.array(first))
+    return pa.RecordBatch.from_arrays([*(rows.column(c) for c in KEYS), pa.array(number[first]), rows.column("ord"), pa.array(members[first])], names=[*KEYS, "variant", "example_ord", "members"])
+
+
 def _fold(alike: float):
+    """From rows sorted by keys and order; a group may go on in the next batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            at, number, example, members = [], [], [], []
-            for n, line in enumerate(batch.column("line")):
-                lists = line.values.field("v").to_pylist()
-                wide = max(map(len, lists), default=0)
-                # a part that is missing counts as 0, as it adds nothing to a product
-                styles = np.array([[*(0.0 if v is None else v for v in x), *[0.0] * (wide - len(x))] for x in lists]).reshape(len(lists), wide)
-                size = np.sqrt((styles**2).sum(1))
-                unit = np.divide(styles, size[:, None], out=np.zeros_like(styles), where=size[:, None] > 0)
-                first: list[int] = []
-                count: list[int] = []
-                for k in range(len(styles)):
-                    like = unit[first] @ unit[k] if first else np.zeros(0)
-                    like = np.where((size[first] == 0) & (size[k] == 0), 1.0, like) if first else like
-                    hit = np.flatnonzero(np.round(like, 9) >= alike)
-                    if len(hit):
-                        count[hit[0]] += 1
-                    else:
-                        first.append(k)
-                        count.append(1)
-                at += [n] * len(first)
-                number += range(len(first))
-                example += [line.values.field("ord")[k].as_py() for k in first]
-                members += count
-            pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in ("page_id", "kind", "structural_hash")), pa.array(number, pa.int32()), pa.array(example, pa.int64()), pa.array(members, pa.int64())], names=["page_id", "kind", "structural_hash", "variant", "example_ord", "members"])
+            if not batch.num_rows:
+                continue
+            last = int(np.flatnonzero(_starts(batch))[-1])
+            if held and (last or _starts(pa.concat_batches([held[-1][-1:], batch[:1]]))[1]):
+                yield _clusters(pa.concat_batches([*held, batch[:last]]), alike)
+                held = [batch[last:]]
+            elif last:
+                yield _clusters(batch[:last], alike)
+                held = [batch[last:]]
+            else:
+                held.append(batch)
+        if held:
+            yield _clusters(pa.concat_batches(held), alike)
 
     return run
 
@@ -54,10 +91,11 @@ def variants(candidates: DataFrame, alike: float = ALIKE) -> DataFrame:
     becomes an example; styles of zeros are like each other. A group is what one page has of one structure. A null style
     counts as one of zeros, null kinds and structures are groups of their own.
     """
-    rows = candidates.select("page_id", "kind", "structural_hash", F.struct("ord", F.coalesce("style_vector", F.array().cast("array<double>")).alias("v")).alias("c"))
-    lines = rows.groupBy("page_id", "kind", "structural_hash").agg(F.array_sort(F.collect_list("c")).alias("line"))
-    schema = S.StructType([*(lines.schema[c] for c in ("page_id", "kind", "structural_hash")), *S.StructType.fromDDL("variant int, example_ord long, members long").fields])
-    return lines.mapInArrow(_fold(alike), schema)
+    rows = candidates.select(*KEYS, F.col("ord").cast("long").alias("ord"), F.coalesce("style_vector", F.array().cast("array<double>")).alias("v"))
+    # rows pass by in order, so that no group is gathered in the aggregate
+    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "ord", "v")
+    schema = S.StructType([*(rows.schema[c] for c in KEYS), *S.StructType.fromDDL("variant int, example_ord long, members long").fields])
+    return rows.mapInArrow(_fold(alike), schema)
 
 
 def anatomies(candidates: DataFrame) -> DataFrame:

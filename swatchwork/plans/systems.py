@@ -241,8 +241,8 @@ _HINTS = """CASE WHEN font_weight = '700' THEN 'primary' WHEN height % 48 = 0 TH
 
 def candidates(e: DataFrame) -> DataFrame:
     px = lambda c: T.number(F.col(c))
-    part = lambda c, k: F.regexp_extract(c, r"(\d+), (\d+), (\d+)", k).cast("double")
-    style = F.array(px("padding"), px("margin"), px("radius"), px("font_size"), F.col("font_weight").cast("double") / 100, *(part(c, k) / 255 * 20 for c in ("color", "background") for k in (1, 2, 3)))
+    parts = lambda c: F.transform(F.split(F.regexp_extract(c, r"\d+, \d+, \d+", 0), ", "), lambda x: x.cast("double") / 255 * 20)
+    style = F.concat(F.array(px("padding"), px("margin"), px("radius"), px("font_size"), F.col("font_weight").cast("double") / 100), parts("color"), parts("background"))
     slots = F.when(F.col("width") % 2 == 0, F.array(F.lit("icon"), F.lit("text"))).when(F.col("width") % 5 == 0, F.array(*map(F.lit, ("heading", "text", "icon", "badge")))).when(F.col("width") % 11 != 0, F.array(F.lit("text")))
     rows = e.withColumns({"kind": F.expr(_KIND), "structural_hash": F.concat_ws("/", "tag", "class_list"), "style_vector": style, "slots": slots, "disabled": F.when(F.col("z_index") != "auto", True), "css": F.col("color")})
     return rows.selectExpr("page_id", "ord", "kind", "structural_hash", "style_vector", *_expressions(_HINTS), "disabled", "css", "slots")

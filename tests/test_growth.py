@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from swatchwork.operators import synthesis, usage, vectors
+from swatchwork.operators import components, synthesis, usage, vectors
 from swatchwork.plans import systems
 from swatchwork.sources import elements
 
@@ -58,3 +58,17 @@ def test_nearest_compares_by_matrices(spark):
     got = vectors.nearest(asked, corpus, block=7)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert not any("NestedLoop" in line or "Cartesian" in line for line in plan(got))
+
+
+def test_variants_gather_no_group(spark):
+    rows = [(page, k * 7919 % 61, kind, None, [float(k % 5), None if k % 3 else 1.0, *([2.0] * (k % 2))]) for page in range(3) for kind in (None, "card", "text") for k in range(61)]
+    frame = spark.createDataFrame(rows, "page_id long, ord long, kind string, structural_hash string, style_vector array<double>").repartition(3)
+    assert not any("Aggregate" in line for line in plan(components.variants(frame)))
+    want = sorted(map(tuple, components.variants(frame).collect()), key=str)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:  # groups that go on over several batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert sorted(map(tuple, components.variants(frame).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert sum(x[-1] for x in want) == len(rows) and len({x[:3] for x in want}) == 9
