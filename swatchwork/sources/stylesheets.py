@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators import tokens
+from swatchwork.sources.storage import stored
 
 _TOKEN = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*+(?:'|(?=\n)|\Z)|url\(\s*[^"')\s][^)]*\)|[{};]|\\.|[^/"'{};\\u]+|.""", re.S | re.I)
 _AT = re.compile(r"@([\w-]+)\s*(.*)", re.S)
 BLOCKS = "id long, ord int, parent int, depth int, kind string, prelude string, around array<string>, declarations array<struct<property:string,value:string,important:boolean>>"
+#: Blocks that go back from a Python worker together, or as many as one sheet has.
+TOGETHER = 2000
 #: Properties whose values may follow the viewport, and the functions of newer colours.
 FLUID = "font-size|line-height|letter-spacing|gap|padding|padding-block|padding-inline|max-width|width|border-radius"
 MODERN = "oklch|oklab|color-mix|light-dark"
@@ -67,9 +70,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     said = pa.list_(pa.struct([("property", pa.string()), ("value", pa.string()), ("important", pa.bool_())]))
     kinds = {"ord": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "kind": pa.string(), "prelude": pa.string(), "around": pa.list_(pa.string()), "declarations": said}
     for batch in batches:
+        keys: list[int | None] = []
+        rows: list[dict] = []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-            if rows := blocks(text.as_py()):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), *(pa.array([x[c] for x in rows], t) for c, t in kinds.items())], names=["id", *kinds])
+            found = blocks(text.as_py())
+            keys += [key] * len(found)
+            rows += found
+            if len(rows) >= TOGETHER:
+                yield _batch(keys, rows, kinds)
+                keys, rows = [], []
+        if rows:
+            yield _batch(keys, rows, kinds)
+
+
+def _batch(keys: list[int | None], rows: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([x[c] for x in rows], t) for c, t in kinds.items())], names=["id", *kinds])
 
 
 def css_blocks(sheets: DataFrame) -> DataFrame:
@@ -122,7 +137,7 @@ def sheet_facts(sheets: DataFrame) -> DataFrame:
         .union(fact("env", F.array_distinct(F.transform(_all(F.col("text"), r"(?i)env\(\s*(safe-area-inset-[a-z]+|viewport-[a-z-]+)"), lambda x: F.lower(x))), same, none))
         .union(fact("modern", _all(F.col("text"), modern), kind, same))
     )
-    read = css_blocks(sheets)
+    read = stored(css_blocks(sheets))  # six facts read the blocks, which are cut once
     by = lambda *order: F.row_number().over(Window.partitionBy("id").orderBy(*order)) - 1
     for name in ("media", "container"):
         rows = rows.union(read.where(F.col("kind") == name).select("id", F.lit(name), by("ord"), F.lit(""), "prelude"))

@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from swatchwork.operators import components, synthesis, usage, vectors
 from swatchwork.plans import systems
-from swatchwork.sources import elements
+from swatchwork.sources import elements, stylesheets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,3 +73,17 @@ def test_variants_gather_no_group(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert sum(x[-1] for x in want) == len(rows) and len({x[:3] for x in want}) == 9
+
+
+def test_sheets_are_cut_once(spark):
+    sheets = spark.range(50).selectExpr("id", "concat(':root{--a:', id, '} @media (x) { b { top: 1px } } @font-face { font-family: F }') AS text")
+    assert sum("MapInArrow" in line for line in plan(stylesheets.sheet_facts(sheets))) == 0
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "text": ["a{b:c}"] * 50})
+    assert [x.num_rows for x in stylesheets._blocks(iter([batch]))] == [50]
+
+
+def test_ramps_read_colours_without_pages(spark):
+    e = elements.from_lineitem(spark, DATA)
+    colors = usage.distinct_colors(e)
+    assert not any("page_id" in line or "Join" in line for line in plan(colors))
+    assert {x.hex for x in colors.collect()} == {x.hex for x in usage.color_usage(e).select("hex").distinct().collect()}
