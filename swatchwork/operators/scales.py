@@ -5,6 +5,7 @@ Folds run over the few distinct values of a page, not over its elements.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,14 +109,14 @@ def type_ratio(values: DataFrame) -> DataFrame:
 
 def near_duplicate_colors(colors: DataFrame, limit: float = 8.0) -> DataFrame:
     """Pairs of a page's colours (page_id, hex) that differ by less than the limit, cut into cells so that only near ones meet."""
-    c = C.parse_color(F.col("hex"))
-    cell = lambda k, shift: F.floor((c[k] + shift) / limit)
-    rows = colors.select("page_id", "hex")
-    home = rows.select("page_id", "hex", *(cell(k, 0).alias(k) for k in "rgb"))
-    around = rows.select("page_id", F.col("hex").alias("other"), *(F.explode(F.array(*(cell(k, 0) + d for d in (-1, 0, 1)))).alias(k) for k in "r"), cell("g", 0).alias("g0"), cell("b", 0).alias("b0"))
-    around = around.select("page_id", "other", "r", F.explode(F.array(*(F.col("g0") + d for d in (-1, 0, 1)))).alias("g"), "b0").select("page_id", "other", "r", "g", F.explode(F.array(*(F.col("b0") + d for d in (-1, 0, 1)))).alias("b"))
-    d = C.rgb_distance(C.parse_color(F.col("hex")), C.parse_color(F.col("other")))
-    return home.join(around, ["page_id", "r", "g", "b"]).where("hex < other").select("page_id", F.col("hex").alias("first"), F.col("other").alias("second"), F.round(d, 4).alias("distance")).where(F.col("distance") < limit)
+    rows = colors.select("page_id", "hex", C.parse_color(F.col("hex")).alias("c"))
+    cell = lambda k, shift: (F.floor(F.col("c")[k] / limit) + shift).alias(k)
+    home = rows.select("page_id", "hex", "c", *(cell(k, 0) for k in "rgb"))
+    # of two cells beside each other one looks for the other: 13 of the 26 around, and its own
+    steps = [(0, 0, 0), *(d for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0))]
+    around = rows.select("page_id", F.col("hex").alias("other"), F.col("c").alias("d"), F.explode(F.array(*(F.struct(F.lit(d == (0, 0, 0)).alias("own"), *(cell(k, n) for k, n in zip("rgb", d, strict=True))) for d in steps))).alias("at")).select("page_id", "other", "d", "at.*")
+    pairs = home.join(around, ["page_id", "r", "g", "b"]).where("not own or hex < other").select("page_id", F.least("hex", "other").alias("first"), F.greatest("hex", "other").alias("second"), F.round(C.rgb_distance(F.col("c"), F.col("d")), 4).alias("distance"))
+    return pairs.where(F.col("distance") < limit).where("first != second")
 
 
 def _seeded(threshold: float):

@@ -110,3 +110,13 @@ def test_clusters_look_no_seed_up_by_a_join(spark):
             near[1].append((u, h)) if near else groups.append((c, [(u, h)]))
         want += [(page, max(g, key=lambda x: x[0])[1], sum(u for u, _ in g), len(g)) for _, g in groups]
     assert sorted(((x.page_id, x.hex, x.uses, x.members) for x in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_near_colours_meet_once(spark):
+    r = random.Random(4)
+    rows = sorted({(page, "#%02x%02x%02x" % tuple(r.randint(0, 24) for _ in range(3))) for page in (1, 2) for _ in range(120)})
+    got = scales.near_duplicate_colors(spark.createDataFrame(rows, "page_id long, hex string").repartition(3))
+    assert sum("Generate" in line for line in plan(got)) == 1
+    gap = lambda a, b: sum((int(a[n : n + 2], 16) - int(b[n : n + 2], 16)) ** 2 for n in (1, 3, 5)) ** 0.5
+    want = [(p, a, b, round(gap(a, b), 4)) for p, a in rows for q, b in rows if p == q and a < b and gap(a, b) < 8]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
