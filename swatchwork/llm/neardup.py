@@ -8,8 +8,9 @@ far off; what is left is compared on full sets.
 
 Nothing grows with the square of a group. All members of a list are first compared with its hub, the member whose values
 are the most common, and linked ones join one component. Only lists with several components go on. Their texts are listed
-once more by the rarest values of their whole sets: a text of which the others hold too little is done, and two texts meet
-only if what both share with a hub, and what they hold besides, leaves room for a link.
+once more by the rarest values of their whole sets: a text of which the others hold too little is done. Of two texts of a
+list at least one is not linked with the hub. What both share with the hub may be enough for a link, as where one is a
+part of the other; else they share values that the hub has not, and only texts that share one of these meet.
 
 Full sets are compared in a stream: the first text of a pair is read once for a bounded share of its partners, who pass
 by one after another, so that no row has two sets and no group is held in memory.
@@ -191,7 +192,7 @@ def _split(entries: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _left(rows: DataFrame, parts: DataFrame, texts: _Texts) -> DataFrame:
-    """(key, size, held, rank, prefix) of the texts of lists with several components: the rarest values of their whole sets, as far as others that are left hold them."""
+    """(key, size, held, rank, prefix) of the texts of lists with several components: ``held`` are the values of their whole sets that others that are left hold, from rare to common, ``prefix`` the rarest of them."""
     entries = common.stored(_split(rows.select("key", "size", F.explode("prefix").alias("value")), parts))
     values = common.stored(texts.values(entries.select("key").distinct()))
     often = values.groupBy("value").agg(F.count("*").alias("texts")).where("texts > 1")
@@ -199,8 +200,8 @@ def _left(rows: DataFrame, parts: DataFrame, texts: _Texts) -> DataFrame:
     left = held.join(entries.groupBy("key").agg(F.first("size").alias("size")), "key")
     cut = (F.size("lists") - F.ceil(F.col("size") * PERCENT / 100) + 1).cast("int")
     rank = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["texts"]) / F.col("size")
-    left = left.select("key", "size", F.size("lists").alias("held"), rank.alias("rank"), "lists", cut.alias("cut")).where("cut > 0")
-    return left.select("key", "size", "held", "rank", F.transform(F.slice("lists", 1, F.col("cut")), lambda x: x["value"]).alias("prefix"))
+    left = left.select("key", "size", F.transform("lists", lambda x: x["value"]).alias("held"), rank.alias("rank"), cut.alias("cut")).where("cut > 0")
+    return left.select("key", "size", "held", "rank", F.slice("held", 1, F.col("cut")).alias("prefix"))
 
 
 def _hubs(entries: DataFrame) -> DataFrame:
@@ -213,15 +214,36 @@ def _star(entries: DataFrame, hubs: DataFrame) -> DataFrame:
     return entries.join(hubs, "value").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def _pairs(rows: DataFrame, most: Column) -> DataFrame:
+    """Pairs (a, b) of rows (value, key, part, size, ...) of one value and different parts that, sharing at most ``most``, have room for a link."""
+    other = rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns))
+    apart = (F.col("value") == F.col("b_value")) & (F.col("part") < F.col("b_part"))
+    return rows.join(other, apart & _possible(F.col("size"), F.col("b_size"), most)).select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
+
+
 def _met(left: DataFrame, hubs: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a list's texts in different components that, by what both share with the hub and hold besides, have room for a link."""
-    entries = _split(left.select("key", "size", "held", F.explode("prefix").alias("value")).join(hubs, "value").where("key != hub"), parts)
+    entries = _split(left.select("key", "size", F.explode("prefix").alias("value")).join(hubs, "value").where("key != hub"), parts)
     with_hub = shared.select(F.col("a").alias("key"), F.col("b").alias("hub"), "shared")
-    one = common.stored(entries.join(with_hub, ["key", "hub"]).select("value", "key", "part", "size", "shared", (F.col("held") - F.col("shared")).alias("own")))
-    other = one.select(*(F.col(c).alias(f"b_{c}") for c in one.columns))
-    most = F.least("shared", "b_shared") + F.least("own", "b_own")
-    apart = (F.col("value") == F.col("b_value")) & (F.col("part") < F.col("b_part"))
-    return one.join(other, apart & _possible(F.col("size"), F.col("b_size"), most)).select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
+    one = common.stored(entries.join(with_hub, ["key", "hub"]).select("value", "hub", "key", "part", "size", "shared"))
+    # with a partner of so many shingles at least, the shared ones that a link needs: no text has to look for smaller ones than its lists have
+    needed = F.ceil(PERCENT * (F.col("size") + F.greatest(F.col("least"), F.ceil(F.col("size") * PERCENT / 100))) / (100 + PERCENT))
+    # what both share with the hub is enough
+    least = one.groupBy("value").agg(F.min("size").alias("least"))
+    within = one.join(least, "value").where(F.col("shared") >= needed).select("value", "key", "part", "size", "shared")
+    several = within.groupBy("value").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first != last").select("value")
+    within = common.stored(within.join(several, "value", "left_semi"))
+    # they share values besides the hub's; these stand in lists of their own, by hub
+    least = one.groupBy("hub").agg(F.min("size").alias("least"))
+    rows = one.select("hub", "key", "part", "size", "shared").distinct().join(least, "hub")
+    rows = rows.join(left.select("key", "held"), "key").join(left.select(F.col("key").alias("hub"), F.col("held").alias("hub_held")), "hub")
+    rows = rows.select("hub", "key", "part", "size", "shared", F.array_except("held", "hub_held").alias("own"), needed.alias("needed")).withColumn("n", F.size("own"))
+    cut = F.col("n") - F.greatest(F.col("needed") - F.col("shared"), F.lit(1)) + 1
+    rows = rows.where(cut > 0).select("key", "part", "size", "shared", "n", F.explode(F.transform(F.slice("own", 1, cut.cast("int")), lambda x: F.struct("hub", x.alias("own")))).alias("value"))
+    several = rows.groupBy("value").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first != last").select("value")
+    besides = common.stored(rows.join(several, "value", "left_semi"))
+    both = F.least("shared", "b_shared")
+    return _pairs(within, both).union(_pairs(besides, both + F.least("n", "b_n"))).distinct()
 
 
 def _links(classes: DataFrame, texts: _Texts, sketch: int | None) -> DataFrame:

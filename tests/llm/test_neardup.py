@@ -40,3 +40,26 @@ def test_groups(spark, sketch):
         assert all(want[k] <= c for k, c in got.items())
     else:
         assert got == want
+
+
+def test_a_group_of_worn_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    r = random.Random(3)
+    base, texts = [f"w{k}" for k in range(120)], {}
+    for k in range(120):  # many are too far from the text that all come from; some share their edits with others
+        w = list(base)
+        for at in r.sample(range(5, 115), r.choice([0, 2, 3, 3, 4, 4])):
+            w[at] = f"x{at}"
+        texts[k] = " ".join(w)
+    compared = []
+    overlaps = neardup._Texts.overlaps
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        return overlaps(self, pairs)
+
+    monkeypatch.setattr(neardup._Texts, "overlaps", counted)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame).collect()}
+    assert got == brute(texts, 5)
+    assert len(set(got.values())) > 10
+    assert compared[-1] < 4 * len(texts), compared
