@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,19 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
 
 
 def give_back() -> None:
-    """Hands the memory that a Python worker no longer uses back to the system, as workers live on between stages; where the C library can."""
+    """Hands the memory that this Python process no longer uses back to the system, as workers and the driver live on between stages; where the C library can."""
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
+def learned_on_driver(model):
+    """The model, after what it was learned from has left the driver's memory: that stays as large as it was otherwise, through all stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back()
+    return model
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A stored table of narrow rows, marked for a broadcast if it has at most ``rows`` rows; Spark joins it by a shuffle otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -380,7 +380,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 def learn(docs: DataFrame, folds: int = 5) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) outside fold 0."""
-    return train(training_sample(docs.where(common.fold(F.col("doc_id"), folds) != 0)))
+    return common.learned_on_driver(train(training_sample(docs.where(common.fold(F.col("doc_id"), folds) != 0))))
 
 
 def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:

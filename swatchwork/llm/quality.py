@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """A model from the rows of ``docs`` (doc_id, text) outside fold 0 and their ``labels`` (doc_id, quality)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(common.fold(F.col("doc_id"), folds) != 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(common.fold(F.col("doc_id"), folds) != 0)
-    return train(rows, marks)
+    return common.learned_on_driver(train(rows, marks))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:

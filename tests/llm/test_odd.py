@@ -179,3 +179,14 @@ def test_pipeline_columns_may_have_any_name(spark, tmp_path):
         got = stage(spark, odd, str(tmp_path))
         assert got.columns == odd.columns
         assert sorted(((x[0], x[1]) for x in got.collect()), key=str) == want and want
+
+
+def test_what_a_model_was_learned_from_leaves_the_driver(monkeypatch, spark):
+    from swatchwork.llm import common, language, quality
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    docs = spark.createDataFrame([(k, "one two three", "en") for k in range(20)], "doc_id long, text string, lang string")
+    assert language.learn(docs).labels == ["en"]
+    quality.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert len(given) == 2
