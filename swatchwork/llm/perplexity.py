@@ -32,6 +32,8 @@ from swatchwork.llm.trie import BITS, Trie, codes, decoded, packed, unpacked
 
 #: Words of a block, bytes of text for each shard, and places from which on a word has several roots.
 BLOCK_WORDS, SHARD_BYTES, HOT = 2_000_000, 12 << 20, 1_000_000
+#: Entries of several blocks that a shard looks up together.
+AT_ONCE = 1_000_000
 #: K2 and K3: how many places of a context weigh as much as what the shorter context says.
 STRENGTH = (256.0, 16.0)
 _START, _BEGIN, _END, _NONE = (np.uint64(x) for x in (0x13198A2E03707344, 0x243F6A8885A308D3, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
@@ -127,7 +129,8 @@ class _Block:
             self.before = np.concatenate([self.before, np.full(len(key), none)])
             self.word = np.concatenate([self.word, key % many])
             self.counts = np.concatenate([self.counts, np.bincount(back, self.counts[some], len(key)).astype(np.int64)])
-        self.order = np.lexsort((self.word, self.before, self.root)) if len(some) else np.arange(len(entry))
+        # entries of one root stand in the order of the words before and of the words already
+        self.order = np.argsort(self.root, kind="stable") if len(some) else np.arange(len(entry))
 
     def questions(self, shards: int) -> Iterator[tuple[int, bytes]]:
         root, before, word, counts = (x[self.order] for x in (self.root, self.before, self.word, self.counts))
@@ -233,12 +236,15 @@ def _answer(hot: _Hot):
 
         def summed() -> tuple:
             context, word, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((word, context))
-            context, word, sums = context[order], word[order], sums[order]
-            first = np.ones(len(word), bool)
-            first[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-            at = np.flatnonzero(first)
-            return context[at], word[at], np.add.reduceat(sums, at) if len(at) else sums
+            context, place = np.unique(context, return_inverse=True)
+            key = (place.astype(np.uint64) << np.uint64(BITS)) | word
+            del place, word
+            order = np.argsort(key)
+            key, sums = key[order], sums[order]
+            del order
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            key, sums = key[at], np.add.reduceat(sums, at) if len(at) else sums
+            return context[key >> np.uint64(BITS)], key & np.uint64((1 << BITS) - 1), sums
 
         for one in data:
             root, many, before, word, counts = _entries(one)
@@ -259,14 +265,30 @@ def _answer(hot: _Hot):
         trie = Trie.open(Trie.build(roots, root, before, word, sums, totals, STRENGTH))
         del context, root, before, word, sums
         parts_of = np.union1d(hot_roots, hot.contexts())  # roots of frequent words: what follows the word alone is told apart
-        out = []
-        for one in data:
-            root, many, before, word, _ = _entries(one)
+        out, some = [], []
+
+        def told() -> Iterator[bytes]:
+            """Answers to some questions: what they have in common is looked up once."""
+            root, many, before, word = (np.concatenate(x) for x in zip(*some, strict=True))
             triple, follow, weight = trie.probabilities(np.repeat(root, many), before, word)
             alone = np.repeat(np.isin(root, hot_roots), many)
             whole = np.repeat(~np.isin(root, parts_of), many)
-            share = np.where(alone, follow, triple + np.where(whole, weight * follow, 0.0))
-            out.append(_small(trie.total(root), many, codes(share), codes(weight)))
+            share = codes(np.where(alone, follow, triple + np.where(whole, weight * follow, 0.0)))
+            weight = codes(weight)
+            distinct, back = np.unique(root, return_inverse=True)
+            total, at, upto = trie.total(distinct)[back], 0, 0
+            for of, uses, *_ in some:
+                n = int(uses.sum())
+                yield _small(total[at : at + len(of)], uses, share[upto : upto + n], weight[upto : upto + n])
+                at, upto = at + len(of), upto + n
+
+        for one in data:
+            some.append(_entries(one)[:4])
+            if sum(len(x[3]) for x in some) >= AT_ONCE:
+                out += told()
+                some = []
+        if some:
+            out += told()
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(out, pa.binary())})
 
     return answer

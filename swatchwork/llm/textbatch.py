@@ -50,13 +50,13 @@ class Piece:
     """The texts of some consecutive rows. ``first`` and ``n`` say which rows of the batch."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, first: int, lower: bool = False):
-        self.data = LOWER[data] if lower else data
+        self.data = data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32) if lower else data
         self.starts, self.first, self.n = starts, first, len(starts) - 1
         self._sums = None
 
     def cuts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every word, and the row (within the piece) that it is in."""
-        ink = ~SPACE[self.data]
+        ink = (self.data != 0x20) & ((self.data - np.uint8(0x09)) > 4)  # compared, as a look-up of every byte takes ten times as long
         size = len(ink)
         if not size:
             none = np.zeros(0, np.int64)

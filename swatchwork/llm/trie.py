@@ -19,9 +19,10 @@ import numpy as np
 STEPS = 256
 #: Bits of a word's hash inside its root.
 BITS = 32
-_AT_ONCE = 1 << 17
+#: Keys that are worked on at a time, so that what is made of them stays in a processor's cache.
+_AT_ONCE = 1 << 14
 _BITS = np.array([[i for i in range(8) if b >> i & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)], np.int64)
-_M1, _M2, _M4, _EACH = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01))
+_M1, _M2, _M4, _EACH, _TOP = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -95,7 +96,9 @@ class EliasFano:
             held = word - ((word >> np.uint64(1)) & _M1)
             held = (held & _M2) + ((held >> np.uint64(2)) & _M2)
             held = ((held + (held >> np.uint64(4))) & _M4) * _EACH
-            byte = (held.view(np.uint8).reshape(-1, 8) <= left[:, None]).sum(1, dtype=np.uint64)
+            # bytes that hold more than are left keep their highest bit
+            more = ((held | _TOP) - (left.astype(np.uint64) + np.uint64(1)) * _EACH) & _TOP
+            byte = np.uint64(8) - np.bitwise_count(more)
             shift = byte << np.uint64(3)
             left = left - (((held << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.uint8)
             out[a : a + _AT_ONCE] = at * 64 + shift.astype(np.int64) + _BITS[((word >> shift) & np.uint64(255)).astype(np.uint8), left]
@@ -131,6 +134,13 @@ class EliasFano:
 
     def find(self, keys: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The place of each key, or -1; ``lo`` and ``hi`` bound the places of each."""
+        out = np.empty(len(keys), np.int64)
+        for a in range(0, len(keys), _AT_ONCE):
+            part = slice(a, a + _AT_ONCE)
+            out[part] = self._find(keys[part], *(None if x is None else x[part] for x in (lo, hi)))
+        return out
+
+    def _find(self, keys: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> np.ndarray:
         out = np.full(len(keys), -1)
         ask = np.flatnonzero(keys <= np.uint64(self.most)) if self.n else np.zeros(0, np.int64)
         if not len(ask):
@@ -224,29 +234,41 @@ class Trie:
         out[seen] = upto
         return out
 
+    def _places(self, level: EliasFano, edges: EliasFano, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the distinct keys (root's place and word) in a level: root, place or -1, and where the root's own range begins; then which of them each key is."""
+        key, back = np.unique(keys, return_inverse=True)
+        used, own = np.unique((key >> np.uint64(BITS)).astype(np.int64), return_inverse=True)
+        lo, hi = (x[own] for x in edges.pair(used))
+        return used[own], level.find(key, lo, hi), lo, back
+
     def probabilities(self, root: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of each (root, before, word), decoded: after both words, after the root alone, and the context's back-off weight; 0, 0 and 1 where nothing is known."""
+        """Probabilities of each (root, before, word), decoded: after both words, after the root alone, and the context's back-off weight; 0, 0 and 1 where nothing is known.
+
+        Each level is asked once for each distinct key, however many entries have it.
+        """
         triple, follow, weight = np.zeros(len(root)), np.zeros(len(root)), np.ones(len(root))
         fresh = np.ones(len(root), bool)
         fresh[1:] = root[1:] != root[:-1]
         first = np.flatnonzero(fresh)
-        r = np.repeat(self.roots.find(root[first]), np.diff(np.append(first, len(root))))
+        distinct, back = np.unique(root[first], return_inverse=True)
+        r = np.repeat(self.roots.find(distinct)[back], np.diff(np.append(first, len(root))))
         at = np.flatnonzero(r >= 0)
-        own = r[at]
-        key = lambda x: (own.astype(np.uint64) << np.uint64(BITS)) | x[at]
-        # a known root's own range of each level
-        used, back = np.unique(own, return_inverse=True)
-        lo, hi, low, high = (x[back] for of in (self.follows, self.contexts) for x in of.pair(used))
-        pair = self.follow.find(key(word), lo, hi)
-        hit = pair >= 0
-        follow[at[hit]] = decoded(self.follow_codes[pair[hit]])
-        context = self.context.find(key(before), low, high)
-        hit = context >= 0
-        weight[at[hit]] = decoded(self.back_codes[context[hit]])
-        both = np.flatnonzero((pair >= 0) & (context >= 0))
-        offset = self.bases[own[both]].astype(np.int64) + (context[both] - low[both]) * (hi - lo)[both]
-        a, b = self.triples.pair(context[both])
-        place = self.triple.find((offset + pair[both] - lo[both]).astype(np.uint64), a, b)
-        hit = place >= 0
-        triple[at[both[hit]]] = decoded(self.triple_codes[place[hit]])
+        key = lambda x: (r[at].astype(np.uint64) << np.uint64(BITS)) | x[at]
+        _, pair, lo, of_pair = self._places(self.follow, self.follows, key(word))
+        follow[at] = np.where(pair >= 0, decoded(self.follow_codes[pair]) if self.follow.n else 0.0, 0.0)[of_pair]
+        own, context, low, of_context = self._places(self.context, self.contexts, key(before))
+        weight[at] = np.where(context >= 0, decoded(self.back_codes[context]) if self.context.n else 1.0, 1.0)[of_context]
+        # where the entries of each known context begin: in numbers, and in places
+        seen = np.flatnonzero(context >= 0)
+        used, mine = np.unique(own[seen], return_inverse=True)
+        begin, end = self.follows.pair(used)
+        offset, a, b = (np.zeros(len(context), np.int64) for _ in range(3))
+        offset[seen] = self.bases[used].astype(np.int64)[mine] + (context[seen] - low[seen]) * (end - begin)[mine]
+        a[seen], b[seen] = self.triples.pair(context[seen])
+        both = np.flatnonzero((pair >= 0)[of_pair] & (context >= 0)[of_context])
+        number, which = np.unique(offset[of_context[both]] + (pair - lo)[of_pair[both]], return_inverse=True)
+        from_, to = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+        from_[which], to[which] = a[of_context[both]], b[of_context[both]]
+        place = self.triple.find(number.astype(np.uint64), from_, to)
+        triple[at[both]] = np.where(place >= 0, decoded(self.triple_codes[place]) if self.triple.n else 0.0, 0.0)[which]
         return triple, follow, weight
