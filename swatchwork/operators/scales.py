@@ -23,10 +23,17 @@ UNITS = (2, 4, 5, 6, 7, 8, 10, 12, 16)
 RATIOS = {"minor second": 1.067, "major second": 1.125, "minor third": 1.2, "major third": 1.25, "perfect fourth": 1.333, "augmented fourth": 1.414, "perfect fifth": 1.5, "golden": 1.618}
 
 
+def whole_pixels(text: Column) -> Column:
+    return T.half_up(T.number(text))
+
+
 def spacing_values(elements: DataFrame, least: float = 0, most: float = 500) -> DataFrame:
     """Distinct spacings of each page, whole pixels."""
-    v = F.explode(F.array(T.half_up(T.number(F.col("padding"))), T.half_up(T.number(F.col("margin"))))).alias("value")
-    return elements.select("page_id", v).where((F.col("value") > least) & (F.col("value") < most)).distinct()
+    # a page has few distinct texts of spacings: only these are read
+    texts = elements.select("page_id", F.explode(F.array("padding", "margin")).alias("text")).distinct()
+    # out of an outer explode, as a filter on the text alone is pushed below the distinct, where every element would be read
+    v = F.explode_outer(F.array(whole_pixels(F.col("text")))).alias("value")
+    return texts.select("page_id", v).where((F.col("value") > least) & (F.col("value") < most)).distinct()
 
 
 def natural_breaks(values: DataFrame) -> DataFrame:
@@ -39,14 +46,20 @@ def natural_breaks(values: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "group").agg(F.min("value").alias("value"), F.count("*").alias("members")).select("page_id", "value", "members")
 
 
-def base_unit(values: DataFrame) -> DataFrame:
-    """The unit that divides most values, with 0.04 more for 4 and 8; first of equals; null below 0.6 or with under 3 values."""
+def unit_fit(values: DataFrame) -> DataFrame:
+    """(page_id, n_values, base_unit, score, on_base) as in ``base_unit``, with how many values the unit divides, 0 without one."""
     unit = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, u in enumerate(UNITS)))).alias("u")
-    share = F.avg(F.when(F.col("value") % F.col("unit") == 0, 1.0).otherwise(0.0)) + F.when(F.col("unit").isin(4, 8), 0.04).otherwise(0.0)
-    rows = values.select("page_id", "value", unit).select("page_id", "value", "u.*").groupBy("page_id", "rank", "unit").agg(F.count("*").alias("n"), F.round(share, 6).alias("score"))
-    best = rows.groupBy("page_id").agg(F.max("n").alias("n_values"), F.max(F.struct("score", (-F.col("rank")).alias("minus"), "unit")).alias("best"))
+    divides = F.col("value") % F.col("unit") == 0
+    share = F.avg(F.when(divides, 1.0).otherwise(0.0)) + F.when(F.col("unit").isin(4, 8), 0.04).otherwise(0.0)
+    rows = values.select("page_id", "value", unit).select("page_id", "value", "u.*").groupBy("page_id", "rank", "unit").agg(F.count("*").alias("n"), F.round(share, 6).alias("score"), F.count(F.when(divides, 1)).alias("hits"))
+    best = rows.groupBy("page_id").agg(F.max("n").alias("n_values"), F.max(F.struct("score", (-F.col("rank")).alias("minus"), "unit", "hits")).alias("best"))
     good = (F.col("n_values") >= 3) & (F.col("best.score") >= 0.6)
-    return best.select("page_id", "n_values", F.when(good, F.col("best.unit")).alias("base_unit"), F.when(good, F.col("best.score")).alias("score"))
+    return best.select("page_id", "n_values", F.when(good, F.col("best.unit")).alias("base_unit"), F.when(good, F.col("best.score")).alias("score"), F.when(good, F.col("best.hits")).otherwise(0).alias("on_base"))
+
+
+def base_unit(values: DataFrame) -> DataFrame:
+    """The unit that divides most values, with 0.04 more for 4 and 8; first of equals; null below 0.6 or with under 3 values."""
+    return unit_fit(values).drop("on_base")
 
 
 def anchored_clusters(values: DataFrame, threshold: float) -> DataFrame:

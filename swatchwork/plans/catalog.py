@@ -265,11 +265,13 @@ def system_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements.from_lineitem(spark, sf_dir)
     family = F.when(F.col("font_family") != "system-ui", F.trim(F.substring_index("font_family", ",", 1)))
     kinds = {"families": family, "weights": F.col("font_weight"), "sizes": F.col("font_size"), "radii": F.when(F.col("radius") != "0px", F.col("radius")), "shadows": F.when(F.col("shadow") != "none", F.col("shadow"))}
-    rows = e.groupBy("page_id").agg(*(F.size(F.collect_set(kind)).cast("long").alias(name) for name, kind in kinds.items()))
+    # one pass: an element's texts of each kind, most of which its page has already
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), kind.alias("text")) for name, kind in kinds.items()))).alias("of")
+    texts = e.select("page_id", each).select("page_id", "of.*").distinct()
+    rows = texts.groupBy("page_id").agg(*(F.count(F.when(F.col("kind") == name, F.col("text"))).alias(name) for name in kinds))
     colors = usage.color_usage(e).groupBy("page_id").agg(F.count("*").alias("colors"), F.bool_or(F.col("interactive") > 0).alias("has_primary"))
-    values = scales.spacing_values(e)
-    on_base = F.count(F.when(F.col("value") % F.col("base_unit") == 0, 1))
-    spacings = values.join(scales.base_unit(values), "page_id").groupBy("page_id").agg(F.count("*").alias("spacings"), on_base.alias("on_base"), F.bool_or(F.col("base_unit").isNotNull()).alias("has_base"))
+    fit = scales.unit_fit(scales.spacing_values(e))
+    spacings = fit.select("page_id", F.col("n_values").alias("spacings"), "on_base", F.col("base_unit").isNotNull().alias("has_base"))
     rows = rows.join(colors, "page_id").join(spacings, "page_id").join(usage.contrast_score(e).select("page_id", F.col("score").alias("contrast")), "page_id")
     return compare.system_score(rows.withColumn("variables", F.lit(0)).withColumns({name: F.lit(None).cast("int") for name in ("unused", "important", "duplicates")}))
 

@@ -120,3 +120,17 @@ def test_near_colours_meet_once(spark):
     gap = lambda a, b: sum((int(a[n : n + 2], 16) - int(b[n : n + 2], 16)) ** 2 for n in (1, 3, 5)) ** 0.5
     want = [(p, a, b, round(gap(a, b), 4)) for p, a in rows for q, b in rows if p == q and a < b and gap(a, b) < 8]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_spacings_are_read_once_they_are_distinct(spark):
+    lines = plan(scales.spacing_values(elements.from_lineitem(spark, DATA)))
+    moved = max(k for k, line in enumerate(lines) if "Exchange" in line)
+    assert any("regexp" in line for line in lines[:moved]) and not any("regexp" in line for line in lines[moved:])
+
+
+def test_units_tell_how_many_values_they_divide(spark):
+    pages = {1: [4, 8, 12, 16, 7], 2: [5, 10], 3: [3, 11, 13, 17], 4: [0, 500]}
+    rows = [(page, 1, f"{v}px", f"{v}px") for page, values in pages.items() for v in values]
+    values = scales.spacing_values(spark.createDataFrame(rows, "page_id long, ord long, padding string, margin string"))
+    got = {r.page_id: (r.n_values, r.base_unit, r.on_base) for r in scales.unit_fit(values).collect()}
+    assert got == {1: (5, 4, 4), 2: (2, None, 0), 3: (4, None, 0)}
