@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -66,6 +67,25 @@ def _millionths(d: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(d), _NO_NUMBER, np.where(np.isinf(d), _INFINITE, out))
 
 
+def _keep(far: np.ndarray, near: np.ndarray, query: np.ndarray, r: np.ndarray, who: np.ndarray) -> None:
+    """Takes rows ``who`` at ``r`` millionths of the queries at places ``query`` into the nearest ones known, if they are."""
+    k = far.shape[1]
+    hit = np.unique(query)
+    query, r, who = np.concatenate([query, np.repeat(hit, k)]), np.concatenate([r, far[hit].ravel()]), np.concatenate([who, near[hit].ravel()])
+    order = np.lexsort((who, r, query))
+    query, r, who = query[order], r[order], who[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    first = rank < k
+    far[query[first], rank[first]], near[query[first], rank[first]] = r[first], who[first]
+
+
+def _found(ids: np.ndarray, far: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    m, n = np.nonzero(far < np.inf)
+    r = far[m, n]
+    value = np.where(r == _NO_NUMBER, np.nan, np.where(r == _INFINITE, np.inf, r / _MILLION))
+    return pa.RecordBatch.from_arrays([pa.array(ids[m], pa.int64()), pa.array(near[m, n], pa.int64()), pa.array(value, pa.float64())], names=["query_id", "id", "distance"])
+
+
 def _best(ids: np.ndarray, q: np.ndarray, q_has: np.ndarray, k: int):
     """The k nearest rows of a partition for each query, by millionths, then by id."""
 
@@ -84,19 +104,8 @@ def _best(ids: np.ndarray, q: np.ndarray, q_has: np.ndarray, k: int):
                     m, n = np.nonzero(met & ((d * _MILLION <= last + 1) | (~np.isfinite(d) & (last >= _INFINITE))))
                     r, who, query = _millionths(d[m, n]), own[lo + n], at + m
                     better = (who != ids[query]) & ((r < far[query, -1]) | ((r == far[query, -1]) & (who < near[query, -1])))
-                    if better.any():
-                        r, who, query = r[better], who[better], query[better]
-                        hit = np.unique(query)
-                        query, r, who = np.concatenate([query, np.repeat(hit, k)]), np.concatenate([r, far[hit].ravel()]), np.concatenate([who, near[hit].ravel()])
-                        order = np.lexsort((who, r, query))
-                        query, r, who = query[order], r[order], who[order]
-                        rank = np.arange(len(query)) - np.searchsorted(query, query)
-                        first = rank < k
-                        far[query[first], rank[first]], near[query[first], rank[first]] = r[first], who[first]
-        m, n = np.nonzero(far < np.inf)
-        r = far[m, n]
-        value = np.where(r == _NO_NUMBER, np.nan, np.where(r == _INFINITE, np.inf, r / _MILLION))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[m], pa.int64()), pa.array(near[m, n], pa.int64()), pa.array(value, pa.float64())], names=["query_id", "id", "distance"])
+                    _keep(far, near, query[better], r[better], who[better])
+        yield _found(ids, far, near)
 
     return run
 
@@ -121,6 +130,159 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 20_0
     return top(found, ["query_id"], k, F.asc("distance"), F.asc("id"))
 
 
+#: Rows that meet at once, and those of them whose steps stay in a core's cache.
+_TILE, _STRIP = 1024, 64
+#: Whole steps that the features of a row add up to at most, so that two such sums fit into 16 bits.
+_STEPS = 32767
+#: Pairs that are measured at once.
+_PAIRS = 1 << 14
+
+
+@dataclass
+class _Block:
+    """Rows of a block, first those that have every feature as a finite number, and the nearest ones known of each."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    has: np.ndarray
+    k: int
+    whole: int = field(init=False)
+    far: np.ndarray = field(init=False)
+    near: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        part = ~(self.has.all(axis=1) & np.isfinite(self.x).all(axis=1))
+        order = np.argsort(part, kind="stable")
+        self.ids, self.x, self.has, self.whole = self.ids[order], self.x[order], self.has[order], len(part) - int(part.sum())
+        self.far, self.near = np.full((len(part), self.k), np.inf), np.zeros((len(part), self.k), np.int64)
+
+    def scaled(self, low: float, step: float, most: int) -> None:
+        """Features in whole steps (a row for each feature), their sum, and what was rounded off at most, in steps."""
+        x = (self.x[: self.whole] - low) / step
+        q = np.clip(np.rint(x), 0, most)
+        self.steps, self.sum = np.ascontiguousarray(q.T.astype(np.uint16)), q.sum(axis=1)
+        self.off = np.abs(x - q).sum(axis=1) * (1 + 1e-9) + 1e-6
+
+
+def _scale(blocks: list[_Block]) -> tuple[float, float, int] | None:
+    """The lowest value, the step and the number of steps that all blocks are scaled by; None if their features are too many or too far apart."""
+    x = np.concatenate([b.x[: b.whole].ravel() for b in blocks])
+    most = _STEPS // max(1, blocks[0].x.shape[1])
+    if not len(x) or most < 8:
+        return None
+    low, high = np.percentile(x, [0.05, 99.95])  # what lies outside is rounded off more
+    if high == low:
+        low, high = x.min(), x.max()
+    with np.errstate(over="ignore"):
+        step = (high - low) / most or 1.0
+        return (low, step, most) if np.isfinite(np.abs(x - low).max() / step * x.size) else None
+
+
+def _larger(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the larger steps of every row of a with every row of b: |x - y| is 2 max(x, y) - x - y."""
+    b = np.ascontiguousarray(b)
+    out = np.zeros((a.shape[1], b.shape[1]), np.uint16)
+    step = np.empty((_STRIP, b.shape[1]), np.uint16)
+    for lo in range(0, len(out), _STRIP):
+        total = out[lo : lo + _STRIP]
+        for x, y in zip(a[:, lo : lo + _STRIP, None], b, strict=True):
+            np.add(total, np.maximum(x, y, out=step[: len(total)]), out=total)
+    return out
+
+
+def _limits(a: _Block, rows: slice, b: _Block, these: slice, larger: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of rows of a and of b; ``larger`` does not pass their sum where one of b can be among the k nearest ones of one of a: by the k-th one known or, where none is, by the k-th of these at their farthest."""
+    last = (a.far[rows, -1] + 1) / unit
+    new = np.flatnonzero(np.isinf(last))
+    if len(new) and larger.shape[1] >= a.k:
+        most = 2.0 * larger[new] - (b.sum[these] - b.off[these])
+        most[a.ids[rows][new, None] == b.ids[these]] = np.inf
+        last[new] = np.partition(most, a.k - 1, axis=1)[:, a.k - 1] - a.sum[rows][new] + a.off[rows][new] + 1 / unit
+    u = np.ceil((last * (1 + 1e-9) + a.off[rows] + a.sum[rows]) / 2 + 1).clip(0, _STEPS)
+    v = np.ceil((b.off[these] + b.sum[these]) / 2).clip(0, _STEPS)
+    return u.astype(np.uint16), v.astype(np.uint16)
+
+
+def _measured(a: _Block, m: np.ndarray, b: _Block, n: np.ndarray) -> np.ndarray:
+    """``distance`` of pairs of whole rows, summed in the same order."""
+    out = np.zeros(len(m))
+    for lo in range(0, len(m), _PAIRS):
+        step = np.ascontiguousarray(np.abs(a.x[m[lo : lo + _PAIRS]] - b.x[n[lo : lo + _PAIRS]]).T)
+        for x in step:
+            out[lo : lo + _PAIRS] += x
+    return out / a.x.shape[1]
+
+
+def _meet(a: _Block, b: _Block) -> None:
+    """Every pair of a row of a and one of b, or of two rows of a if b is a, for the nearest ones of both."""
+    scale = _scale([a, b])
+    for block in (a, b) if scale else ():
+        block.scaled(*scale)
+    for lo in range(0, len(a.ids), _TILE):
+        for at in range(lo if a is b else 0, len(b.ids), _TILE):
+            rows, these, both = slice(lo, min(lo + _TILE, len(a.ids))), slice(at, min(at + _TILE, len(b.ids))), a is not b or lo != at
+            if scale and rows.stop <= a.whole and these.stop <= b.whole:
+                larger = _larger(a.steps[:, rows], b.steps[:, these])
+                unit = scale[1] * _MILLION / a.x.shape[1]
+                u, v = _limits(a, rows, b, these, larger, unit)
+                limit = u[:, None] + v
+                if both:
+                    u, v = _limits(b, these, a, rows, larger.T, unit)
+                    np.maximum(limit, v[:, None] + u, out=limit)
+                m, n = np.divmod(np.flatnonzero(larger <= limit), larger.shape[1])
+                m, n = m + lo, n + at
+                m, n = (x[a.ids[m] != b.ids[n]] for x in (m, n))
+                _take(a, m, b, n, _measured(a, m, b, n), both)
+                continue
+            for on in range(lo, rows.stop, _QUERIES):
+                some = slice(on, min(on + _QUERIES, rows.stop))
+                d, met = _apart(a.x[some], a.has[some], b.x[these], b.has[these])
+                last = np.maximum(a.far[some, -1:], b.far[these, -1]) if both else a.far[some, -1:]
+                m, n = np.nonzero(met & ((d * _MILLION <= last + 1) | (~np.isfinite(d) & (last >= _INFINITE))) & (a.ids[some, None] != b.ids[these]))
+                _take(a, m + on, b, n + at, d[m, n], both)
+
+
+def _take(a: _Block, m: np.ndarray, b: _Block, n: np.ndarray, d: np.ndarray, both: bool) -> None:
+    r = _millionths(d)
+    for x, query, y, other in ((a, m, b, n), (b, n, a, m))[: 1 + both]:
+        who = y.ids[other]
+        better = (r < x.far[query, -1]) | ((r == x.far[query, -1]) & (who < x.near[query, -1]))
+        _keep(x.far, x.near, query[better], r[better], who[better])
+
+
+def _cell(k: int) -> Callable[[pa.Table], pa.Table]:
+    """The k nearest rows of another block for each row of a cell's two blocks, or of its own where the cell has one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = pa.concat_arrays(table.column("vector").chunks)
+        x, has = _matrix(lists, max(np.asarray(lists.value_lengths()), default=0))
+        ids, first = table.column("id").to_numpy(), table.column("first").to_numpy()
+        blocks = [_Block(ids[at], x[at], has[at], k) for at in (first, ~first) if at.any()]
+        one = table.column("a")[0] == table.column("b")[0]
+        if one or len(blocks) == 2:
+            _meet(blocks[0], blocks[-1])
+        return pa.Table.from_batches([_found(b.ids, b.far, b.near) for b in blocks])
+
+    return run
+
+
+def neighbours(vectors: DataFrame, k: int = 5, size: int = 8192) -> DataFrame:
+    """The k nearest others of every row of ``vectors`` (id, vector).
+
+    Rows are dealt into blocks of about ``size`` by what they hold, eight at least. Each two blocks, and each with itself,
+    meet in a cell, in which no more than two blocks are held; the best of a row's cells meet in a top-k. Every two
+    rows meet once, in whole steps first, and are measured where those leave it open whether they are near; so results are
+    exact, and work grows with the square of the rows, what is moved with rows times blocks.
+    """
+    blocks = max(8, -(-vectors.count() // size))
+    rows = vectors.where("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = rows.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") <= F.col("other")).alias("first"), "id", "vector")
+    pairs = cells.groupBy("a", "b").applyInArrow(_cell(k), "query_id long, id long, distance double")
+    return top(pairs, ["query_id"], k, F.asc("distance"), F.asc("id"))
+
+
 def long_form(vectors: DataFrame) -> DataFrame:
     """(id, feature, value) of what is there."""
     return vectors.select("id", F.posexplode("vector").alias("feature", "value")).where("value is not null")

@@ -283,9 +283,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VEC = "vec AS (SELECT vec_id AS id, list_transform(embedding, lambda x: least(greatest((x::DOUBLE + 1) / 2, 0.0), 1.0)) AS vector FROM embeddings)"
-query("vector_knn", f"""WITH {_VEC}, p AS (SELECT a.id AS query_id, b.id, round(list_reduce(list_transform(generate_series(1, len(a.vector)), lambda i: abs(a.vector[i] - b.vector[i])), lambda x, y: x + y) / len(a.vector), 6) AS distance FROM vec a, vec b WHERE a.id <> b.id AND a.id % 100 = 0)
+query("vector_knn", f"""WITH {_VEC}, p AS (SELECT a.id AS query_id, b.id, round(list_reduce(list_transform(generate_series(1, len(a.vector)), lambda i: abs(a.vector[i] - b.vector[i])), lambda x, y: x + y) / len(a.vector), 6) AS distance FROM vec a, vec b WHERE a.id <> b.id)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 5""")(
-    lambda s, d: vectors.nearest(_vectors(s, d).where("id % 100 = 0").select("id", "vector"), _vectors(s, d).select("id", "vector"))
+    lambda s, d: vectors.neighbours(_vectors(s, d).select("id", "vector"))
 )
 _RANKS = f"""{_VEC}, f AS (SELECT id, unnest(vector) AS value, generate_subscripts(vector, 1) - 1 AS feature FROM vec), r AS (SELECT id, feature::INT AS feature,
   round((rank() OVER (PARTITION BY feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY feature, value) / 2) / count(*) OVER (PARTITION BY feature), 6) AS percentile FROM f)"""

@@ -61,6 +61,20 @@ def test_nearest_compares_by_matrices(spark):
     assert not any("NestedLoop" in line or "Cartesian" in line for line in plan(got))
 
 
+def test_neighbours_meet_in_bounded_cells(spark):
+    r = random.Random(6)
+    some = [(k, [r.choice([0.1, 0.25, 0.3000005, 0.5, *([None, float("inf")] if k % 9 == 0 else [])]) for _ in range(4 - (k % 10 == 0))]) for k in range(300)]
+    rows = [*some, (300, None), (None, [0.1]), (301, []), (7, [0.1] * 4), *((k, [0.5] * 4) for k in range(400, 460)), *((k, [r.random() * 10 ** (k % 40 // 8) for _ in range(4)]) for k in range(500, 700))]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    pairs = corpus.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).crossJoin(corpus).where("id != query_id")
+    pairs = pairs.select("query_id", "id", F.round(vectors.distance(F.col("q"), F.col("vector")), 6).alias("distance")).where("distance is not null")
+    want = sorted(map(str, usage.top(pairs, ["query_id"], 5, F.asc("distance"), F.asc("id")).collect()))
+    for size in (8192, 30):
+        got = vectors.neighbours(corpus, size=size)
+        assert sorted(map(str, got.collect())) == want
+        assert not any("NestedLoop" in line or "Cartesian" in line for line in plan(got))
+
+
 def test_variants_gather_no_group(spark):
     rows = [(page, k * 7919 % 61, kind, None, [float(k % 5), None if k % 3 else 1.0, *([2.0] * (k % 2))]) for page in range(3) for kind in (None, "card", "text") for k in range(61)]
     frame = spark.createDataFrame(rows, "page_id long, ord long, kind string, structural_hash string, style_vector array<double>").repartition(3)

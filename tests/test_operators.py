@@ -141,6 +141,16 @@ def test_vectors_are_whole(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(sql).df())
 
 
+def test_every_vector_asks_for_its_neighbours(spark, duck):
+    from conftest import DATA
+
+    from swatchwork.plans import catalog
+
+    every = {(x, 5) for (x,) in duck.sql("SELECT vec_id FROM embeddings").fetchall()}
+    got = catalog.QUERIES["vector_knn"](spark, DATA).groupBy("query_id").count().collect()
+    assert {tuple(r) for r in got} == every == set(duck.sql(f"SELECT query_id, count(*) FROM ({catalog.SQL['vector_knn']}) GROUP BY query_id").fetchall())
+
+
 def test_sites_count_all_links(spark, tmp_path):
     from swatchwork.plans import catalog
 
